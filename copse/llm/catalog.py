@@ -1,6 +1,18 @@
 """Queries of this subpackage by name, and the DuckDB SQL of those that SQL can express."""
 
-from copse.llm import rules
+from copse.llm import mixing, packing, reputation, rules, simhash, topk
 
-QUERIES = {"op8_rules": rules.op8_rules}
-SQL = {"op8_rules": rules.OP8_SQL}
+QUERIES = {
+    "op2_urls": reputation.op2_urls,
+    "op3_simhash": simhash.op3_simhash,
+    "op6_mix": mixing.op6_mix,
+    "op8_rules": rules.op8_rules,
+    "op9_pack": packing.op9_pack,
+    "op10_topk": topk.op10_topk,
+}
+SQL = {
+    "op2_urls": reputation.OP2_SQL,
+    "op6_mix": mixing.OP6_SQL,
+    "op8_rules": rules.OP8_SQL,
+    "op10_topk": topk.OP10_SQL,
+}
