@@ -31,7 +31,7 @@ from copse.llm.common import fresh, table, written
 LENGTH = 2048
 END = 0  # the id after each document
 #: Pieces of one length that one task numbers, about.
-RUN = 250_000
+RUN = 1024
 
 
 @functools.cache
