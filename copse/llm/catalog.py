@@ -1,18 +1,22 @@
 """Queries of this subpackage by name, and the DuckDB SQL of those that SQL can express."""
 
-from copse.llm import mixing, packing, reputation, rules, simhash, topk
+from copse.llm import mixing, packing, reputation, rules, sharding, simhash, topk, warc
 
 QUERIES = {
     "op2_urls": reputation.op2_urls,
     "op3_simhash": simhash.op3_simhash,
+    "op5_shards": sharding.op5_shards,
     "op6_mix": mixing.op6_mix,
+    "op7_warc": warc.op7_warc,
     "op8_rules": rules.op8_rules,
     "op9_pack": packing.op9_pack,
     "op10_topk": topk.op10_topk,
 }
 SQL = {
     "op2_urls": reputation.OP2_SQL,
+    "op5_shards": sharding.OP5_SQL,
     "op6_mix": mixing.OP6_SQL,
+    "op7_warc": warc.OP7_SQL,
     "op8_rules": rules.OP8_SQL,
     "op10_topk": topk.OP10_SQL,
 }
