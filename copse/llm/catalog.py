@@ -1,10 +1,12 @@
 """Queries of this subpackage by name, and the DuckDB SQL of those that SQL can express."""
 
-from copse.llm import mixing, packing, reputation, rules, sharding, simhash, topk, warc
+from copse.llm import linededup, mixing, packing, quality, reputation, rules, sharding, simhash, topk, warc
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_urls": reputation.op2_urls,
     "op3_simhash": simhash.op3_simhash,
+    "op4_lines": linededup.op4_lines,
     "op5_shards": sharding.op5_shards,
     "op6_mix": mixing.op6_mix,
     "op7_warc": warc.op7_warc,
