@@ -142,7 +142,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", rare:
     kept = [c for c in docs.columns if c.lower() != "n_deleted"]
     id_, gone, parts = fresh([*kept, "n_deleted"], "id", "places", "parts")
     marks = written(repeated(docs, key, text, rare).withColumnsRenamed({"id": id_, "places": gone}), "repeated_lines")
-    out = docs.select(*kept).join(marks, F.col(key) == F.col(id_), "left")
+    out = docs.select(*kept).join(marks.hint("merge"), F.col(key) == F.col(id_), "left")  # no bound on marks: never broadcast
     out = out.withColumn(parts, F.split(text, "\n"))
     drop = _deleted(F.col(parts), F.col(gone), min_words)
     out = out.withColumn(gone, F.when(F.col(gone).isNotNull(), drop))
