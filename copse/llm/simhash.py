@@ -133,13 +133,15 @@ def grouped(docs: DataFrame, distance: int = 2, size: int = 3, key: str = "doc_i
 
 
 def deduplicated(docs: DataFrame, distance: int = 2, size: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component: that with the smallest key (of rows with equal keys and equal content, one).
+    """One row of each component: that with the smallest key (of rows with equal keys and equal texts, one).
 
-    Rows of a component that repeat its smallest key are all kept if their texts differ.
+    Rows of a component that repeat its smallest key are all kept if their texts differ. Rows with a null key can't be told
+    apart and are all kept.
     """
     ids = grouped(docs, distance, size, key, text, [key]).drop("fingerprint")
-    keep = ids.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("kept_key")).distinct()
-    return docs.join(keep, F.col(key).eqNullSafe(F.col("kept_key"))).drop("kept_key").dropDuplicates([key, text])
+    keep = ids.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("kept_key")).distinct()
+    kept = docs.join(keep.hint("merge"), F.col(key) == F.col("kept_key")).drop("kept_key").dropDuplicates([key, text])
+    return kept.unionByName(docs.filter(F.col(key).isNull()))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
