@@ -163,5 +163,9 @@ def in_scope(path: Column, include: list[str] | tuple[str, ...] = (), exclude: l
     parts = F.split(path, "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
     for glob in exclude:
-        out = out & ~F.exists(above, lambda p, g=glob: glob_matches(p, g))
+        out = out & ~_any_matches(above, glob)
     return out
+
+
+def _any_matches(paths: Column, glob: str) -> Column:
+    return F.exists(paths, lambda p: glob_matches(p, glob))

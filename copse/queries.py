@@ -1,4 +1,305 @@
 """Registered queries over the star-schema and text tables, with equivalent DuckDB SQL."""
 
-QUERIES = {}
-SQL = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from copse.functions import patterns, scalars
+from copse.operators import ledger, recipe, rewrite, safety, score
+from copse.plans.forest import Forest, projected
+from copse.selector import parse
+from copse.sources import tables
+from copse.sources.tables import read
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def names(forest: Forest, selector: str) -> DataFrame:
+    return forest.select(parse(selector)).select("doc", "kind", "name")
+
+
+def simple(name: str, source, selector: str, sql: str, **options) -> None:
+    """A query that gives doc, kind and name of what ``selector`` matches in the forest of ``source``."""
+    register(name, sql)(lambda spark, d: names(source(spark, d, **options), selector))
+
+
+CUSTOMER = "SELECT c_custkey AS doc, 'customer' AS kind, c_name AS name FROM customer"
+
+# selection by kind and name, attributes
+simple("q_select_glob", tables.parts, "part:small*", "SELECT p_partkey AS doc, 'part' AS kind, p_name AS name FROM part WHERE regexp_full_match(p_name, 'small[^/]*')")
+simple("q_glob_slash", tables.pages, "page:http*example*", "SELECT page_id AS doc, 'page' AS kind, url AS name FROM pages WHERE regexp_full_match(url, 'http[^/]*example[^/]*')")
+simple("q_glob_path", tables.pages, "page:http*//*.example.com/en/*", r"SELECT page_id AS doc, 'page' AS kind, url AS name FROM pages WHERE regexp_full_match(url, 'http[^/]*//[^/]*\.example\.com/en/[^/]*')")
+simple("q_glob_class", tables.parts, "part:[a-s]*[^a-d]", "SELECT p_partkey AS doc, 'part' AS kind, p_name AS name FROM part WHERE regexp_full_match(p_name, '(?s)[a-s][^/]*[^a-d]')")
+simple("q_attr_source", tables.parts, "part:* source=red", "SELECT p_partkey AS doc, 'part' AS kind, p_name AS name FROM part WHERE contains(p_name || ' ' || p_brand || ' ' || p_type, 'red') OR contains(p_name, 'red')")
+simple("q_attr_arg", tables.parts, "part:* arg=blue", "SELECT p_partkey AS doc, 'part' AS kind, p_name AS name FROM part WHERE len(list_filter(string_split(p_name, ' '), lambda x: contains(x, 'blue'))) > 0")
+simple("q_attr_argn", tables.parts, "part:* arg1=w*", "SELECT p_partkey AS doc, 'part' AS kind, p_name AS name FROM part WHERE regexp_full_match(string_split(p_name, ' ')[2], 'w[^/]*')")
+simple("q_attr_type", tables.parts, "part:* type=Brand#1*", "SELECT p_partkey AS doc, 'part' AS kind, p_name AS name FROM part WHERE regexp_full_match(p_brand, 'Brand#1[^/]*')")
+simple("q_attr_unknown", tables.parts, "part:small* color=none", "SELECT p_partkey AS doc, 'part' AS kind, p_name AS name FROM part WHERE regexp_full_match(p_name, 'small[^/]*')")
+simple("q_not", tables.parts, "!part:small*", "SELECT p_partkey AS doc, 'part' AS kind, p_name AS name FROM part WHERE NOT regexp_full_match(p_name, 'small[^/]*')")
+simple("q_not_compound", tables.parts, "!(part:small* | part:large*)", "SELECT p_partkey AS doc, 'part' AS kind, p_name AS name FROM part WHERE false")
+simple("q_or", tables.parts, "part:small* | part:* type=Brand#2*", "SELECT p_partkey AS doc, 'part' AS kind, p_name AS name FROM part WHERE regexp_full_match(p_name, 'small[^/]*') OR regexp_full_match(p_brand, 'Brand#2[^/]*')")
+simple("q_and", tables.parts, "part:s* & part:* type=Brand#2*", "SELECT p_partkey AS doc, 'part' AS kind, p_name AS name FROM part WHERE regexp_full_match(p_name, 's[^/]*') AND regexp_full_match(p_brand, 'Brand#2[^/]*')")
+
+# structural joins
+F_ORDER = "EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')"
+R_LINE = "EXISTS (SELECT 1 FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey = c_custkey AND l_returnflag = 'R' AND l_linestatus = 'O')"
+simple("q_contains_descendant", tables.customers, "customer:* > line:* returnflag=R linestatus=O", f"{CUSTOMER} WHERE {R_LINE}")
+simple("q_contains_nested_attr", tables.customers, "customer:* mktsegment=BUILDING > order:* orderstatus=F > line:* returnflag=R",
+       f"{CUSTOMER} WHERE c_mktsegment = 'BUILDING' AND EXISTS (SELECT 1 FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND l_returnflag = 'R')")
+simple("q_contains_direct", tables.customers, "customer:* >> order:* orderstatus=F", f"{CUSTOMER} WHERE {F_ORDER}")
+simple("q_direct_skips", tables.customers, "customer:* >> line:*", f"{CUSTOMER} WHERE false")
+simple("q_transparent", tables.customers, "customer:* >> line:* returnflag=A", f"{CUSTOMER} WHERE EXISTS (SELECT 1 FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey = c_custkey AND l_returnflag = 'A')", transparent=("order",))
+simple("q_contains_nested", tables.regions, "region:A* > nation:* > customer:* mktsegment=BUILDING",
+       "SELECT DISTINCT n_nationkey::BIGINT AS doc, 'region' AS kind, r_name AS name FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey WHERE r_name LIKE 'A%' AND c_mktsegment = 'BUILDING'")
+simple("q_and_cross_kind", tables.customers, "customer:* & order:*", f"{CUSTOMER} WHERE false")
+simple("q_not_in_contains", tables.customers, "customer:* > !order:* orderstatus=F", f"{CUSTOMER} WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus <> 'F')")
+simple("q_distribute", tables.customers, "(customer:* mktsegment=BUILDING | customer:* mktsegment=MACHINERY) > order:* orderstatus=P",
+       f"{CUSTOMER} WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+simple("q_or_contains", tables.customers, "customer:* > (order:* orderstatus=P | line:* returnflag=R linestatus=O)",
+       f"{CUSTOMER} WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') OR {R_LINE}")
+
+# order of siblings
+TURN = "SELECT conv_id AS doc, role AS kind, turn::VARCHAR AS name FROM conversations c"
+simple("q_before", tables.conversations, "user:* before=assistant:*", f"{TURN} WHERE role = 'user' AND EXISTS (SELECT 1 FROM conversations o WHERE o.conv_id = c.conv_id AND o.role = 'assistant' AND o.turn > c.turn)")
+simple("q_after", tables.conversations, "user:* after=assistant:*", f"{TURN} WHERE role = 'user' AND EXISTS (SELECT 1 FROM conversations o WHERE o.conv_id = c.conv_id AND o.role = 'assistant' AND o.turn < c.turn)")
+simple("q_before_invalid", tables.conversations, "user:* before=assistant", f"{TURN} WHERE false")
+simple("q_attr_text", tables.conversations, "assistant:* text=the", rf"{TURN} WHERE role = 'assistant' AND contains(regexp_replace(text, '^[\"''`\s]+|[\"''`\s]+$', '', 'g'), 'the')")
+simple("q_attr_text_glob", tables.conversations, "user:* text=T*", rf"{TURN} WHERE role = 'user' AND regexp_full_match(regexp_replace(text, '^[\"''`\s]+|[\"''`\s]+$', '', 'g'), '(?s)T[^/]*')")
+
+
+@register("q_capture", "SELECT c_custkey AS doc, regexp_extract(c_name, '(?s)^Customer#(.+)$', 1) AS num FROM customer WHERE regexp_matches(c_name, '(?s)^Customer#.+$')")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return tables.customers(spark, d).select(parse("customer:Customer#$num")).select("doc", F.col("captures")["num"].alias("num"))
+
+
+@register("q_capture_url", r"SELECT page_id AS doc, regexp_extract(url, '(?s)^(.+?)://(.+?)/(.+)$', 1) AS scheme, regexp_extract(url, '(?s)^(.+?)://(.+?)/(.+)$', 2) AS host, regexp_extract(url, '(?s)^(.+?)://(.+?)/(.+)$', 3) AS rest FROM pages WHERE regexp_matches(url, '(?s)^.+?://.+?/.+$')")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    found = tables.pages(spark, d).select(parse("page:$scheme://$host/$rest"))
+    return found.select("doc", *[F.col("captures")[x].alias(x) for x in ("scheme", "host", "rest")])
+
+
+LINES = "l AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::BIGINT AS k FROM documents)"
+
+
+@register("q_expand_dedup", f"WITH {LINES} SELECT doc, line AS name, sum(octet_length(encode(line)) + 1) OVER (PARTITION BY doc ORDER BY k)::BIGINT - octet_length(encode(line)) - 1 AS start_byte, octet_length(encode(line))::BIGINT AS n_bytes FROM l")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    found = tables.lines(spark, d).select(parse("line:* | line:*"))
+    return found.select("doc", "name", F.col("start_byte").cast("long"), (F.col("end_byte") - F.col("start_byte")).alias("n_bytes"))
+
+
+@register("q_project", "SELECT c_custkey AS doc, c_name AS name, 'customer' AS type, 1 AS start FROM customer WHERE c_mktsegment = 'BUILDING'")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    zero = F.lit(0)
+    f = tables.customers(spark, d)
+    places = {c: zero for c in ("start_row", "start_col", "end_row", "end_col")}
+    f.elements = f.elements.withColumns(places)
+    out = projected(f.select(parse("customer:* mktsegment=BUILDING")))
+    return out.select("doc", "name", "type", F.col("line").alias("start"))
+
+
+@register("q_match_counts_by_doc", "SELECT c_custkey AS doc, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus = 'F' GROUP BY 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return names(tables.customers(spark, d), "order:* orderstatus=F").groupBy("doc").agg(F.count("*").alias("n"))
+
+
+@register("q_unique_docs", "SELECT count(*) AS n_matches, count(DISTINCT o_custkey) AS n_docs FROM orders WHERE o_orderstatus = 'F'")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return names(tables.customers(spark, d), "order:* orderstatus=F").agg(F.count("*").alias("n_matches"), F.countDistinct("doc").alias("n_docs"))
+
+
+# scopes over paths
+PATHS = r"p AS (SELECT page_id, regexp_extract(url, '^[^:]*://([^?#]*)', 1) AS path FROM pages)"
+
+
+def paths(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "pages").select("page_id", F.regexp_extract("url", "^[^:]*://([^?#]*)", 1).alias("path"))
+
+
+@register("q_scope_globs", rf"WITH {PATHS} SELECT page_id, path FROM p WHERE regexp_full_match(path, '([^/]+/)*en/[^/]*') AND NOT regexp_full_match(path, '([^/]*\.example\.net)(/.*)?')")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return paths(spark, d).filter(patterns.in_scope(F.col("path"), ["**/en/*"], ["*.example.net/**"]))
+
+
+@register("q_max_depth", f"WITH {PATHS} SELECT page_id, path FROM p WHERE len(string_split(path, '/')) - 1 <= 2")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return paths(spark, d).filter(scalars.depth(F.col("path")) <= 2)
+
+
+@register("q_max_files", f"WITH {PATHS} SELECT page_id, path FROM p ORDER BY string_split(path, '/'), page_id LIMIT 50")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return paths(spark, d).orderBy(F.split("path", "/"), "page_id").limit(50)
+
+
+@register("q_lang_stats", "SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY lang")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))
+
+
+@register("q_detect_language", r"""WITH e AS (SELECT page_id, lower(regexp_extract(regexp_extract(url, '^[^:]*://([^?#]*)', 1), '(\.[^./]+)$', 1)) AS ext FROM pages)
+SELECT CASE WHEN ext IN ('.html', '.htm') THEN 'html' WHEN ext = '.php' THEN 'php' WHEN ext = '.js' THEN 'javascript' ELSE 'unknown' END AS language, count(*) AS n FROM e GROUP BY 1""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return paths(spark, d).select(scalars.language(F.col("path")).alias("language")).groupBy("language").agg(F.count("*").alias("n"))
+
+
+@register("q_validate", "SELECT page_id AS doc, (len(string_split(html, '<b>')) - len(string_split(html, '</b>')))::INT AS open FROM pages WHERE len(string_split(html, '<b>')) <> len(string_split(html, '</b>'))")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    p = read(spark, d, "pages")
+    open_ = (F.size(F.split("html", "<b>")) - F.size(F.split("html", "</b>"))).alias("open")
+    bad = p.select("page_id", open_).filter("open <> 0")
+    e = bad.select(F.col("page_id").alias("doc"), F.lit("ERROR").alias("node_type"), F.lit(0).alias("start_byte"), F.lit(0).alias("start_row"), F.lit(0).alias("start_col"), "open")
+    return Forest(e).errors().join(bad.withColumnRenamed("page_id", "doc"), "doc").select("doc", "open")
+
+
+# rewriting: lines of documents that name a license
+HIT = "contains(line, 'License')"
+PIECE = {"replace": "CASE WHEN hit THEN '[gone]' ELSE line END", "delete": "CASE WHEN hit THEN '' ELSE line END",
+         "insert_before": "CASE WHEN hit THEN regexp_extract(line, '^[ \t]*') || '// x' || chr(10) || line ELSE line END",
+         "insert_after": "CASE WHEN hit THEN line || chr(10) || regexp_extract(line, '^[ \t]*') || '// x' ELSE line END"}
+for _method, _piece in PIECE.items():
+    SQL[f"q_{_method}_digest"] = f"""WITH {LINES}, h AS (SELECT *, {HIT} AS hit FROM l)
+SELECT doc, count(*) FILTER (hit) AS match_count, sha256(string_agg({_piece}, chr(10) ORDER BY k)) AS digest, octet_length(encode(string_agg({_piece}, chr(10) ORDER BY k)))::INT AS n_bytes FROM h GROUP BY doc HAVING bool_or(hit)"""
+    QUERIES[f"q_{_method}_digest"] = lambda spark, d, m=_method: rewrite.transform(tables.lines(spark, d), m, parse("line:* text=License"), {"replace": "[gone]"}.get(m, "// x")).select(
+        "doc", "match_count", F.sha2("modified", 256).alias("digest"), F.octet_length("modified").alias("n_bytes"))
+
+SQL["q_append_digest"] = f"""WITH {LINES}, h AS (SELECT *, {HIT} AS hit, min(CASE WHEN {HIT} THEN k END) OVER (PARTITION BY doc) AS first FROM l)
+SELECT doc, count(*) FILTER (hit) AS match_count, sha256(string_agg(CASE WHEN k = first THEN line || chr(10) || chr(10) || '// x' ELSE line END, chr(10) ORDER BY k)) AS digest FROM h GROUP BY doc HAVING bool_or(hit)"""
+QUERIES["q_append_digest"] = lambda spark, d: rewrite.transform(tables.lines(spark, d), "append", parse("line:* text=License"), "// x").select("doc", "match_count", F.sha2("modified", 256).alias("digest"))
+SQL["q_append_root_digest"] = "SELECT doc_id AS doc, 0::BIGINT AS match_count, sha256(text || chr(10) || chr(10) || 'end') AS digest FROM documents"
+QUERIES["q_append_root_digest"] = lambda spark, d: rewrite.append_to_root(tables.lines(spark, d), "end").select("doc", "match_count", F.sha2("modified", 256).alias("digest"))
+
+
+# confidence
+SCORED = f"""{LINES}, m AS (SELECT doc, count(*) FILTER ({HIT}) AS n, sum(octet_length(encode(line)) + 1) - 1 AS old, sum(octet_length(encode(CASE WHEN {HIT} THEN '' ELSE line END)) + 1) - 1 AS new FROM l GROUP BY doc),
+b AS (SELECT *, least(1, greatest(0, 1.0::DOUBLE + CASE WHEN n = 1 THEN 0.1 WHEN n > 5 THEN -0.3 ELSE 0 END - 0.1 - 0.15)) AS base FROM m WHERE n > 0),
+s AS (SELECT doc, n AS match_count, least(1, greatest(0, base - CASE WHEN n > 3 THEN 0.1 ELSE 0 END - CASE WHEN old > 0 AND new > 0 AND abs(new - old) / old > 0.3 THEN 0.1 ELSE 0 END)) AS score FROM b)"""
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return rewrite.transform(tables.lines(spark, d), "delete", parse("line:* text=License"), "")
+
+
+@register("q_confidence", f"WITH {SCORED} SELECT doc, match_count, round(score, 4)::DOUBLE AS score, CASE WHEN round(score, 9) < 0.5 THEN 'low' WHEN round(score, 9) < 0.8 THEN 'medium' ELSE 'high' END AS level FROM s")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).select("doc", "match_count", F.round("confidence.score", 4).alias("score"), F.col("confidence.level").alias("level"))
+
+
+@register("q_confidence_rollup", f"""WITH {SCORED}, a AS (SELECT avg(score) AS mean, count(*) AS n, min(score) AS least FROM s),
+r AS (SELECT least(1, greatest(0, mean - CASE WHEN least < 0.7 THEN 0.1 ELSE 0 END - CASE WHEN n > 10 THEN 0.1 ELSE 0 END)) AS score, n FROM a)
+SELECT round(score, 6)::DOUBLE AS score, n AS files_modified, CASE WHEN round(score, 9) < 0.5 THEN 'low' WHEN round(score, 9) < 0.8 THEN 'medium' ELSE 'high' END AS level FROM r""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    details = _scored(spark, d).select(F.lit(True).alias("modified"), F.col("confidence.score").alias("score"), F.lit("").alias("error"))
+    return score.rollup(details).select(F.round("score", 6).alias("score"), "files_modified", "level")
+
+
+# the ledger: events as stages of their users' sessions
+CUTOFF = "2024-01-15 00:00:00"
+SESSIONS = "g AS (SELECT event_id, user_id, ts, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)"
+
+
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events")
+    return e.select(F.concat(F.lit("stg_"), "event_id").alias("id"), F.col("user_id").cast("string").alias("session_id"), F.col("event_type").alias("operation"), F.col("ts").alias("created_at"), F.col("props").alias("original"), F.concat("props", F.lit("!")).alias("modified"), F.round(F.col("value") % 1, 4).alias("score"))
+
+
+@register("q_stage_build", "SELECT 'stg_' || event_id AS id, user_id::VARCHAR AS session_id, sha256(props) AS base_digest, sha256(props || '!') AS after_digest, 'pending' AS status, floor(epoch(ts + INTERVAL 15 MINUTE))::BIGINT AS expires FROM events")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = ledger.build(_requests(spark, d))
+    return s.select("id", "session_id", "base_digest", "after_digest", "status", F.unix_timestamp(F.col("expires_at").cast("timestamp")).alias("expires"))
+
+
+@register("q_stage_limit", f"WITH {SESSIONS} SELECT 'stg_' || event_id AS id, user_id::VARCHAR AS session_id FROM g WHERE k <= 3")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.admit(ledger.build(_requests(spark, d)), 3).filter("admitted").select("id", "session_id")
+
+
+@register("q_stage_expire", f"SELECT CASE WHEN ts + INTERVAL 15 MINUTE < TIMESTAMP '{CUTOFF}' THEN 'expired' ELSE 'pending' END AS status, count(*) AS n FROM events GROUP BY 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.expire(ledger.build(_requests(spark, d)), F.lit(CUTOFF).cast("timestamp_ntz")).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@register("q_stage_latest", "SELECT user_id::VARCHAR AS session_id, arg_max('stg_' || event_id, ts) AS id FROM events GROUP BY 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.latest(ledger.build(_requests(spark, d))).select("session_id", "id")
+
+
+def _applied(spark: SparkSession, d: str):
+    s = ledger.build(_requests(spark, d))
+    return s, ledger.applies_of(s.filter("operation = 'purchase'"), F.col("created_at"), True)
+
+
+@register("q_apply_join", "SELECT user_id::VARCHAR AS session_id, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s, a = _applied(spark, d)
+    return ledger.apply_counts(s, a)
+
+
+@register("q_apply_left_join", "SELECT 'stg_' || event_id AS id, CASE WHEN event_type = 'purchase' THEN 'stg_' || event_id END AS stage_id FROM events")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s, a = _applied(spark, d)
+    return ledger.with_applies(s, a).select("id", "stage_id")
+
+
+@register("q_apply_all", f"WITH {SESSIONS} SELECT 'stg_' || event_id AS id, CASE WHEN event_type = 'purchase' THEN 'not_pending' WHEN ts + INTERVAL 15 MINUTE < TIMESTAMP '{CUTOFF}' THEN 'expired' ELSE 'ok' END AS outcome FROM g")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s, a = _applied(spark, d)
+    return ledger.outcomes(ledger.mark_applied(s, a), F.lit(CUTOFF).cast("timestamp_ntz")).select("id", "outcome")
+
+
+# safety, logs, recipes, scalars
+@register("q_safety_validate", """SELECT source, count(*) AS n_files, max(octet_length(encode(text)))::BIGINT AS largest, sum(octet_length(encode(text)))::BIGINT AS total,
+CASE WHEN count(*) > 100 THEN 11002 WHEN max(octet_length(encode(text))) > 15000 THEN 11003 WHEN sum(octet_length(encode(text))) > 110000 THEN 11003 ELSE 0 END AS code FROM documents GROUP BY source""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    files = read(spark, d, "documents").select(F.col("source").alias("batch"), F.octet_length("text").cast("long").alias("size"), F.lit(1.0).alias("confidence"))
+    out = safety.validate(files, safety.Limits(max_files=100, max_file_size=15_000, max_total_size=110_000))
+    return out.select(F.col("batch").alias("source"), "n_files", "largest", "total", "code")
+
+
+@register("q_integrity", "SELECT a.doc_id AS path FROM documents a WHERE a.lang = 'en'")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents")
+    now = docs.select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("hash"))
+    expected = docs.select(F.col("doc_id").alias("path"), F.sha2(F.concat("text", F.when(F.col("lang") == "en", "x").otherwise("")), 256).alias("expected_hash"))
+    return safety.integrity(now, expected).select("path")
+
+
+@register("q_tx_summary", "SELECT event_type AS status, count(*) AS n, count(*) FILTER (value > 50) AS n_large FROM events GROUP BY 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "events").groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("n_large"))
+
+
+@register("q_recipe", f"""WITH {LINES}, m AS (SELECT doc, count(*) FILTER ({HIT}) AS a, count(*) FILTER (regexp_full_match(line, 'The[^/]*')) AS b FROM l GROUP BY doc)
+SELECT 'drop' AS step, 1 AS k, count(*) AS scanned, count(*) FILTER (a > 0) AS modified, sum(a)::BIGINT AS matches FROM m
+UNION ALL SELECT 'mark', 2, count(*), count(*) FILTER (b > 0), sum(b)::BIGINT FROM m""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    steps = [recipe.Step("drop", "delete", parse("line:* text=License"), min_confidence=0.0), recipe.Step("mark", "replace", parse("line:The*"), "marked", min_confidence=0.0)]
+    return recipe.preview(tables.lines(spark, d), steps).select("step", "k", "scanned", "modified", "matches")
+
+
+@register("q_pagination", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return scalars.page(read(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], "100")[0]
+
+
+@register("q_log_filter", "SELECT event_id, event_type FROM events WHERE event_type IN ('error', 'purchase')")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    level = F.create_map(*[F.lit(x) for x in ("view", "debug", "click", "info", "signup", "notice", "purchase", "warning", "error", "error")])[F.col("event_type")]
+    return read(spark, d, "events").filter(scalars.at_least(level, "warning")).select("event_id", "event_type")
+
+
+@register("q_capabilities")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    from copse.operators.capabilities import capabilities
+
+    return capabilities(spark)
