@@ -82,7 +82,7 @@ def links(prints: DataFrame, distance: int = 2) -> DataFrame:
 
 
 def components(edges: DataFrame, name: str = "stars") -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b longs): root is the smallest node connected to it.
+    """(node, root) for every node of ``edges`` (a, b longs) but the roots: root is the smallest node connected to it.
 
     Large-star and small-star steps (Kiveris et al., 2014) alternate until nothing changes. Each is a minimum by node,
     which is combined before the shuffle, and a join to it whose skewed keys Spark can split. Every round is a table in
