@@ -24,20 +24,22 @@ def uniform(*parts: Column) -> Column:
     return (F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
-def poisson_tables(rates: dict[str, float]) -> dict[str, list[float]]:
-    """For each source the distribution function at 0, 1, 2, ... up to where it is 1 in double precision."""
+def poisson_tables(rates: dict[str, float]) -> dict[str, tuple[int, list[float]]]:
+    """For each source a count and the distribution function from that count on, up to where it is 1 in double precision.
+    Rates over 600 start where the distribution is no longer 0 in double precision."""
     out = {}
     for source, rate in rates.items():
+        first, term = 0, math.exp(-rate)
         if rate > 600:
-            raise ValueError(f"a repetition rate of {rate:.4g} for {source!r}: copy the source by a whole factor first")
-        term = total = math.exp(-rate)
-        table_, k = [total], 0
+            first = max(0, int(rate - 12 * math.sqrt(rate)))
+            term = math.exp(first * math.log(rate) - rate - math.lgamma(first + 1))
+        total, table_, k = term, [term], first
         while k < rate or term > 1e-18:
             k += 1
             term *= rate / k
             total += term
             table_.append(total)
-        out[source] = table_
+        out[source] = first, table_
     return out
 
 
@@ -71,7 +73,7 @@ def mixed(docs: DataFrame, weights: dict[str, float] = WEIGHTS, total: float | N
     tables = poisson_tables(rates)
     pick = lambda values, default: F.coalesce(*[F.when(F.col(source) == s, v) for s, v in values.items() if s or s in weights], default)
     u = uniform(F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("null")))
-    inverse = lambda steps: F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda a, x: a + F.when(x < drawn, 1).otherwise(0))
+    inverse = lambda t: F.aggregate(F.array(*map(F.lit, t[1])), F.lit(t[0]), lambda a, x: a + F.when(x < drawn, 1).otherwise(0))
     (drawn_name,) = fresh([*docs.columns, *made, count], "drawn")
     drawn = F.col(drawn_name)
     out = docs.select(*[F.col(f"`{c}`") for c in kept], u.alias(drawn_name))
