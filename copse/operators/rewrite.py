@@ -6,6 +6,7 @@ the order of (start, end) descending, as built-in expressions. Only the diff use
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,8 +100,6 @@ def append_to_root(forest: Forest, payload: str) -> DataFrame:
 
 def with_diff(rewritten: DataFrame) -> DataFrame:
     """Adds diff: unified, three lines of context, '' if nothing changed. Line ends are kept apart."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def diff(a: pd.Series, b: pd.Series) -> pd.Series:
         import difflib
