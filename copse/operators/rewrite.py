@@ -35,12 +35,6 @@ def splice(source: Column, edits: Column) -> Column:
     return F.aggregate(ordered, source, lambda a, e: F.concat(cut(a, F.lit(0).cast("long"), e["start"]), e["new"], rest(a, e["end"])))
 
 
-def indentation(source: Column, start: Column) -> Column:
-    """Blanks and tabs that the line of byte ``start`` begins with, if all of it lies before the node; else those before it."""
-    before = F.decode(cut(source, F.lit(0).cast("long"), start), "UTF-8")
-    return F.regexp_extract(F.substring_index(before, "\n", -1), r"^[ \t]*", 0)
-
-
 def transform(forest: Forest, method: str, query: Query, payload: str = "", exported: Column | None = None, invalid: Column | None = None) -> DataFrame:
     """One row for each document with a match: doc, original, modified, match_count, overlap (spans are nested), confidence.
 

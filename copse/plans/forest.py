@@ -11,7 +11,6 @@ nothing is collected, and equal sub-selectors of a query are compiled once.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -193,16 +192,3 @@ def projected(matches: DataFrame) -> DataFrame:
         (F.col("start_row") + 1).alias("line"), (F.col("start_col") + 1).alias("column"), (F.col("end_row") + 1).alias("end_line"), (F.col("end_col") + 1).alias("end_column"),
         "captures", "start_byte", "end_byte",
     )
-
-
-def labelled(nodes: DataFrame, order: Callable[[], list[Column]] | None = None) -> DataFrame:
-    """Adds pre and last to nodes of known ``path`` (array of sort keys from the root down), by one window for each document.
-
-    last is found from the number of nodes whose path begins with the node's own, which a window over the document's
-    rows in path order gives: the next node that is not deeper ends the subtree.
-    """
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("doc").orderBy("path")
-    out = nodes.withColumn("pre", F.row_number().over(w) - 1).withColumn("depth", F.size("path"))
-    return out
