@@ -35,20 +35,21 @@ def splice(source: Column, edits: Column) -> Column:
     return F.aggregate(ordered, source, lambda a, e: F.concat(cut(a, F.lit(0).cast("long"), e["start"]), e["new"], rest(a, e["end"])))
 
 
-def transform(forest: Forest, method: str, query: Query, payload: str = "", exported: Column | None = None, invalid: Column | None = None) -> DataFrame:
+def transform(forest: Forest, method: str, query: Query, payload: str = "", exported: Column | None = None, invalid: Column | None = None, place=None) -> DataFrame:
     """One row for each document with a match: doc, original, modified, match_count, overlap (spans are nested), confidence.
 
     Documents without a match give no row, which a batch counts as unchanged. ``append`` writes behind the first match, the
-    other methods change every match. exported: a condition on matches; invalid: one on the result's columns.
+    other methods change every match. exported: a condition on matches; invalid: one on the result's columns; place: a function
+    that appends (``append.placing``).
     """
     if method not in METHODS:
         raise ValueError(f"unsupported method {method!r}")
     found = forest.select(query)
     sources = forest.elements.filter("parent is null").select(F.col("doc").alias("d"), binary(F.col("text")).alias("source"))
-    return apply(found, sources, method, query.name, payload, exported, invalid)
+    return apply(found, sources, method, query.name, payload, exported, invalid, place)
 
 
-def apply(found: DataFrame, sources: DataFrame, method: str, name: str, payload: str, exported: Column | None = None, invalid: Column | None = None) -> DataFrame:
+def apply(found: DataFrame, sources: DataFrame, method: str, name: str, payload: str, exported: Column | None = None, invalid: Column | None = None, place=None) -> DataFrame:
     """``transform`` from matches (doc, start_byte, end_byte, name) and sources (d, source binary)."""
     exported = F.lit(False) if exported is None else exported
     spans = F.struct(F.col("start_byte").cast("long").alias("start"), F.col("end_byte").cast("long").alias("end"), exported.alias("exported"), "node_pre")
@@ -72,6 +73,9 @@ def apply(found: DataFrame, sources: DataFrame, method: str, name: str, payload:
 
     made = joined.withColumn("edits", F.transform(used, edit))
     made = made.withColumn("result", splice(F.col("source"), F.col("edits")))
+    if place and method == "append":
+        first = F.get("spans", F.lit(0))
+        made = made.withColumn("result", F.coalesce(binary(place(F.decode("source", "UTF-8"), first["start"], first["end"])), F.col("result")))
     nested = F.exists(F.transform(F.col("spans"), lambda s, i: (i > 0) & (s["start"] < F.get(F.col("spans"), i - 1)["end"])), lambda x: F.coalesce(x, F.lit(False)))
     n = F.size("spans")
     c = score.confidence(method, name, n, F.get("spans", F.lit(0))["exported"], F.lit(False) if invalid is None else invalid, F.octet_length("source"), F.octet_length("result"))
@@ -85,11 +89,13 @@ def _indent(source: Column, start: Column) -> Column:
     return F.regexp_extract(F.concat(before, behind), r"^[ \t]*", 0)
 
 
-def append_to_root(forest: Forest, payload: str) -> DataFrame:
-    """Behind the end of every document; its confidence is 1."""
+def append_to_root(forest: Forest, payload: str, place=None) -> DataFrame:
+    """Behind the end of every document, or where ``place`` puts it; its confidence is 1."""
     sources = forest.elements.filter("parent is null").select("doc", F.col("text").alias("original"))
     sure = F.struct(F.lit(1.0).alias("score"), F.lit("high").alias("level"), F.array(F.struct(F.lit("append_to_root").alias("name"), F.lit(0.0).alias("impact"), F.lit("nothing is changed").alias("reason"))).alias("factors"))
-    return sources.select("doc", "original", F.concat("original", F.lit("\n\n" + payload)).alias("modified"), F.lit(0).cast("long").alias("match_count"), F.lit(False).alias("overlap"), sure.alias("confidence"))
+    plain = F.concat("original", F.lit("\n\n" + payload))
+    modified = F.coalesce(place(F.col("original")), plain) if place else plain
+    return sources.select("doc", "original", modified.alias("modified"), F.lit(0).cast("long").alias("match_count"), F.lit(False).alias("overlap"), sure.alias("confidence"))
 
 
 def with_diff(rewritten: DataFrame) -> DataFrame:

@@ -31,10 +31,10 @@ class Forest:
 
     kinds: kind to node types; a kind that is not listed is a node type itself. canonical: other spellings of kinds.
     transparent: node types that ``>>`` looks through, one level. checks: kind to a condition on elements besides the type.
+    Elements may have ``only`` (the kinds that see the row, null: all), ``is_target`` and ``is_node`` (false: a bound node).
     typed: ``type=`` is known (the elements have decl_type), else it is ignored like any unknown attribute.
     columns: attributes that are columns of the elements, compared as text with name patterns.
-    bound: with it, a condition under which an element of the type is a declaration whose bound nodes are rows of their own
-    (``cand_pre`` of the elements differs from ``pre``).
+    Where a declaration binds nodes, each is a row of its own, whose ``cand_pre`` is the declaration's number.
     """
 
     elements: DataFrame
@@ -96,6 +96,8 @@ class Forest:
         if "cand_pre" not in e.columns:
             e = e.withColumn("cand_pre", F.col("pre"))
         hit = F.col("node_type").isin(*types) & F.col("is_target") if "is_target" in e.columns else F.col("node_type").isin(*types)
+        if "only" in e.columns:
+            hit = hit & (F.col("only").isNull() | F.array_contains("only", kind))
         if kind in self.checks:
             hit = hit & self.checks[kind]
         out = e.filter(hit & patterns.matches(F.col("name"), name)).withColumn("kind", F.lit(kind)).withColumnRenamed("pre", "node_pre")
