@@ -9,7 +9,7 @@ from copse.functions import patterns, scalars
 from copse.operators import ledger, recipe, rewrite, safety, score
 from copse.plans.forest import Forest, projected
 from copse.selector import parse
-from copse.sources import tables
+from copse.sources import files, tables
 from copse.sources.tables import read
 
 QUERIES: dict = {}
@@ -303,3 +303,63 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     from copse.operators.capabilities import capabilities
 
     return capabilities(spark)
+
+
+# source code: texts made of the tables' rows, parsed by the five parsers
+def _code(spark: SparkSession, d: str, language: str) -> DataFrame:
+    """One document for each row of a table."""
+    table, key, text = CODE[language]
+    return read(spark, d, table).select(F.col(key).cast("string").alias("doc"), F.lit(language).alias("language"), F.expr(text).alias("source"))
+
+
+WORD = "regexp_replace({0}, '[^A-Za-z0-9]+', '_')"
+#: Language to table, key and the text of a row's document, as SQL.
+CODE = {
+    "go": ("part", "p_partkey", "concat('package parts\n\ntype P', p_partkey, ' struct {\n\t', " + WORD.format("p_brand") + ", ' string\n\tSize int\n}\n\nfunc Load', p_partkey, '() string {\n\treturn os.Getenv(\"', p_type, '\")\n}\n')"),
+    "python": ("orders", "o_orderkey", "concat('def order_', o_orderkey, '():\n    return load(\"', o_orderstatus, '\")\n\n\na, b = 1, 2\n')"),
+    "javascript": ("customer", "c_custkey", "concat('class C', c_custkey, ' {\n  render() { return api.fetch(\"', c_mktsegment, '\"); }\n}\n')"),
+    "typescript": ("supplier", "s_suppkey", "concat('export class S', s_suppkey, '<T> {\n  get value(): string { return \"', s_name, '\"; }\n  value2(): void {}\n}\n')"),
+    "php": ("nation", "n_nationkey", "concat('<?php\nclass N', n_nationkey, ' {\n  public $', " + WORD.format("n_name") + ", ', $region;\n  public function __construct() { }\n}\n')"),
+}
+
+
+def code(name: str, language: str, selector: str, sql: str) -> None:
+    register(name, sql)(lambda spark, d: names(files.forest(files.parsed(_code(spark, d, language)), language), selector))
+
+
+code("q_code_go", "go", "struct:* > field:Brand_1* string", r"SELECT p_partkey::VARCHAR AS doc, 'struct' AS kind, 'P' || p_partkey AS name FROM part WHERE regexp_replace(p_brand, '[^A-Za-z0-9]+', '_', 'g') LIKE 'Brand\_1%' ESCAPE '\'")
+code("q_code_go_call", "go", "func:Load* > call:os.Getenv", "SELECT p_partkey::VARCHAR AS doc, 'function' AS kind, 'Load' || p_partkey AS name FROM part")
+code("q_code_python", "python", "def:order_* > call:load arg0=F", "SELECT o_orderkey::VARCHAR AS doc, 'function' AS kind, 'order_' || o_orderkey AS name FROM orders WHERE o_orderstatus = 'F'")
+code("q_code_python_unpacked", "python", "var:b", "SELECT o_orderkey::VARCHAR AS doc, 'variable' AS kind, 'b' AS name FROM orders")
+code("q_code_javascript", "javascript", "class:* >> method:render", "SELECT c_custkey::VARCHAR AS doc, 'class' AS kind, 'C' || c_custkey AS name FROM customer")
+code("q_code_typescript", "typescript", "getter:*", "SELECT s_suppkey::VARCHAR AS doc, 'getter' AS kind, 'value' AS name FROM supplier")
+code("q_code_php", "php", "property:*", "SELECT n_nationkey::VARCHAR AS doc, 'property' AS kind, unnest([regexp_replace(n_name, '[^A-Za-z0-9]+', '_', 'g'), 'region']) AS name FROM nation")
+
+
+@register("q_code_capture", "SELECT c_custkey::VARCHAR AS doc, 'api' AS client, 'fetch' AS method FROM customer WHERE c_mktsegment = 'BUILDING'")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    f = files.forest(files.parsed(_code(spark, d, "javascript")), "javascript")
+    return f.select(parse("call:$client.$method arg0=BUILDING")).select("doc", *[F.col("captures")[x].alias(x) for x in ("client", "method")])
+
+
+@register("q_code_all_languages", """SELECT 'go' AS language, count(*) AS n FROM part UNION ALL SELECT 'python', count(*) FROM orders
+UNION ALL SELECT 'javascript', count(*) FROM customer UNION ALL SELECT 'typescript', 2 * count(*) FROM supplier UNION ALL SELECT 'php', count(*) FROM nation""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    from functools import reduce
+
+    docs = reduce(DataFrame.unionByName, [_code(spark, d, x) for x in CODE])
+    return files.select(files.parsed(docs), parse("fn:*")).groupBy("language").agg(F.count("*").alias("n"))
+
+
+@register("q_code_replace", """WITH t AS (SELECT o_orderkey, 'def order_' || o_orderkey || '():' || chr(10) || '    return load("' || o_orderstatus || '")' || repeat(chr(10), 3) || 'a, b = 1, 2' || chr(10) AS old,
+'def kept(): pass' || repeat(chr(10), 3) || 'a, b = 1, 2' || chr(10) AS new FROM orders)
+SELECT o_orderkey::VARCHAR AS doc, sha256(new) AS digest, round(1.0::DOUBLE + 0.1 - 0.2 - 0.15 - CASE WHEN abs(length(new) - length(old)) / length(old) > 0.3 THEN 0.1 ELSE 0 END, 4) AS score FROM t""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    made = files.transform(files.parsed(_code(spark, d, "python")), "replace", parse("def:*"), "def kept(): pass", ("python",))
+    return made.select("doc", F.sha2("modified", 256).alias("digest"), F.round("confidence.score", 4).alias("score"))
+
+
+@register("q_walk", "SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) || '.parquet' AS entry, 'unknown' AS language")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    found = files.listing(spark, files.Scope(d, include=("**/*.parquet",)))
+    return found.select(F.split("path", "/")[0].alias("entry"), "language").distinct()
