@@ -182,7 +182,11 @@ def _signals(field: Field, x: np.ndarray, size: np.ndarray, n: np.ndarray) -> np
 
 
 def fit(texts: list[bytes], labels: np.ndarray, ridge: float = 1e-3, steps: int = 100) -> Field:
-    """Maximum likelihood by gradient steps (Adam) on documents' labels; then a logistic map to quality."""
+    """Maximum likelihood by gradient steps (Adam) on documents' labels; then a logistic map to quality. Without labelled
+    texts all weights are 0: every score is 0.5."""
+    if not texts:
+        width = observations([b""])[0].shape[1]
+        return Field(np.zeros(width), np.zeros((2, 2)), np.zeros(width), np.ones(width), np.zeros(3))
     x, size, doc, n = observations(texts)
     mean, scale = x.mean(0), x.std(0) + 1e-6
     mean[-1], scale[-1] = 0, 1
