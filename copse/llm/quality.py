@@ -20,12 +20,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from copse.llm.common import fresh, table
+from copse.llm.common import fresh, table, written
 
 #: Labelled documents that the classifier is fitted on, at most: those with the smallest hash, whatever their order.
 SAMPLE = 2000
-#: Bytes of each of them that the classifier is fitted on, at most (scores are always of whole texts).
-SAMPLE_BYTES = 8_000
+#: Bytes of all of them together, at most; they are whole texts, and one alone has an eighth at most.
+SAMPLE_BYTES = 12 << 20
 
 _CLASS = np.zeros(256, np.uint8)  # of bytes: 1 letter or part of one, 2 capital, 3 digit, 4 symbol, 5 other punctuation, 0 white space
 _CLASS[33:127] = 5
@@ -234,13 +234,19 @@ def score(field: Field, texts: list[bytes], batch: int = 1 << 20) -> np.ndarray:
     return out
 
 
-def sample(docs: DataFrame, labels: DataFrame, use: Column, size: int = SAMPLE, key: str = "doc_id", text: str = "text") -> tuple[list[bytes], np.ndarray]:
-    """The texts (their first bytes) and labels the classifier is fitted on: at most ``size`` labelled rows, the smallest by
-    hash of key among those that ``use`` picks. Rows with a null key, text or label, or another label than 0 and 1, are not used."""
-    known = labels.filter(use & F.col("quality").isin(0, 1)).select(key, "quality").dropDuplicates([key]).orderBy(F.xxhash64(key), key).limit(size)
-    rows = docs.select(key, text).join(F.broadcast(known), key).filter(F.col(text).isNotNull()).dropDuplicates([key])
-    got = rows.select(key, F.substring(F.encode(text, "UTF-8"), 1, SAMPLE_BYTES).alias("t"), "quality").orderBy(key).toArrow()
-    return [x.as_py() for x in got.column("t")], got.column("quality").to_numpy().astype(np.float64)
+def sample(docs: DataFrame, labels: DataFrame, use: Column, size: int = SAMPLE, size_bytes: int = SAMPLE_BYTES, key: str = "doc_id", text: str = "text") -> tuple[list[bytes], np.ndarray]:
+    """The whole texts and labels the classifier is fitted on: of the ``size`` labelled rows with the smallest hash of key
+    among those that ``use`` picks, the first by hash that have ``size_bytes`` together. Texts of over an eighth of that, and
+    rows with a null key, text or label, or another label than 0 and 1, are not used. Of rows with equal keys the smallest text is.
+    """
+    known = labels.filter(use & F.col("quality").isin(0, 1)).groupBy(key).agg(F.min("quality").alias("quality")).orderBy(F.xxhash64(key), key).limit(size)
+    found = docs.select(key, F.encode(text, "UTF-8").alias("t")).filter(F.octet_length("t") <= size_bytes // 8).join(F.broadcast(known), key)
+    rows = written(found.groupBy(key).agg(F.min("t").alias("t"), F.first("quality").alias("quality")), "sample")
+    sizes = rows.select(key, F.octet_length("t").alias("n")).orderBy(F.xxhash64(key), key).toArrow()
+    within = np.cumsum(sizes.column("n").to_numpy()) <= size_bytes
+    picked = [k for k, w in zip(sizes.column(key).to_pylist(), within) if w]
+    got = rows.filter(F.col(key).isin(picked)).orderBy(key).toArrow()
+    return [bytes(x.as_py()) for x in got.column("t")], got.column("quality").to_numpy().astype(np.float64)
 
 
 def scored(docs: DataFrame, field: Field, threshold: float = 0.3, text: str = "text", carry: list[str] | None = None) -> DataFrame:
