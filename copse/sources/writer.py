@@ -56,7 +56,7 @@ class Transaction:
         return self.spark.read.schema(LOG).parquet(f"file://{self.place}/{name}")
 
 
-def _digest(path: str) -> str:
+def digest(path: str) -> str:
     """SHA-256 of a file, '' if there is none."""
     if not os.path.exists(path):
         return ""
@@ -165,14 +165,14 @@ def _each(log: DataFrame, act) -> DataFrame:
 
 def _check(r: dict) -> str:
     """Moves of an earlier try of the same task may have been made already."""
-    if _digest(r["path"]) not in (r["before"], r["after"]):
+    if digest(r["path"]) not in (r["before"], r["after"]):
         raise TransactionError("the file has changed since it was read")
     return "pending"
 
 
 def _move(place: str, r: dict) -> str:
     path = r["path"]
-    if _digest(path) == r["after"]:
+    if digest(path) == r["after"]:
         return "committed"
     _check(r)
     if r["kind"] == "delete":
@@ -186,7 +186,7 @@ def _move(place: str, r: dict) -> str:
 
 
 def _undo(r: dict) -> str:
-    now = _digest(r["path"])
+    now = digest(r["path"])
     if now == r["before"]:
         return "rolled_back"
     if now != r["after"]:
