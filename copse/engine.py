@@ -99,8 +99,7 @@ class Engine:
     def file_query(self, request: dict) -> DataFrame:
         """Matches in all files of a scope; files with errors give none."""
         scope = self.scope(request)
-        elements = files.parsed(files.walk(self.spark, scope))
-        return projected(files.select(elements, choose(request.get("dsl"), request.get("query")), self.languages(scope))).orderBy("doc", "start_byte", "end_byte")
+        return projected(files.select(files.walk(self.spark, scope), choose(request.get("dsl"), request.get("query")), self.languages(scope))).orderBy("doc", "start_byte", "end_byte")
 
     def changed(self, method: str, request: dict) -> DataFrame:
         """doc, modified, diff, confidence, match_count of one document; a file is written where it changes and is not blank
@@ -114,7 +113,7 @@ class Engine:
 
     def rewritten(self, method: str, request: dict) -> DataFrame:
         target = self.target(request, method == "append")
-        return files.transform(files.parsed(self.documents(request)), method, target, request.get("replacement") or request.get("content") or "", (request["language"],))
+        return files.transform(self.documents(request), method, target, request.get("replacement") or request.get("content") or "", (request["language"],))
 
     def kept(self, df: DataFrame) -> DataFrame:
         """Written once and read again: what is reported is what was there before files change."""
@@ -127,7 +126,7 @@ class Engine:
         anything is written; all files are written or none."""
         scope = self.scope(request)
         docs = files.walk(self.spark, scope)
-        made = self.kept(files.transform(files.parsed(docs), method, self.target(request), request.get("replacement") or "", self.languages(scope)))
+        made = self.kept(files.transform(docs, method, self.target(request), request.get("replacement") or "", self.languages(scope)))
         sizes = files.listing(self.spark, scope).select(F.lit("all").alias("batch"), "size", F.lit(1.0).alias("confidence"))
         if (row := safety.validate(sizes, self.limits).head()) and row["code"]:
             raise RequestError(f"limit {row['code']} is exceeded")
@@ -144,8 +143,7 @@ class Engine:
         rows, apply = [], request.get("dry_run") is False
         for k, (step, given) in enumerate(zip(steps, request["steps"]), 1):
             scope = self.scope(given)
-            elements = files.parsed(files.walk(self.spark, scope))
-            made = self.kept(files.transform(elements, step.method, step.target, step.payload, self.languages(scope)))
+            made = self.kept(files.transform(files.walk(self.spark, scope), step.method, step.target, step.payload, self.languages(scope)))
             scored = made.select((F.col("modified") != F.col("original")).alias("modified"), F.col("confidence.score").alias("score"), F.lit("").alias("error"), "match_count")
             rolled = recipe.score.rollup(scored).head()
             matches = scored.agg(F.coalesce(F.sum("match_count"), F.lit(0))).head()[0]

@@ -307,9 +307,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 # source code: texts made of the tables' rows, parsed by the five parsers
 def _code(spark: SparkSession, d: str, language: str) -> DataFrame:
-    """One document for each row of a table."""
+    """One document for each row of a table. Small tables are one partition each, but parsing is work for all cores."""
     table, key, text = CODE[language]
-    return read(spark, d, table).select(F.col(key).cast("string").alias("doc"), F.lit(language).alias("language"), F.expr(text).alias("source"))
+    return read(spark, d, table).repartition(spark.sparkContext.defaultParallelism, key).select(F.col(key).cast("string").alias("doc"), F.lit(language).alias("language"), F.expr(text).alias("source"))
 
 
 WORD = "regexp_replace({0}, '[^A-Za-z0-9]+', '_')"
@@ -348,14 +348,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     from functools import reduce
 
     docs = reduce(DataFrame.unionByName, [_code(spark, d, x) for x in CODE])
-    return files.select(files.parsed(docs), parse("fn:*")).groupBy("language").agg(F.count("*").alias("n"))
+    return files.select(docs, parse("fn:*")).groupBy("language").agg(F.count("*").alias("n"))
 
 
 @register("q_code_replace", """WITH t AS (SELECT o_orderkey, 'def order_' || o_orderkey || '():' || chr(10) || '    return load("' || o_orderstatus || '")' || repeat(chr(10), 3) || 'a, b = 1, 2' || chr(10) AS old,
 'def kept(): pass' || repeat(chr(10), 3) || 'a, b = 1, 2' || chr(10) AS new FROM orders)
 SELECT o_orderkey::VARCHAR AS doc, sha256(new) AS digest, round(1.0::DOUBLE + 0.1 - 0.2 - 0.15 - CASE WHEN abs(length(new) - length(old)) / length(old) > 0.3 THEN 0.1 ELSE 0 END, 4) AS score FROM t""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    made = files.transform(files.parsed(_code(spark, d, "python")), "replace", parse("def:*"), "def kept(): pass", ("python",))
+    made = files.transform(_code(spark, d, "python"), "replace", parse("def:*"), "def kept(): pass", ("python",))
     return made.select("doc", F.sha2("modified", 256).alias("digest"), F.round("confidence.score", 4).alias("score"))
 
 

@@ -200,9 +200,14 @@ def forest(elements: DataFrame, language: str, broken: bool = False) -> Forest:
     return Forest(of if broken else of.filter("not has_error"), catalog.kinds(language), catalog.CANONICAL[language], checks=checks, typed=language == "go")
 
 
-def select(elements: DataFrame, query: Query, languages: tuple[str, ...] = catalog.LANGUAGES) -> DataFrame:
-    """Matches in documents of all languages, each with its own kinds."""
-    return reduce(DataFrame.unionByName, [forest(elements, x).select(query) for x in languages])
+def elements_of(source: DataFrame, language: str) -> DataFrame:
+    """Elements of one language from elements or from documents, which are filtered before they are parsed."""
+    return source if "node_type" in source.columns else parsed(source.filter(F.col("language") == language))
+
+
+def select(source: DataFrame, query: Query, languages: tuple[str, ...] = catalog.LANGUAGES) -> DataFrame:
+    """Matches in documents (or their elements) of all languages, each with its own kinds."""
+    return reduce(DataFrame.unionByName, [forest(elements_of(source, x), x).select(query) for x in languages])
 
 
 def rejects(elements: DataFrame) -> DataFrame:
@@ -223,14 +228,14 @@ def has_errors(text: Column, language: str) -> Column:
     return check(text)
 
 
-def transform(elements: DataFrame, method: str, query: Query, payload: str = "", languages: tuple[str, ...] = catalog.LANGUAGES) -> DataFrame:
-    """Documents rewritten: ``operators.rewrite.transform`` with each language's exported names and its check of the result.
+def transform(source: DataFrame, method: str, query: Query, payload: str = "", languages: tuple[str, ...] = catalog.LANGUAGES) -> DataFrame:
+    """Documents (or their elements) rewritten: ``operators.rewrite.transform`` with each language's exported names and its check of the result.
     Documents with errors are rewritten, too. ``append`` places the text as ``operators.append`` says."""
     from copse.operators import append, rewrite
 
     parts = []
     for language in languages:
-        f = forest(elements, language, broken=True)
+        f = forest(elements_of(source, language), language, broken=True)
         place = append.placing(language, payload) if language in append.SMART else None
         if method == "append" and not (query.kind or query.name):
             parts.append(rewrite.append_to_root(f, payload, place))
