@@ -1,11 +1,11 @@
 """Exact top-k by inner product over an impact-ordered, score-at-a-time index.
 
-Components are whole numbers. The index holds vectors in blocks; a block stores, for each dimension, postings in segments
-of descending quantised impact: segment 0 has the components rounded down to multiples of its quantum, each further
-segment what is left in multiples of a finer one. A query adds up segment after segment for all vectors of a block. After
-each it knows for every vector how much the finer segments can still add at least and at most; it stops once no vector
-outside the possible members can reach the k-th best lower bound, and scores the possible members exactly. A bound on the
-k-th score that one block has proven is not needed by another: the best k of each block are merged by query.
+Components are whole numbers. The index is a table of blocks of vectors. Each block has one posting for each component of
+each vector (its place and its impact, the component quantised to fourteen bits and a sign), sorted by descending impact and
+cut into segments. Queries process segment after segment for all vectors of a block: a posting adds the query's component
+times its impact to its vector's score. All components not yet met have at most the next segment's impact, which bounds
+what each vector can still gain or lose; once that proves that few vectors can be among the best k, processing stops, and
+those possible members are scored exactly with their whole components. The best k of each block are merged by query.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from copse.llm.common import table, written
@@ -24,8 +23,11 @@ from copse.llm.common import table, written
 #: Vectors of a block, and queries of a block, about.
 BLOCK = 4096
 QUERIES = 1024
-#: Quanta as powers of two below the largest component's, from the first segment on.
-LEVELS = (3, 5)
+#: Bits of an impact, and the segments by descending impact: each begins at so many 256ths of the largest.
+BITS = 14
+SEGMENTS = (128, 96, 64, 48, 32, 20, 12, 6, 0)
+#: Scores held at a time (queries times vectors).
+SCORES = 1 << 20
 
 
 def quantised(vector: Column, factor: int = 64) -> Column:
@@ -35,59 +37,109 @@ def quantised(vector: Column, factor: int = 64) -> Column:
     return F.when(vector.isNotNull() & ~F.coalesce(bad, F.lit(True)), F.transform(x, lambda v: F.floor(F.lit(float(factor)) * v).cast("long")))
 
 
-class Segments:
-    """Postings of one block: matrices of quantised components, coarse to fine, that add up to the vectors."""
+class Postings:
+    """Postings of one block in impact order. slots: vector * dimensions + dimension; impacts: signed, in quanta; ends: of
+    each segment. A component v with impact i lies within sign(v) * [|i| * quantum, |i| * quantum + quantum - 1]."""
 
-    def __init__(self, vectors: np.ndarray) -> None:
-        self.vectors = vectors
-        top = int(max(1, np.abs(vectors).max(initial=1))).bit_length()
-        self.parts, rest = [], vectors.astype(np.float64)
-        for level in LEVELS:
-            if (quantum := 1 << max(0, top - level)) > 1:
-                part = np.floor(rest / quantum) * quantum
-                self.parts.append((part.astype(np.float64), quantum - 1))  # what is left of a component lies in [0, quantum - 1]
-                rest = rest - part
+    def __init__(self, shape: tuple[int, int], quantum: int, slots: np.ndarray, impacts: np.ndarray, ends: np.ndarray) -> None:
+        self.shape, self.quantum, self.slots, self.impacts, self.ends = shape, quantum, slots, impacts, ends
 
-    def best(self, queries: np.ndarray, k: int) -> list[np.ndarray]:
+    @classmethod
+    def of(cls, vectors: np.ndarray) -> Postings:
+        flat = vectors.ravel()
+        size = np.abs(np.maximum(flat, np.iinfo(np.int64).min + 1))  # the smallest long has no absolute value
+        quantum = 1 << max(0, int(size.max(initial=0)).bit_length() - BITS)
+        size = size // quantum
+        slots = np.argsort(-size, kind="stable")
+        size = size[slots]
+        impacts = np.where(flat[slots] < 0, -size, size)
+        scale = int(size.max(initial=0)) + 1
+        ends = np.searchsorted(-size, [-(x * scale // 256) for x in SEGMENTS], side="right")
+        return cls(vectors.shape, quantum, slots.astype(np.int32), impacts.astype(np.int16), ends.astype(np.int32))
+
+    def members(self, queries: np.ndarray, k: int) -> list[np.ndarray]:
         """For each query the rows of all vectors that can be among its ``k`` best, ties with the k-th included."""
-        n = len(self.vectors)
-        up, down = np.maximum(queries, 0).sum(1, keepdims=True), np.minimum(queries, 0).sum(1, keepdims=True)
-        possible = [np.arange(n)] * len(queries)
+        n, dims = self.shape
         if n <= k:
-            return possible
-        total = np.zeros((len(queries), n))
-        for part, left in self.parts:
-            total += queries @ part.T
-            bound = np.partition(total, n - k, axis=1)[:, n - k] + left * down[:, 0]  # k vectors surely reach it
-            hits = total + left * up >= bound[:, None]
-            if hits.sum() <= 4 * k * len(queries):
+            return [np.arange(n)] * len(queries)
+        sizes = np.abs(queries)
+        all_of = sizes.sum(1, keepdims=True)
+        score, met = np.zeros((len(queries), n)), np.zeros((len(queries), n))
+        slack = (self.quantum - 1) / 2  # a posting adds the middle of its range
+        begin = 0
+        for end in self.ends.tolist():
+            if end == begin:
+                continue
+            here, impact = self.slots[begin:end], self.impacts[begin:end].astype(np.float64)
+            values, there = np.zeros(n * dims), np.zeros(n * dims)
+            values[here] = impact * self.quantum + np.where(impact < 0, -slack, slack)
+            if slack:  # the sign of a component of impact 0 is not stored: its range is on either side
+                values[here[impact == 0]] = 0
+            there[here] = 1
+            score += queries @ values.reshape(n, dims).T
+            met += sizes @ there.reshape(n, dims).T
+            begin = end
+            if 2 * end < n * dims:
+                continue  # less than half of all components is met: no proof to be had yet
+            last = end == n * dims
+            most = self.quantum * (int(abs(self.impacts[end])) + 1) - 1 if not last else 0  # of a component not yet met
+            # postings of impact 0 are off by up to a quantum less one, others by half of that
+            width = (2 * slack if self.impacts[end - 1] == 0 else slack) * met + most * (all_of - met)
+            bound = np.partition(score - width, n - k, axis=1)[:, n - k]  # k vectors surely reach it
+            hits = score + width >= bound[:, None]
+            if last or hits.sum() <= 2 * k * len(queries):
                 break
-        else:
-            if not self.parts:
-                return possible
         rows, cols = np.nonzero(hits)
         return np.split(cols, np.searchsorted(rows, np.arange(1, len(queries))))
 
 
 def _exact(queries: np.ndarray, vectors: np.ndarray) -> bool:
-    """Whether doubles hold every sum of products exactly."""
-    reach = int(np.abs(queries).max(initial=0)) * int(np.abs(vectors).max(initial=0)) * max(1, vectors.shape[1])
-    return reach < 1 << 52
+    """Whether doubles hold every sum of products, and its bounds in halves, exactly."""
+    largest = lambda x: max(abs(int(x.max(initial=0))), abs(int(x.min(initial=0))))
+    return largest(queries) * largest(vectors) * max(1, vectors.shape[1]) < 1 << 50
 
 
-def top_of_block(qids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
+def top_of_block(qids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, postings: Postings | None = None) -> Iterator[tuple[int, int, int]]:
     """(query id, vector id, score) of the ``k`` best vectors for each query, its own id left out, ties to the smaller id."""
-    if _exact(queries, vectors):
-        members = Segments(vectors).best(queries.astype(np.float64), k + 1)  # one may be the query's own row
-    else:
-        members = [np.arange(len(ids))] * len(qids)
+    own = int(np.unique(ids, return_counts=True)[1].max(initial=1))  # so many rows may have the query's id
+    exact = _exact(queries, vectors)
+    if not exact:
         queries, vectors = queries.astype(object), vectors.astype(object)
-    for q, vector, rows in zip(qids, queries, members):
-        rows = rows[ids[rows] != q]
-        scores = vectors[rows] @ vector
-        order = np.lexsort((ids[rows], -scores))[:k] if scores.dtype != object else sorted(range(len(rows)), key=lambda i: (-scores[i], ids[rows[i]]))[:k]
-        for i in order:
-            yield int(q), int(ids[rows[i]]), int(scores[i])
+    elif postings is None:
+        postings = Postings.of(vectors)
+    step = max(1, SCORES // max(1, len(ids)))
+    for at in range(0, len(qids), step):
+        some = slice(at, at + step)
+        members = postings.members(queries[some].astype(np.float64), k + own) if exact else [np.arange(len(ids))] * len(qids[some])
+        for q, vector, rows in zip(qids[some], queries[some], members):
+            rows = rows[ids[rows] != q]
+            scores = vectors[rows] @ vector
+            order = np.lexsort((ids[rows], -scores))[:k] if exact else sorted(range(len(rows)), key=lambda i: (-scores[i], ids[rows[i]]))[:k]
+            for i in order:
+                yield int(q), int(ids[rows[i]]), int(scores[i])
+
+
+#: A block of the index: ids, vectors one after the other, and its postings.
+INDEX = "n int, block long, ids array<long>, vectors array<long>, quantum long, slots array<int>, impacts array<short>, ends array<int>"
+
+
+def index(rows: DataFrame) -> DataFrame:
+    """Blocks (``INDEX``) of rows (n, block, id, v)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for n, block, ids, flat in batch[["n", "block", "ids", "vectors"]].itertuples(index=False):
+                vectors = np.asarray(flat, np.int64).reshape(len(ids), n)
+                p = Postings.of(vectors)
+                yield pd.DataFrame({"n": [n], "block": [block], "ids": [ids], "vectors": [flat], "quantum": [p.quantum], "slots": [p.slots], "impacts": [p.impacts], "ends": [p.ends]})
+
+    return _gathered(rows, "n", "block").mapInPandas(run, INDEX)
+
+
+def _gathered(rows: DataFrame, *by: str) -> DataFrame:
+    """ids and vectors (one after the other) of the rows of each block."""
+    each = rows.groupBy(*by).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+    return each.select(*by, F.col("rows.id").alias("ids"), F.flatten("rows.v").alias("vectors"))
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", factor: int = 64) -> DataFrame:
@@ -107,17 +159,20 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
     blocks = F.coalesce(*[F.when(F.size("v") == n, F.lit(-(-c // BLOCK)).cast("long")) for n, (c, _) in sizes.items()], F.lit(1).cast("long"))
     parts = F.coalesce(*[F.when(F.size("v") == n, F.lit(max(1, -(-q // QUERIES)))) for n, (_, q) in sizes.items()], F.lit(1))
     place = F.xxhash64("id", F.monotonically_increasing_id())
-    index = rows.select("id", "v", F.size("v").alias("n"), F.pmod(place, blocks).alias("block")).groupBy("n", "block").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+    blocked = rows.select("id", "v", F.size("v").alias("n"), F.pmod(place, blocks).alias("block"))
     asked = rows.filter("q").select("id", "v").dropDuplicates(["id", "v"])
-    asked = asked.select("id", "v", F.size("v").alias("n"), F.pmod(F.xxhash64("id"), parts).alias("part"), blocks.alias("blocks")).groupBy("n", "part", "blocks").agg(F.collect_list(F.struct("id", "v")).alias("queries"))
+    asked = asked.select("id", "v", F.size("v").alias("n"), F.pmod(F.xxhash64("id"), parts).alias("part"), blocks.alias("blocks"))
+    asked = _gathered(asked, "n", "part", "blocks").withColumnsRenamed({"ids": "qids", "vectors": "queries"})
     asked = written(asked, "query_blocks").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    tasks = written(index, "index").join(asked, ["n", "block"]).select("rows", "queries").repartition(max(8, sum(-(-c // BLOCK) * -(-q // QUERIES) for c, q in sizes.values()) // 4))
+    tasks = written(index(blocked), "index").join(asked, ["n", "block"]).drop("block", "part", "blocks")
+    tasks = tasks.repartition(max(8, sum(-(-c // BLOCK) * -(-q // QUERIES) for c, q in sizes.values()) // 4))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for own, queries in zip(batch["rows"], batch["queries"]):
-                unpack = lambda x: (np.array([r["id"] for r in x], np.int64), np.array([r["v"] for r in x], np.int64))
-                yield pd.DataFrame(list(top_of_block(*unpack(queries), *unpack(own), k)), columns=["query_id", "vec_id", "score"], dtype="int64")
+            for r in batch.itertuples(index=False):
+                of = lambda ids, flat: (np.asarray(ids, np.int64), np.asarray(flat, np.int64).reshape(len(ids), r.n))  # noqa: E731, B023
+                postings = Postings((len(r.ids), r.n), r.quantum, r.slots, r.impacts, r.ends)
+                yield pd.DataFrame(list(top_of_block(*of(r.qids, r.queries), *of(r.ids, r.vectors), k, postings)), columns=["query_id", "vec_id", "score"], dtype="int64")
 
     found = tasks.mapInPandas(run, "query_id long, vec_id long, score long")
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))

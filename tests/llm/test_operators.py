@@ -232,6 +232,29 @@ def test_topk(spark):
     assert len(with_huge) == 20
 
 
+@pytest.mark.parametrize("scale", [1, 40, 3000, 10**6])
+def test_topk_stops_on_proof_only(scale):
+    """Members hold the best k with all ties, whatever the quantum, and processing stops before all rows are members."""
+    rng = np.random.default_rng(scale)
+    for spread in (0, 1.5):  # like components, and few that are much larger than the rest
+        vectors = np.floor(scale * rng.normal(size=(900, 24)) * rng.lognormal(0, spread, (900, 24))).astype(np.int64)
+        vectors[100:130] = vectors[7]
+        queries = np.vstack([vectors[:40], np.zeros((1, 24), np.int64)])
+        found = topk.Postings.of(vectors).members(queries.astype(np.float64), 21)
+        for q, rows in zip(queries, found):
+            s = vectors @ q
+            assert set(np.flatnonzero(s >= np.sort(s)[-21])) <= set(rows.tolist())
+        assert np.mean([len(x) for x in found[:-1]]) < 300
+        got = list(topk.top_of_block(np.arange(40), vectors[:40], np.arange(900), vectors, 20))
+        want = [(i, c, -s) for i in range(40) for s, c in sorted((-int(vectors[i] @ vectors[c]), c) for c in range(900) if c != i)[:20]]
+        assert got == want
+    # an id that many rows repeat, and components at the ends of longs
+    ids, same = np.repeat([5, 6, 7], [30, 40, 40]), np.vstack([np.full((30, 4), 9), np.ones((80, 4), np.int64)])
+    assert [x[1] for x in topk.top_of_block(np.array([5]), same[:1], ids, same, 20)] == [6] * 20
+    ends = np.array([[np.iinfo(np.int64).min, 1], [np.iinfo(np.int64).max, 1], [1, 1]])
+    assert [x[1] for x in topk.top_of_block(np.array([2]), ends[2:], np.arange(3), ends, 2)] == [1, 0]
+
+
 def test_quality(spark, odd):
     rng = random.Random(5)
     good = [(i, "\n".join(prose(rng, 15) + "." for _ in range(rng.randint(1, 6)))) for i in range(300)]
