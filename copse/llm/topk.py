@@ -20,14 +20,17 @@ from pyspark.sql import Window as W
 
 from copse.llm.common import table, written
 
-#: Vectors of a block, and queries of a block, about.
-BLOCK = 4096
-QUERIES = 1024
-#: Bits of an impact, and the segments by descending impact: each begins at so many 256ths of the largest.
+#: Vectors of a block, and queries of a block, about; fewer of long vectors, so that a block has so many components.
+BLOCK = QUERIES = 4096
+COMPONENTS = 1 << 18
+#: Bits of an impact, and the segments by descending impact: each ends with the last impact that so large a share of the
+#: postings reaches (equal impacts are never parted). Nothing can be proven much before half of them are met.
 BITS = 14
-SEGMENTS = (128, 96, 64, 48, 32, 20, 12, 6, 0)
+SEGMENTS = (0.5, 0.75, 0.9, 1.0)
 #: Scores held at a time (queries times vectors).
 SCORES = 1 << 20
+#: Queries that are asked first whether a proof is near.
+PROBE = 8
 
 
 def quantised(vector: Column, factor: int = 64) -> Column:
@@ -53,8 +56,7 @@ class Postings:
         slots = np.argsort(-size, kind="stable")
         size = size[slots]
         impacts = np.where(flat[slots] < 0, -size, size)
-        scale = int(size.max(initial=0)) + 1
-        ends = np.searchsorted(-size, [-(x * scale // 256) for x in SEGMENTS], side="right")
+        ends = np.searchsorted(-size, [-size[max(0, int(x * len(size)) - 1)] for x in SEGMENTS], side="right")
         return cls(vectors.shape, quantum, slots.astype(np.int32), impacts.astype(np.int16), ends.astype(np.int32))
 
     def members(self, queries: np.ndarray, k: int) -> list[np.ndarray]:
@@ -79,20 +81,25 @@ class Postings:
             score += queries @ values.reshape(n, dims).T
             met += sizes @ there.reshape(n, dims).T
             begin = end
-            if 2 * end < n * dims:
-                continue  # less than half of all components is met: no proof to be had yet
             last = end == n * dims
             most = self.quantum * (int(abs(self.impacts[end])) + 1) - 1 if not last else 0  # of a component not yet met
             # postings of impact 0 are off by up to a quantum less one, others by half of that
             width = (2 * slack if self.impacts[end - 1] == 0 else slack) * met + most * (all_of - met)
-            bound = np.partition(score - width, n - k, axis=1)[:, n - k]  # k vectors surely reach it
-            hits = score + width >= bound[:, None]
+            if not last and _hits(score[:PROBE], width[:PROBE], k).sum() > 4 * k * PROBE:
+                continue  # a few queries tell that it is too early for the others
+            hits = _hits(score, width, k)
             if last or hits.sum() <= 2 * k * len(queries):
                 break
         rows, cols = np.nonzero(hits)
         return np.split(cols, np.searchsorted(rows, np.arange(1, len(queries))))
 
 
+def _hits(score: np.ndarray, width: np.ndarray, k: int) -> np.ndarray:
+    """Which scores can be among the ``k`` best of their row, each being off by its width at most."""
+    at = score.shape[1] - k
+    return score + width >= np.partition(score - width, at, axis=1)[:, at, None]  # k scores surely reach that
+
+
 def _exact(queries: np.ndarray, vectors: np.ndarray) -> bool:
     """Whether doubles hold every sum of products, and its bounds in halves, exactly."""
     largest = lambda x: max(abs(int(x.max(initial=0))), abs(int(x.min(initial=0))))
@@ -156,8 +163,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
     sizes = {r["n"]: (r["c"], r["q"]) for r in rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c"), F.count_if("q").alias("q")).orderBy(F.desc("c")).limit(1000).collect()}
     if len(sizes) == 1000:
         raise ValueError("vectors of a thousand or more different lengths")
-    blocks = F.coalesce(*[F.when(F.size("v") == n, F.lit(-(-c // BLOCK)).cast("long")) for n, (c, _) in sizes.items()], F.lit(1).cast("long"))
-    parts = F.coalesce(*[F.when(F.size("v") == n, F.lit(max(1, -(-q // QUERIES)))) for n, (_, q) in sizes.items()], F.lit(1))
+    dealt = {n: (-(-c // min(BLOCK, max(64, COMPONENTS // n))), max(1, -(-q // min(QUERIES, max(64, COMPONENTS // n))))) for n, (c, q) in sizes.items()}
+    blocks = F.coalesce(*[F.when(F.size("v") == n, F.lit(b).cast("long")) for n, (b, _) in dealt.items()], F.lit(1).cast("long"))
+    parts = F.coalesce(*[F.when(F.size("v") == n, F.lit(p)) for n, (_, p) in dealt.items()], F.lit(1))
     place = F.xxhash64("id", F.monotonically_increasing_id())
     blocked = rows.select("id", "v", F.size("v").alias("n"), F.pmod(place, blocks).alias("block"))
     asked = rows.filter("q").select("id", "v").dropDuplicates(["id", "v"])
@@ -165,7 +173,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
     asked = _gathered(asked, "n", "part", "blocks").withColumnsRenamed({"ids": "qids", "vectors": "queries"})
     asked = written(asked, "query_blocks").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     tasks = written(index(blocked), "index").join(asked, ["n", "block"]).drop("block", "part", "blocks")
-    tasks = tasks.repartition(max(8, sum(-(-c // BLOCK) * -(-q // QUERIES) for c, q in sizes.values()) // 4))
+    tasks = tasks.repartition(max(16, sum(b * p for b, p in dealt.values()) // 4))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
