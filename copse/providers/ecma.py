@@ -1,4 +1,4 @@
-"""JavaScript and TypeScript: a subset grammar (no JSX)."""
+"""JavaScript with JSX and TypeScript: a subset grammar."""
 
 from __future__ import annotations
 
@@ -12,6 +12,15 @@ ASSIGN = ("=", "+=", "-=", "*=", "/=", "%=", "**=", "<<=", ">>=", ">>>=", "&=",
 BEFORE_REGEX = frozenset("return typeof case in of delete void throw new else do instanceof yield await".split())
 MODIFIERS = ("public", "private", "protected", "static", "readonly", "abstract", "override", "async", "get", "set", "accessor", "declare")
 REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/\w*")
+#: JSX: what begins an element, names of elements and attributes, white space and comments between these.
+JSX_START = re.compile(r"<(?:[^\W\d]|[$>])")
+JSX_NAME = re.compile(r"[^\W\d][\w$.:-]*|\$[\w$.:-]*")
+JSX_CLOSE = re.compile(r"</\s*([\w$.:-]*)\s*>")
+JSX_TEXT = re.compile(r"[^<{]+")
+#: After so many elements without an end a text has no JSX: each costs a pass over the rest of the text.
+UNCLOSED = 100
+TEMPLATE_END = re.compile(r"`|\$\{|\\.", re.S)
+JSX_SPACE = re.compile(r"(?:\s+|/\*.*?\*/|//[^\n]*\n)*", re.S)
 
 
 class Ecma(Parser):
@@ -22,8 +31,22 @@ class Ecma(Parser):
     binary = frozenset("+ - * / % ** == != === !== < > <= >= && || ?? & | ^ <<".split())
     typed = False
 
+    def __init__(self, text: str) -> None:
+        self.elements: dict[int, Node] = {}  # JSX and templates by start: each is one token
+        self.unclosed = 0
+        super().__init__(text)
+
     def token_end(self, found: re.Match) -> int:
-        """Templates end at their own back tick: those in ``${}`` are inside."""
+        """Templates end at their own back tick, those in ``${}`` are inside; JSX elements end with their closing tag."""
+        if not self.typed and found[0] == "<" and self.unclosed < UNCLOSED and self.before_operand() and JSX_START.match(self.text, found.start()):
+            tokens, n, i, last = self.tokens, len(self.comments), self.i, self.last
+            try:
+                self.elements[found.start()] = node = self.element_of_jsx(found.start())
+                return node.end
+            except (Bad, RecursionError):  # a comparison after all
+                self.tokens, self.i, self.last = tokens, i, last
+                del self.comments[n:]
+                self.unclosed += 1
         if found.lastgroup == "op" and found[0] in ("/", "/="):
             last = self.tokens[-1] if self.tokens else None
             if last is None or last.text in BEFORE_REGEX or (last.kind == "op" and last.text not in (")", "]", "}")):
@@ -31,27 +54,105 @@ class Ecma(Parser):
                     return regex.end()
         if found.lastgroup != "template":
             return found.end()
-        i, depth = found.end(), []
-        while i < len(self.text):
-            c = self.text[i]
-            if c == "\\":
-                i += 1
-            elif c == "`":
-                if not depth or depth[-1] == "{":
-                    if not depth:
-                        return i + 1
-                    depth.append("`")
-                else:
-                    depth.pop()
-            elif self.text.startswith("${", i) and (not depth or depth[-1] == "`"):
-                depth.append("{")
-                i += 1
-            elif c == "{" and depth and depth[-1] == "{":
-                depth.append("{")
-            elif c == "}" and depth and depth[-1] == "{":
-                depth.pop()
-            i += 1
-        return len(self.text)
+        tokens, n, i, last = self.tokens, len(self.comments), self.i, self.last
+        try:
+            self.elements[found.start()] = node = self.template(found.start())
+            return node.end
+        except (Bad, RecursionError):  # the rest of the text: no statement can end there
+            self.tokens, self.i, self.last = tokens, i, last
+            del self.comments[n:]
+            return len(self.text)
+
+    def template(self, start: int) -> Node:
+        i, parts = start + 1, []
+        while (found := TEMPLATE_END.search(self.text, i)) and found[0] != "`":
+            if found[0] == "${":
+                parts.append(self.braces(found.start() + 1))
+                parts[-1].type, parts[-1].start = "template_substitution", found.start()
+            i = parts[-1].end if found[0] == "${" else found.end()
+        if not found:
+            raise Bad
+        return Node("template_string", start, found.end(), parts)
+
+    def before_operand(self) -> bool:
+        last = self.tokens[-1] if self.tokens else None
+        if last is None or last.text in BEFORE_REGEX or last.text == "default":
+            return True
+        return last.kind == "op" and last.text not in (")", "]", "}", "++", "--") and not (len(last.text) > 1 and (last.text[0] == "/" != last.text[-1] or last.start in self.elements))
+
+    # JSX: read by character, as its text follows no rule of tokens; what is in braces is
+    def element_of_jsx(self, start: int) -> Node:
+        text, space = self.text, lambda i: JSX_SPACE.match(text, i).end()
+        tag, i = JSX_NAME.match(text, space(start + 1)), space(start + 1)
+        kids = [self.tag_name(tag.start(), tag.end())] if tag else []
+        i = space(tag.end() if tag else i)
+        while text[i : i + 1] != ">":
+            if tag and text.startswith("/>", i):
+                return Node("jsx_self_closing_element", start, i + 2, kids)
+            if not tag or not (text[i : i + 1] == "{" or JSX_NAME.match(text, i)):
+                raise Bad
+            kids.append(self.braces(i) if text[i] == "{" else self.attribute(i, space))
+            i = space(kids[-1].end)
+        i += 1
+        children = [Node("jsx_opening_element", start, i, kids, "open_tag")]
+        while not text.startswith("</", i):
+            if i >= len(text):
+                raise Bad
+            if text[i] == "<":
+                children.append(self.element_of_jsx(i))
+            else:
+                children.append(self.braces(i) if text[i] == "{" else Node("jsx_text", i, JSX_TEXT.match(text, i).end()))
+            i = children[-1].end
+        close = JSX_CLOSE.match(text, i)
+        if not close or close[1] != (tag[0] if tag else ""):
+            raise Bad
+        name = [self.tag_name(*close.span(1))] if tag else []
+        return Node("jsx_element", start, close.end(), [*children, Node("jsx_closing_element", i, close.end(), name, "close_tag")])
+
+    def element_at(self, role: str) -> Node:
+        t = self.take()
+        node = self.elements.get(t.start)
+        if node is None or node.end != t.end:  # a template without an end, or one that was given up
+            raise Bad
+        return as_role(node, role)
+
+    def tag_name(self, start: int, end: int) -> Node:
+        name = self.text[start:end]
+        return Node("jsx_namespace_name" if ":" in name else "member_expression" if "." in name else "identifier", start, end, (), "name")
+
+    def attribute(self, i: int, space) -> Node:
+        name = JSX_NAME.match(self.text, i)
+        key, j = Node("property_identifier", i, name.end()), space(name.end())
+        if self.text[j : j + 1] != "=":
+            return Node("jsx_attribute", i, name.end(), [key])
+        j = space(j + 1)
+        c = self.text[j : j + 1]
+        if c in ("'", '"') and c:
+            if (end := self.text.find(c, j + 1)) < 0:
+                raise Bad
+            value = Node("string", j, end + 1)
+        elif c == "{":
+            value = self.braces(j)
+        elif c == "<":
+            value = self.element_of_jsx(j)
+        else:
+            raise Bad
+        return Node("jsx_attribute", i, value.end, [key, value])
+
+    def braces(self, start: int) -> Node:
+        """An expression, or only comments, in braces: read by a run of the lexer and the parser of its own."""
+        outer, i, last = self.tokens, self.i, self.last
+        self.tokens, self.i = [], 0
+        try:
+            end = self.lex(start + 1, "}")
+            if end >= len(self.text):
+                raise Bad
+            inner = self.trying(self.expression) if self.tokens else None
+            if self.tokens and (inner is None or self.at().kind != "end"):
+                inner = Node("ERROR", self.tokens[0].start, self.tokens[-1].end)
+            return Node("jsx_expression", start, end + 1, [inner])
+        finally:
+            self.tokens, self.i, self.last = outer, i, last
 
     binary_words = ("in", "instanceof")
 
@@ -447,8 +548,10 @@ class Ecma(Parser):
 
     def primary(self) -> Node:
         t = self.at()
-        if t.kind in ("num", "str", "template"):
-            return self.leaf({"num": "number", "str": "string", "template": "template_string"}[t.kind])
+        if t.kind in ("num", "str"):
+            return self.leaf("number" if t.kind == "num" else "string")
+        if t.kind == "template" or t.kind == "op" and t.start in self.elements:
+            return self.element_at("")
         if t.kind == "op" and t.text.startswith("/"):
             return self.leaf("regex")
         if found := self.arrow(t.start):
@@ -518,7 +621,7 @@ class Ecma(Parser):
                 self.need("]")
                 left = self.make("subscript_expression", left.start, left, inner)
             elif t.kind == "template":
-                left = self.make("call_expression", left.start, as_role(left, "function"), self.leaf("template_string", "arguments"))
+                left = self.make("call_expression", left.start, as_role(left, "function"), self.element_at("arguments"))
             elif t.text in ("++", "--") and t.kind == "op" and not t.fresh:
                 self.take()
                 left = self.make("update_expression", left.start, left)

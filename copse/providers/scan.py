@@ -36,11 +36,12 @@ class Parser:
 
     def __init__(self, text: str) -> None:
         self.text, self.tokens, self.comments, self.i, self.last = text, [], [], 0, 0
-        self.lex()
         self.end_token = Token("end", "", len(text), len(text), True)
+        self.lex()
 
-    def lex(self) -> None:
-        at, fresh = 0, True
+    def lex(self, at: int = 0, close: str = "") -> int:
+        """Tokens from ``at`` to the end or, if ``close`` is given, to a bracket that none of them opens: where that is."""
+        depth, fresh = 0, True
         while at < len(self.text):
             found = self.lexer.match(self.text, at)
             if not found:
@@ -54,9 +55,15 @@ class Parser:
                 self.comments.append(Node("comment", at, end))
                 fresh = fresh or "\n" in self.text[at:end]
             else:
-                self.tokens.append(Token(kind, self.text[at:end], at, end, fresh))
+                text = self.text[at:end]
+                if close and kind == "op":
+                    depth += (text in CLOSERS) - (text in (")", "]", "}"))
+                    if depth < 0:
+                        return at if text == close else len(self.text)
+                self.tokens.append(Token(kind, text, at, end, fresh))
                 fresh = False
             at = end
+        return at
 
     def token_end(self, found: re.Match) -> int:
         return found.end()

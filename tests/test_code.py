@@ -33,6 +33,10 @@ CODE = {
                  "[$p, $q] = pair();\n$f = function ($z) { return $z; };\n",
     },
 }
+JSX = (
+    "export default function App({ items }) {\n  if (n < 1 && i++ < n) return null;\n  return (\n    <Box.Outer title=\"it's\" {...rest()} onClick={() => press(1)}>\n      Don't {/* note */} call(this) {n > 1 ? <b>{format(n)}</b> : '}'}\n"
+    "      <>{items.map(x => <Row key={x.id} v={`t${id(x)}`} re={/}>/.test(x)} />)}</>\n    </Box.Outer>\n  );\n}\nfunction plain() { return a < b > c; }\n"
+)
 CASES = [
     ("go", "func:* > call:os.Getenv", ["Load"]), ("go", "struct:* > field:Secret string", ["User"]), ("go", "def:Load", []), ("go", "return:*", ["anonymous"]), ("go", "var:beta", ["beta"]),
     ("go", "struct:*", ["Other", "User"]), ("go", "iface:*", ["Reader"]), ("go", "import:*", ["os"]), ("go", "func:* & import:os", []), ("go", "var:x", ["x"]), ("go", "assign:*", ["x"]), ("go", "var:x > call:run", []),
@@ -81,7 +85,7 @@ def test_captures_and_kinds(elements):
 def test_trees_nest_and_cover(language):
     """Children lie inside their parents, numbers follow the order of spans, and spans of bytes cut the text itself."""
     parse_, module = files.parser(language)
-    for text in [*CODE[language].values(), "", "\n", "é", "}{)(", "a = (", "x" * 10_000, "(" * 5_000, 'class { "', "func f( {", "<?php function f( {"]:
+    for text in [*CODE[language].values(), JSX, "", "\n", "é", "}{)(", "a = (", "x" * 10_000, "(" * 5_000, 'class { "', "func f( {", "<?php function f( {"]:
         root = parse_(text)
         for n in numbered(root):
             assert 0 <= n.start <= n.end <= len(text) and n.pre <= n.last
@@ -91,6 +95,22 @@ def test_trees_nest_and_cover(language):
             assert text.encode()[r["start_byte"] : r["end_byte"]].decode() == r["text"]
 
 
+def test_jsx(spark):
+    """Elements are parts of expressions: what is in braces is code, the text around it is not; comparisons stay such."""
+    e = files.parsed(files.inline(spark, "javascript", a=JSX, flat="if (a <b && c> d) { go(x); }\n", bad="const x = <p>{f(}</p>;\n"))
+    assert [r["doc"] for r in files.rejects(e).collect()] == ["bad"]
+    names = lambda q: sorted(r["name"] for r in files.select(e, parse(q)).filter("doc <> 'flat'").select("name").collect())
+    assert names("func:* > call:format") == ["App"] and names("func:plain > call:*") == []
+    assert names("call:*") == sorted(["rest", "press", "format", "items.map", "id", "/}>/.test"])
+    assert [r["name"] for r in files.select(e, parse("call:go")).collect()] == ["go"]
+    nodes = {r["node_type"]: r["n"] for r in e.filter("doc = 'a' and is_node").groupBy("node_type").agg(F.count("*").alias("n")).collect()}
+    assert (nodes["jsx_element"], nodes["jsx_self_closing_element"], nodes["jsx_attribute"]) == (3, 1, 5) and nodes["comment"] == 1
+    nested = files.forest(files.parsed(files.inline(spark, "typescript", a="function f() { return `a${g(`b${h(1)}`)}}` + tag`${x as T}`; }\nconst { q } = { q: `\\`${k()}` };\n")), "typescript")
+    assert sorted(r["name"] for r in nested.select(parse("call:*")).select("name").collect()) == ["g", "h", "k", "tag"]
+    root = files.parser("javascript")[0]("x = " + "<b>" * 5_000 + "f(1)" + "</b>" * 5_000 + "; f(" + "<a " * 5_000)
+    assert any(n.type == "ERROR" for n in numbered(root))
+
+
 def test_errors(spark):
     docs = files.inline(spark, "python", bad="def f(:\n", good="x = 1\n").unionByName(files.inline(spark, "go", worse="package a\nfunc f( {\n"))
     e = files.parsed(docs)
