@@ -44,30 +44,34 @@ def _repeated_words(of: Column) -> Column:
     """Words covered by windows of three words found twice or more in the text.
 
     Each window becomes one long: its hash in the high bits, its place in as many low bits as the text needs. Sorted
-    longs bring equal windows together (a primitive sort), and their places, sorted again, give the covered words.
+    longs bring equal windows together (a primitive sort); those next to each other with equal hashes are compared word
+    by word, so that a long text, whose places leave few bits for hashes, has no window counted that is not repeated. A
+    repeated one would be missed only if a third window with the same hash lay between its two places. The places, sorted
+    again, give the covered words.
     """
+    shifted = lambda name, x, s: F.call_function(f"shift{name}", x, s)
 
-    def count(w: Column, n: Column) -> Column:
-        shift = F.length(F.conv(n.cast("string"), 10, 2))  # bits that hold every place
-        pack = lambda x, i: F.call_function("shiftleft", F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)), s).bitwiseOR(i.cast("long"))
+    def flagged(w: Column, sorted_: Column, s: Column) -> Column:
+        place = lambda x: x.bitwiseAND(shifted("left", F.lit(1).cast("long"), s) - 1)
+        word = lambda x, k: F.get(w, place(x).cast("int") + k)
 
-        def flagged(sorted_: Column, s: Column) -> Column:
-            same = lambda x, j: F.call_function("shiftright", x, s) == F.call_function("shiftright", F.get(sorted_, j), s)
-            hit = F.filter(sorted_, lambda x, i: F.coalesce(same(x, i + 1), F.lit(False)) | ((i > 0) & F.coalesce(same(x, i - 1), F.lit(False))))
-            places = F.sort_array(F.transform(hit, lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), s) - 1)))
-            gaps = lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(p, i + 1) - x, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda a, x: a + x)
-            return let(places, gaps)
+        def same(x: Column, y: Column) -> Column:
+            equal = shifted("right", x, s) == shifted("right", y, s)
+            for k in range(3):
+                equal = equal & (word(x, k) == word(y, k))
+            return F.coalesce(equal, F.lit(False))
 
-        def after(s_: Column) -> Column:
-            nonlocal s
-            s = s_
-            return let(F.sort_array(F.transform(F.slice(w, F.lit(1), n - 2), pack)), lambda a: flagged(a, s_))
+        hit = F.filter(sorted_, lambda x, i: same(x, F.get(sorted_, i + 1)) | same(x, F.get(sorted_, i - 1)))
+        three = F.lit(3).cast("long")
+        gaps = lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(three, F.coalesce(F.get(p, i + 1) - x, three))), F.lit(0).cast("long"), lambda a, x: a + x)
+        return let(F.sort_array(F.transform(hit, place)), gaps)
 
-        s = shift
-        return let(shift, after)
+    def count(w: Column, n: Column, s: Column) -> Column:
+        pack = lambda x, i: shifted("left", F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)), s).bitwiseOR(i.cast("long"))
+        return let(F.sort_array(F.transform(F.slice(w, F.lit(1), n - 2), pack)), lambda a: flagged(w, a, s))
 
-    n = F.size(of)
-    return F.when(n < 4, F.lit(0).cast("long")).otherwise(let(of, lambda w: let(F.size(w), lambda k: count(w, k))))
+    bits = lambda n: F.length(F.conv(n.cast("string"), 10, 2))  # noqa: E731  # that hold every place
+    return F.when(F.size(of) < 4, F.lit(0).cast("long")).otherwise(let(of, lambda w: let(F.size(w), lambda n: let(bits(n), lambda s: count(w, n, s)))))
 
 
 def ledger(docs: DataFrame, limits: Limits = Limits(), text: str = "text") -> DataFrame:

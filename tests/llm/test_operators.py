@@ -48,6 +48,23 @@ def test_rules(odd):
     assert {r.rule for r in n} == set(rules.POLICIES["web-1"]) and all(r.n_kept <= r.n_kept_without for r in n)
 
 
+def test_repeated_words_against_brute_force(spark):
+    """Short texts of few words, and long ones whose places leave few bits for hashes."""
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 12))) for _ in range(200)]
+    texts += [" ".join(str(rng.randint(0, 150)) for _ in range(3000)), " ".join(map(str, range(500_000))), "x y z " * 30_000]
+
+    def brute(text):
+        w, seen = text.split(), {}
+        for i in range(len(w) - 2):
+            seen.setdefault(tuple(w[i : i + 3]), []).append(i)
+        return len({i + k for v in seen.values() if len(v) > 1 for i in v for k in range(3)})
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.n_repeat_words for r in rules.ledger(df).collect()}
+    assert [got[i] for i in range(len(texts))] == [brute(t) for t in texts]
+
+
 def test_rules_empty(spark):
     assert rules.apply_policy(rules.ledger(spark.createDataFrame([], DOCS))).count() == 0
 
