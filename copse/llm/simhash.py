@@ -10,11 +10,15 @@ slot, and no pair is lost. Every match is verified by its complete distance.
 
 Equal fingerprints are one row from the start, and components are found by alternating large-star and small-star steps
 over tables in the shared folder; nothing but a count reaches the driver.
+
+``similar`` links texts by the Jaccard similarity of their shingles instead, for stages that remove near-duplicates: what
+two bits link is practically exact copies only.
 """
 
 from __future__ import annotations
 
 import re
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -22,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from copse.llm.common import fresh, table, written
 
@@ -29,19 +34,24 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
+def _spans(text: str | None, size: int) -> tuple[bytes, list[int], list[int]]:
+    """The words of a text, A-Z lower-cased, with one space between them, and where its shingles start and end."""
+    data = b" ".join(_WORD.findall((text or "").encode().translate(_LOWER)))
+    ends = np.append(np.flatnonzero(np.frombuffer(data, np.uint8) == 32), len(data))
+    starts = np.append(0, ends[:-1] + 1)
+    n = max(1, len(ends) - size + 1)
+    return data, starts[:n].tolist(), ends[-n:].tolist()
+
+
 def fingerprint(text: str | None, size: int = 3, chunk: int = 1 << 16) -> int:
     """SimHash of the ``size``-word shingles of a whole text, A-Z lower-cased; 0 without words.
 
     Each shingle counts as often as it occurs; a bit is set if it is set in over half of their XXH64 (seed 42).
     """
-    data = b" ".join(_WORD.findall((text or "").encode().translate(_LOWER)))
+    data, starts, ends = _spans(text, size)
     if not data:
         return 0
-    ends = np.append(np.flatnonzero(np.frombuffer(data, np.uint8) == 32), len(data))
-    starts = np.append(0, ends[:-1] + 1)
-    n = max(1, len(ends) - size + 1)
-    starts, ends = starts[:n].tolist(), ends[-n:].tolist()
-    total, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    n, total, digest = len(starts), np.zeros(64, np.int64), xxhash.xxh64_intdigest
     for i in range(0, n, chunk):
         h = np.array([digest(data[a:b], 42) for a, b in zip(starts[i : i + chunk], ends[i : i + chunk])], np.uint64)
         total += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
@@ -132,13 +142,118 @@ def grouped(docs: DataFrame, distance: int = 2, size: int = 3, key: str = "doc_i
     return out.select(*kept, F.lower(F.lpad(F.hex(fp), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, distance: int = 2, size: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+def shingles(text: str | None, size: int = 5) -> np.ndarray:
+    """XXH64 (seed 42) of the distinct ``size``-word shingles of a whole text, ascending; without words that of nothing."""
+    data, starts, ends = _spans(text, size)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(data[a:b], 42) for a, b in zip(starts, ends)], np.uint64))
+
+
+def _overlap(n: int, t: Fraction) -> int:
+    """Shingles that a set of ``n`` has in common with any other of similarity ``t`` or more, at least (rounded up)."""
+    return -(-n * t.numerator // t.denominator)
+
+
+def _spare(n: int) -> int:
+    return 1 + n // 10
+
+
+def head(n: int, t: Fraction) -> int:
+    """How many of its smallest hashes a set of ``n`` has in its head. As ``n - _overlap`` hashes at most are missing in a
+    similar set, the heads of both share ``_spare`` of the smaller size, at least."""
+    return n - _overlap(n, t) + _spare(n)
+
+
+def tries(n: int, t: Fraction) -> int:
+    """How many of its head, the rarest first, a set tries: one of them at least is tried by each similar set, too. A
+    similar set has ``_overlap`` hashes or more, so that both heads share ``_spare`` of that."""
+    return head(n, t) - _spare(_overlap(n, t)) + 1
+
+
+def similar(docs: DataFrame, similarity: float = 0.8, size: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """id (the key), set_id (of the text's set of shingles) and component_id of every row of ``docs`` with a key: rows are
+    linked if the Jaccard similarity of their sets of ``size``-word shingles is ``similarity`` (0.5 to 1) or more, and
+    component_id is the smallest key reachable. Texts without words are equal.
+
+    Prefix filtering, which loses no pair: each set's smallest hashes (``head``) are counted over all sets, those that are
+    in no other head are left, and of the others each set tries its rarest (``tries``), so that a passage that many texts
+    share does not bring them together unless they have little else. Sets that try the same hash are candidates, verified
+    with their whole sets: each with one set in the middle first (four different ones over all hashes), then all that are
+    in different components by then. A large group of near copies so has pairs in proportion to its size.
+    """
+    t = Fraction(str(similarity))
+    if not Fraction(1, 2) <= t <= 1:
+        raise ValueError("similarity must be from 0.5 to 1")
+    up, down = t.numerator, t.denominator
+    digests = lambda sets: np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+
+    @F.pandas_udf("set_id long, n long, vain long, head array<long>")
+    def sketch(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingles(x, size) for x in texts]
+        heads = [s[: head(len(s), t)].view(np.int64) for s in sets]
+        return pd.DataFrame({"set_id": digests(sets), "n": [len(s) for s in sets], "vain": [len(s) - tries(len(w), t) for s, w in zip(heads, sets)], "head": heads})
+
+    @F.pandas_udf("set_id long, hashes array<long>")
+    def complete(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingles(x, size) for x in texts]
+        return pd.DataFrame({"set_id": digests(sets), "hashes": [s.view(np.int64) for s in sets]})
+
+    @F.pandas_udf(T.LongType())
+    def common(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b)], dtype="int64")
+
+    keyed = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("id is not null")
+    rows = written(keyed.select("id", sketch("text").alias("s")).select("id", "s.*"), "sets")
+    least = written(rows.groupBy("set_id").agg(F.min("id").alias("first")), "least")  # one row for each distinct set
+    once = rows.join(least.select("set_id", F.col("first").alias("id")), ["set_id", "id"], "left_semi").dropDuplicates(["set_id", "id"])
+    heads = once.select("set_id", "n", "vain", F.size("head").alias("size"), F.explode("head").alias("h"))
+    held = heads.withColumn("held", F.count("*").over(W.partitionBy("h"))).filter("held > 1")
+    rare = held.groupBy("set_id", "n", "vain", "size").agg(F.sort_array(F.collect_list(F.struct("held", "h"))).alias("hs"))
+    # those of no other head are the rarest and are tried in vain
+    probes = rare.select("set_id", "n", F.explode(F.slice("hs", F.lit(1), F.greatest(F.lit(0), (F.size("hs") - F.col("vain")).cast("int")))).alias("p"))
+    probes = written(probes.select(F.col("p.h").alias("h"), "set_id", "n"), "probes")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """Of ``pairs`` (a, b, n_a, n_b) those that are similar."""
+        fits = up * F.greatest("n_a", "n_b") <= down * F.least("n_a", "n_b")
+        pairs = written(pairs.filter(fits).select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n")).distinct(), f"{name}_candidates")
+        ids = written(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct(), f"{name}_ids")
+        keys = least.join(ids, "set_id", "left_semi").select(F.col("first").alias("id")).distinct()
+        sets = keyed.join(keys, "id", "left_semi").select(complete("text").alias("s")).select("s.*")
+        sets = written(sets.join(ids, "set_id", "left_semi").dropDuplicates(["set_id"]), f"{name}_sets")
+        for x in ("a", "b"):
+            pairs = pairs.join(sets.select(F.col("set_id").alias(x), F.col("hashes").alias(f"of_{x}")).hint("merge"), x)
+        return written(pairs.filter((up + down) * common("of_a", "of_b") >= up * F.col("n")).select("a", "b"), name)
+
+    middle = probes.groupBy("h").agg(F.min(F.struct(F.xxhash64("set_id", F.pmod("h", F.lit(4))).alias("r"), "set_id", "n")).alias("m"))
+    stars = probes.join(middle, "h").filter("m.set_id <> set_id").select(F.least("set_id", "m.set_id").alias("a"), F.greatest("set_id", "m.set_id").alias("b"), F.col("n").alias("n_a"), F.col("m.n").alias("n_b"))
+    near = verified(stars, "near")
+    roots = components(near).withColumnsRenamed({"node": "set_id"})
+    placed = written(probes.join(roots, "set_id", "left").select("h", "set_id", "n", F.coalesce("root", "set_id").alias("root")), "placed")
+    apart = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("h")
+    apart = written(placed.join(apart, "h", "left_semi"), "apart")
+    side = lambda x: apart.select("h", F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("root").alias(f"root_{x}"))
+    fits = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & (up * F.greatest("n_a", "n_b") <= down * F.least("n_a", "n_b"))
+    edges = near.union(verified(side("a").join(side("b"), "h").filter(fits), "far"))
+    roots = components(edges).withColumnsRenamed({"node": "set_id"})
+    of = written(least.join(roots, "set_id", "left").select("set_id", "first", F.coalesce("root", "set_id").alias("root")), "roots")
+    ids_of = of.groupBy("root").agg(F.min("first").alias("component_id"))
+    classes = written(of.join(ids_of, "root").select("set_id", "component_id"), "classes")
+    return rows.select("id", "set_id").join(classes, "set_id").select("id", "set_id", "component_id")
+
+
+def deduplicated(docs: DataFrame, distance: int = 2, size: int | None = None, key: str = "doc_id", text: str = "text", similarity: float | None = None) -> DataFrame:
     """One row of each component: that with the smallest key (of rows with equal keys and equal texts, one).
 
+    Components are those of ``grouped`` at ``distance`` (of ``size`` 3 if not given) or, where ``similarity`` is given,
+    those of ``similar`` (of ``size`` 5 if not given).
     Rows of a component that repeat its smallest key are all kept if their texts differ. Rows with a null key can't be told
     apart and are all kept.
     """
-    ids = grouped(docs, distance, size, key, text, [key]).drop("fingerprint")
+    if similarity is None:
+        ids = grouped(docs, distance, size or 3, key, text, [key]).drop("fingerprint")
+    else:
+        ids = similar(docs, similarity, size or 5, key, text).select(F.col("id").alias(key), "component_id")
     keep = ids.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("kept_key")).distinct()
     kept = docs.join(keep.hint("merge"), F.col(key) == F.col("kept_key")).drop("kept_key").dropDuplicates([key, text])
     return kept.unionByName(docs.filter(F.col(key).isNull()))

@@ -129,6 +129,32 @@ def test_simhash_of_one_large_group(spark):
     assert {r.root for r in simhash.components(chain).collect()} == {0}
 
 
+def test_similar_against_brute_force(spark):
+    """All pairs of similarity 0.8 or more are linked, chains too; texts with a common passage and little else are not."""
+    rng = random.Random(8)
+    passage, rows = prose(rng, 60), [(1, None), (2, ""), (3, " \n"), (4, "One two"), (5, "one TWO"), (6, "a b c d e f g h"), (7, "a b c d e f g h i")]
+    for _ in range(25):
+        base = prose(rng, rng.choice([12, 60, 200, 500])).split()
+        for rate in (0, 0.005, 0.01, 0.02, 0.02, 0.03, 0.04):
+            rows.append((len(rows) + 10, " ".join(w if rng.random() >= rate else f"new{rng.random()}" for w in base)))
+    rows += [(1000 + i, f"{passage} {prose(rng, 12)}") for i in range(30)]
+    sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for k, w in ((k, (t or "").lower().split()) for k, t in rows)}
+    root, n_far = {k: k for k in sets}, 0
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                bits = simhash.fingerprint(dict(rows)[a]) ^ simhash.fingerprint(dict(rows)[b])
+                n_far += (bits & (1 << 64) - 1).bit_count() > 2
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert n_far > 20 and {r.id: r.component_id for r in simhash.similar(docs).collect()} == root
+    import corpus_pipeline
+
+    docs = docs.union(spark.createDataFrame([(None, "no key"), (None, "no key")], docs.schema))
+    assert sorted((r.doc_id or 0) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == sorted([0, 0, *set(root.values())])
+
+
 def test_line_dedup(odd):
     docs = odd.filter("doc_id is not null and doc_id <> 4")
     want = linededup.brute_force([(r.doc_id, r.text) for r in docs.collect()])
