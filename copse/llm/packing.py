@@ -52,16 +52,20 @@ def _encoders(name: str):
 
 
 _RUNS = re.compile(r"\s\s|\s\Z")
+_SPACES = re.compile(r"\s+")
+#: Longer runs of white space go to the tokenizer itself: tiktoken gives up on one of about a million.
+LONG_RUN = 100_000
 
 
 def token_ids(text: str | None, name: str = "byte_bpe_50k") -> np.ndarray:
     """Ids of a whole text as the tokenizer of the library ``tokenizers`` gives them, without special tokens added.
 
-    Texts that hold a special token's string go to that tokenizer itself; others are encoded from the same ranks.
+    Texts that hold a special token's string or a long run of white space go to that tokenizer itself; others are encoded
+    from the same ranks.
     """
     slow, full, plain, special = _encoders(name)
     text = text or ""
-    if any(s in text for s in special):
+    if any(s in text for s in special) or (len(text) > LONG_RUN and any(m.end() - m.start() > LONG_RUN for m in _SPACES.finditer(text))):
         ids = slow.encode(text, add_special_tokens=False).ids
     else:
         ids = (full if _RUNS.search(text) else plain).encode_ordinary(text)

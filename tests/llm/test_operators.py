@@ -223,6 +223,12 @@ def test_tokens_equal_the_tokenizer():
         assert packing.token_ids(t).tolist() == slow.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_tokens_of_long_white_space():
+    """tiktoken alone gives up on such a run."""
+    ids = packing.token_ids("a" + " " * 1_100_000 + "b\n")
+    assert packing._encoders("byte_bpe_50k")[0].decode(ids.tolist()) == "a" + " " * 1_100_000 + "b\n"
+
+
 def test_packing(odd):
     out = packing.packed(packing.pieces(odd)).collect()
     by = {}
