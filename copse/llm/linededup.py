@@ -8,6 +8,10 @@ with its owner. Lines that are not rare never make a pair: where a document has
 are aligned there; elsewhere the owner's line and the document's are aligned by themselves, as one line each, so that a
 passage that thousands of documents repeat goes from all but the first of them.
 
+Where a pair has lines in different orders, patience diff leaves some of them. Of these, lines that are not rare are then
+aligned by themselves, as they are without a pair; rare ones are aligned with the next earlier document that holds them,
+and so on until none is left, which for a line are fewer than ``RARE``.
+
 Aligned lines next to each other (lines without words between them count as such) are a block. Blocks of at least
 ``min_words`` words are deleted.
 """
@@ -84,6 +88,34 @@ def aligned(shared: list[tuple[int, list[int], list[int]]]) -> list[int]:
     return [later[i][0] for i, _ in patience([x for _, x in later], [x for _, x in owner])]
 
 
+def with_owner(shared: list[tuple[list[int], list[int], bool]]) -> tuple[list[int], dict[int, list[int]]]:
+    """Places in the later document that are aligned with the owner, and the places of rare lines that are left, by the
+    line's place in ``shared``: (places in it, in the owner, rare)."""
+    if not any(rare for *_, rare in shared):
+        return [p for own, other, _ in shared for p in own[: len(other)]], {}
+    found = set(aligned([(k, own, other) for k, (own, other, _) in enumerate(shared)]))
+    out, left = sorted(found), {}
+    for k, (own, other, rare) in enumerate(shared):
+        rest = [p for p in own if p not in found]
+        if rare and rest:
+            left[k] = rest
+        elif rest:  # as many as the owner has besides the aligned ones
+            out += rest[: max(0, len(other) - (len(own) - len(rest)))]
+    return out, left
+
+
+def with_holders(held: list[tuple[object, object, list[int], list[int]]]) -> list[int]:
+    """Places that are aligned with one holder after the other, of those that the holders before left. held: (holder, line,
+    places in the later document, in the holder)."""
+    by_holder: dict = {}
+    for holder, *shared in held:
+        by_holder.setdefault(holder, []).append(shared)
+    out: set[int] = set()
+    for holder in sorted(by_holder):
+        out |= set(aligned([(line, [p for p in own if p not in out], other) for line, own, other in by_holder[holder]]))
+    return sorted(out)
+
+
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """id, line (128 bits as a struct) and places of each distinct line with a word of each row. Lines are equal if they are
     once white space around them is cut off. Rows are told apart by key; equal keys are one document."""
@@ -102,20 +134,27 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", rare: int
     own = written(own, "lines")
     owners = own.groupBy("line").agg(F.min(F.struct("id", "places")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     owners = written(owners.select("line", F.col("first.id").alias("owner"), F.col("first.places").alias("owner_places"), "n"), "owners")
-    met = own.join(owners, "line").filter("id <> owner").select("id", "owner", "places", "owner_places", (F.col("n") <= rare).alias("rare"), F.xxhash64("line").alias("line"))
-    pairs = met.groupBy("id", "owner").agg(F.max("rare").alias("paired"), F.collect_list(F.struct("line", "places", "owner_places")).alias("shared"))
+    met = own.join(owners, "line").filter("id <> owner").select("id", "owner", "places", "owner_places", (F.col("n") <= rare).alias("rare"), "line")
+    pairs = met.groupBy("id", "owner").agg(F.collect_list(F.struct("places", "owner_places", "rare", "line")).alias("shared"))
 
-    @F.pandas_udf("array<int>")
-    def places(shared: pd.Series, paired: pd.Series) -> pd.Series:
-        return pd.Series([_places(x, p) for x, p in zip(shared, paired)])
-
-    return pairs.select("id", F.explode(places("shared", "paired")).alias("place")).groupBy("id").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    @F.pandas_udf("struct<places:array<int>,left:array<struct<k:int,places:array<int>>>>")
+    def owned(shared: pd.Series) -> pd.DataFrame:
+        found = [with_owner([(list(r["places"]), list(r["owner_places"]), r["rare"]) for r in x]) for x in shared]
+        return pd.DataFrame({"places": [p for p, _ in found], "left": [[{"k": k, "places": v} for k, v in left.items()] for _, left in found]})
 
+    @F.pandas_udf("array<int>")
+    def later(held: pd.Series) -> pd.Series:
+        return pd.Series([with_holders([(r["holder"], r["line"], list(r["places"]), list(r["other"])) for r in x]) for x in held])
 
-def _places(shared, paired: bool) -> list[int]:
-    if paired:
-        return aligned([(r["line"], list(r["places"]), list(r["owner_places"])) for r in shared])
-    return [int(p) for r in shared for p in r["places"][: len(r["owner_places"])]]
+    plain = F.transform("shared", lambda r: F.struct(r["places"].alias("places"), r["owner_places"].alias("owner_places"), r["rare"].alias("rare")))
+    line_of = lambda x: F.struct(F.get("shared", x["k"])["line"].alias("line"), x["places"].alias("places"))
+    first = pairs.select("id", "owner", "shared", owned(plain).alias("o"))
+    first = written(first.select("id", "owner", "o.places", F.transform("o.left", line_of).alias("left")), "owned")
+    left = first.select("id", "owner", F.explode("left").alias("l")).select(F.col("id").alias("later"), "owner", "l.line", F.col("l.places").alias("left"))
+    held = left.join(own, "line").filter("id < later and id <> owner").select("later", F.struct(F.col("id").alias("holder"), F.xxhash64("line").alias("line"), F.col("left").alias("places"), F.col("places").alias("other")).alias("h"))
+    second = held.groupBy("later").agg(F.collect_list("h").alias("held")).select(F.col("later").alias("id"), later("held").alias("places"))
+    marks = first.select("id", F.explode("places").alias("place")).union(second.select("id", F.explode("places").alias("place")))
+    return marks.groupBy("id").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
 
 def deleted(lines_: list[str], places: list[int], min_words: int = MIN_WORDS) -> set[int]:
@@ -192,12 +231,13 @@ def brute_force(docs: list[tuple[int, str | None]], rare: int = RARE, min_words:
             if x and held[x][0] != k:
                 by_owner.setdefault(held[x][0], []).append(x)
         marked: set[int] = set()
+        left: dict[str, list[int]] = {}
+        places = lambda d, x: [i for i, y in enumerate(trimmed[d]) if y == x]
         for owner, shared in by_owner.items():
-            places = lambda d, x: [i for i, y in enumerate(trimmed[d]) if y == x]
-            if any(len(held[x]) <= rare for x in shared):
-                marked |= set(aligned([(x, places(k, x), places(owner, x)) for x in shared]))
-            else:
-                marked |= {p for x in shared for p in places(k, x)[: len(places(owner, x))]}
+            found, rest = with_owner([(places(k, x), places(owner, x), len(held[x]) <= rare) for x in shared])
+            marked |= set(found)
+            left |= {shared[i]: v for i, v in rest.items()}
+        marked |= set(with_holders([(h, x, v, places(h, x)) for x, v in left.items() for h in held[x][1:] if h < k]))
         gone = deleted([_spaced(x) for x in split[k]], sorted(marked), min_words)
         out[k] = (len(gone), t if not gone else "\n".join(x for i, x in enumerate(split[k]) if i not in gone))
     return out

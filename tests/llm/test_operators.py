@@ -165,6 +165,18 @@ def test_line_dedup(odd):
     assert linededup.deduplicated(odd).count() == odd.count()
 
 
+def test_lines_in_another_order(spark):
+    """Lines that patience diff leaves: frequent ones go by themselves, rare ones by the next earlier document."""
+    rng = random.Random(9)
+    common, a, b, c, d = (prose(rng, 12) for _ in range(5))
+    docs = [(1, f"{a}\n{b}\n{common}"), (2, f"{common}\n{a}\n{b}")] + [(10 + i, f"{common}\n{prose(rng, 5)}") for i in range(20)]
+    docs += [(50, f"{c}\nx1\n{d}\n"), (51, f"{d}\ny1\n{c}"), (52, f"{d}\nz1\n{c}")]
+    got = {r.doc_id: (r.n_deleted, r.text) for r in linededup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == linededup.brute_force(docs)
+    assert got[1][0] == 0 and got[2] == (3, "") and all(got[10 + i][0] == 1 for i in range(20))
+    assert got[50][0] == 0 and got[51][0] == 1 and got[52] == (2, "z1")
+
+
 def test_patience():
     assert linededup.patience(list("abcde"), list("abXde")) == [(0, 0), (1, 1), (3, 3), (4, 4)]
     assert linededup.patience(list("xaby"), list("yabx"))[0] in [(1, 1), (0, 3), (3, 0)]
