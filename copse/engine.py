@@ -7,15 +7,18 @@ instead (``staged``), and ``apply`` writes them. Stages and applies are tables t
 
 from __future__ import annotations
 
+import json
 import os
+import time
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copse.operators import ledger, recipe, rewrite, safety
+from copse.operators import ledger, recipe, rewrite, safety, score
 from copse.plans.forest import projected
-from copse.providers import catalog
+from copse.providers import registry
 from copse.selector import Query, choose
 from copse.sources import files, writer
 
@@ -28,20 +31,32 @@ FIELDS = {
     "recipe": ("name", "description", "dry_run", "min_confidence", "steps"), "apply": ("id", "all", "latest", "session"),
 }
 SCOPE = ("path", "include", "exclude", "max_depth", "max_files", "follow_symlinks", "language")
-STAGES = """id string, session_id string, operation string, path string, original string, modified string, score double, created_at timestamp, base_digest string, after_digest string, status string,
-expires_at timestamp"""
-APPLIES = "id string, stage_id string, base_digest string, after_digest string, auto_applied boolean, applied_by string, applied_at timestamp, reverted boolean"
+STAGES = """id string, session_id string, language string, operation string, target_type string, target_name string, target_query string, path string, original string, modified string, content string,
+diff string, score double, level string, factors string, scope string, created_at timestamp, base_digest string, after_digest string, status string, expires_at timestamp"""
+#: Stages that are deleted, by id.
+DELETED = "id string, deleted_at timestamp"
 
 
 class RequestError(ValueError):
     """A request that cannot be served."""
 
 
+@dataclass(frozen=True)
+class Rules:
+    """Of staging: pending stages and applies of a session, at most (0: no limit), and whether a stage whose score reaches
+    the threshold is applied at once."""
+
+    max_pending: int = 0
+    max_applies: int = 0
+    auto_apply: bool = False
+    threshold: float = score.AUTO_APPLY
+
+
 class Engine:
     """folder: where transactions and the ledger are kept (on a file system that executors share)."""
 
-    def __init__(self, spark: SparkSession, folder: str, limits: safety.Limits = safety.Limits()) -> None:
-        self.spark, self.folder, self.limits = spark, os.path.abspath(folder), limits
+    def __init__(self, spark: SparkSession, folder: str, limits: safety.Limits = safety.Limits(), rules: Rules = Rules()) -> None:
+        self.spark, self.folder, self.limits, self.rules = spark, os.path.abspath(folder), limits, rules
 
     def call(self, operation: str, request: dict) -> DataFrame:
         if operation not in FIELDS:
@@ -60,7 +75,7 @@ class Engine:
         source, path, language = request.get("source"), request.get("path"), request.get("language", "")
         if (source is None) == (path is None):
             raise RequestError("exactly one of source and path is needed")
-        if files.parser(language) is None:
+        if registry.parser(language) is None:
             raise RequestError(f"unknown language {language!r}")
         if source is not None:
             return files.inline(self.spark, language, source=source)
@@ -83,9 +98,9 @@ class Engine:
         return choose(request.get("target_dsl"), request.get("target"))
 
     def languages(self, scope: files.Scope) -> tuple[str, ...]:
-        if scope.language and scope.language not in catalog.LANGUAGES:
+        if scope.language and scope.language not in registry.languages():
             raise RequestError(f"unknown language {scope.language!r}")
-        return (scope.language,) if scope.language else catalog.LANGUAGES
+        return (scope.language,) if scope.language else registry.languages()
 
     # operations
     def query(self, request: dict) -> DataFrame:
@@ -111,6 +126,12 @@ class Engine:
             writer.publish(self.spark, f"{self.folder}/transactions", writing, least=0.0)
         return rewrite.with_diff(made)
 
+    def safe(self, made: DataFrame) -> None:
+        """Each file that changes is a batch of its own, whose score is also the overall one."""
+        each = made.filter("original <> modified").select(F.col("doc").alias("batch"), F.octet_length("original").cast("long").alias("size"), F.col("confidence.score").alias("confidence"))
+        if row := safety.validate(each, self.limits).filter("code <> 0").orderBy("batch").head():
+            raise RequestError(f"{row['batch']}: limit {row['code']} is exceeded")
+
     def rewritten(self, method: str, request: dict) -> DataFrame:
         target = self.target(request, method == "append")
         return files.transform(self.documents(request), method, target, request.get("replacement") or request.get("content") or "", (request["language"],))
@@ -123,13 +144,15 @@ class Engine:
 
     def file_changed(self, method: str, request: dict) -> DataFrame:
         """One row for each file with a match: doc, match_count, confidence, diff and status. Limits are checked before
-        anything is written; all files are written or none."""
+        anything is written, first for the batch and then for each file with its own size and score; all files are written
+        or none."""
         scope = self.scope(request)
         docs = files.walk(self.spark, scope)
         made = self.kept(files.transform(docs, method, self.target(request), request.get("replacement") or "", self.languages(scope)))
         sizes = files.listing(self.spark, scope).select(F.lit("all").alias("batch"), "size", F.lit(1.0).alias("confidence"))
         if (row := safety.validate(sizes, self.limits).head()) and row["code"]:
             raise RequestError(f"limit {row['code']} is exceeded")
+        self.safe(made)
         status = writer.publish(self.spark, f"{self.folder}/transactions", made, bool(request.get("backup")), dry_run=bool(request.get("dry_run")))
         one = status.select(F.col("doc").alias("d"), "status")
         out = rewrite.with_diff(made).join(one, F.col("doc") == F.col("d"), "left").drop("d", "original", "modified")
@@ -160,26 +183,62 @@ class Engine:
         where = f"{self.folder}/{name}"
         return self.spark.read.schema(schema).parquet(f"file://{where}") if os.path.isdir(where) else self.spark.createDataFrame([], schema)
 
+    def applies(self) -> DataFrame:
+        """The table of applies, and those of committed transactions that it does not have yet: a transaction's folder says
+        which stages it applies before any file is moved, so that a crash after the commit loses none."""
+        done = self.table("applies", ledger.APPLIES)
+        noted = [f"{t.place}/applies" for t in writer.transactions(self.spark, f"{self.folder}/transactions") if os.path.isdir(f"{t.place}/applies") and t.status() == "committed"]
+        if not noted:
+            return done
+        return done.unionByName(self.spark.read.schema(ledger.APPLIES).parquet(*[f"file://{x}" for x in noted])).dropDuplicates(["id"])
+
     def stages(self, now: datetime | None = None) -> DataFrame:
-        """All stages with their status at ``now``."""
-        done = ledger.mark_applied(self.table("stages", STAGES), self.table("applies", APPLIES))
-        return ledger.expire(done, F.lit(now or datetime.now(timezone.utc)))
+        """All stages that are not deleted, with their status at ``now``."""
+        have = self.table("stages", STAGES).join(self.table("deleted", DELETED).select("id").distinct(), "id", "left_anti")
+        return ledger.expire(ledger.mark_applied(have, self.applies()), F.lit(now or datetime.now(timezone.utc)))
 
-    def staged(self, session: str, operation: str, request: dict, max_pending: int = 0) -> DataFrame:
-        """Stages a change of one file; the rows that were added (none beyond ``max_pending`` pending ones)."""
-        made = self.rewritten(operation, request).filter(F.col("modified") != F.col("original"))
-        now = datetime.now(timezone.utc)
+    def delete_stages(self, session: str | None = None, ids: list[str] | None = None) -> None:
+        """Deletes a session's applied stages, or those ids."""
+        have = self.stages()
+        gone = have.join(ledger.delete(have, session, ids).select("id"), "id", "left_anti")
+        gone.select("id", F.lit(datetime.now(timezone.utc)).alias("deleted_at")).write.mode("append").parquet(f"file://{self.folder}/deleted")
+
+    def staged(self, session: str, operation: str, request: dict, max_pending: int | None = None) -> DataFrame:
+        """Stages a change of one document: the rows that were added (none beyond the session's limit of pending ones), with
+        ``outcome``: applied where the rules say so and the apply succeeds, else staged. A source's stage is applied without
+        a file."""
+        began, limit = time.perf_counter(), self.rules.max_pending if max_pending is None else max_pending
+        target = self.target(request, operation == "append")
+        made = rewrite.with_diff(self.rewritten(operation, request).filter(F.col("modified") != F.col("original")))
+        now, path = datetime.now(timezone.utc), request.get("path")
+        scope = F.to_json(F.struct(F.col("doc").alias("file_path"), F.lit(True).alias("safety_validated"), F.octet_length("modified").alias("file_size"), ledger.digest(F.col("original")).alias("original_hash")))
         rows = made.select(
             F.concat(F.lit("stg_"), F.substring(F.sha2(F.concat_ws("\0", F.lit(session), "doc", "modified", F.lit(str(now))), 256), 1, 16)).alias("id"), F.lit(session).alias("session_id"),
-            F.lit(operation).alias("operation"), F.col("doc").alias("path"), "original", "modified", F.col("confidence.score").alias("score"), F.lit(now).alias("created_at"))
-        new = ledger.admit(ledger.build(rows), max_pending, self.stages(now)).filter("admitted").drop("admitted")
-        new = self.kept(new)
-        new.select([c.split()[0] for c in STAGES.replace("\n", " ").split(", ")]).write.mode("append").parquet(f"file://{self.folder}/stages")
-        return new
+            F.lit(request["language"]).alias("language"), F.lit(operation).alias("operation"), F.lit(target.kind or "").alias("target_type"), F.lit(target.name or "").alias("target_name"),
+            F.lit(json.dumps(target.to_json())).alias("target_query"), F.when(F.lit(path is not None), F.col("doc")).alias("path"), "original", "modified",
+            F.lit(request.get("replacement") or request.get("content") or "").alias("content"), "diff", F.col("confidence.score").alias("score"), F.col("confidence.level").alias("level"),
+            F.to_json("confidence.factors").alias("factors"), F.when(F.lit(path is not None), scope).alias("scope"), F.lit(now).alias("created_at"))
+        new = self.kept(ledger.admit(ledger.build(rows), limit, self.stages(now)).filter("admitted").drop("admitted"))
+        columns = self.spark.createDataFrame([], STAGES).columns
+        new.select(columns).write.mode("append").parquet(f"file://{self.folder}/stages")
+        wanted = ledger.finalize(new, self.rules.auto_apply, self.rules.threshold)
+        done = []
+        for r in wanted.filter("outcome = 'applied'").select("id").collect():  # a request changes one document
+            try:
+                done += [x["id"] for x in self.apply({"id": r["id"]}, auto=True).filter("outcome = 'ok'").collect()]
+            except (writer.TransactionError, RequestError):
+                continue  # it stays staged
+        self.spark.createDataFrame([(time.perf_counter() - began, True)], "seconds double, ok boolean").write.mode("append").parquet(f"file://{self.folder}/created")
+        return new.withColumn("outcome", F.when(F.col("id").isin(done), "applied").otherwise("staged"))
+
+    def metrics(self) -> DataFrame:
+        """Of all creations of stages: counts, mean and largest time."""
+        return ledger.metrics(self.table("created", "seconds double, ok boolean"))
 
-    def apply(self, request: dict) -> DataFrame:
+    def apply(self, request: dict, auto: bool = False) -> DataFrame:
         """id, outcome of the stages that a request means: one by id, all pending ones, or the latest (the default). Only
-        stages that are pending, in time and whose file has not changed are written."""
+        stages that are pending, in time, within their session's limit of applies and whose file has not changed are
+        written; several in one transaction."""
         now = datetime.now(timezone.utc)
         have = self.stages(now)
         if request.get("session"):
@@ -193,17 +252,31 @@ class Engine:
         else:
             have = have.filter("status = 'pending'").orderBy(F.desc("created_at"), F.desc("id")).limit(1)
         chosen = self.kept(have)
-
-        @F.udf("string")
-        def digest_of(path: str) -> str:
-            return writer.digest(path)
-
-        hashes = chosen.select("id", digest_of("path").alias("hash"))
-        out = self.kept(ledger.outcomes(chosen, F.lit(now), hashes))
+        out = ledger.outcomes(chosen, F.lit(now), self.hashes(chosen))
+        within = ledger.within_limit(out.filter("outcome = 'ok'"), self.applies_with_sessions(), self.rules.max_applies).select("id", F.lit(True).alias("within"))
+        out = out.join(within, "id", "left").withColumn("outcome", F.when((F.col("outcome") == "ok") & F.col("within").isNull(), "limit").otherwise(F.col("outcome"))).drop("within")
+        out = self.kept(out)
         good = out.filter("outcome = 'ok'")
         if good.head():
+            rows = ledger.applies_of(good, F.lit(now), auto, "auto" if auto else "engine")
             tx = writer.begin(self.spark, f"{self.folder}/transactions")
-            writer.stage(tx, good.select("path", "original", "modified"))
+            rows.write.parquet(f"file://{tx.place}/applies")  # counts once the transaction is committed
+            writer.stage(tx, good.filter("path is not null").select("path", "original", "modified"))
             writer.commit(tx)
-            ledger.applies_of(good, F.lit(now)).write.mode("append").parquet(f"file://{self.folder}/applies")
+            rows.write.mode("append").parquet(f"file://{self.folder}/applies")
         return out.select("id", "outcome")
+
+    def applies_with_sessions(self) -> DataFrame:
+        sessions = self.table("stages", STAGES).select(F.col("id").alias("stage_id"), "session_id")
+        return self.applies().join(sessions, "stage_id")
+
+    def hashes(self, stages: DataFrame) -> DataFrame:
+        """id and hash of each stage's file as it is now ('' if there is none); stages of sources have no row."""
+        paths = [r["path"] for r in stages.select("path").distinct().filter("path is not null").collect()]
+        there = [f"file://{x}" for x in paths if os.path.isfile(x)]
+        named = stages.filter("path is not null").select("id", "path")
+        if not there:
+            return named.select("id", F.lit("").alias("hash"))
+        read = self.spark.read.format("binaryFile").load(there)
+        found = read.select(F.regexp_replace("path", "^file:(//)?(?=/)", "").alias("p"), F.sha2("content", 256).alias("hash"))
+        return named.join(found, F.col("path") == F.col("p"), "left").select("id", F.coalesce("hash", F.lit("")).alias("hash"))

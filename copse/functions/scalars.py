@@ -9,19 +9,21 @@ from pyspark.sql import functions as F
 EXTENSIONS = {
     ".go": "go", ".mod": "go", ".py": "python", ".pyw": "python", ".pyi": "python", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript",
     ".ts": "typescript", ".tsx": "typescript", ".php": "php", ".phtml": "php", ".php4": "php", ".php5": "php", ".phps": "php", ".java": "java", ".c": "c", ".h": "c",
-    ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".hpp": "cpp", ".cs": "csharp", ".rb": "ruby", ".rs": "rust", ".swift": "swift", ".kt": "kotlin", ".scala": "scala",
-    ".html": "html", ".htm": "html", ".css": "css", ".scss": "scss", ".json": "json", ".yaml": "yaml", ".yml": "yaml", ".xml": "xml", ".sql": "sql", ".sh": "shell", ".md": "markdown",
+    ".cpp": "cpp", ".hpp": "cpp", ".cs": "csharp", ".rb": "ruby", ".rs": "rust", ".swift": "swift", ".kt": "kotlin", ".scala": "scala", ".dart": "dart", ".clj": "clojure", ".ml": "ocaml",
+    ".hs": "haskell", ".elm": "elm", ".ex": "elixir", ".erl": "erlang",
 }
 
 LEVELS = ("debug", "info", "notice", "warning", "error", "critical", "alert", "emergency")
 
 
 def language(path: Column, explicit: str = "") -> Column:
-    """By the last extension only; ``unknown`` without one that is known."""
+    """By the last extension only; ``unknown`` without one that is known. Added languages come first."""
+    from copse.providers import registry
+
     if explicit:
         return F.lit(explicit)
     ext = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
-    return F.coalesce(F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv])[ext], F.lit("unknown"))
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in (EXTENSIONS | registry.extensions()).items() for x in kv])[ext], F.lit("unknown"))
 
 
 def depth(path: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 TTL_MINUTES = 15
+APPLIES = "id string, stage_id string, base_digest string, after_digest string, auto_applied boolean, applied_by string, applied_at timestamp, reverted boolean"
 
 
 def digest(text: Column) -> Column:
@@ -60,12 +61,14 @@ def outcomes(stages: DataFrame, now: Column, hashes: DataFrame | None = None) ->
 
 
 def within_limit(stages: DataFrame, applies: DataFrame, max_applies: int) -> DataFrame:
-    """Stages whose session has applied less than ``max_applies`` (0: no limit), in order of creation."""
+    """Stages whose session has applied less than ``max_applies`` (0: no limit), in order of creation. applies: of all
+    sessions, with session_id. Stages without a session have no limit."""
     if max_applies <= 0:
         return stages
-    done = apply_counts(stages, applies).withColumnRenamed("session_id", "s")
+    done = applies.groupBy(F.col("session_id").alias("s")).agg(F.count("*").alias("done"))
     out = stages.withColumn("k", F.row_number().over(W.partitionBy("session_id").orderBy("created_at", "id"))).join(done, F.col("session_id") == F.col("s"), "left")
-    return out.filter(F.col("k") + F.coalesce("n", F.lit(0)) <= max_applies).drop("k", "s", "n")
+    free = F.coalesce("session_id", F.lit("")) == ""
+    return out.filter(free | (F.col("k") + F.coalesce("done", F.lit(0)) <= max_applies)).drop("k", "s", "done")
 
 
 def applies_of(stages: DataFrame, at: Column, auto: bool = False, by: str = "") -> DataFrame:

@@ -29,10 +29,20 @@ def cut(data: Column, start: Column, end: Column) -> Column:
 
 def splice(source: Column, edits: Column) -> Column:
     """``source`` (binary) with all edits (array of start, end, new) made, from the last to the first. Edits of nested spans
-    are made one after the other at the places they had in the source."""
-    ordered = F.reverse(F.array_sort(F.transform(edits, lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["new"].alias("new")))))
+    are made one after the other at the places they had in the source; others join the bytes between them, once."""
+    ordered = F.array_sort(F.transform(edits, lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["new"].alias("new"))))
     rest = lambda a, at: F.substring(a, (at + 1).cast("int"), F.octet_length(a))
-    return F.aggregate(ordered, source, lambda a, e: F.concat(cut(a, F.lit(0).cast("long"), e["start"]), e["new"], rest(a, e["end"])))
+    folded = lambda x: F.aggregate(F.reverse(x), source, lambda a, e: F.concat(cut(a, F.lit(0).cast("long"), e["start"]), e["new"], rest(a, e["end"])))
+
+    def joined(x: Column) -> Column:
+        """Binary arrays have no join; their digits have."""
+        begin = lambda i: F.when(i > 0, F.get(x, i - 1)["end"]).otherwise(F.lit(0).cast("long"))
+        pieces = F.transform(x, lambda e, i: F.hex(F.concat(cut(source, begin(i), e["start"]), e["new"])))
+        return F.unhex(F.concat(F.array_join(pieces, ""), F.hex(rest(source, F.element_at(x, -1)["end"]))))
+
+    nested = lambda x: F.exists(F.transform(x, lambda e, i: (i > 0) & ((e["start"] < F.get(x, i - 1)["end"]) | (e["start"] == F.get(x, i - 1)["start"]))), lambda y: F.coalesce(y, F.lit(False)))
+    made = lambda x: F.when(F.size(x) == 0, source).when(nested(x), folded(x)).otherwise(joined(x))
+    return F.get(F.transform(F.array(ordered), made), F.lit(0))
 
 
 def transform(forest: Forest, method: str, query: Query, payload: str = "", exported: Column | None = None, invalid: Column | None = None, place=None) -> DataFrame:
@@ -98,13 +108,33 @@ def append_to_root(forest: Forest, payload: str, place=None) -> DataFrame:
     return sources.select("doc", "original", modified.alias("modified"), F.lit(0).cast("long").alias("match_count"), F.lit(False).alias("overlap"), sure.alias("confidence"))
 
 
+def unified(a: str, b: str, context: int = 3) -> str:
+    """Unified diff of two texts by lines. Lines that both begin or end with are set aside first, so that two long texts
+    with few changes take no longer than what is between these."""
+    import difflib
+
+    if a == b:
+        return ""
+    x, y = a.split("\n"), b.split("\n")
+    least = min(len(x), len(y))
+    head = next((i for i in range(least) if x[i] != y[i]), least)
+    tail = next((i for i in range(least - head) if x[-1 - i] != y[-1 - i]), least - head)
+    skip, ends = max(0, head - context), max(0, tail - context)  # the context of the changes stays
+    lines = list(difflib.unified_diff(x[skip : len(x) - ends], y[skip : len(y) - ends], "original", "modified", n=context, lineterm=""))
+
+    def moved(part: str) -> str:
+        sign, start, *size = [part[0], *part[1:].split(",")]
+        return sign + ",".join([str(int(start) + skip), *size])
+
+    header = lambda line: f"@@ {' '.join(map(moved, line.split()[1:3]))} @@"
+    return "\n".join(header(line) if line.startswith("@@ ") else line for line in lines)
+
+
 def with_diff(rewritten: DataFrame) -> DataFrame:
     """Adds diff: unified, three lines of context, '' if nothing changed. Line ends are kept apart."""
+
     @F.pandas_udf("string")
     def diff(a: pd.Series, b: pd.Series) -> pd.Series:
-        import difflib
-
-        one = lambda x, y: "" if x == y else "\n".join(difflib.unified_diff(x.split("\n"), y.split("\n"), "original", "modified", lineterm=""))
-        return pd.Series([one(x or "", y or "") for x, y in zip(a, b)])
+        return pd.Series([unified(x or "", y or "") for x, y in zip(a, b)], dtype="object")
 
     return rewritten.withColumn("diff", diff("original", "modified"))

@@ -14,6 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from copse.functions import patterns
@@ -25,6 +26,30 @@ CONTAINERS = ("block", "body", "class_body", "declaration_list", "statement_bloc
 IDENTITY = ("doc", "kind", "start_byte", "end_byte", "name")
 
 
+NEAREST = "nearest"
+#: Positions of a document that one task goes through: so many bits of ``pre``.
+SPAN = 20
+
+
+def _with_nearest(out: DataFrame, at: Column, points: DataFrame, agg, later: bool) -> DataFrame:
+    """``out`` with the least (agg min) or greatest (agg max) ``value`` of the document's ``points`` (doc, at, value) whose
+    place is after ``at`` (later) or up to it.
+
+    Rows and points are sorted by place once and passed through with a running aggregate. A document is split into spans of
+    places, so that a large one is many tasks'; what other spans hold is a running aggregate over one row for each span.
+    """
+    span = lambda c: F.shiftright(c, SPAN)
+    rows = out.select("doc", span(at).alias("span"), at.alias("at"), F.lit(None).cast("long").alias("value"), F.struct(*out.columns).alias("row"))
+    marks = points.select("doc", span(F.col("at")).alias("span"), "at", F.col("value").cast("long").alias("value"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"))
+    order = (F.desc("at"), F.col("row").isNull()) if later else (F.col("at"), F.col("row").isNotNull())  # a point at the place itself is not later
+    along = lambda *by, to: W.partitionBy(*by).rowsBetween(W.unboundedPreceding, to)
+    passed = rows.unionByName(marks).withColumn("own", agg("value").over(along("doc", "span", to=W.currentRow).orderBy(*order)))
+    spans = passed.groupBy("doc", "span").agg(agg("value").alias("all"))
+    spans = spans.select("doc", "span", agg("all").over(along("doc", to=-1).orderBy(F.desc("span") if later else "span")).alias("others"))
+    best = F.least if agg is F.min else F.greatest
+    return passed.filter("row is not null").join(spans, ["doc", "span"]).select("row.*", best("own", "others").alias(NEAREST))
+
+
 @dataclass
 class Forest:
     """elements, and the kinds that select them.
@@ -131,47 +156,54 @@ class Forest:
         return F.coalesce(patterns.text_matches(F.get(args, F.lit(int(number))), value), F.lit(False))
 
     def with_descendant(self, out: DataFrame, child: Query) -> DataFrame:
-        """A match of ``child`` strictly below the bound node: an equi-join on the document with an interval condition.
+        """A match of ``child`` strictly below the bound node: the next match in document order lies within the subtree.
 
         For simple children the candidate decides about being inside the subtree and the bound node about being contained.
         """
-        inner = self.targets(child).select(F.col("doc").alias("d"), F.col("cand_pre").alias("c"))
-        return out.join(inner, (F.col("doc") == F.col("d")) & (F.col("c") > F.col("node_pre")) & (F.col("c") <= F.col("last")), "left_semi")
-
-    def children(self) -> DataFrame:
-        """(doc, up, child): raw children, but for containers, whose own children take their place."""
-        if "edges" not in self._seen:
-            e = self.elements.filter("is_node") if "is_node" in self.elements.columns else self.elements
-            plain = e.select("doc", F.col("parent").alias("up"), F.col("pre").alias("child"), F.col("node_type").isin(*self.transparent).alias("through")).filter("up is not null")
-            own = plain.filter("not through").select("doc", "up", "child")
-            holders = plain.filter("through").select(F.col("doc").alias("d"), F.col("child").alias("holder"), F.col("up").alias("above"))
-            lifted = plain.join(holders, (F.col("doc") == F.col("d")) & (F.col("up") == F.col("holder"))).select("doc", F.col("above").alias("up"), "child")
-            self._seen["edges"] = own.unionByName(lifted)
-        return self._seen["edges"]
+        inner = self.targets(child).select("doc", F.col("cand_pre").alias("at"), F.col("cand_pre").alias("value"))
+        return _with_nearest(out, F.col("node_pre"), inner, F.min, later=True).filter(F.col(NEAREST) <= F.col("last")).drop(NEAREST)
+
+    def nodes(self) -> DataFrame:
+        """doc, pre, up (the parent) and through (whether it stands for its children) of nodes that have a parent."""
+        e = self.elements.filter("is_node") if "is_node" in self.elements.columns else self.elements
+        return e.select("doc", "pre", F.col("parent").alias("up"), F.col("node_type").isin(*self.transparent).alias("through")).filter("up is not null")
 
     def with_child(self, out: DataFrame, child: Query, direct: bool = True) -> DataFrame:
+        """A match of ``child`` among the raw children, but for containers, whose own children take their place. Edges are
+        those of matches only, one step up and, where that ends at a container, another."""
         if child.op:
             return out.filter("false")
-        inner = self.targets(child).select(F.col("doc").alias("d1"), F.col("cand_pre").alias("c1"))
-        edges = self.children().select(F.col("doc").alias("d"), F.col("up"), F.col("child"))
-        hit = edges.join(inner, (F.col("d") == F.col("d1")) & (F.col("child") == F.col("c1")), "left_semi")
-        return out.join(hit, (F.col("doc") == F.col("d")) & (F.col("node_pre") == F.col("up")), "left_semi")
+        found = self.targets(child).select("doc", F.col("cand_pre").alias("pre")).distinct()
+        edges = self.nodes().join(found, ["doc", "pre"], "left_semi").select("doc", "up", "through")
+        above = edges.filter("not through").select("doc", "up")
+        if self.transparent:
+            holders = self.nodes().filter("through").select("doc", F.col("pre").alias("up"), F.col("up").alias("above"))
+            above = above.unionByName(edges.join(holders, ["doc", "up"]).select("doc", F.col("above").alias("up")))
+        above = above.distinct().select(F.col("doc").alias("d"), "up")
+        return out.join(above, (F.col("doc") == F.col("d")) & (F.col("node_pre") == F.col("up")), "left_semi")
 
     def beside(self, out: DataFrame, selector: str, before: bool) -> DataFrame:
         """A target of ``selector`` in the subtree of a sibling, all of it after (before) this one; selectors that cannot be
-        parsed match nothing, and kinds in them are not canonical."""
+        parsed match nothing, and kinds in them are not canonical.
+
+        Bytes follow document order. So before: of the targets up to the parent's end, the one that starts last starts
+        behind this node (those outside the parent's subtree begin earlier). After: of the targets behind the parent, the
+        one that ends first ends ahead of this node (those outside the subtree end later).
+        """
         from copse.selector import SelectorError, parse
 
         try:
             q = parse(selector)
         except SelectorError:
             return out.filter("false")
+        t, out = self.targets(q), out.filter("parent is not null")
+        if not before:
+            found = _with_nearest(out, F.col("parent"), t.select("doc", F.col("node_pre").alias("at"), F.col("end_byte").alias("value")), F.min, later=True)
+            return found.filter(F.col(NEAREST) < F.col("start_byte")).drop(NEAREST)
         parents = self.elements.select(F.col("doc").alias("pd"), F.col("pre").alias("pp"), F.col("last").alias("pl")).distinct()
-        placed = out.join(parents, (F.col("doc") == F.col("pd")) & (F.col("parent") == F.col("pp")))
-        t = self.targets(q).select(F.col("doc").alias("d"), F.col("node_pre").alias("n"), F.col("start_byte").alias("s"), F.col("end_byte").alias("e"))
-        order = F.col("s") > F.col("end_byte") if before else F.col("e") < F.col("start_byte")
-        inside = (F.col("n") > F.col("pp")) & (F.col("n") <= F.col("pl"))
-        return placed.join(t, (F.col("doc") == F.col("d")) & inside & order, "left_semi").drop("pd", "pp", "pl")
+        placed = out.join(parents, (F.col("doc") == F.col("pd")) & (F.col("parent") == F.col("pp"))).drop("pd", "pp")
+        found = _with_nearest(placed, F.col("pl"), t.select("doc", F.col("node_pre").alias("at"), F.col("start_byte").alias("value")), F.max, later=False)
+        return found.filter(F.col(NEAREST) > F.col("end_byte")).drop(NEAREST, "pl")
 
     def errors(self) -> DataFrame:
         """Documents with a node of type ERROR, and where the first begins (1-based)."""

@@ -9,7 +9,7 @@ from copse.functions import patterns, scalars
 from copse.operators import ledger, recipe, rewrite, safety, score
 from copse.plans.forest import Forest, projected
 from copse.selector import parse
-from copse.sources import files, tables
+from copse.sources import files, tables, writer
 from copse.sources.tables import read
 
 QUERIES: dict = {}
@@ -139,27 +139,30 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @register("q_max_files", f"WITH {PATHS} SELECT page_id, path FROM p ORDER BY string_split(path, '/'), page_id LIMIT 50")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return paths(spark, d).orderBy(F.split("path", "/"), "page_id").limit(50)
+    return files.first_files(paths(spark, d), 50, "page_id")
 
 
-@register("q_lang_stats", "SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY lang")
+@register("q_lang_stats", "SELECT lang AS language, count(*) AS n FROM documents GROUP BY lang")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))
+    return files.language_stats(read(spark, d, "documents").withColumnRenamed("lang", "language"))
 
 
 @register("q_detect_language", r"""WITH e AS (SELECT page_id, lower(regexp_extract(regexp_extract(url, '^[^:]*://([^?#]*)', 1), '(\.[^./]+)$', 1)) AS ext FROM pages)
-SELECT CASE WHEN ext IN ('.html', '.htm') THEN 'html' WHEN ext = '.php' THEN 'php' WHEN ext = '.js' THEN 'javascript' ELSE 'unknown' END AS language, count(*) AS n FROM e GROUP BY 1""")
+SELECT CASE WHEN ext = '.php' THEN 'php' WHEN ext = '.js' THEN 'javascript' ELSE 'unknown' END AS language, count(*) AS n FROM e GROUP BY 1""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return paths(spark, d).select(scalars.language(F.col("path")).alias("language")).groupBy("language").agg(F.count("*").alias("n"))
 
 
-@register("q_validate", "SELECT page_id AS doc, (len(string_split(html, '<b>')) - len(string_split(html, '</b>')))::INT AS open FROM pages WHERE len(string_split(html, '<b>')) <> len(string_split(html, '</b>'))")
+UNCLOSED = "contains(html, '<b>') AND len(string_split(html, '<b>')) <> len(string_split(html, '</b>'))"
+
+
+@register("q_validate", f"SELECT page_id AS doc, 1 AS n, 'Syntax error at line 1, column ' || strpos(html, '<b>') AS first FROM pages WHERE {UNCLOSED}")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    p = read(spark, d, "pages")
-    open_ = (F.size(F.split("html", "<b>")) - F.size(F.split("html", "</b>"))).alias("open")
-    bad = p.select("page_id", open_).filter("open <> 0")
-    e = bad.select(F.col("page_id").alias("doc"), F.lit("ERROR").alias("node_type"), F.lit(0).alias("start_byte"), F.lit(0).alias("start_row"), F.lit(0).alias("start_col"), "open")
-    return Forest(e).errors().join(bad.withColumnRenamed("page_id", "doc"), "doc").select("doc", "open")
+    """Pages whose bold tags are not all closed, as documents with an ERROR node at the first of them."""
+    p = read(spark, d, "pages").filter(F.col("html").contains("<b>") & (F.size(F.split("html", "<b>")) != F.size(F.split("html", "</b>"))))
+    at = (F.instr("html", "<b>") - 1).alias("start_col")
+    e = p.select(F.col("page_id").alias("doc"), F.lit("ERROR").alias("node_type"), at.alias("start_byte"), F.lit(0).alias("start_row"), at)
+    return Forest(e).errors().select("doc", F.size("errors").alias("n"), F.get("errors", F.lit(0)).alias("first"))
 
 
 # rewriting: lines of documents that name a license
@@ -274,9 +277,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return safety.integrity(now, expected).select("path")
 
 
-@register("q_tx_summary", "SELECT event_type AS status, count(*) AS n, count(*) FILTER (value > 50) AS n_large FROM events GROUP BY 1")
+@register("q_tx_summary", "SELECT event_type AS status, count(*) AS n, count(*) FILTER (value > 50) AS n_errors FROM events GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "events").groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("n_large"))
+    return writer.summary(read(spark, d, "events").select(F.col("event_type").alias("status"), F.when(F.col("value") > 50, "late").otherwise("").alias("error")))
 
 
 @register("q_recipe", f"""WITH {LINES}, m AS (SELECT doc, count(*) FILTER ({HIT}) AS a, count(*) FILTER (regexp_full_match(line, 'The[^/]*')) AS b FROM l GROUP BY doc)
@@ -324,7 +327,10 @@ CODE = {
 
 
 def code(name: str, language: str, selector: str, sql: str) -> None:
-    register(name, sql)(lambda spark, d: names(files.forest(files.parsed(_code(spark, d, language)), language), selector))
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return files.select(_code(spark, d, language), parse(selector), (language,)).select("doc", "kind", "name")
+
+    register(name, sql)(run)
 
 
 code("q_code_go", "go", "struct:* > field:Brand_1* string", r"SELECT p_partkey::VARCHAR AS doc, 'struct' AS kind, 'P' || p_partkey AS name FROM part WHERE regexp_replace(p_brand, '[^A-Za-z0-9]+', '_', 'g') LIKE 'Brand\_1%' ESCAPE '\'")
@@ -338,8 +344,8 @@ code("q_code_php", "php", "property:*", "SELECT n_nationkey::VARCHAR AS doc, 'pr
 
 @register("q_code_capture", "SELECT c_custkey::VARCHAR AS doc, 'api' AS client, 'fetch' AS method FROM customer WHERE c_mktsegment = 'BUILDING'")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    f = files.forest(files.parsed(_code(spark, d, "javascript")), "javascript")
-    return f.select(parse("call:$client.$method arg0=BUILDING")).select("doc", *[F.col("captures")[x].alias(x) for x in ("client", "method")])
+    found = files.select(_code(spark, d, "javascript"), parse("call:$client.$method arg0=BUILDING"), ("javascript",))
+    return found.select("doc", *[F.col("captures")[x].alias(x) for x in ("client", "method")])
 
 
 @register("q_code_all_languages", """SELECT 'go' AS language, count(*) AS n FROM part UNION ALL SELECT 'python', count(*) FROM orders

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from copse.functions import patterns, scalars
 from copse.plans.forest import Forest
-from copse.providers import catalog
+from copse.providers import catalog, registry
 from copse.selector import Query
+from copse.sources import shared
 
 #: Rows of elements that are handed to Spark at once.
 CHUNK = 20_000
@@ -105,7 +106,12 @@ def listing(spark: SparkSession, scope: Scope) -> DataFrame:
     if scope.max_depth:
         out = out.filter(scalars.depth(F.col("path")) <= scope.max_depth)
     out = out.withColumn("language", scalars.language(F.col("path"), scope.language))
-    return out.orderBy(F.split("path", "/")).limit(scope.max_files) if scope.max_files else out
+    return first_files(out, scope.max_files)
+
+
+def first_files(found: DataFrame, n: int, *ties: str) -> DataFrame:
+    """The first ``n`` files (0: all) in the order of folders' sorted entries, then of ``ties``."""
+    return found.orderBy(F.split("path", "/"), *ties).limit(n) if n else found
 
 
 def walk(spark: SparkSession, scope: Scope) -> DataFrame:
@@ -130,19 +136,10 @@ def inline(spark: SparkSession, language: str, **sources: str) -> DataFrame:
     return spark.createDataFrame(rows, DOCUMENTS)
 
 
-def parser(language: str):
-    """(parse, module of names) of a language, or None."""
-    from copse.providers import ecma, golang, php, python
-
-    return {
-        "go": (golang.parse, golang), "python": (python.parse, python), "php": (php.parse, php),
-        "javascript": (ecma.parse_javascript, ecma), "typescript": (ecma.parse_typescript, ecma),
-    }.get(language)
-
-
 def parsed(docs: DataFrame) -> DataFrame:
     """Elements of all documents whose language has a parser. A narrow step: each document is parsed where it is, and its
     rows leave in chunks. Null sources are empty."""
+    parsers = {x: registry.parser(x) for x in registry.languages()}  # those of this moment go to the executors
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from copse.providers.tree import COLUMNS, rows
@@ -156,7 +153,7 @@ def parsed(docs: DataFrame) -> DataFrame:
         held: list[tuple] = []
         for f in frames:
             for doc, language, source in zip(f["doc"], f["language"], f["source"]):
-                parse, module = parser(language)
+                parse, module = parsers[language]
                 text = source or ""
                 made = rows(parse(text), text, module)
                 bad = any(r[5] == "ERROR" for r in made)
@@ -167,16 +164,21 @@ def parsed(docs: DataFrame) -> DataFrame:
         if held:
             yield frame(held)
 
-    known = docs.filter(F.col("language").isin(*catalog.LANGUAGES)).select(F.col("doc").cast("string"), "language", "source")
+    known = docs.filter(F.col("language").isin(*parsers)).select(F.col("doc").cast("string"), "language", "source")
     return known.mapInPandas(batches, ELEMENTS)
 
 
+def parsed_once(docs: DataFrame) -> DataFrame:
+    """``parsed``, written to the folder that all executors share: for selectors that read the elements more than once."""
+    return shared.written(parsed(docs), "elements")
+
+
 def stored(docs: DataFrame, table: str) -> DataFrame:
     """Elements by way of a table that keeps them by (language, sha256): texts that it has are not parsed again, equal
     texts are parsed once. ``table`` is a folder of Parquet files."""
     spark = docs.sparkSession
     key = F.concat_ws(":", "language", "sha256")
-    keyed = docs.filter(F.col("language").isin(*catalog.LANGUAGES)).withColumn("key", key)
+    keyed = docs.filter(F.col("language").isin(*registry.languages())).withColumn("key", key)
     new = keyed.select(F.col("key").alias("doc"), "language", "source").dropDuplicates(["doc"])
     path = spark._jvm.org.apache.hadoop.fs.Path(table)
     if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
@@ -189,6 +191,10 @@ def stored(docs: DataFrame, table: str) -> DataFrame:
 def forest(elements: DataFrame, language: str, broken: bool = False) -> Forest:
     """The forest of one language. Documents with syntax errors are left out unless ``broken``."""
     is_ = lambda what: F.col("member") == what
+    of = elements.filter(F.col("language") == language)
+    of = of if broken else of.filter("not has_error")
+    if added := registry.added(language):
+        return Forest(of, dict(added.kinds), dict(added.canonical), checks={k: v() for k, v in added.checks.items()}, typed=added.declared_type is not registry._nothing)
     checks: dict[str, Column] = {
         "go": {"struct": is_("struct"), "interface": is_("interface"), "iface": is_("interface")},
         "python": {},
@@ -196,18 +202,23 @@ def forest(elements: DataFrame, language: str, broken: bool = False) -> Forest:
         "typescript": {"constructor": is_("constructor"), "ctor": is_("constructor"), "getter": is_("getter"), "setter": is_("setter"), "accessor": is_("accessor")},
         "php": {"constructor": is_("constructor"), "ctor": is_("constructor")},
     }[language]
-    of = elements.filter(F.col("language") == language)
-    return Forest(of if broken else of.filter("not has_error"), catalog.kinds(language), catalog.CANONICAL[language], checks=checks, typed=language == "go")
+    return Forest(of, catalog.kinds(language), catalog.CANONICAL[language], checks=checks, typed=language == "go")
 
 
-def elements_of(source: DataFrame, language: str) -> DataFrame:
-    """Elements of one language from elements or from documents, which are filtered before they are parsed."""
-    return source if "node_type" in source.columns else parsed(source.filter(F.col("language") == language))
+def reads(query: Query) -> int:
+    """How often a selection reads its elements."""
+    own = 1 + (2 if query.direct else 0) + sum(name in ("before", "after") for name in query.attributes)
+    return (query.op == "not") + max(1, sum(map(reads, query.operands))) if query.op else own + (reads(query.contains) if query.contains else 0)
 
 
-def select(source: DataFrame, query: Query, languages: tuple[str, ...] = catalog.LANGUAGES) -> DataFrame:
-    """Matches in documents (or their elements) of all languages, each with its own kinds."""
-    return reduce(DataFrame.unionByName, [forest(elements_of(source, x), x).select(query) for x in languages])
+def select(source: DataFrame, query: Query, languages: tuple[str, ...] | None = None) -> DataFrame:
+    """Matches in documents (or their elements) of all languages, each with its own kinds. Documents are parsed once: their
+    elements are written where several languages, or several parts of the selector, read them."""
+    languages = registry.languages() if languages is None else languages
+    if "node_type" not in source.columns:
+        source = source.filter(F.col("language").isin(*languages))
+        source = parsed_once(source) if len(languages) * reads(query) > 1 else parsed(source)
+    return reduce(DataFrame.unionByName, [forest(source, x).select(query) for x in languages])
 
 
 def rejects(elements: DataFrame) -> DataFrame:
@@ -217,25 +228,28 @@ def rejects(elements: DataFrame) -> DataFrame:
 
 def has_errors(text: Column, language: str) -> Column:
     """Whether a text has syntax errors: what a rewritten one is checked for."""
+    known = registry.parser(language)
 
     @F.pandas_udf("boolean")
     def check(texts: pd.Series) -> pd.Series:
         from copse.providers.tree import numbered
 
-        parse, _ = parser(language)
+        parse, _ = known
         return pd.Series([any(n.type == "ERROR" for n in numbered(parse(t or ""))) for t in texts], dtype="boolean")
 
     return check(text)
 
 
-def transform(source: DataFrame, method: str, query: Query, payload: str = "", languages: tuple[str, ...] = catalog.LANGUAGES) -> DataFrame:
+def transform(source: DataFrame, method: str, query: Query, payload: str = "", languages: tuple[str, ...] | None = None) -> DataFrame:
     """Documents (or their elements) rewritten: ``operators.rewrite.transform`` with each language's exported names and its check of the result.
     Documents with errors are rewritten, too. ``append`` places the text as ``operators.append`` says."""
     from copse.operators import append, rewrite
 
-    parts = []
+    languages, parts = registry.languages() if languages is None else languages, []
+    if "node_type" not in source.columns:
+        source = parsed_once(source.filter(F.col("language").isin(*languages)))
     for language in languages:
-        f = forest(elements_of(source, language), language, broken=True)
+        f = forest(source, language, broken=True)
         place = append.placing(language, payload) if language in append.SMART else None
         if method == "append" and not (query.kind or query.name):
             parts.append(rewrite.append_to_root(f, payload, place))

@@ -26,23 +26,25 @@ def _element(doc: Column, node_type: str, name: Column, parent: Column, **more:
     return [v.alias(k) for k, v in (base | more).items()]
 
 
-STRIDE = 1 << 20
+#: Places of an order, and of a customer.
+STRIDE, WIDTH = 1 << 32, 1 << 62
 
 
 def customers(spark: SparkSession, sf_dir: str, transparent: tuple[str, ...] = ()) -> Forest:
     """customer > order > line, one document for each customer.
 
     Orders of a customer and lines of an order are numbered by their keys, and intervals are made from those numbers with
-    gaps: a customer is [0, 2^60), its i-th order starts at i * 2^20, with the lines behind it. No node needs the size of
-    another's subtree, so the only windows are over the orders of a customer and the lines of an order.
+    gaps: a customer is [0, 2^62), its i-th order starts at i * 2^32, with the lines behind it. No node needs the size of
+    another's subtree, so the only windows are over the orders of a customer and the lines of an order. Lines that repeat a
+    number are told apart by what their elements say; those alike in that are alike.
     """
     c, o, l = (read(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
     o = o.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority").withColumn("i", F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long"))
     place = F.col("i") * STRIDE
-    every = [F.col(x) for x in sorted(l.columns)]
-    l = l.withColumn("j", F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", *every)).cast("long"))
+    l = l.select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    l = l.withColumn("j", F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_returnflag", "l_linestatus")).cast("long"))
     lines = l.select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "j").join(o.select("o_orderkey", "o_custkey", "i"), F.col("l_orderkey") == F.col("o_orderkey"))
-    nodes = c.select(*_element(F.col("c_custkey"), "customer", F.col("c_name"), F.lit(None), mktsegment=F.col("c_mktsegment"), pre=F.lit(0).cast("long"), last=F.lit((1 << 60) - 1)))
+    nodes = c.select(*_element(F.col("c_custkey"), "customer", F.col("c_name"), F.lit(None), mktsegment=F.col("c_mktsegment"), pre=F.lit(0).cast("long"), last=F.lit(WIDTH - 1)))
     nodes = nodes.unionByName(o.select(*_element(F.col("o_custkey"), "order", F.col("o_orderkey"), F.lit(0), orderstatus=F.col("o_orderstatus"), orderpriority=F.col("o_orderpriority"), pre=place, last=place + STRIDE - 1)))
     name = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
     nodes = nodes.unionByName(lines.select(*_element(F.col("o_custkey"), "line", name, place, returnflag=F.col("l_returnflag"), linestatus=F.col("l_linestatus"), pre=place + F.col("j"), last=place + F.col("j"))))
@@ -90,17 +92,26 @@ def conversations(spark: SparkSession, sf_dir: str) -> Forest:
     return Forest(roots.unionByName(turns).withColumn("args", F.array().cast("array<string>")))
 
 
+def running(sizes: Column, block: int = 256) -> Column:
+    """The running sums of an array of longs. An array grows by copying, so sums are made within blocks and over them."""
+    zero = F.lit(0).cast("long")
+    sums = lambda x: F.slice(F.aggregate(x, F.array(zero), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n))), F.lit(2), F.greatest(F.lit(1), F.size(x)))
+    starts = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / block).cast("int")), lambda k: k * block + 1)
+    parts = F.transform(starts, lambda at: sums(F.slice(sizes, at, F.lit(block))))
+    before = lambda p: F.concat(F.array(zero), sums(F.transform(p, lambda x: F.coalesce(F.try_element_at(x, F.lit(-1)), zero))))
+    shifted = lambda p: F.get(F.transform(F.array(before(p)), lambda b: F.flatten(F.transform(p, lambda x, k: F.transform(x, lambda n: n + F.get(b, k))))), F.lit(0))
+    return F.get(F.transform(F.array(parts), shifted), F.lit(0))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> Forest:
     """document > lines, with byte spans; a line's name is its text. Spans are running sums over the array of one document's
     lines, so no shuffle is needed."""
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("text").alias("whole"))
     each = F.split(F.coalesce("whole", F.lit("")), "\n")
-    sizes = F.transform(each, lambda x: F.octet_length(x).cast("long"))
-    ends = F.aggregate(sizes, F.array(F.lit(0).cast("long")), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n + 1)))
-    spans = d.withColumn("ends", ends).withColumn("l", each)
-    body = spans.select("doc", "ends", F.posexplode("l").alias("k", "text"))
-    body = body.select("doc", F.lit("line").alias("node_type"), F.col("text").alias("name"), F.lit(0).cast("long").alias("parent"), (F.col("k") + 1).cast("long").alias("pre"), (F.col("k") + 1).cast("long").alias("last"),
-                       F.get("ends", F.col("k")).alias("start_byte"), (F.get("ends", F.col("k") + 1) - 1).alias("end_byte"), "text")
+    spans = d.withColumn("l", each).withColumn("ends", running(F.transform("l", lambda x: F.octet_length(x).cast("long") + 1)))
+    line = lambda x, i: F.struct((i + 1).cast("long").alias("pre"), x.alias("text"), (F.get("ends", i) - F.octet_length(x) - 1).alias("start_byte"), (F.get("ends", i) - 1).alias("end_byte"))
+    body = spans.select("doc", F.explode(F.transform("l", line)).alias("x")).select("doc", "x.*")
+    body = body.select("doc", F.lit("line").alias("node_type"), F.col("text").alias("name"), F.lit(0).cast("long").alias("parent"), "pre", F.col("pre").alias("last"), "start_byte", "end_byte", "text")
     roots = spans.select("doc", F.lit("document").alias("node_type"), F.col("doc").cast("string").alias("name"), F.lit(None).cast("long").alias("parent"), F.lit(0).cast("long").alias("pre"), F.size("l").cast("long").alias("last"),
                          F.lit(0).cast("long").alias("start_byte"), F.octet_length(F.coalesce("whole", F.lit(""))).cast("long").alias("end_byte"), F.coalesce("whole", F.lit("")).alias("text"))
     return Forest(roots.unionByName(body).withColumn("args", F.array().cast("array<string>")))

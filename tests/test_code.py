@@ -189,3 +189,38 @@ def test_stored(spark, tmp_path):
     files.stored(docs, table)
     kept = spark.read.parquet(table)
     assert kept.filter("pre = 0").count() == 2 and kept.filter(F.col("name") == "y").count() > 0
+
+
+def _items(text):
+    """A language of one statement: each line is an item."""
+    from copse.providers.tree import Node
+
+    kids, at = [], 0
+    for line in text.split("\n"):
+        if line:
+            kids.append(Node("item", at, at + len(line)))
+        at += len(line) + 1
+    return Node("list", 0, len(text), kids)
+
+
+def _item_names(node, text):
+    from copse.providers.tree import Binding
+
+    return [Binding(node, text[node.start : node.end])] if node.type == "item" else []
+
+
+def test_registry(spark):
+    """A language that is added while the program runs is detected, parsed, selected and rewritten."""
+    from copse.functions import scalars
+    from copse.providers import registry
+
+    registry.register(registry.Provider("items", _items, _item_names, {"entry": ("item",)}, (".items",), {"e": "entry"}))
+    try:
+        found = spark.createDataFrame([("a/x.ITEMS",), ("b.py",), ("c.ex",), ("d.html",)], "p string").select(scalars.language(F.col("p")).alias("l")).collect()
+        assert [r.l for r in found] == ["items", "python", "elixir", "unknown"]
+        docs = files.inline(spark, "items", a="one\ntwo\n").unionByName(files.inline(spark, "python", b="two = 1\n"))
+        assert [(r.doc, r.kind, r.name) for r in files.select(docs, parse("entry:t*")).collect()] == [("a", "entry", "two")]
+        assert [r.modified for r in files.transform(docs, "replace", parse("entry:two"), "2").collect()] == ["one\n2\n"]
+    finally:
+        registry.unregister("items")
+    assert files.select(docs, parse("entry:t*")).count() == 0

@@ -2,9 +2,10 @@
 
 import pytest
 
-from copse.engine import Engine, RequestError
+from copse.engine import Engine, RequestError, Rules
 from copse.operators.recipe import RecipeError
 from copse.operators.safety import Limits
+from copse.sources import writer
 
 GO = "package main\n\nimport \"os\"\n\nfunc LegacyA() string {\n\treturn os.Getenv(\"X\")\n}\n\nfunc keep() int {\n\treturn 1\n}\n"
 
@@ -85,3 +86,52 @@ def test_ledger(engine):
     assert [tuple(r) for r in engine.call("apply", {"id": first["id"]}).collect()] == [(first["id"], "changed")]
     assert [tuple(r) for r in engine.call("apply", {"id": second["id"]}).collect()] == [(second["id"], "not_pending")]
     assert {r["id"]: r["status"] for r in engine.stages().collect()} == {first["id"]: "pending", second["id"]: "applied"}
+
+
+def test_limits_by_file(engine, spark):
+    """A score that the batch's check does not see fails the file's own."""
+    request = {"scope": {"path": str(engine.src), "include": ["**/*.go"]}, "target_dsl": "func:Legacy*", "replacement": "func Fresh() {}"}
+    strict = Engine(spark, engine.folder, Limits(per_file=0.99))
+    with pytest.raises(RequestError, match="a.go: limit 11004"):
+        strict.call("file_replace", request)
+    assert "LegacyA" in (engine.src / "a.go").read_text()
+    assert Engine(spark, engine.folder, Limits(per_file=0.1, mode="both", overall=0.1)).call("file_replace", request).count() == 2
+
+
+def test_auto_apply_and_limits(engine, spark):
+    request = {"language": "go", "path": str(engine.src / "b.go"), "target_dsl": "func:LegacyB", "replacement": "func NewB() {}"}
+    auto = Engine(spark, engine.folder, rules=Rules(auto_apply=True, threshold=0.5, max_applies=1))
+    row = auto.staged("s", "replace", request).first()
+    assert row["outcome"] == "applied" and "NewB" in (engine.src / "b.go").read_text()
+    assert (row["language"], row["target_type"], row["target_name"], row["content"]) == ("go", "func", "LegacyB", "func NewB() {}")
+    assert "+func NewB" in row["diff"] and row["level"] in ("low", "medium", "high") and "exported_api" in row["factors"] and '"file_size"' in row["scope"]
+    more = auto.staged("s", "replace", request | {"target_dsl": "func:NewB", "replacement": "func C() {}"}).first()
+    assert more["outcome"] == "staged" and [r["outcome"] for r in auto.call("apply", {"id": more["id"]}).collect()] == ["limit"]
+    assert "NewB" in (engine.src / "b.go").read_text()
+    source = auto.staged("other", "replace", {"language": "go", "source": GO, "target_dsl": "func:keep", "replacement": "func kept() {}"}).first()
+    assert source["outcome"] == "applied" and source["path"] is None
+    low = Engine(spark, engine.folder, rules=Rules(auto_apply=True, threshold=0.999)).staged("third", "delete", {"language": "go", "path": str(engine.src / "b.go"), "target_dsl": "func:NewB"}).first()
+    assert low["outcome"] == "staged"
+    applied = {r["id"]: (r["auto_applied"], r["applied_by"]) for r in auto.applies().withColumnRenamed("id", "a").withColumnRenamed("stage_id", "id").collect()}
+    assert applied == {row["id"]: (True, "auto"), source["id"]: (True, "auto")}
+    assert tuple(auto.metrics().first())[:3] == (4, 4, 0)
+    auto.delete_stages("s")
+    assert {r["id"] for r in auto.stages().collect()} == {more["id"], source["id"], low["id"]}
+    auto.delete_stages(ids=[low["id"]])
+    assert {r["id"] for r in auto.stages().collect()} == {more["id"], source["id"]}
+
+
+def test_apply_after_a_crash(engine, spark, monkeypatch):
+    """Files are committed and the ledger is not written: the transaction still tells which stages it applied."""
+    request = {"language": "go", "path": str(engine.src / "b.go"), "target_dsl": "func:LegacyB", "replacement": "func NewB() {}"}
+    row = engine.staged("s", "replace", request).first()
+    commit = writer.commit
+
+    def crash(tx):
+        commit(tx)
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(writer, "commit", crash)
+    with pytest.raises(KeyboardInterrupt):
+        engine.call("apply", {"id": row["id"]})
+    assert "NewB" in (engine.src / "b.go").read_text() and [r["status"] for r in engine.stages().collect()] == ["applied"]

@@ -164,3 +164,60 @@ def test_pages_of_results(spark):
     assert [r.id for r in first.collect()] == [0, 1, 2, 3] and cursor == "4"
     with pytest.raises(ValueError):
         scalars.page(spark.range(1), ["id"], "x")
+
+
+@pytest.mark.parametrize("selector", ["a:* before=b:x", "a:* after=b:x", "b:* before=a:*", "c:x after=c:*"])
+def test_siblings_against_a_walk(forests, selector):
+    """Targets below the same parent that begin behind (end ahead of) the node."""
+    trees, elements = forests
+    q = parse(selector)
+    (where, value), = q.attributes.items()
+    kind, name = value.split(":")
+    want = set()
+    for nodes in trees.values():
+        by_pre = {n[1]: n for n in nodes}
+        for n in nodes:
+            if n[4] == q.kind and q.name in ("*", n[5]) and n[3] is not None:
+                up = by_pre[n[3]]
+                targets = [t for t in nodes if t[4] == kind and name in ("*", t[5]) and up[1] < t[1] <= up[2]]
+                if any(t[6] > n[7] if where == "before" else t[7] < n[6] for t in targets):
+                    want.add((n[0], n[1]))
+    assert want and {(r.doc, r.node_pre) for r in Forest(elements).select(q).collect()} == want
+
+
+def test_spans_of_large_documents(forests, monkeypatch):
+    """Documents that are split into spans give what whole ones give."""
+    from copse.plans import forest
+
+    trees, elements = forests
+    selectors = ["a:* > b:x", "a:* > b:* > c:*", "a:* before=b:x", "a:* after=b:x"]
+    rows = lambda: [sorted((r.doc, r.node_pre) for r in Forest(elements).select(parse(s)).collect()) for s in selectors]
+    whole = rows()
+    monkeypatch.setattr(forest, "SPAN", 1)
+    assert rows() == whole
+
+
+def test_running_sums(spark):
+    from copse.sources import tables
+
+    cases = [[], [5], list(range(10)), [1] * 513, list(range(1000))]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(cases)], "i int, x array<long>").withColumn("s", tables.running(F.col("x")))
+    assert {r.i: r.s for r in df.collect()} == {i: [sum(x[: k + 1]) for k in range(len(x))] for i, x in enumerate(cases)}
+
+
+def test_diff_of_long_texts():
+    """What both texts begin and end with is set aside; the rest is the usual diff."""
+    import difflib
+
+    rng = random.Random(3)
+    for _ in range(60):
+        a = [rng.choice("abc") + str(i) for i in range(rng.randint(0, 40))]
+        b = list(a)
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randint(0, len(b))
+            b[k : k + rng.randint(0, 2)] = ["new"] * rng.randint(0, 2)
+        want = "\n".join(difflib.unified_diff(a or [""], b or [""], "original", "modified", lineterm="")) if a != b else ""
+        assert rewrite.unified("\n".join(a), "\n".join(b)) == want
+    long = "\n".join(map(str, range(200_000)))
+    assert "@@ -100001,7" not in rewrite.unified(long, long.replace("\n100000\n", "\nx\n")).split("\n")[0]
+    assert rewrite.unified(long, long.replace("\n100000\n", "\nx\n")).split("\n")[2] == "@@ -99998,7 +99998,7 @@"
