@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+import contextlib
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from copse.sources.shared import shared_dir, shared_path, written
+
+__all__ = ["among", "fresh", "in_batches", "let", "shared_dir", "shared_path", "table", "words", "written"]
 #: White space that separates words: U+0020 and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
+#: A character of a word.
+HAS_WORD = r"[^\x20\x09-\x0D]"
+#: Rows of a batch that whole texts or sets of hashes go to Python in.
+BATCH = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,47 +36,27 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    where = f"file://{tempfile.mkdtemp(prefix='copse-')}"
-    spark.conf.set("spark.checkpoint.dir", where)
-    _at_exit(spark, where)
-    return where
-
-
-def _at_exit(spark: SparkSession, path: str) -> None:
-    """Delete ``path`` when Python ends and the session still runs."""
-
-    def drop() -> None:
-        context = spark.sparkContext
-        if context._jsc is None:
-            return
-        try:
-            target = context._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001 - the JVM may be gone by now
-            pass
-
-    atexit.register(drop)
+@contextlib.contextmanager
+def in_batches(spark: SparkSession, rows: int = BATCH) -> Iterator[None]:
+    """Actions within hand at most so many rows at a time to Python, which bounds the memory of both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted at the end of the session."""
-    path = f"{shared_dir(spark)}/copse-{uuid.uuid4().hex[:12]}/{name}"
-    _at_exit(spark, path.rsplit("/", 1)[0])
-    return path
+#: Keys that are broadcast, at most: a few MB.
+KEYS = 1 << 17
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors, gives known sizes."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def among(df: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
+    """The rows of ``df`` whose ``on`` is in ``keys`` (how: left_semi) or not (left_anti; nulls stay). ``keys`` is a written
+    table of that column: it is counted, broadcast if there are ``KEYS`` or fewer, and merged with ``df`` by key if more."""
+    few = keys.limit(KEYS + 1).count() <= KEYS and keys.schema[on].dataType.typeName() not in ("string", "binary")
+    return df.join(F.broadcast(keys) if few else keys.hint("merge"), on, how)
 
 
 def fresh(taken: list[str], *names: str) -> list[str]:

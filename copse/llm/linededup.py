@@ -1,19 +1,17 @@
 """Line dedup by pairwise alignment: overlapping documents are aligned with patience diff, and the later one loses the
 blocks that both have.
 
-A line that several documents hold belongs to the earliest of them, its owner. A later document is paired with each
-owner of its lines if they share a line that is rare (held by few documents); so the pairs of a line are as many as its
-documents less one, not all pairs of them, and every repeated line of a document is aligned in exactly one pair, the one
-with its owner. Lines that are not rare never make a pair: where a document has them in a pair that rare lines made, they
-are aligned there; elsewhere the owner's line and the document's are aligned by themselves, as one line each, so that a
-passage that thousands of documents repeat goes from all but the first of them.
-
-Where a pair has lines in different orders, patience diff leaves some of them. Of these, lines that are not rare are then
-aligned by themselves, as they are without a pair; rare ones are aligned with the next earlier document that holds them,
-and so on until none is left, which for a line are fewer than ``RARE``.
-
-Aligned lines next to each other (lines without words between them count as such) are a block. Blocks of at least
-``min_words`` words are deleted.
+What two documents have to share is a run of consecutive lines with at least ``min_words`` words (lines without a word
+do not count as lines). Every line of such a block lies in a shortest run that begins or ends with it and has as many
+words, so the hashes of these shortest runs (of a line alone, if it has the words) stand for the documents: two documents
+overlap if they share one. A run belongs to the earliest document that holds it, its owner, and pairs every later holder
+with that owner only. So the pairs of a run are as many as its documents less one, however many documents hold it, and
+each run of a document is aligned in exactly one pair.
+
+In a pair the shared runs, in the order of their places, are aligned with patience diff. Runs that it leaves, as one
+document has them in another order or more often, are aligned by themselves (blocks that moved). The later document
+loses the lines of all aligned runs: the lines of every block, consecutive in both documents of one pair, that it has in
+common with an earlier document.
 """
 
 from __future__ import annotations
@@ -22,15 +20,19 @@ import bisect
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from copse.llm.common import SPACE, fresh, table, written
+from copse.llm.common import HAS_WORD, fresh, in_batches, let, table, written
 
-#: A line is rare if so many documents hold it at most.
-RARE = 20
 #: Words of a block that is deleted, at least.
 MIN_WORDS = 8
+#: Runs of a record batch that Python hands to Spark.
+RUNS_OF_BATCH = 1 << 14
 
 
 def _longest_increasing(values: list[int]) -> list[int]:
@@ -81,163 +83,130 @@ def _unique(x: list, start: int, end: int) -> dict:
     return {v: i for v, i in seen.items() if i >= 0}
 
 
-def aligned(shared: list[tuple[int, list[int], list[int]]]) -> list[int]:
-    """Places in the later document that patience diff aligns with the owner. shared: (line, places in it, in the owner)."""
-    later = sorted((p, line) for line, own, _ in shared for p in own)
-    owner = sorted((p, line) for line, _, other in shared for p in other)
-    return [later[i][0] for i, _ in patience([x for _, x in later], [x for _, x in owner])]
-
-
-def with_owner(shared: list[tuple[list[int], list[int], bool]]) -> tuple[list[int], dict[int, list[int]]]:
-    """Places in the later document that are aligned with the owner, and the places of rare lines that are left, by the
-    line's place in ``shared``: (places in it, in the owner, rare)."""
-    if not any(rare for *_, rare in shared):
-        return [p for own, other, _ in shared for p in own[: len(other)]], {}
-    found = set(aligned([(k, own, other) for k, (own, other, _) in enumerate(shared)]))
-    out, left = sorted(found), {}
-    for k, (own, other, rare) in enumerate(shared):
-        rest = [p for p in own if p not in found]
-        if rare and rest:
-            left[k] = rest
-        elif rest:  # as many as the owner has besides the aligned ones
-            out += rest[: max(0, len(other) - (len(own) - len(rest)))]
-    return out, left
-
-
-def with_holders(held: list[tuple[object, object, list[int], list[int]]]) -> list[int]:
-    """Places that are aligned with one holder after the other, of those that the holders before left. held: (holder, line,
-    places in the later document, in the holder)."""
-    by_holder: dict = {}
-    for holder, *shared in held:
-        by_holder.setdefault(holder, []).append(shared)
-    out: set[int] = set()
-    for holder in sorted(by_holder):
-        out |= set(aligned([(line, [p for p in own if p not in out], other) for line, own, other in by_holder[holder]]))
-    return sorted(out)
-
-
-def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, line (128 bits as a struct) and places of each distinct line with a word of each row. Lines are equal if they are
-    once white space around them is cut off. Rows are told apart by key; equal keys are one document."""
-    each = docs.select(F.col(key).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("place", "whole"))
-    each = each.select("id", "place", F.regexp_replace("whole", rf"^{SPACE}|{SPACE}$", "").alias("l")).filter("l <> ''")
-    return each.select("id", "place", F.struct(F.xxhash64("l").alias("a"), F.xxhash64(F.lit(7), F.col("l")).alias("b")).alias("line"))
-
-
-def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", rare: int = RARE) -> DataFrame:
-    """id and places (array of int) of the lines of each document that are aligned with an earlier document's.
-
-    Null keys take no part. Every step's groups are bounded by a document's own lines, but for the counts of lines, which
-    are combined before the shuffle, and the join to their owners, which Spark splits where a line is in a third of all rows.
-    """
-    own = lines(docs.filter(F.col(key).isNotNull()), key, text).groupBy("id", "line").agg(F.sort_array(F.collect_set("place")).alias("places"))
-    own = written(own, "lines")
-    owners = own.groupBy("line").agg(F.min(F.struct("id", "places")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    owners = written(owners.select("line", F.col("first.id").alias("owner"), F.col("first.places").alias("owner_places"), "n"), "owners")
-    met = own.join(owners, "line").filter("id <> owner").select("id", "owner", "places", "owner_places", (F.col("n") <= rare).alias("rare"), "line")
-    pairs = met.groupBy("id", "owner").agg(F.collect_list(F.struct("places", "owner_places", "rare", "line")).alias("shared"))
-
-    @F.pandas_udf("struct<places:array<int>,left:array<struct<k:int,places:array<int>>>>")
-    def owned(shared: pd.Series) -> pd.DataFrame:
-        found = [with_owner([(list(r["places"]), list(r["owner_places"]), r["rare"]) for r in x]) for x in shared]
-        return pd.DataFrame({"places": [p for p, _ in found], "left": [[{"k": k, "places": v} for k, v in left.items()] for _, left in found]})
-
-    @F.pandas_udf("array<int>")
-    def later(held: pd.Series) -> pd.Series:
-        return pd.Series([with_holders([(r["holder"], r["line"], list(r["places"]), list(r["other"])) for r in x]) for x in held])
-
-    plain = F.transform("shared", lambda r: F.struct(r["places"].alias("places"), r["owner_places"].alias("owner_places"), r["rare"].alias("rare")))
-    line_of = lambda x: F.struct(F.get("shared", x["k"])["line"].alias("line"), x["places"].alias("places"))
-    first = pairs.select("id", "owner", "shared", owned(plain).alias("o"))
-    first = written(first.select("id", "owner", "o.places", F.transform("o.left", line_of).alias("left")), "owned")
-    left = first.select("id", "owner", F.explode("left").alias("l")).select(F.col("id").alias("later"), "owner", "l.line", F.col("l.places").alias("left"))
-    held = left.join(own, "line").filter("id < later and id <> owner").select("later", F.struct(F.col("id").alias("holder"), F.xxhash64("line").alias("line"), F.col("left").alias("places"), F.col("places").alias("other")).alias("h"))
-    second = held.groupBy("later").agg(F.collect_list("h").alias("held")).select(F.col("later").alias("id"), later("held").alias("places"))
-    marks = first.select("id", F.explode("places").alias("place")).union(second.select("id", F.explode("places").alias("place")))
-    return marks.groupBy("id").agg(F.sort_array(F.collect_set("place")).alias("places"))
-
-
-def deleted(lines_: list[str], places: list[int], min_words: int = MIN_WORDS) -> set[int]:
-    """Places that go: those of blocks with enough words."""
-    marked, out, block, n = set(places), set(), [], 0
-    for i, line in enumerate([*lines_, "x"]):
-        count = len(line.split())
-        if i in marked or not count:
-            block.append(i)
-            n += count
-        else:
-            if n >= min_words:
-                out |= {i for i in block if i in marked}
-            block, n = [], 0
+def aligned(shared: list[tuple[int, list[int], list[int]]]) -> list[tuple[int, int, int, bool]]:
+    """(place in the later document, place in the owner, size, moved) of every shared run, by the first place. shared: of
+    each run its size in lines, its places in the later document and in the owner."""
+    later = sorted((p, k) for k, (_, own, _) in enumerate(shared) for p in own)
+    owner = sorted((p, k) for k, (_, _, other) in enumerate(shared) for p in other)
+    in_order = {later[i]: owner[j][0] for i, j in patience([k for _, k in later], [k for _, k in owner])}
+    return [(p, in_order.get((p, k), shared[k][2][0]), shared[k][0], (p, k) not in in_order) for p, k in later]
+
+
+def runs(text: bytes, min_words: int = MIN_WORDS) -> dict[bytes, tuple[int, list[int]]]:
+    """Of a whole text the shortest runs of lines that have ``min_words`` words, from each line on and up to each line:
+    {hash (128 bits): (lines, places)}. Lines are told apart without the white space around them; places count those
+    that have a word."""
+    some = [x for x in map(bytes.strip, text.split(b"\n")) if x]
+    n = len(some)
+    words = [min(min_words, len(x.split(None, min_words))) for x in some]  # no more words are counted than a run needs
+    found = set()
+    end = total = 0
+    for i in range(n):
+        while end < n and total < min_words:
+            total += words[end]
+            end += 1
+        if total < min_words:
+            break
+        found.add((i, end))
+        total -= words[i]
+    start, total = n, 0
+    for j in range(n, 0, -1):
+        while start and total < min_words:
+            start -= 1
+            total += words[start]
+        if total < min_words:
+            break
+        found.add((start, j))
+        total -= words[j - 1]
+    out: dict[bytes, tuple[int, list[int]]] = {}
+    for i, j in sorted(found):
+        out.setdefault(xxhash.xxh3_128_digest(some[i] if j == i + 1 else b"\n".join(some[i:j])), (j - i, []))[1].append(i)
     return out
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", rare: int = RARE, min_words: int = MIN_WORDS) -> DataFrame:
-    """Every row of ``docs`` with its text less the deleted lines, and n_deleted, the number of them.
-
-    Documents are ordered by key. A null text stays null; a document all of whose lines go has an empty text. Rows with a
-    null key stay as they are; rows with equal keys are one document, cut alike. A column n_deleted of ``docs`` gives way.
-    """
-    kept = [c for c in docs.columns if c.lower() != "n_deleted"]
-    id_, gone, parts = fresh([*kept, "n_deleted"], "id", "places", "parts")
-    marks = written(repeated(docs, key, text, rare).withColumnsRenamed({"id": id_, "places": gone}), "repeated_lines")
-    out = docs.select(*kept).join(marks.hint("merge"), F.col(key) == F.col(id_), "left")  # no bound on marks: never broadcast
-    out = out.withColumn(parts, F.split(text, "\n"))
-    drop = _deleted(F.col(parts), F.col(gone), min_words)
-    out = out.withColumn(gone, F.when(F.col(gone).isNotNull(), drop))
-    cut = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(gone, i)), "\n")
-    whole = F.when(F.size(gone) > 0, cut).otherwise(F.col(text)).alias(text)
-    return out.select(*[whole if c == text else F.col(c) for c in kept], F.coalesce(F.when(F.size(gone) >= 0, F.size(gone)), F.lit(0)).alias("n_deleted"))
+def run_table(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """k (key), t (hash of the text), run (hash), size (lines) and places of every distinct run of each row."""
+    schema = T.StructType([T.StructField("k", docs.schema[key].dataType), *T._parse_datatype_string("t long, run binary, size int, places array<int>").fields])
+    types = to_arrow_schema(schema)
 
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[list] = [[], [], [], []]
 
-def _deleted(parts: Column, places: Column, min_words: int) -> Column:
-    @F.pandas_udf("array<int>")
-    def of(lines_: pd.Series, marked: pd.Series) -> pd.Series:
-        return pd.Series([None if m is None or x is None else sorted(deleted([_spaced(y) for y in x], list(m), min_words)) for x, m in zip(lines_, marked)])
+            def made() -> pa.RecordBatch:
+                which = pa.array(rows[0], pa.int64())  # noqa: B023
+                columns = [batch.column(0).take(which), batch.column(1).take(which), *rows[1:]]  # noqa: B023
+                return pa.RecordBatch.from_arrays([x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, types)], schema=types)
 
-    return of(parts, places)
+            for i, x in enumerate(batch.column(2)):
+                for run, (size, places) in runs(x.as_py(), min_words).items():
+                    for to, value in zip(rows, (i, run, size, places)):
+                        to.append(value)
+                if len(rows[0]) >= RUNS_OF_BATCH:
+                    yield made()
+                    rows = [[], [], [], []]
+            if rows[0]:
+                yield made()
 
+    whole = F.col(f"`{text}`")
+    return docs.filter(whole.isNotNull()).select(F.col(f"`{key}`").alias("k"), F.xxhash64(whole).alias("t"), F.encode(whole, "UTF-8").alias("x")).mapInArrow(of, schema)
 
-#: White space that str.split cuts at but words here do not end at.
-_OTHER = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
-_TABLE = dict.fromkeys(map(ord, _OTHER), "x")
 
+def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """k, t and blocks of each document that shares a run with an earlier one: array of (owner, place, owner_place, size,
+    moved), each a run of ``size`` lines that both have. Places count the lines with a word.
 
-def _spaced(line: str) -> str:
-    """The line with other white space than this package's as letters, so that str.split gives the same words."""
-    return line.translate(_TABLE) if not line.isascii() or any(c in line for c in _OTHER[:4]) else line
+    A document is a key and a text (rows that repeat both are one), and comes before others by key, then by the hash of
+    the text. Null keys and texts take no part. What one task gathers is bounded by a document's own lines and their
+    places in their owners; owners are minima, combined before the shuffle, and Spark splits the join to them where a run
+    is in a third of all rows.
+    """
+    spark = docs.sparkSession
+    with in_batches(spark):
+        own = written(run_table(docs.filter(F.col(f"`{key}`").isNotNull()), key, text, min_words), "runs")
+    of = own.groupBy("run").agg(F.min(F.struct("k", "t", "places")).alias("first"), F.max(F.struct("k", "t")).alias("last"))
+    of = of.filter((F.col("first.k") != F.col("last.k")) | (F.col("first.t") != F.col("last.t")))
+    of = written(of.select("run", F.col("first.k").alias("owner"), F.col("first.t").alias("owner_t"), F.col("first.places").alias("other")), "owners")
+    met = own.join(of, "run").filter((F.col("k") != F.col("owner")) | (F.col("t") != F.col("owner_t")))
+    pairs = met.groupBy("k", "t").agg(F.collect_set(F.struct("owner", "owner_t", "size", "places", "other")).alias("shared"))
+
+    @F.pandas_udf(f"array<struct<owner:{own.schema['k'].dataType.simpleString()},place:int,owner_place:int,size:int,moved:boolean>>")
+    def found(shared: pd.Series) -> pd.Series:
+        def one(rows: list) -> list[dict]:
+            by: dict = {}
+            for r in rows:
+                by.setdefault((r["owner"], r["owner_t"]), []).append((r["size"], list(r["places"]), list(r["other"])))
+            return [{"owner": o, "place": p, "owner_place": q, "size": n, "moved": m} for o, t in sorted(by) for p, q, n, m in aligned(sorted(by[o, t], key=lambda x: x[1]))]
+
+        return shared.map(one)
+
+    return pairs.select("k", "t", found("shared").alias("blocks"))
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """Every row of ``docs`` with its text less the lines of its blocks, and n_deleted, the number of them.
+
+    Documents are ordered by key (of equal keys with different texts, by a hash of the text). Lines without a word stay.
+    A null text stays null; a document all of whose lines go has an empty text. Rows with a null key stay as they are.
+    Rows equal in key and text are one document and are cut alike. A column n_deleted of ``docs`` gives way. An empty
+    table gives an empty one.
+    """
+    kept = [c for c in docs.columns if c.lower() != "n_deleted"]
+    k, t, gone, parts = fresh([*kept, "n_deleted"], "k", "t", "places", "parts")
+    name = lambda c: F.col(f"`{c}`")
+    lines_of = F.flatten(F.transform("blocks", lambda b: F.sequence(b["place"], b["place"] + b["size"] - 1)))
+    with in_batches(docs.sparkSession):
+        marks = written(blocks(docs, key, text, min_words).select(F.col("k").alias(k), F.col("t").alias(t), F.array_distinct(lines_of).alias(gone)), "repeated_lines")
+    out = docs.select(*map(name, kept)).join(marks.hint("merge"), (name(key) == F.col(k)) & (F.xxhash64(name(text)) == F.col(t)), "left")  # no bound on marks: never broadcast
+    out = out.withColumn(parts, F.when(name(gone).isNotNull(), F.split(name(text), "\n")))
+    places = F.sequence(F.lit(0), F.size(parts) - 1)
+    with_word = F.filter(places, lambda i: F.get(name(parts), i).rlike(HAS_WORD))
+    stay = let(with_word, lambda w: F.array_except(places, F.transform(gone, lambda i: F.get(w, i))))
+    cut = F.array_join(F.transform(stay, lambda i: F.get(name(parts), i)), "\n")
+    whole = F.when(name(gone).isNotNull(), cut).otherwise(name(text)).alias(text)
+    return out.select(*[whole if c == text else name(c) for c in kept], F.coalesce(F.when(name(gone).isNotNull(), F.size(gone)), F.lit(0)).alias("n_deleted"))
 
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: lines deleted, and what is left of the text."""
     return deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "n_deleted", F.octet_length("text").alias("n_bytes"), F.md5("text").alias("text_md5"))
-
-
-def brute_force(docs: list[tuple[int, str | None]], rare: int = RARE, min_words: int = MIN_WORDS) -> dict[int, tuple[int, str | None]]:
-    """The same on lists, for tests: {key: (lines deleted, text)}."""
-    import re
-
-    split = {k: (t or "").split("\n") for k, t in docs}
-    trimmed = {k: [re.sub(rf"^{SPACE}|{SPACE}$", "", x) for x in v] for k, v in split.items()}
-    held: dict[str, list[int]] = {}
-    for k in sorted(split):
-        for x in dict.fromkeys(trimmed[k]):
-            if x:
-                held.setdefault(x, []).append(k)
-    out = {}
-    for k, t in docs:
-        by_owner: dict[int, list[str]] = {}
-        for x in dict.fromkeys(trimmed[k]):
-            if x and held[x][0] != k:
-                by_owner.setdefault(held[x][0], []).append(x)
-        marked: set[int] = set()
-        left: dict[str, list[int]] = {}
-        places = lambda d, x: [i for i, y in enumerate(trimmed[d]) if y == x]
-        for owner, shared in by_owner.items():
-            found, rest = with_owner([(places(k, x), places(owner, x), len(held[x]) <= rare) for x in shared])
-            marked |= set(found)
-            left |= {shared[i]: v for i, v in rest.items()}
-        marked |= set(with_holders([(h, x, v, places(h, x)) for x, v in left.items() for h in held[x][1:] if h < k]))
-        gone = deleted([_spaced(x) for x in split[k]], sorted(marked), min_words)
-        out[k] = (len(gone), t if not gone else "\n".join(x for i, x in enumerate(split[k]) if i not in gone))
-    return out
