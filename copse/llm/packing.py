@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from copse.llm.common import fresh, table, written
+from copse.llm.common import fresh, in_batches, table, written
 
 LENGTH = 2048
 END = 0  # the id after each document
@@ -34,27 +34,36 @@ END = 0  # the id after each document
 RUN = 1024
 
 
+@functools.cache
+def _tokenizer(name: str):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+
+
 @functools.cache
 def _encoders(name: str):
-    """The tokenizer of ``name``.json, and two encodings with the same vocabulary and merges: for texts with no two white
-    spaces in a row a pattern without look-ahead splits the same and is faster."""
+    """Two encodings with the vocabulary and merges of ``name``.json: that for texts with no two white spaces in a row has
+    a pattern without look-ahead, which splits them the same and is faster. And the strings of special tokens."""
     import base64
+    import json
 
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(f"{name}.tiktoken"), "rb"))}
+    with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     made = [tiktoken.Encoding(f"own{i}", pat_str=p, mergeable_ranks=ranks, special_tokens={})._core_bpe for i, p in enumerate((public_tokenizers.PATTERN, public_tokenizers.PATTERN.replace(r"\s+(?!\S)|", "")))]
-    special = [t.content for t in slow.get_added_tokens_decoder().values()]
-    return slow, *made, special
+    with open(public_tokenizers.path(f"{name}.json"), "rb") as whole:
+        special = [t["content"] for t in json.load(whole)["added_tokens"]]
+    return *made, special
 
 
 _RUNS = re.compile(r"\s\s|\s\Z")
-_SPACES = re.compile(r"\s+")
 #: Longer runs of white space go to the tokenizer itself: tiktoken gives up on one of about a million.
 LONG_RUN = 100_000
+_LONG_RUN = re.compile(rf"\s{{{LONG_RUN + 1}}}")
 
 
 def token_ids(text: str | None, name: str = "byte_bpe_50k") -> np.ndarray:
@@ -63,10 +72,10 @@ def token_ids(text: str | None, name: str = "byte_bpe_50k") -> np.ndarray:
     Texts that hold a special token's string or a long run of white space go to that tokenizer itself; others are encoded
     from the same ranks.
     """
-    slow, full, plain, special = _encoders(name)
+    full, plain, special = _encoders(name)
     text = text or ""
-    if any(s in text for s in special) or (len(text) > LONG_RUN and any(m.end() - m.start() > LONG_RUN for m in _SPACES.finditer(text))):
-        ids = slow.encode(text, add_special_tokens=False).ids
+    if any(s in text for s in special) or (len(text) > LONG_RUN and _LONG_RUN.search(text)):
+        ids = _tokenizer(name).encode(text, add_special_tokens=False).ids
     else:
         ids = (full if _RUNS.search(text) else plain).encode_ordinary(text)
     return np.array(ids, "<u4")
@@ -250,4 +259,6 @@ def packed(pieces_: DataFrame, length: int = LENGTH, key: str = "doc_id") -> Dat
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     docs = table(spark, sf_dir, "documents")
-    return packed(written(pieces(docs), "pieces")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    with in_batches(spark):
+        cut_up = written(pieces(docs), "pieces")
+    return packed(cut_up).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
