@@ -1,11 +1,16 @@
 """Exact top-k by inner product over an impact-ordered, score-at-a-time index.
 
-Components are whole numbers. The index is a table of blocks of vectors. Each block has one posting for each component of
-each vector (its place and its impact, the component quantised to fourteen bits and a sign), sorted by descending impact and
-cut into segments. Queries process segment after segment for all vectors of a block: a posting adds the query's component
-times its impact to its vector's score. All components not yet met have at most the next segment's impact, which bounds
-what each vector can still gain or lose; once that proves that few vectors can be among the best k, processing stops, and
-those possible members are scored exactly with their whole components. The best k of each block are merged by query.
+Components are whole numbers. The index is a table of blocks of vectors. A block has one posting for each component of each
+vector (its place and its impact, the component quantised to fourteen bits and a sign), in segments by descending impact.
+Queries take segment after segment: a posting adds the query's component times its impact to its vector's score. For every
+vector and segment the index holds the length of what the segments up to there leave of the vector (components not yet
+met, and what quantising cut off). Times the query's length it bounds how far the score is off (Cauchy-Schwarz), which
+proves which vectors can be among the best k; once these are few, processing stops, and they are scored exactly with their
+whole components.
+
+The first block of each length gives every query a score that its k-th best reaches at least. All other blocks are asked
+with that threshold: a block whose largest and smallest components cannot reach it is skipped without its postings being
+read, and in the others it cuts the members down sooner than the block's own scores could.
 """
 
 from __future__ import annotations
@@ -20,17 +25,17 @@ from pyspark.sql import Window as W
 
 from copse.llm.common import table, written
 
-#: Vectors of a block, and queries of a block, about; fewer of long vectors, so that a block has so many components.
+#: Vectors of a block, and queries of a part, at most; fewer of long vectors, so that either has so many components, about.
 BLOCK = QUERIES = 4096
 COMPONENTS = 1 << 18
 #: Bits of an impact, and the segments by descending impact: each ends with the last impact that so large a share of the
-#: postings reaches (equal impacts are never parted). Nothing can be proven much before half of them are met.
+#: postings reaches (equal impacts are never parted).
 BITS = 14
-SEGMENTS = (0.5, 0.75, 0.9, 1.0)
-#: Scores held at a time (queries times vectors).
-SCORES = 1 << 20
-#: Queries that are asked first whether a proof is near.
-PROBE = 8
+SEGMENTS = (0.2, 0.35, 0.45, 0.55, 0.65, 0.75, 0.85, 0.93, 1.0)
+#: Queries whose scores of a block are held at a time.
+ASKED = 128
+#: Of a vector's length, so large a share may be lost to rounding by an operation on floats.
+ROUNDING = 2.0**-23
 
 
 def quantised(vector: Column, factor: int = 64) -> Column:
@@ -41,93 +46,109 @@ def quantised(vector: Column, factor: int = 64) -> Column:
 
 
 class Postings:
-    """Postings of one block in impact order. slots: vector * dimensions + dimension; impacts: signed, in quanta; ends: of
-    each segment. A component v with impact i lies within sign(v) * [|i| * quantum, |i| * quantum + quantum - 1]."""
+    """Postings of one block. slots: vector * dimensions + dimension; impacts: signed, in quanta; both by segment and then by
+    dimension; ends: of each segment; left: for each segment and vector the length of what is left of it, in quanta.
+    A component v with impact i is taken for sign(v) * (|i| + half of what a quantum leaves open), for 0 if its impact is 0."""
 
-    def __init__(self, shape: tuple[int, int], quantum: int, slots: np.ndarray, impacts: np.ndarray, ends: np.ndarray) -> None:
-        self.shape, self.quantum, self.slots, self.impacts, self.ends = shape, quantum, slots, impacts, ends
+    def __init__(self, shape: tuple[int, int], quantum: int, slots: np.ndarray, impacts: np.ndarray, ends: np.ndarray, left: np.ndarray) -> None:
+        self.shape, self.quantum, self.slots, self.impacts, self.ends, self.left = shape, quantum, slots, impacts, ends, left.reshape(len(ends), shape[0])
+        self.read = 0  # postings times queries, so far
 
     @classmethod
     def of(cls, vectors: np.ndarray) -> Postings:
-        flat = vectors.ravel()
+        flat, (n, dims) = vectors.ravel(), vectors.shape
         size = np.abs(np.maximum(flat, np.iinfo(np.int64).min + 1))  # the smallest long has no absolute value
         quantum = 1 << max(0, int(size.max(initial=0)).bit_length() - BITS)
         size = size // quantum
-        slots = np.argsort(-size, kind="stable")
-        size = size[slots]
-        impacts = np.where(flat[slots] < 0, -size, size)
-        ends = np.searchsorted(-size, [-size[max(0, int(x * len(size)) - 1)] for x in SEGMENTS], side="right")
-        return cls(vectors.shape, quantum, slots.astype(np.int32), impacts.astype(np.int16), ends.astype(np.int32))
-
-    def members(self, queries: np.ndarray, k: int) -> list[np.ndarray]:
-        """For each query the rows of all vectors that can be among its ``k`` best, ties with the k-th included."""
+        order = np.argsort(-size, kind="stable")
+        ends = np.unique(np.searchsorted(-size[order], [-size[order[max(0, int(x * len(size)) - 1)]] for x in SEGMENTS], side="right"))
+        segment = np.empty(len(size), np.int64)
+        segment[order] = np.searchsorted(ends, np.arange(len(size)), side="right")
+        slots = np.lexsort((np.arange(len(size)), np.arange(len(size)) % dims, segment))
+        impacts = np.where(flat < 0, -size, size)
+        exact = vectors / quantum
+        rest, taken, segment = exact, cls._taken(impacts, quantum).reshape(n, dims), segment.reshape(n, dims)
+        rounded = np.sqrt((exact * exact).sum(1)) * (dims + 8) * ROUNDING
+        left = []
+        for k in range(len(ends)):
+            rest = np.where(segment == k, exact - taken, rest)
+            left.append(np.sqrt((rest * rest).sum(1)) + rounded)
+        return cls((n, dims), quantum, slots.astype(np.int32), impacts[slots].astype(np.int16), ends.astype(np.int32), np.nextafter(np.array(left, np.float32), np.float32(np.inf)))
+
+    @staticmethod
+    def _taken(impacts: np.ndarray, quantum: int) -> np.ndarray:
+        return impacts + np.sign(impacts) * ((quantum - 1) / (2 * quantum))
+
+    def members(self, queries: np.ndarray, k: int, floor: np.ndarray) -> list[np.ndarray]:
+        """For each query (doubles) the rows of all vectors that can be among its ``k`` best and score ``floor`` or more."""
         n, dims = self.shape
-        if n <= k:
-            return [np.arange(n)] * len(queries)
-        sizes = np.abs(queries)
-        all_of = sizes.sum(1, keepdims=True)
-        score, met = np.zeros((len(queries), n)), np.zeros((len(queries), n))
-        slack = (self.quantum - 1) / 2  # a posting adds the middle of its range
-        begin = 0
-        for end in self.ends.tolist():
-            if end == begin:
-                continue
-            here, impact = self.slots[begin:end], self.impacts[begin:end].astype(np.float64)
-            values, there = np.zeros(n * dims), np.zeros(n * dims)
-            values[here] = impact * self.quantum + np.where(impact < 0, -slack, slack)
-            if slack:  # the sign of a component of impact 0 is not stored: its range is on either side
-                values[here[impact == 0]] = 0
-            there[here] = 1
-            score += queries @ values.reshape(n, dims).T
-            met += sizes @ there.reshape(n, dims).T
-            begin = end
-            last = end == n * dims
-            most = self.quantum * (int(abs(self.impacts[end])) + 1) - 1 if not last else 0  # of a component not yet met
-            # postings of impact 0 are off by up to a quantum less one, others by half of that
-            width = (2 * slack if self.impacts[end - 1] == 0 else slack) * met + most * (all_of - met)
-            if not last and _hits(score[:PROBE], width[:PROBE], k).sum() > 4 * k * PROBE:
-                continue  # a few queries tell that it is too early for the others
-            hits = _hits(score, width, k)
-            if last or hits.sum() <= 2 * k * len(queries):
+        if not len(queries):
+            return []
+        length = np.sqrt((queries * queries).sum(1)) * self.quantum  # scores here are shares of it
+        length[length == 0] = 1
+        by_dim = np.ascontiguousarray((queries / (length / self.quantum)[:, None]).T.astype(np.float32))
+        floor = (floor / length).astype(np.float32)
+        floor = floor - np.abs(floor) * np.float32(8 * ROUNDING)
+        rows, dim, values = self.slots // dims, self.slots % dims, self._taken(self.impacts, self.quantum).astype(np.float32)
+        score, begin = np.zeros((n, len(queries)), np.float32), 0
+        added, met = np.empty_like(score), np.empty_like(score)
+        for end, left in zip(self.ends.tolist(), self.left):
+            cuts = begin + np.searchsorted(dim[begin:end], np.arange(dims + 1))
+            for d in range(dims):
+                at = rows[cuts[d] : cuts[d + 1]]  # a vector has one posting of a dimension
+                if len(at):
+                    np.multiply(values[cuts[d] : cuts[d + 1], None], by_dim[d], out=added[: len(at)])
+                    score.take(at, axis=0, out=met[: len(at)], mode="clip")
+                    score[at] = np.add(added[: len(at)], met[: len(at)], out=met[: len(at)])
+            self.read += (end - begin) * len(queries)
+            ahead, begin = int(self.ends[-1]) - end, end
+            if 2 * ahead > n * dims:
+                continue  # too early for a proof
+            reached = floor
+            if n >= k and not np.isfinite(floor).all():
+                reached = np.maximum(floor, np.partition(score - left[:, None], n - k, axis=0)[n - k])
+            hits = score + left[:, None] >= reached
+            if hits.sum() * dims <= ahead * len(queries) // 4 or not ahead:  # scoring them takes less than going on
                 break
-        rows, cols = np.nonzero(hits)
-        return np.split(cols, np.searchsorted(rows, np.arange(1, len(queries))))
+        return [np.flatnonzero(h) for h in hits.T]
 
 
-def _hits(score: np.ndarray, width: np.ndarray, k: int) -> np.ndarray:
-    """Which scores can be among the ``k`` best of their row, each being off by its width at most."""
-    at = score.shape[1] - k
-    return score + width >= np.partition(score - width, at, axis=1)[:, at, None]  # k scores surely reach that
-
-
-def _exact(queries: np.ndarray, vectors: np.ndarray) -> bool:
-    """Whether doubles hold every sum of products, and its bounds in halves, exactly."""
+def _safe(queries: np.ndarray, vectors: np.ndarray) -> bool:
+    """Whether longs hold every sum of products."""
     largest = lambda x: max(abs(int(x.max(initial=0))), abs(int(x.min(initial=0))))
-    return largest(queries) * largest(vectors) * max(1, vectors.shape[1]) < 1 << 50
+    return largest(queries) * largest(vectors) * max(1, vectors.shape[1]) < 1 << 63
 
 
-def top_of_block(qids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, postings: Postings | None = None) -> Iterator[tuple[int, int, int]]:
-    """(query id, vector id, score) of the ``k`` best vectors for each query, its own id left out, ties to the smaller id."""
+def top_of_block(qids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, floor: np.ndarray | None = None, postings: Postings | None = None) -> Iterator[tuple[int, int, int]]:
+    """(place of the query, vector id, score) of the ``k`` best vectors for each query that score its ``floor`` or more, its
+    own id left out, ties to the smaller id. A score that no long holds is the largest or smallest long."""
     own = int(np.unique(ids, return_counts=True)[1].max(initial=1))  # so many rows may have the query's id
-    exact = _exact(queries, vectors)
-    if not exact:
-        queries, vectors = queries.astype(object), vectors.astype(object)
-    elif postings is None:
-        postings = Postings.of(vectors)
-    step = max(1, SCORES // max(1, len(ids)))
-    for at in range(0, len(qids), step):
-        some = slice(at, at + step)
-        members = postings.members(queries[some].astype(np.float64), k + own) if exact else [np.arange(len(ids))] * len(qids[some])
-        for q, vector, rows in zip(qids[some], queries[some], members):
-            rows = rows[ids[rows] != q]
-            scores = vectors[rows] @ vector
-            order = np.lexsort((ids[rows], -scores))[:k] if exact else sorted(range(len(rows)), key=lambda i: (-scores[i], ids[rows[i]]))[:k]
-            for i in order:
-                yield int(q), int(ids[rows[i]]), int(scores[i])
+    postings = postings or Postings.of(vectors)
+    floor = np.full(len(qids), -np.inf) if floor is None else floor
+    # nothing of a block reaches a query's floor if its largest and smallest components do not
+    most, least, doubles = vectors.max(0).astype(np.float64), vectors.min(0).astype(np.float64), queries.astype(np.float64)
+    reach = np.maximum(doubles * most, doubles * least).sum(1) + ROUNDING * (np.abs(doubles) * np.maximum(np.abs(most), np.abs(least))).sum(1)
+    some = np.flatnonzero(reach >= floor)
+    low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    plain = _safe(queries, vectors)
+    for at in range(0, len(some), ASKED):
+        part = some[at : at + ASKED]
+        for i, rows in zip(part, postings.members(doubles[part], k + own, floor[part])):
+            if not plain:  # all that are beyond a long are alike
+                rows = np.union1d(rows, np.flatnonzero(np.abs(vectors.astype(np.float64) @ doubles[i]) >= 2.0**63 * (1 - 1e-6)))
+            rows = rows[ids[rows] != qids[i]]
+            if plain:
+                scores = vectors[rows] @ queries[i]
+            else:
+                exact = vectors[rows].astype(object) @ queries[i].astype(object)
+                scores = np.array([min(max(x, low), high) for x in exact], np.int64)
+            order = np.lexsort((ids[rows], ~scores))[:k]  # ~x is -x - 1, which every long has
+            for j in order:
+                yield int(i), int(ids[rows[j]]), int(scores[j])
 
 
 #: A block of the index: ids, vectors one after the other, and its postings.
-INDEX = "n int, block long, ids array<long>, vectors array<long>, quantum long, slots array<int>, impacts array<short>, ends array<int>"
+INDEX = "n int, block long, ids array<long>, vectors array<long>, quantum long, slots array<int>, impacts array<short>, ends array<int>, left array<float>"
 
 
 def index(rows: DataFrame) -> DataFrame:
@@ -135,55 +156,61 @@ def index(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for n, block, ids, flat in batch[["n", "block", "ids", "vectors"]].itertuples(index=False):
-                vectors = np.asarray(flat, np.int64).reshape(len(ids), n)
-                p = Postings.of(vectors)
-                yield pd.DataFrame({"n": [n], "block": [block], "ids": [ids], "vectors": [flat], "quantum": [p.quantum], "slots": [p.slots], "impacts": [p.impacts], "ends": [p.ends]})
+            for n, block, ids, flat in batch[["n", "block", "id", "v"]].itertuples(index=False):
+                p = Postings.of(np.asarray(flat, np.int64).reshape(len(ids), n))
+                yield pd.DataFrame({"n": [n], "block": [block], "ids": [ids], "vectors": [flat], "quantum": [p.quantum], "slots": [p.slots], "impacts": [p.impacts], "ends": [p.ends], "left": [p.left.ravel()]})
+
+    return _gathered(rows, ("n", "block"), ("id",)).mapInPandas(run, INDEX)
 
-    return _gathered(rows, "n", "block").mapInPandas(run, INDEX)
 
+def _gathered(rows: DataFrame, by: tuple[str, ...], each: tuple[str, ...]) -> DataFrame:
+    """Arrays of ``each`` and v (one vector after the other) of the rows of each block."""
+    found = rows.groupBy(*by).agg(F.collect_list(F.struct(*each, "v")).alias("rows"))
+    return found.select(*by, *[F.col(f"rows.{x}").alias(x) for x in each], F.flatten("rows.v").alias("v"))
 
-def _gathered(rows: DataFrame, *by: str) -> DataFrame:
-    """ids and vectors (one after the other) of the rows of each block."""
-    each = rows.groupBy(*by).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-    return each.select(*by, F.col("rows.id").alias("ids"), F.flatten("rows.v").alias("vectors"))
+
+FOUND = "query long, query_id long, vec_id long, score long"
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", factor: int = 64) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the ``k`` best rows for each row that ``is_query`` picks.
 
     Rows whose vector is null or holds null or non-finite components, or whose key is null, take no part, and neither do
-    vectors of another length than the query's. A row with the query's own key is no candidate of it. Rows that repeat a key
-    are candidates each, and queries each with their rows given once. With fewer candidates all are given.
+    vectors of another length than the query's, however many lengths there are. A row with the query's own key is no
+    candidate of it. Rows that repeat a key are candidates each, and queries each, with ranks of their own, unless they
+    repeat the vector, too. With fewer candidates all are given. Scores beyond a long count as the largest or smallest one.
     Blocks of rows are dealt by a hash of key and place, never by the vector, so that one common vector is spread; every
-    block of queries meets every block of rows.
+    part of the queries meets every block of their length.
     """
     rows = vectors.select(F.col(key).cast("long").alias("id"), quantised(F.col(vector), factor).alias("v"), is_query.alias("q")).filter("id is not null and v is not null and size(v) > 0")
-    rows = written(rows, "quantised")
-    sizes = {r["n"]: (r["c"], r["q"]) for r in rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c"), F.count_if("q").alias("q")).orderBy(F.desc("c")).limit(1000).collect()}
-    if len(sizes) == 1000:
-        raise ValueError("vectors of a thousand or more different lengths")
-    dealt = {n: (-(-c // min(BLOCK, max(64, COMPONENTS // n))), max(1, -(-q // min(QUERIES, max(64, COMPONENTS // n))))) for n, (c, q) in sizes.items()}
-    blocks = F.coalesce(*[F.when(F.size("v") == n, F.lit(b).cast("long")) for n, (b, _) in dealt.items()], F.lit(1).cast("long"))
-    parts = F.coalesce(*[F.when(F.size("v") == n, F.lit(p)) for n, (_, p) in dealt.items()], F.lit(1))
-    place = F.xxhash64("id", F.monotonically_increasing_id())
-    blocked = rows.select("id", "v", F.size("v").alias("n"), F.pmod(place, blocks).alias("block"))
-    asked = rows.filter("q").select("id", "v").dropDuplicates(["id", "v"])
-    asked = asked.select("id", "v", F.size("v").alias("n"), F.pmod(F.xxhash64("id"), parts).alias("part"), blocks.alias("blocks"))
-    asked = _gathered(asked, "n", "part", "blocks").withColumnsRenamed({"ids": "qids", "vectors": "queries"})
-    asked = written(asked, "query_blocks").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    tasks = written(index(blocked), "index").join(asked, ["n", "block"]).drop("block", "part", "blocks")
-    tasks = tasks.repartition(max(16, sum(b * p for b, p in dealt.values()) // 4))
+    rows = written(rows.select(F.monotonically_increasing_id().alias("row"), "id", "v", F.size("v").alias("n"), F.coalesce("q", F.lit(False)).alias("q")), "quantised")
+    share = lambda count, most: F.ceil(F.col(count) / F.least(F.lit(most), F.greatest(F.lit(64), F.floor(F.lit(COMPONENTS) / F.col("n"))))).cast("long")
+    lengths = rows.groupBy("n").agg(F.count("*").alias("c"), F.count_if("q").alias("asked")).filter("asked > 0")
+    lengths = written(lengths.select("n", share("c", BLOCK).alias("blocks"), share("asked", QUERIES).alias("parts")), "lengths")
+    blocked = rows.join(lengths, "n").select("id", "v", "n", F.pmod(F.xxhash64("id", "row"), F.col("blocks")).alias("block"))
+    blocks = written(index(blocked), "index")
+    asked = rows.filter("q").groupBy("id", "v", "n").agg(F.min("row").alias("query")).join(lengths, "n")
+    asked = written(asked.select("query", "id", "v", "n", F.pmod(F.xxhash64("query"), F.col("parts")).alias("part")), "queries")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
-                of = lambda ids, flat: (np.asarray(ids, np.int64), np.asarray(flat, np.int64).reshape(len(ids), r.n))  # noqa: E731, B023
-                postings = Postings((len(r.ids), r.n), r.quantum, r.slots, r.impacts, r.ends)
-                yield pd.DataFrame(list(top_of_block(*of(r.qids, r.queries), *of(r.ids, r.vectors), k, postings)), columns=["query_id", "vec_id", "score"], dtype="int64")
-
-    found = tasks.mapInPandas(run, "query_id long, vec_id long, score long")
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+                of = lambda flat, ids: np.asarray(flat, np.int64).reshape(len(ids), r.n)  # noqa: E731, B023
+                number, qids, ids = (np.asarray(x, np.int64) for x in (r.query, r.id, r.ids))
+                postings = Postings((len(ids), r.n), r.quantum, r.slots, r.impacts, r.ends, r.left)
+                found = np.array(list(top_of_block(qids, of(r.v, qids), ids, of(r.vectors, ids), k, np.asarray(r.floor, np.float64), postings)), np.int64).reshape(-1, 3)
+                yield pd.DataFrame({"query": number[found[:, 0]], "query_id": qids[found[:, 0]], "vec_id": found[:, 1], "score": found[:, 2]})
+
+    def ask(with_floor: DataFrame, some: Column) -> DataFrame:
+        met = blocks.filter(some).join(_gathered(with_floor, ("n", "part"), ("query", "id", "floor")), "n").drop("block", "part")
+        return met.repartition(max(16, pairs // 4)).mapInPandas(run, FOUND)
+
+    pairs = lengths.agg(F.coalesce(F.sum(F.col("blocks") * F.col("parts")), F.lit(0))).first()[0]
+    first = written(ask(asked.withColumn("floor", F.lit(float("-inf"))), F.col("block") == 0), "first_block")
+    floors = first.groupBy("query").agg(F.count("*").alias("found"), (F.min("score").cast("double") * (1 - F.signum(F.min("score").cast("double")) * ROUNDING)).alias("floor")).filter(F.col("found") >= k)
+    sure = asked.join(floors.select("query", "floor"), "query", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    found = first.unionByName(ask(sure, F.col("block") > 0))
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -195,8 +222,9 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
-      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
-r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
+q AS (SELECT DISTINCT vec_id, v FROM v WHERE vec_id % 20 = 0),
+s AS (SELECT q.vec_id AS query_id, q.v, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+      FROM q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id, v ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
