@@ -29,8 +29,9 @@ def hash_bits(key: Column, text: Column) -> Column:
     return F.concat(*[part(i) for i in range(BITS // 32)])
 
 
-def directory(sizes: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """shard (its prefix bits, '' for the whole), depth, bytes and rows of every bucket, from ``sizes``: bits and bytes.
+def directory(sizes: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, int]:
+    """shard (its prefix bits, '' for the whole), depth, bytes and rows of every bucket, from ``sizes``: bits and bytes; and
+    the depth that the first pass looked at.
 
     Each pass sums the bytes of all prefixes that are the next ``STRIDE`` bits longer than a bucket that is too large, and
     takes the shortest that fit: passes go by depth, about log2(bytes / limit) / STRIDE, and not by shards. A bucket
@@ -69,7 +70,7 @@ def directory(sizes: DataFrame, limit: int = LIMIT) -> DataFrame:
             break
         open_ = written(sizes.select(F.substring("bits", 1, end).alias("prefix"), "bits", "bytes").join(left, "prefix", "left_semi"), f"rows_{end}")
         depth, step = end, STRIDE
-    return written(out, "directory")
+    return written(out, "directory"), first
 
 
 def sharded(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -83,25 +84,32 @@ def sharded(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str
     bits, size = fresh([*kept, *made], "bits", "bytes")
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], hash_bits(F.col(key), F.col(text)).alias(bits), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias(size))
     sizes = written(rows.select(F.col(bits).alias("bits"), F.col(size).alias("bytes")), "sizes")
-    shards = directory(sizes, limit)
-    # a row's shard is found by its depth: one equi-join for all depths that occur (256 at most)
-    depths = sorted(r["depth"] for r in shards.select("depth").distinct().collect())
-    return _located(rows, shards, bits, depths).drop(bits, size).select(*[F.col(f"`{c}`") for c in kept], *made)
+    out = _located(rows, *directory(sizes, limit), bits)
+    return out.select(*[F.col(f"`{c}`") for c in kept], *made)
 
 
-def _located(rows: DataFrame, shards: DataFrame, bits: str, depths: list[int]) -> DataFrame:
-    """Look rows up in the directory: up to 256 shards in the plan itself; beyond, by an equi-join of the row's prefixes of
-    all depths that occur, of which exactly one is a shard."""
-    entries = shards.limit(257).collect()
-    if not entries:
+def _located(rows: DataFrame, shards: DataFrame, first: int, bits: str) -> DataFrame:
+    """Look rows up in the directory by one prefix, that of the first pass: a shard that is not as deep is entered with all
+    prefixes of that length which it has (a few for each shard, as the first pass goes by bytes over limit). Where shards
+    are deeper, the prefix says so, and only its rows are looked up again, by the next pass's prefix."""
+    deepest = shards.agg(F.max("depth")).first()[0]
+    if deepest is None:  # no rows
         return rows.withColumns({"shard": F.lit(""), "depth": F.lit(0), "overflow": F.lit(False)})
-    if len(entries) <= 256:
-        name = F.coalesce(*[F.when(F.substring(bits, 1, d).isin(*[r["shard"] for r in entries if r["depth"] == d]), F.substring(bits, 1, d)) for d in depths])
-        over = [r["shard"] for r in entries if r["overflow"]]
-        out = rows.withColumn("shard", name)
-        return out.withColumns({"depth": F.length("shard"), "overflow": F.col("shard").isin(*over) if over else F.lit(False)})
-    each = rows.withColumn("shard", F.explode(F.array(*[F.substring(bits, 1, d) for d in depths])))
-    return each.join(shards.select("shard", "depth", "overflow"), "shard")
+    out, above, end = None, -1, first
+    (cell,) = fresh(rows.columns, "cell")
+    while True:
+        own = shards.filter((F.col("depth") > above) & (F.col("depth") <= end))
+        spare = lambda n: F.when(n > 0, F.lpad(F.conv(F.col("k").cast("string"), 10, 2), n, "0")).otherwise("")
+        k = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"shiftleft(1L, {end} - depth)") - 1))
+        cells = own.withColumn("k", k).select(F.concat("shard", spare(F.lit(end) - F.col("depth"))).alias(cell), "shard", "depth", "overflow")
+        deeper = shards.filter(F.col("depth") > end).select(F.expr(f"left(shard, {end})").alias(cell)).distinct()
+        cells = cells.unionByName(deeper.select(cell, F.lit(None).cast("string").alias("shard"), F.lit(None).cast("int").alias("depth"), F.lit(None).cast("boolean").alias("overflow")))
+        met = rows.withColumn(cell, F.substring(bits, 1, end)).join(written(cells, f"entries_{end}"), cell)
+        found = met.filter("shard is not null").drop(cell)
+        out = found if out is None else out.unionByName(found)
+        if deepest <= end:
+            return out
+        rows, above, end = met.filter("shard is null").drop(cell, "shard", "depth", "overflow"), end, min(BITS, end + STRIDE)
 
 
 def write(docs: DataFrame, path: str, limit: int = LIMIT, **options) -> DataFrame:
@@ -117,11 +125,15 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(docs, carry=["doc_id", "n_bytes"])
 
 
-OP5_SQL = f"""
+def op5_sql(limit: int = LIMIT) -> str:
+    return f"""
 WITH d AS (SELECT doc_id, octet_length(encode(text))::BIGINT AS n_bytes, md5(coalesce(doc_id::VARCHAR, 'null')) || md5(coalesce(text, '')) AS h FROM documents),
 b AS (SELECT doc_id, n_bytes, array_to_string(list_transform(string_split(h, ''), lambda c: right((('0x' || c)::INT)::BIT::VARCHAR, 4)), '') AS bits FROM d),
 p AS (SELECT doc_id, n_bytes, depth, left(bits, depth) AS prefix FROM b, (SELECT unnest(range(0, 33))::INT AS depth)),
 s AS (SELECT *, sum(coalesce(n_bytes, 0)) OVER (PARTITION BY depth, prefix) AS total, count(*) OVER (PARTITION BY depth, prefix) AS n FROM p),
-f AS (SELECT doc_id, n_bytes, min_by(prefix, depth) AS shard, min(depth) AS depth FROM s WHERE total <= {LIMIT} GROUP BY doc_id, n_bytes)
+f AS (SELECT doc_id, n_bytes, min_by(prefix, depth) AS shard, min(depth) AS depth FROM s WHERE total <= {limit} GROUP BY doc_id, n_bytes)
 SELECT doc_id, n_bytes, shard, depth, false AS overflow FROM f
 """
+
+
+OP5_SQL = op5_sql()
