@@ -13,10 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copse.llm.common import fresh, let, table, words
+from copse.llm.common import HAS_WORD, fresh, let, table, words
 
 SYMBOLS = "[#*$%&|<>]"
-HAS_WORD = r"[^\x20\x09-\x0D]"
 
 #: Bit of each rule. A bit is never given to another rule, so that stored ledgers stay readable.
 BITS = {"few_words": 0, "repeated_words": 1, "symbols": 2, "repeated_lines": 3, "capitals": 4, "word_length": 5}
@@ -40,37 +39,51 @@ class Limits:
     word_length: tuple[int, int] = (2, 15)  # mean characters in a word
 
 
-def _repeated_words(of: Column) -> Column:
+def _repeated_words(of: Column, spare: int = 0) -> Column:
     """Words covered by windows of three words found twice or more in the text.
 
-    Each window becomes one long: its hash in the high bits, its place in as many low bits as the text needs. Sorted
-    longs bring equal windows together (a primitive sort); those next to each other with equal hashes are compared word
-    by word, so that a long text, whose places leave few bits for hashes, has no window counted that is not repeated. A
-    repeated one would be missed only if a third window with the same hash lay between its two places. The places, sorted
-    again, give the covered words.
+    Each window becomes one long: its hash in the high bits, its place in as many low bits as the text needs (and ``spare``
+    ones). Sorted longs bring equal windows together (a primitive sort); those next to each other with equal hashes are
+    compared word by word. Where different windows share a hash, which a long text's few bits allow, one could lie between
+    two equal ones: then the windows themselves are sorted, by their words. The places, sorted again, give the covered words.
     """
     shifted = lambda name, x, s: F.call_function(f"shift{name}", x, s)
+    three = F.lit(3).cast("long")
+    no = F.lit(False)
 
-    def flagged(w: Column, sorted_: Column, s: Column) -> Column:
+    def covered(places: Column) -> Column:
+        gaps = lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(three, F.coalesce(F.get(p, i + 1) - x, three))), F.lit(0).cast("long"), lambda a, x: a + x)
+        return let(F.sort_array(places), gaps)
+
+    def by_words(w: Column, n: Column) -> Column:
+        window = lambda x, i: F.struct(x.alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.cast("long").alias("i"))
+        same = lambda x, y: F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), no)
+        hits = lambda a: covered(F.transform(F.filter(a, lambda x, i: same(x, F.get(a, i + 1)) | same(x, F.get(a, i - 1))), lambda x: x["i"]))
+        return let(F.sort_array(F.transform(F.slice(w, F.lit(1), n - 2), window)), hits)
+
+    def flagged(w: Column, n: Column, sorted_: Column, s: Column) -> Column:
         place = lambda x: x.bitwiseAND(shifted("left", F.lit(1).cast("long"), s) - 1)
         word = lambda x, k: F.get(w, place(x).cast("int") + k)
 
-        def same(x: Column, y: Column) -> Column:
-            equal = shifted("right", x, s) == shifted("right", y, s)
-            for k in range(3):
+        def next_(x: Column, i: Column) -> Column:
+            """1: equal to the next window, 2: another one with the same hash, 0: neither."""
+            y = F.get(sorted_, i + 1)
+            equal = word(x, 0) == word(y, 0)
+            for k in (1, 2):
                 equal = equal & (word(x, k) == word(y, k))
-            return F.coalesce(equal, F.lit(False))
+            return F.when(shifted("right", x, s) == shifted("right", y, s), F.when(equal, 1).otherwise(2)).otherwise(0)
 
-        hit = F.filter(sorted_, lambda x, i: same(x, F.get(sorted_, i + 1)) | same(x, F.get(sorted_, i - 1)))
-        three = F.lit(3).cast("long")
-        gaps = lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(three, F.coalesce(F.get(p, i + 1) - x, three))), F.lit(0).cast("long"), lambda a, x: a + x)
-        return let(F.sort_array(F.transform(hit, place)), gaps)
+        def hits(f: Column) -> Column:
+            found = F.filter(sorted_, lambda x, i: (F.get(f, i) == 1) | F.coalesce(F.get(f, i - 1) == 1, no))
+            return F.when(F.array_contains(f, F.lit(2)), by_words(w, n)).otherwise(covered(F.transform(found, place)))
+
+        return let(F.transform(sorted_, next_), hits)
 
     def count(w: Column, n: Column, s: Column) -> Column:
         pack = lambda x, i: shifted("left", F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)), s).bitwiseOR(i.cast("long"))
-        return let(F.sort_array(F.transform(F.slice(w, F.lit(1), n - 2), pack)), lambda a: flagged(w, a, s))
+        return let(F.sort_array(F.transform(F.slice(w, F.lit(1), n - 2), pack)), lambda a: flagged(w, n, a, s))
 
-    bits = lambda n: F.length(F.conv(n.cast("string"), 10, 2))  # noqa: E731  # that hold every place
+    bits = lambda n: F.length(F.conv(n.cast("string"), 10, 2)) + spare  # noqa: E731  # that hold every place
     return F.when(F.size(of) < 4, F.lit(0).cast("long")).otherwise(let(of, lambda w: let(F.size(w), lambda n: let(bits(n), lambda s: count(w, n, s)))))
 
 
