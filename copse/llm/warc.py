@@ -106,6 +106,9 @@ class WarcReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path, self.payload = options["path"], options.get("payload", "true").lower() == "true"
         self.split, self.verify = int(options.get("splitbytes", 0)), options.get("verify", "false").lower() == "true"
+        self.malformed = options.get("malformed", "error").lower()
+        if self.malformed not in ("error", "skip"):
+            raise ValueError("malformed must be error or skip")
         self.tests: list[tuple[str, str, object]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -162,8 +165,8 @@ class WarcReader(DataSourceReader):
         headers, up to an empty line, name a type, an id and a length. Payloads that hold archives themselves can deceive
         that, which is why whole files are the default.
         """
-        buffer = _Buffer(stream, part.start)
-        if part.start and not buffer.to_record(part.start, part.end):
+        buffer = _Buffer(stream, max(0, part.start - 4))
+        if part.start and not buffer.to_record(part.end):
             return
         while part.end is None or buffer.at < part.end:
             head = buffer.head()
@@ -174,23 +177,50 @@ class WarcReader(DataSourceReader):
                 name, colon, value = line.partition(b":")
                 if colon:
                     headers[name.strip().decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
-            length = int(headers["content-length"])
+            size = headers.get("content-length", "")
+            if not (size.isascii() and size.isdigit()):
+                if self.malformed == "error":
+                    raise ValueError(f"{part.path}: the record that ends its headers at byte {buffer.at} has no valid Content-Length")
+                buffer.next, buffer.at = max(0, buffer.next - 4), buffer.at - min(4, buffer.next)  # the next record may follow at once
+                if not buffer.to_record(part.end):
+                    return
+                continue
+            length = int(size)
             values = {c: headers.get(h) for c, h in HEADERS.items()}
-            values |= {c: int(v) if (v := values[c]) is not None and v.isdigit() else None for c in NUMBERS}
+            values |= {c: int(v) if (v := values[c]) is not None and v.isascii() and v.isdigit() else None for c in NUMBERS}
             wanted = self._passes(values)
-            payload = buffer.take(length) if wanted and (self.payload or self.verify) else buffer.skip(length)
+            if wanted and (self.payload or self.verify):
+                payload = buffer.take(length)
+                if len(payload) < length:
+                    if self.malformed == "error":
+                        raise EOFError(f"{part.path} ends within the payload of {values['record_id']}")
+                    return
+            else:
+                payload = None
+                buffer.skip(length)
             buffer.skip(4)
             if not wanted:
                 continue
-            if self.verify and length and values["payload_digest"]:
-                import base64
-                import hashlib
-
-                if "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode() != values["payload_digest"]:
-                    raise ValueError(f"payload of {values['record_id']} in {part.path} does not match its digest")
+            if self.verify and length and not _verified(payload, headers):
+                raise ValueError(f"payload of {values['record_id']} in {part.path} does not match its digest")
             yield (*values.values(), list(headers.items()), payload if self.payload else None)
 
 
+def _verified(block: bytes, headers: dict[str, str]) -> bool:
+    """Whether a block has the SHA-1 that its headers tell, if they do: of the payload, which is what follows the HTTP
+    headers where the block is a message with such."""
+    import base64
+    import hashlib
+
+    kind, _, digest = headers.get("warc-payload-digest", "").partition(":")
+    if kind.lower() != "sha1" or not digest:
+        return True
+    if headers.get("content-type", "").lower().startswith("application/http"):
+        block = block.partition(b"\r\n\r\n")[2]
+    found = hashlib.sha1(block)
+    return digest.upper() == base64.b32encode(found.digest()).decode() or digest.lower() == found.hexdigest()
+
+
 def _arrow_schema() -> pa.Schema:
     headers = [(c, pa.int64() if c in NUMBERS else pa.string()) for c in HEADERS]
     return pa.schema([*headers, ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
@@ -202,70 +232,87 @@ class _Buffer:
     CHUNK = 1 << 18
 
     def __init__(self, stream, at: int) -> None:
-        self.stream, self.at, self.held = stream, at, b""  # at: place in the file of the first byte held
+        self.stream, self.at, self.held, self.next = stream, at, bytearray(), 0  # at: place in the file of held[next]
         if at:
             stream.seek(at)
 
     def more(self) -> bool:
         data = self.stream.read(self.CHUNK)
+        if self.next:
+            del self.held[: self.next]
+            self.next = 0
         self.held += data
         return bool(data)
 
+    def _pass(self, n: int) -> None:
+        self.next += n
+        self.at += n
+
     def head(self) -> bytes | None:
         """Version line and headers; None at the end."""
-        i = 0
-        while (end := self.held.find(b"\r\n\r\n", i)) < 0:
-            i = max(0, len(self.held) - 3)
+        seen = 0
+        while (end := self.held.find(b"\r\n\r\n", self.next + seen)) < 0:
+            seen = max(0, len(self.held) - self.next - 3)
             if not self.more():
                 if self.held.strip():
                     raise EOFError("an archive ends within a header")
                 return None
-        out, self.held, self.at = self.held[:end], self.held[end + 4 :], self.at + end + 4
+        out = bytes(self.held[self.next : end])
+        self._pass(end + 4 - self.next)
         return out
 
     def take(self, n: int) -> bytes:
-        while len(self.held) < n and self.more():
-            pass
-        out, self.held, self.at = self.held[:n], self.held[n:], self.at + n
-        return out
+        """The next ``n`` bytes, or fewer at the end; what is not held is read in one go."""
+        out = [bytes(self.held[self.next : self.next + n])]
+        left = n - len(out[0])
+        self._pass(len(out[0]))
+        while left and (data := self.stream.read(left)):
+            out.append(data)
+            self.at += len(data)
+            left -= len(data)
+        return b"".join(out)
 
     def skip(self, n: int) -> None:
-        if n <= len(self.held):
-            self.held = self.held[n:]
+        ahead = n - (len(self.held) - self.next)
+        if ahead > 0:
+            self.stream.seek(ahead, 1)
+            self.held, self.next = bytearray(), 0
+            self.at += n
         else:
-            self.stream.seek(n - len(self.held), 1)
-            self.held = b""
-        self.at += n
+            self._pass(n)
 
     MARK = re.compile(rb"\r\n\r\n(?=WARC/1\.[01]\r\n)")
 
-    def to_record(self, start: int, end: int) -> bool:
-        """Go to the first record that starts at ``start`` or later, before ``end``."""
-        back = min(4, start)
-        self.stream.seek(start - back)
-        self.at, self.held, i = start - back, b"", 0
+    def to_record(self, end: int | None) -> bool:
+        """Go to the next record that starts before ``end``: behind two line ends, with a type, an id and a length."""
+        seen = 0
         while True:
-            while (found := self.MARK.search(self.held, i)) is None:
-                i = max(i, len(self.held) - 14)
-                if i > (1 << 20):
-                    self.held, self.at, i = self.held[i:], self.at + i, 0
-                if self.at + i >= end or not self.more():
+            while (found := self.MARK.search(self.held, self.next + seen)) is None:
+                seen = max(seen, len(self.held) - self.next - 14)
+                self._pass(seen)
+                seen = 0
+                if (end is not None and self.at >= end) or not self.more():
+                    return False
+            while (stop := self.held.find(b"\r\n\r\n", found.end())) < 0:
+                before = self.next
+                if not self.more():
                     return False
-            while (stop := self.held.find(b"\r\n\r\n", found.end())) < 0 and self.more():
-                pass
-            names = {line.partition(b":")[0].lower() for line in self.held[found.end() : stop].split(b"\r\n")[1:]}
-            if self.at + found.end() >= end:
+                found = self.MARK.search(self.held, found.start() - before)
+            names = {line.partition(b":")[0].strip().lower() for line in bytes(self.held[found.end() : stop]).split(b"\r\n")[1:]}
+            if end is not None and self.at + found.end() - self.next >= end:
                 return False
             if {b"warc-type", b"warc-record-id", b"content-length"} <= names:
-                self.held, self.at = self.held[found.end() :], self.at + found.end()
+                self._pass(found.end() - self.next)
                 return True
-            i = found.end()
+            seen = found.end() - self.next
 
 
 class WarcSource(DataSource):
     """``spark.read.format("warc").load(path)``. Options: payload (true: give payloads; false: skip them all), verify (true:
-    compare payloads with their SHA-1 digests, an error if one differs) and splitBytes (of ranges of uncompressed files; 0:
-    whole files)."""
+    compare payloads with their SHA-1 digests, an error if one differs), splitBytes (of ranges of uncompressed files; 0:
+    whole files) and malformed (error: a record without a valid Content-Length, or an archive that ends within a payload,
+    is an error; skip: reading goes on at the next record that can be told, and a payload cut short is left out). The column
+    payload holds a record's whole block."""
 
     @classmethod
     def name(cls) -> str:
