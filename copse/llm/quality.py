@@ -3,10 +3,11 @@
 Every line is good or bad. A line's score comes from features of itself, of the lines before and after it, and of whether
 it repeats an earlier line; transitions tie neighbours together. Labels are given for documents only: all lines of a
 good document are good, and a bad one has bad lines, but which is not known, so that its likelihood sums over all
-labellings that are not good throughout. Forward-backward marginals of all lines, weighted by length, and the
-probability that all lines are good are what a document's quality is made of.
+labellings that are not good throughout. A document's quality is the mean of its lines' forward-backward marginals,
+weighted by length, on a logistic scale fitted to the labels.
 
-Features are counted over the bytes of a whole batch at once with numpy; there is no work by character in Python.
+Features are counted over the bytes of many lines at once with numpy; there is no work by character in Python, and no text
+is held in more than parts of itself.
 """
 
 from __future__ import annotations
@@ -43,66 +44,120 @@ def _odd(place: np.ndarray) -> np.ndarray:
     return (place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
 
 
-def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features (lines x NAMES), bytes and document of each line, for all lines of ``texts``; each text has one at least."""
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    ends = np.flatnonzero(data == 10)
-    starts = np.append(0, ends[:-1] + 1)
-    n_lines = np.array([t.count(b"\n") + 1 for t in texts])
-    doc = np.repeat(np.arange(len(texts)), n_lines)
-    size = (ends - starts).astype(np.float64)
+#: Bytes that are counted at a time. Longer lines are counted in parts of so many at most, cut behind white space where
+#: there is any; longer texts, in parts of whole lines.
+PART = 1 << 20
+
+
+def _counts(parts: list[bytes], places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each part (of a line, from the byte ``places`` of it on): sums that add up to the line's, the sum that is the
+    line's hash, and that of its first bytes."""
+    data = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
+    width = np.array([len(x) for x in parts])
+    ends = np.cumsum(width + 1) - 1
+    starts = ends - width
     kind = _CLASS[data]
-    line_of = lambda places: np.searchsorted(ends, places)
-    per_line = lambda hit: np.add.reduceat(hit, starts, dtype=np.int64).astype(np.float64)
+    per_part = lambda hit: np.add.reduceat(hit, starts, dtype=np.int64).astype(np.float64)
     inside = kind > 0
-    letters = per_line((kind == 1) | (kind == 2))
-    chars = np.maximum(per_line(inside), 1)
-    # words: where they begin and end, and a hash of each
+    c = np.zeros((len(parts), len(SUMS)))
+    c[:, 0], c[:, 1], c[:, 2] = width, per_part((kind == 1) | (kind == 2)), per_part(inside)
+    for i, hit in enumerate((kind == 2, kind == 3, kind == 4, kind == 5, data == _EXCLAMATION, data >= 128)):
+        c[:, 3 + i] = per_part(hit)
     edge = np.flatnonzero(np.diff(np.concatenate(([0], inside.view(np.int8), [0]))))
-    w0, w1 = edge[::2], edge[1::2]
-    f = np.zeros((len(starts), len(NAMES)))
-    n_words = np.zeros(len(starts))
+    w0, w1 = edge[::2], edge[1::2]  # where words begin and end
     if len(w0):
-        width = w1 - w0
-        first = np.cumsum(width) - width
-        place = np.arange(int(width.sum())) - np.repeat(first, width)
+        size = w1 - w0
+        first = np.cumsum(size) - size
+        place = np.arange(int(size.sum())) - np.repeat(first, size)
         hashes = np.add.reduceat(_MIX[data[inside]] * _odd(place), first, dtype=np.uint64)
-        own = line_of(w0)
-        n_words = np.bincount(own, minlength=len(starts)).astype(np.float64)
-        length = width.astype(np.float64)
-        count = lambda hit: np.bincount(own, hit, len(starts))
+        own = np.searchsorted(ends, w0)
         same = np.append(False, (hashes[1:] == hashes[:-1]) & (own[1:] == own[:-1]))
-        many = np.maximum(n_words, 1)
-        f[:, 7] = count(length) / many / 10
-        f[:, 8], f[:, 9], f[:, 10] = count(length <= 2) / many, count(length > 14) / many, count(same) / many
-    place = np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
-    line_hash = np.add.reduceat(_MIX[data] * _odd(place), starts, dtype=np.uint64)
-    head = np.add.reduceat(np.where(place < 12, _MIX[data] * _odd(place), np.uint64(0)), starts, dtype=np.uint64)
-    order = np.lexsort((np.arange(len(starts)), line_hash, doc))
-    again = np.zeros(len(starts))
+        for i, hit in enumerate((None, size, size <= 2, size > 14, same)):
+            c[:, 9 + i] = np.bincount(own, hit, len(parts))
+    place = np.arange(len(data)) - np.repeat(starts, width + 1) + np.repeat(places, width + 1)
+    mixed = _MIX[data] * _odd(place)
+    mixed[ends] = 0
+    return c, np.add.reduceat(mixed, starts, dtype=np.uint64), np.add.reduceat(np.where(place < 12, mixed, np.uint64(0)), starts, dtype=np.uint64)
+
+
+SUMS = ("bytes", "letters", "chars", "capitals", "digits", "symbols", "punctuation", "exclamations", "high", "words", "word_bytes", "short", "long", "same")
+
+
+def _parts(line: bytes) -> list[bytes]:
+    out = []
+    while len(line) > PART:
+        at = max(line.rfind(x, 0, PART) for x in (b" ", b"\t")) + 1 or PART
+        out.append(line[:at])
+        line = line[at:]
+    return [*out, line]
+
+
+def line_features(lines: list[bytes], doc: np.ndarray, before: tuple[np.ndarray, np.uint64] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features (lines x NAMES) of all lines (doc: of each, the number of its document), their bytes, hashes and the hashes
+    of their first bytes. before: of earlier lines of the first document all hashes, and the hash of the last one's first bytes."""
+    if max(map(len, lines)) <= PART:
+        c, line_hash, head = _counts(lines, np.zeros(len(lines), np.int64))
+    else:  # parts of a line come one by one, so that what is held is bounded
+        rows = []
+        for line in lines:
+            at = 0
+            sums = [np.zeros(len(SUMS)), np.uint64(0), np.uint64(0)]
+            for part in _parts(line):
+                with np.errstate(over="ignore"):
+                    sums = [x + y[0] for x, y in zip(sums, _counts([part], np.array([at])))]
+                at += len(part)
+            rows.append(sums)
+        c, line_hash, head = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.uint64), np.array([r[2] for r in rows], np.uint64)
+    of = {name: c[:, i] for i, name in enumerate(SUMS)}
+    f = np.zeros((len(lines), len(NAMES)))
+    many, chars, letters = np.maximum(of["words"], 1), np.maximum(of["chars"], 1), np.maximum(of["letters"], 1)
+    order = np.lexsort((np.arange(len(lines)), line_hash, doc))
+    again = np.zeros(len(lines))
     again[order[1:]] = (line_hash[order[1:]] == line_hash[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
-    f[:, 0] = np.log1p(size) / 8
-    f[:, 1] = n_words == 0
-    f[:, 2] = np.where(letters > 0, per_line(kind == 2) / np.maximum(letters, 1), 0)
-    f[:, 3], f[:, 4], f[:, 5] = per_line(kind == 3) / chars, per_line(kind == 4) / chars, per_line(kind == 5) / chars
-    f[:, 6] = per_line(data == _EXCLAMATION) / np.maximum(n_words, 1)
     f[1:, 11] = (head[1:] == head[:-1]) & (doc[1:] == doc[:-1])
-    f[:, 12] = again * (n_words > 0)
-    f[:, 13] = per_line(data >= 128) / chars
-    return f, size, doc
+    if before is not None:
+        again = np.maximum(again, (doc == 0) & np.isin(line_hash, before[0]))
+        f[0, 11] = head[0] == before[1]
+    f[:, 0] = np.log1p(of["bytes"]) / 8
+    f[:, 1] = of["words"] == 0
+    f[:, 2] = of["capitals"] / letters
+    f[:, 3], f[:, 4], f[:, 5] = of["digits"] / chars, of["symbols"] / chars, of["punctuation"] / chars
+    f[:, 6] = of["exclamations"] / many
+    f[:, 7] = of["word_bytes"] / many / 10
+    f[:, 8], f[:, 9], f[:, 10] = of["short"] / many, of["long"] / many, of["same"] / many
+    f[:, 12] = again * (of["words"] > 0)
+    f[:, 13] = of["high"] / chars
+    return f, of["bytes"], line_hash, head
+
+
+def _with_neighbours(f: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Inputs of the field for each line: its features, their square roots and the mean of both neighbours', and a constant.
+    first, last: whether a line is its document's first or last one."""
+    before, after = np.zeros_like(f), np.zeros_like(f)
+    before[1:], after[:-1] = np.where(first[1:, None], 0, f[:-1]), np.where(last[:-1, None], 0, f[1:])
+    edge = np.stack([first, last], axis=1).astype(np.float64)
+    return np.hstack([f, np.sqrt(f), (before + after) / 2, np.sqrt(np.maximum(before, after)), edge, np.ones((len(f), 1))])
 
 
 def observations(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs of the field for each line: its features, their square roots and the mean of both neighbours', and a constant;
-    with bytes and document of each line, and the number of lines of each document."""
-    f, size, doc = line_features(texts)
-    inner = doc[1:] == doc[:-1]
-    before, after = np.zeros_like(f), np.zeros_like(f)
-    before[1:][inner], after[:-1][inner] = f[:-1][inner], f[1:][inner]
-    edge = np.ones((len(f), 2))
-    edge[1:, 0], edge[:-1, 1] = ~inner, ~inner
-    x = np.hstack([f, np.sqrt(f), (before + after) / 2, np.sqrt(np.maximum(before, after)), edge, np.ones((len(f), 1))])
-    return x, size, doc, np.bincount(doc, minlength=len(texts))
+    """Inputs of all lines of ``texts``, with bytes and document of each line, and the number of lines of each document; each
+    text has one line at least."""
+    lines = [t.split(b"\n") for t in texts]
+    n = np.array([len(x) for x in lines])
+    doc = np.repeat(np.arange(len(texts)), n)
+    f, size, _, _ = line_features([x for y in lines for x in y], doc)
+    edge = np.append(True, doc[1:] != doc[:-1])
+    return _with_neighbours(f, edge, np.append(edge[1:], True)), size, doc, n
+
+
+def _slices(text: bytes) -> Iterator[list[bytes]]:
+    """The lines of a text, about ``PART`` bytes of them at a time."""
+    at = 0
+    while at <= len(text):
+        end = text.find(b"\n", min(len(text), at + PART))
+        end = len(text) if end < 0 else end
+        yield text[at:end].split(b"\n")
+        at = end + 1
 
 
 @dataclass(frozen=True)
@@ -113,7 +168,7 @@ class Field:
     transitions: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
-    quality: np.ndarray  # of the logits of the weighted marginal and of all lines being good, and a constant
+    quality: np.ndarray  # of the logit of the length-weighted marginal, and a constant
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
         return ((x - self.mean) / self.scale) @ self.weights
@@ -169,16 +224,15 @@ def _all_good(e: np.ndarray, n: np.ndarray, transitions: np.ndarray, z: np.ndarr
     return np.minimum(total[ends] - total[ends - n] + (n - 1) * transitions[1, 1] - z, -1e-9)
 
 
-def _signals(field: Field, x: np.ndarray, size: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Of each document: logit of the length-weighted mean of P(good), logit of P(all lines good), 1."""
-    e = field.emissions(x)
-    good, z, _ = chain(e, n, field.transitions)
+def _signals(good: np.ndarray, size: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of each document: logit of the mean of its lines' P(good), weighted by length, and 1."""
     first = np.cumsum(n) - n
-    weight = size + 1
-    share = np.add.reduceat(good * weight, first) / np.add.reduceat(weight, first)
-    every = np.exp(_all_good(e, n, field.transitions, z))
-    logit = lambda p: np.log(np.clip(p, 1e-4, 1 - 1e-4) / (1 - np.clip(p, 1e-4, 1 - 1e-4)))
-    return np.stack([logit(share), logit(every), np.ones(len(n))], axis=1)
+    share = np.clip(np.add.reduceat(good * (size + 1), first) / np.add.reduceat(size + 1, first), 1e-4, 1 - 1e-4)
+    return np.stack([np.log(share / (1 - share)), np.ones(len(n))], axis=1)
+
+
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
 def fit(texts: list[bytes], labels: np.ndarray, ridge: float = 1e-3, steps: int = 100) -> Field:
@@ -186,7 +240,7 @@ def fit(texts: list[bytes], labels: np.ndarray, ridge: float = 1e-3, steps: int
     texts all weights are 0: every score is 0.5."""
     if not texts:
         width = observations([b""])[0].shape[1]
-        return Field(np.zeros(width), np.zeros((2, 2)), np.zeros(width), np.ones(width), np.zeros(3))
+        return Field(np.zeros(width), np.zeros((2, 2)), np.zeros(width), np.ones(width), np.zeros(2))
     x, size, doc, n = observations(texts)
     mean, scale = x.mean(0), x.std(0) + 1e-6
     mean[-1], scale[-1] = 0, 1
@@ -211,36 +265,72 @@ def fit(texts: list[bytes], labels: np.ndarray, ridge: float = 1e-3, steps: int
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.99 * v[i] + 0.01 * g * g
             p += 0.1 * (m[i] / (1 - 0.9**k)) / (np.sqrt(v[i] / (1 - 0.99**k)) + 1e-8)
-    field = Field(w, t, mean, scale, np.array([0.5, 0.5, 0.0]))
-    s, q = _signals(field, x, size, n), field.quality.copy()
+    s, q = _signals(chain(xs @ w, n, t)[0], size, n), np.array([1.0, 0.0])
     for _ in range(50):  # Newton steps with a ridge
-        p = 1 / (1 + np.exp(-s @ q))
-        h = (s * (p * (1 - p))[:, None]).T @ s + 1e-2 * np.eye(3) * len(s) / 100
+        p = _logistic(s @ q)
+        h = (s * (p * (1 - p))[:, None]).T @ s + 1e-2 * np.eye(2) * len(s) / 100
         q = q + np.linalg.solve(h, s.T @ (labels - p) - 1e-2 * q * len(s) / 100)
     return Field(w, t, mean, scale, q)
 
 
-def score(field: Field, texts: list[bytes], batch: int = 1 << 20) -> np.ndarray:
-    """Quality of each text, in slices of about ``batch`` bytes; a longer text is a slice of its own."""
-    out, i = np.zeros(len(texts)), 0
+def _long(field: Field, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """P(good) and bytes of each line of one text, whose lines' inputs are made and forgotten slice by slice: what is held of
+    a line is three numbers."""
+    scores, sizes, hashes, held, head = [], [], [], None, None
+    slices = _slices(text)
+    ahead = next(slices)
+    while ahead is not None:
+        lines, ahead = ahead, next(slices, None)
+        f, size, line_hash, heads = line_features(lines, np.zeros(len(lines), np.int64), (np.concatenate(hashes), head) if hashes else None)
+        head = heads[-1]
+        hashes.append(line_hash)
+        sizes.append(size)
+        # of the slice before, the last two lines are held: one waits for its neighbour, and has one itself
+        own = f if held is None else np.vstack([held, f])
+        first, last = np.zeros(len(own), bool), np.zeros(len(own), bool)
+        first[0], last[-1] = held is None or len(held) == 1, ahead is None
+        e = field.emissions(_with_neighbours(own, first, last))
+        scores.append(e[0 if held is None else len(held) - 1 : len(own) if ahead is None else -1])
+        held = own[-2:]
+    n = np.array([sum(map(len, sizes))])
+    return chain(np.concatenate(scores), n, field.transitions)[0], np.concatenate(sizes)
+
+
+def marginals(field: Field, texts: list[bytes], batch: int = PART) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """P(good) and bytes of the lines of all ``texts``, and the number of lines of each: texts of about ``batch`` bytes at a
+    time, longer ones alone."""
+    i = 0
     while i < len(texts):
-        j, size = i, 0
-        while j < len(texts) and (j == i or size + len(texts[j]) <= batch):
-            size += len(texts[j]) + 1
+        if len(texts[i]) > batch:
+            good, size = _long(field, texts[i])
+            yield good, size, np.array([len(good)])
+            i += 1
+            continue
+        j, total = i, 0
+        while j < len(texts) and (j == i or total + len(texts[j]) <= batch):
+            total += len(texts[j]) + 1
             j += 1
-        x, sizes, _, n = observations(texts[i:j])
-        out[i:j] = 1 / (1 + np.exp(-_signals(field, x, sizes, n) @ field.quality))
+        x, size, _, n = observations(texts[i:j])
+        yield chain(field.emissions(x), n, field.transitions)[0], size, n
         i = j
-    return out
+
+
+def score(field: Field, texts: list[bytes], batch: int = PART) -> np.ndarray:
+    """Quality of each text."""
+    if not texts:
+        return np.zeros(0)
+    return np.concatenate([_logistic(_signals(good, size, n) @ field.quality) for good, size, n in marginals(field, texts, batch)])
 
 
 def sample(docs: DataFrame, labels: DataFrame, use: Column, size: int = SAMPLE, size_bytes: int = SAMPLE_BYTES, key: str = "doc_id", text: str = "text") -> tuple[list[bytes], np.ndarray]:
     """The whole texts and labels the classifier is fitted on: of the ``size`` labelled rows with the smallest hash of key
-    among those that ``use`` picks, the first by hash that have ``size_bytes`` together. Texts of over an eighth of that, and
+    among those that ``use`` picks and that have a text which is used, the first by hash that have ``size_bytes`` together. Texts of over an eighth of that, and
     rows with a null key, text or label, or another label than 0 and 1, are not used. Of rows with equal keys the smallest text is.
     """
-    known = labels.filter(use & F.col("quality").isin(0, 1)).groupBy(key).agg(F.min("quality").alias("quality")).orderBy(F.xxhash64(key), key).limit(size)
-    found = docs.select(key, F.encode(text, "UTF-8").alias("t")).filter(F.octet_length("t") <= size_bytes // 8).join(F.broadcast(known), key)
+    known = labels.filter(use & F.col("quality").isin(0, 1)).groupBy(key).agg(F.min("quality").alias("quality"))
+    usable = docs.select(key, F.octet_length(F.encode(text, "UTF-8")).alias("n")).filter(F.col("n") <= size_bytes // 8).select(key).distinct()
+    known = written(known.join(usable, key, "left_semi").orderBy(F.xxhash64(key), key).limit(size), "labelled")
+    found = docs.select(key, F.encode(text, "UTF-8").alias("t")).filter(F.octet_length("t") <= size_bytes // 8).join(F.broadcast(known), key)  # ``size`` rows at most
     rows = written(found.groupBy(key).agg(F.min("t").alias("t"), F.first("quality").alias("quality")), "sample")
     sizes = rows.select(key, F.octet_length("t").alias("n")).orderBy(F.xxhash64(key), key).toArrow()
     within = np.cumsum(sizes.column("n").to_numpy()) <= size_bytes
@@ -269,6 +359,23 @@ def scored(docs: DataFrame, field: Field, threshold: float = 0.3, text: str = "t
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
+def line_labels(docs: DataFrame, field: Field, threshold: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each line of each row of ``docs``: key, line (from 0), n_bytes, p_good (its marginal) and good (from
+    ``threshold`` on). Null and empty texts are one empty line."""
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), *T._parse_datatype_string("line long, n_bytes long, p_good double, good boolean").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, at = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()], 0
+            for good, size, n in marginals(field, texts):
+                which = pa.array(np.repeat(np.arange(at, at + len(n)), n))
+                lines = np.arange(len(good)) - np.repeat(np.cumsum(n) - n, n)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(which), pa.array(lines), pa.array(size.astype(np.int64)), pa.array(good), pa.array(good >= threshold)], names=schema.names)
+                at += len(n)
+
+    return docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, schema)
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document by a field fitted on labelled rows that are not held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
