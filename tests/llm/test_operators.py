@@ -1,6 +1,7 @@
 """The operators of copse.llm on small tables: nulls, empty and long texts, repeated rows, clashing columns; against SQL or
 brute force."""
 
+import math
 import random
 import zlib
 
@@ -9,8 +10,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import brute
 from copse.llm import catalog, linededup, mixing, packing, quality, reputation, rules, sharding, simhash, topk, warc
-from copse.llm.common import shared_path
+from copse.llm.common import shared_path, words
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -63,6 +65,10 @@ def test_repeated_words_against_brute_force(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.n_repeat_words for r in rules.ledger(df).collect()}
     assert [got[i] for i in range(len(texts))] == [brute(t) for t in texts]
+    # hashes of six bits or none at all: different windows share them everywhere
+    for spare in (50, 55):
+        few = df.filter("doc_id < 200 or doc_id = 202").select("doc_id", rules._repeated_words(words(F.col("text")), spare).alias("n"))
+        assert {r.doc_id: r.n for r in few.collect()} == {i: brute(texts[i]) for i in [*range(200), 202]}
 
 
 def test_rules_empty(spark):
@@ -83,6 +89,34 @@ def test_hosts_and_rules(spark):
     assert {r.verdict for r in none.filter("rule is null").collect()} == {"allow"}
 
 
+def test_reputation_against_brute_force(spark):
+    """Hosts without labelled pages have their domain's evidence, else the suffix's, else that of all."""
+    rng = random.Random(12)
+    outcomes = [(f"{h}.bad.org", 0) for h in "ab" for _ in range(600)]
+    outcomes += [(f"h{i}.d{i % 9}.{s}", int(rng.random() < (0.9 if i % 9 else 0.3))) for i in range(60) for s in ("com", "net") for _ in range(rng.randint(1, 30))]
+    new = ["new.bad.org", "bad.org", "x.org", "h1.d1.com", "h777.d0.com", "unseen.zz", "h9.d9.net"]
+    df = spark.createDataFrame(outcomes, "host string, good int").repartition(3)
+    want = brute.reputation(outcomes, {*new, *(h for h, _ in outcomes)})
+    got = {r.host: r for r in reputation.reputations(df, spark.createDataFrame([(h,) for h in new], "host string")).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[h].mean - m) < 1e-9 and abs(got[h].upper - u) < 1e-9 for h, (m, u) in want.items())
+    assert {h: got[h].level for h in new} == {"new.bad.org": "domain", "bad.org": "domain", "x.org": "suffix", "h1.d1.com": "host", "h777.d0.com": "domain", "unseen.zz": "overall", "h9.d9.net": "suffix"}
+    urls = ["http://New.bad.org/1", "http://u:p@b.bad.org:8080/", "http://good.org/", "http://10.1.2.3/x", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    verdicts = {r.page_id: (r.host, r.verdict) for r in reputation.judged(pages, df, rules=()).collect()}
+    assert verdicts == {0: ("new.bad.org", "block"), 1: ("u:p@b.bad.org:8080", "block"), 2: ("good.org", "block"), 3: ("10.1.2.3", "allow"), 4: ("", "allow")}
+
+
+def test_units_of_hosts(spark):
+    names = ["a.b.example.co.uk", "example.com:81", "u@x.example.com.", "192.168.0.1:80", "[::1]:80", "localhost", "co.uk", ""]
+    df = spark.createDataFrame([(x,) for x in names], "h string").select(reputation.bare(F.col("h")).alias("b"))
+    got = [(r.b, r.d, r.s) for r in df.select("b", reputation.registered_domain(F.col("b")).alias("d"), reputation.suffix(F.col("b")).alias("s")).collect()]
+    assert got == [
+        ("a.b.example.co.uk", "example.co.uk", "co.uk"), ("example.com", "example.com", "com"), ("x.example.com", "example.com", "com"), ("192.168.0.1", "192.168.0.1", "(address)"),
+        ("[::1]", "[::1]", "(address)"), ("localhost", "localhost", "localhost"), ("co.uk", "co.uk", "co.uk"), ("", "", ""),
+    ]
+
+
 def test_simhash_against_brute_force(spark, odd):
     rng = random.Random(2)
     base = prose(rng, 400).split()
@@ -123,6 +157,10 @@ def test_simhash_of_one_large_group(spark):
     df = spark.createDataFrame([(p,) for p in prints], "fp long")
     edges = simhash.links(df)
     assert edges.count() < 70 * len(prints)
+    for distance, slot in ((2, 1), (2, 5), (1, 1), (1, 10**6)):  # slots that are all split, and none
+        found = simhash.links(df, distance, slot).collect()
+        assert all(0 < (a ^ b).bit_count() <= distance for a, b in found)
+        assert simhash.components(spark.createDataFrame(found, "a long, b long")).count() == len(prints) - 1
     roots = simhash.components(edges)
     assert roots.select("root").distinct().count() == 1 and roots.count() == len(prints) - 1
     chain = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
@@ -155,26 +193,43 @@ def test_similar_against_brute_force(spark):
     assert sorted((r.doc_id or 0) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == sorted([0, 0, *set(root.values())])
 
 
-def test_line_dedup(odd):
+def test_line_dedup(spark, odd):
     docs = odd.filter("doc_id is not null and doc_id <> 4")
-    want = linededup.brute_force([(r.doc_id, r.text) for r in docs.collect()])
     got = {r.doc_id: (r.n_deleted, r.text) for r in linededup.deduplicated(docs).collect()}
-    assert got == want and got[11][0] == 4 and got[10][0] == 0 and got[1] == (0, None)
-    for rare in (1, 3):
-        assert {r.doc_id: (r.n_deleted, r.text) for r in linededup.deduplicated(docs, rare=rare).collect()} == linededup.brute_force([(r.doc_id, r.text) for r in docs.collect()], rare)
+    assert got == brute.lines_left([(r.doc_id, r.text) for r in docs.collect()]) and got[11][0] == 4 and got[10][0] == 0 and got[1] == (0, None)
     assert linededup.deduplicated(odd).count() == odd.count()
+    # equal keys: one document if the texts are equal, else each is cut by what is earlier
+    line = prose(random.Random(3), 9)
+    same = spark.createDataFrame([(1, line), (1, line), (2, f"x\n{line}"), (2, f"{line}\ny"), (None, line)], "doc_id long, text string")
+    assert sorted(map(str, ((r.doc_id, r.n_deleted, r.text) for r in linededup.deduplicated(same).collect()))) == sorted(map(str, [(1, 0, line), (1, 0, line), (2, 1, "x"), (2, 1, "y"), (None, 0, line)]))
+
+
+def test_blocks_are_common_to_one_pair(spark):
+    """Lines that two documents hold apart, or with text between, are no block; short lines are one where they follow."""
+    rng = random.Random(9)
+    docs = [(1, "one two three four\nother"), (2, "five six seven eight"), (3, "one two three four\nfive six seven eight"), (4, "one two three four\n\n five six seven eight"), (5, "one two three four\nx\nfive six seven eight")]
+    pool = [prose(rng, rng.choice([1, 2, 3, 5, 9])) for _ in range(15)] + ["", " \t", "odd\x1cspace\u2003here"]
+    docs += [(10 + i, "\n".join(rng.choice(["", " "]) + rng.choice(pool) for _ in range(rng.randint(0, 14)))) for i in range(50)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_deleted, r.text) for r in linededup.deduplicated(df).collect()}
+    assert got == brute.lines_left(docs)
+    assert [got[i][0] for i in (1, 2, 3, 4, 5)] == [0, 0, 0, 2, 0] and sum(n > 0 for n, _ in got.values()) > 20
+    found = {r.k: r.blocks for r in linededup.blocks(df).collect()}
+    assert [(b.owner, b.place, b.owner_place, b.size, b.moved) for b in found[4]] == [(3, 0, 0, 2, False)]
 
 
 def test_lines_in_another_order(spark):
-    """Lines that patience diff leaves: frequent ones go by themselves, rare ones by the next earlier document."""
+    """Blocks that moved, and one that hundreds of documents hold, go as well."""
     rng = random.Random(9)
     common, a, b, c, d = (prose(rng, 12) for _ in range(5))
-    docs = [(1, f"{a}\n{b}\n{common}"), (2, f"{common}\n{a}\n{b}")] + [(10 + i, f"{common}\n{prose(rng, 5)}") for i in range(20)]
-    docs += [(50, f"{c}\nx1\n{d}\n"), (51, f"{d}\ny1\n{c}"), (52, f"{d}\nz1\n{c}")]
-    got = {r.doc_id: (r.n_deleted, r.text) for r in linededup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got == linededup.brute_force(docs)
-    assert got[1][0] == 0 and got[2] == (3, "") and all(got[10 + i][0] == 1 for i in range(20))
-    assert got[50][0] == 0 and got[51][0] == 1 and got[52] == (2, "z1")
+    docs = [(1, f"{a}\n{b}\n{common}"), (2, f"{common}\n{a}\n{b}")] + [(10 + i, f"{common}\n{prose(rng, 5)}") for i in range(200)]
+    docs += [(500, f"{c}\nx1\n{d}\n"), (501, f"{d}\ny1\n{c}"), (502, f"{d}\nz1\n{c}\n{c}")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_deleted, r.text) for r in linededup.deduplicated(df).collect()}
+    assert got == brute.lines_left(docs)
+    assert got[1][0] == 0 and got[2] == (3, "") and all(got[10 + i][0] == 1 for i in range(200)) and got[501] == (2, "y1") and got[502] == (3, "z1")
+    moved = {r.k: [b.moved for b in r.blocks] for r in linededup.blocks(df).collect()}
+    assert sum(moved[2]) == 1 and sum(moved[501]) == 1
 
 
 def test_patience():
@@ -193,6 +248,47 @@ def test_sharding(odd):
         assert not any(a != b and b.startswith(a) for a in names for b in names)
 
 
+def test_sharding_against_brute_force(spark):
+    """Thousands of shards: each is the shortest prefix that fits, so that its parent does not; deep ones, too."""
+    import hashlib
+    from collections import Counter
+
+    rng = random.Random(6)
+    rows = [(i, "x" * rng.randint(0, 120)) for i in range(12_000)] + [(20_000, "y" * 40)] * 3 + [(30_000, chr(65 + i) * 500) for i in range(8)]
+    bits = lambda t: "".join(f"{x:08b}" for x in hashlib.md5(t.encode()).digest())
+    of = {r: bits(str(r[0])) + bits(r[1]) for r in set(rows)}
+    limit = 600
+    total = Counter()
+    for r in rows:
+        for d in range(257):
+            total[of[r][:d]] += len(r[1])
+    want = Counter((*r, next(of[r][:d] for d in range(257) if total[of[r][:d]] <= limit)) for r in rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = sharding.sharded(df, limit)
+    got = out.collect()
+    assert Counter((r.doc_id, r.text, r.shard) for r in got) == want and all(r.depth == len(r.shard) and not r.overflow for r in got)
+    names = {r.shard for r in got}
+    assert len(names) > 1500 and max(map(len, names)) > 128 and all(total[x[:-1]] > limit for x in names)
+
+
+def test_sharding_against_sql(spark, duck, same):
+    """The oracle's SQL with a limit that splits these tables into many shards."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("n_bytes", F.octet_length("text").cast("long"))
+    limit = docs.agg(F.max("n_bytes")).first()[0] + 1
+    out = sharding.sharded(docs, limit, carry=["doc_id", "n_bytes"])
+    assert out.select("shard").distinct().count() > 5
+    same(out, duck.sql(sharding.op5_sql(limit)))
+
+
+def test_sharding_writes_folders(spark, odd):
+    path = shared_path(spark, "shards")
+    sharding.write(odd.drop("shard"), path, 3000)
+    back = spark.read.parquet(path)
+    assert back.count() == odd.count()
+    sizes = back.groupBy("shard", "overflow").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("b")).collect()
+    assert len(sizes) > 1 and all(r.b <= 3000 or r.overflow for r in sizes)
+
+
 def test_mixing(spark, odd):
     docs = spark.createDataFrame([(i, "x" * 10, "en", f"src{i % 2}", 10) for i in range(4000)], DOCS)
     out = mixing.mixed(docs, {"src0": 3.0, "src1": 1.0}).groupBy("source").agg(F.count("*").alias("n"), F.max("copy").alias("m")).collect()
@@ -223,6 +319,39 @@ def test_warc_round_trip(spark, compression):
     assert warc.read(spark, small).filter("record_type = 'revisit'").count() == 0
 
 
+def _archive(tmp_path, name, *records):
+    (tmp_path / name).write_bytes(b"".join(head.replace("\n", "\r\n").encode() + b"\r\n\r\n" + body + b"\r\n\r\n" for head, body in records))
+    return f"file://{tmp_path / name}"
+
+
+def test_warc_of_others(spark, tmp_path):
+    """Records with HTTP headers, broken headers, payloads cut short and of many chunks."""
+    import base64
+    import hashlib
+
+    body = b"<p>\r\n\r\n" + bytes(range(256)) * 4000
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" + body
+    digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    head = lambda i, n, more="": f"WARC/1.0\nWARC-Type: response\nWARC-Record-ID: <{i}>\nContent-Length: {n}{more}"
+    good = (head(1, len(http), f"\nContent-Type: application/http; msgtype=response\nWARC-Payload-Digest: sha1:{digest}"), http)
+    path = _archive(tmp_path, "a.warc", good, (head(2, 0), b""), (head(3, 2, f"\nWARC-Payload-Digest: sha1:{hashlib.sha1(b'ok').hexdigest()}"), b"ok"))
+    for split in ("0", "100000"):
+        got = {r.record_id: bytes(r.payload) for r in warc.read(spark, path, verify="true", splitBytes=split).collect()}
+        assert got == {"<1>": http, "<2>": b"", "<3>": b"ok"}
+    wrong = _archive(tmp_path, "b.warc", (good[0], http[:-1] + b"?"))
+    with pytest.raises(Exception, match="does not match its digest"):
+        warc.read(spark, wrong, verify="true").collect()
+    for i, bad in enumerate(("WARC/1.0\nWARC-Type: response\nWARC-Record-ID: <8>", head(8, "many"), head(8, "-5"), head(8, ""))):
+        path = _archive(tmp_path, f"c{i}.warc", good, (bad, b"lost"), (head(9, 4), b"kept"))
+        with pytest.raises(Exception, match="no valid Content-Length"):
+            warc.read(spark, path).collect()
+        assert sorted(r.record_id for r in warc.read(spark, path, malformed="skip").collect()) == ["<1>", "<9>"]
+    (tmp_path / "d.warc").write_bytes((tmp_path / "a.warc").read_bytes()[: len(http) // 2])
+    with pytest.raises(Exception, match="ends within"):
+        warc.read(spark, f"file://{tmp_path / 'd.warc'}").collect()
+    assert warc.read(spark, f"file://{tmp_path / 'd.warc'}", malformed="skip").count() == 0
+
+
 def test_tokens_equal_the_tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -238,7 +367,7 @@ def test_tokens_equal_the_tokenizer():
 def test_tokens_of_long_white_space():
     """tiktoken alone gives up on such a run."""
     ids = packing.token_ids("a" + " " * 1_100_000 + "b\n")
-    assert packing._encoders("byte_bpe_50k")[0].decode(ids.tolist()) == "a" + " " * 1_100_000 + "b\n"
+    assert packing._tokenizer("byte_bpe_50k").decode(ids.tolist()) == "a" + " " * 1_100_000 + "b\n"
 
 
 def test_packing(odd):
@@ -277,43 +406,61 @@ def test_plan_is_near_the_bound():
 
 def test_topk(spark):
     rng = np.random.default_rng(4)
-    rows = [(i, rng.normal(size=16).tolist()) for i in range(300)] + [(300 + i, [0.5] * 16) for i in range(60)]
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(300)] + [(300 + i, [0.5] * 16) for i in range(60)] + [(20, [0.25] * 16), (20, [0.25] * 16), (40, [-1.0] * 16)]
     rows += [(400, None), (420, []), (440, [1.0] * 15 + [None]), (460, [float("nan")] * 16), (480, [float("inf")] * 16), (500, [1.0] * 4), (None, [1.0] * 16)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = [tuple(r) for r in topk.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
-    v = {i: np.floor(64 * np.array(x, np.float32).astype(float)).astype(int) for i, x in rows if i is not None and x and None not in x and np.isfinite(x).all()}
-    want = []
-    for q in sorted(v):
-        if q % 20 == 0:
-            best = sorted((-int(v[q] @ v[c]), c) for c in v if c != q and len(v[c]) == len(v[q]))[:20]
-            want += [(q, k, c, -s) for k, (s, c) in enumerate(best, 1)]
-    assert got == want
-    huge = spark.createDataFrame([(20 * i, [1e15 * (i + 1), -3e14]) for i in range(5)], "vec_id long, embedding array<double>")
-    with_huge = {(r.query_id, r.rank): r.score for r in topk.search(huge.withColumn("embedding", F.transform("embedding", lambda x: x / 1e9)), F.lit(True)).collect()}
-    assert len(with_huge) == 20
-
-
-@pytest.mark.parametrize("scale", [1, 40, 3000, 10**6])
+    got = sorted(tuple(r) for r in topk.search(df, F.col("vec_id") % 20 == 0).collect())
+    v = [(i, np.floor(64 * np.array(x, np.float32).astype(float)).astype(int).tolist()) for i, x in rows if i is not None and x and None not in x and np.isfinite(x).all()]
+    assert got == sorted(brute.best(v, 20))
+    assert sum(r[0] == 20 for r in got) == 40 and sum(r[0] == 40 for r in got) == 40  # a repeated id is a query for each of its vectors
+
+
+def test_topk_of_many_lengths_and_blocks(spark, monkeypatch):
+    """More lengths than any list of them would hold, and blocks that the first one's threshold decides about."""
+    rng = random.Random(2)
+    rows = [(i, [float(rng.randint(-3, 3)) for _ in range(1 + i % 1200)]) for i in range(2400)]
+    got = sorted(tuple(r) for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, factor=1).collect())
+    assert got == sorted(brute.best([(i, [int(x) for x in v]) for i, v in rows], 20))
+    monkeypatch.setattr(topk, "BLOCK", 100)
+    monkeypatch.setattr(topk, "QUERIES", 16)
+    rows = [(i, [rng.gauss(0, 1 + i // 300) for _ in range(12)]) for i in range(900)]
+    got = sorted(tuple(r) for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 5).collect())
+    assert got == sorted(brute.best([(i, [math.floor(64 * x) for x in v]) for i, v in rows], 5))
+
+
+@pytest.mark.parametrize("scale", [1, 40, 3000, 10**6, 10**17])
 def test_topk_stops_on_proof_only(scale):
-    """Members hold the best k with all ties, whatever the quantum, and processing stops before all rows are members."""
+    """Members hold the best k with all ties, whatever the quantum, and processing stops before all postings are read."""
     rng = np.random.default_rng(scale)
     for spread in (0, 1.5):  # like components, and few that are much larger than the rest
-        vectors = np.floor(scale * rng.normal(size=(900, 24)) * rng.lognormal(0, spread, (900, 24))).astype(np.int64)
+        vectors = np.clip(np.floor(scale * rng.normal(size=(900, 24)) * rng.lognormal(0, spread, (900, 24))), -(2.0**62), 2.0**62).astype(np.int64)
         vectors[100:130] = vectors[7]
         queries = np.vstack([vectors[:40], np.zeros((1, 24), np.int64)])
-        found = topk.Postings.of(vectors).members(queries.astype(np.float64), 21)
-        for q, rows in zip(queries, found):
-            s = vectors @ q
-            assert set(np.flatnonzero(s >= np.sort(s)[-21])) <= set(rows.tolist())
-        assert np.mean([len(x) for x in found[:-1]]) < 300
+        index = topk.Postings.of(vectors)
+        found = index.members(queries.astype(np.float64), 21, np.full(41, -np.inf))
+        scores = vectors.astype(object) @ queries.T.astype(object)
+        for i, rows in enumerate(found):
+            s = scores[:, i]
+            assert {j for j in range(900) if s[j] >= sorted(s)[-21]} <= set(rows.tolist())
+        if scale > 1:
+            assert np.mean([len(x) for x in found[:-1]]) < 300
+        floor = np.array([float(sorted(s)[-5]) for s in scores.T])
+        before, index.read = index.read, 0
+        for i, rows in enumerate(index.members(queries.astype(np.float64), 21, floor)):
+            assert {j for j in range(900) if scores[j, i] >= sorted(scores[:, i])[-5]} <= set(rows.tolist())
+        assert index.read <= before
+        low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
         got = list(topk.top_of_block(np.arange(40), vectors[:40], np.arange(900), vectors, 20))
-        want = [(i, c, -s) for i in range(40) for s, c in sorted((-int(vectors[i] @ vectors[c]), c) for c in range(900) if c != i)[:20]]
+        want = [(i, c, -s) for i in range(40) for s, c in sorted((-min(max(scores[c, i], low), high), c) for c in range(900) if c != i)[:20]]
         assert got == want
     # an id that many rows repeat, and components at the ends of longs
     ids, same = np.repeat([5, 6, 7], [30, 40, 40]), np.vstack([np.full((30, 4), 9), np.ones((80, 4), np.int64)])
     assert [x[1] for x in topk.top_of_block(np.array([5]), same[:1], ids, same, 20)] == [6] * 20
     ends = np.array([[np.iinfo(np.int64).min, 1], [np.iinfo(np.int64).max, 1], [1, 1]])
     assert [x[1] for x in topk.top_of_block(np.array([2]), ends[2:], np.arange(3), ends, 2)] == [1, 0]
+    # a block whose largest components cannot reach the threshold is not read
+    index = topk.Postings.of(np.ones((50, 4), np.int64))
+    assert not list(topk.top_of_block(np.array([1]), np.ones((1, 4), np.int64), np.arange(50), np.ones((50, 4), np.int64), 3, np.array([5.0]), index)) and index.read == 0
 
 
 def test_quality(spark, odd):
@@ -326,6 +473,9 @@ def test_quality(spark, odd):
     s = quality.score(field, texts[1::2])
     assert ((s >= 0.3) == labels[1::2]).mean() > 0.97
     assert np.allclose(quality.score(field, texts[1::2], batch=1), s)
+    lines = [(i, good) for i, (p, size, n) in enumerate(quality.marginals(field, [b"a b c\n\n*** ###"])) for good in p]
+    labelled = quality.line_labels(odd, field).collect()
+    assert len(lines) == 3 and len(labelled) == sum((r.text or "").count("\n") + 1 for r in odd.collect()) and all(r.good == (r.p_good >= 0.5) for r in labelled)
     out = quality.scored(odd, field).collect()
     assert len(out) == odd.count() and all(0 <= r.score <= 1 for r in out)
     # marginals of the chain against the sum over all labellings
@@ -336,15 +486,67 @@ def test_quality(spark, odd):
     assert np.allclose(p, [sum(w for y, w in weight.items() if y[i]) / sum(weight.values()) for i in range(3)])
 
 
+def test_quality_of_long_texts(monkeypatch):
+    """A text in slices, and lines in parts, give what they give as a whole (but for words on either side of a cut)."""
+    rng = random.Random(8)
+    texts = ["\n".join(prose(rng, rng.randint(0, 30)) for _ in range(rng.randint(1, 60))).encode() for _ in range(30)] + [b"", b"\n", b"\n\n\n", prose(rng, 3000).encode()]
+    field = quality.fit(texts, np.array([float(i % 3 > 0) for i in range(len(texts))]), steps=10)
+    whole = quality.score(field, texts)
+    assert np.allclose([quality.score(field, [t])[0] for t in texts], whole)
+    for part in (40, 700):
+        monkeypatch.setattr(quality, "PART", part)
+        assert np.allclose(quality.score(field, texts, part), whole, atol=0.02)
+    monkeypatch.setattr(quality, "PART", 40)
+    assert b"".join(quality._parts(b"x" * 100 + b" " + b"y" * 10)) == b"x" * 100 + b" " + b"y" * 10
+    got = [x for y in quality._slices(b"aa\nb\n\n" + b"c" * 90 + b"\n") for x in y]
+    assert got == (b"aa\nb\n\n" + b"c" * 90 + b"\n").split(b"\n")
+
+
+def test_quality_query(spark):
+    """Held-out documents by crc32, and scores that tell them apart by labels the fit has not seen."""
+    rows = catalog.QUERIES["op1_quality"](spark, "/root/testdata/sf0.01").collect()
+    label = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    assert len(rows) == spark.read.parquet("/root/testdata/sf0.01/documents.parquet").count()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    held = [(r.score, label[r.doc_id]) for r in rows if r.held_out and r.doc_id in label]
+    good, bad = [s for s, y in held if y == 1], [s for s, y in held if y == 0]
+    assert good and bad and np.mean([g > b for g in good for b in bad]) > 0.97
+
+
 def test_pipeline(spark):
+    """Every stage against its brute-force version, on what the stage before it left; columns that clash are carried."""
+    from collections import Counter
+
     import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plain = spark.read.parquet(f"{SF}/documents.parquet")
+    clash = {x: F.concat(F.lit(f"{x} "), F.col("doc_id")) for x in ("kept", "n_words", "fail_mask", "n_deleted", "copy", "rate", "shuffle_key", "carried_0", "places")}
+    docs, columns = plain.withColumns(clash), [*plain.columns, *clash]
+    rows = [r.asDict() for r in docs.collect()]
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        before, docs = docs, stage(spark, docs, SF).cache()
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
-        if name == "near_dedup":
-            classes = simhash.grouped(before, carry=["doc_id"])
-            assert docs.count() == classes.select("component_id").distinct().count()
-    out = corpus_pipeline.run(spark, SF)
-    assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
+        if name == "quality_rules":
+            rows = [r for r in rows if brute.passes_rules(r["text"])]
+        elif name == "line_dedup":
+            left = brute.lines_left([(r["doc_id"], r["text"]) for r in rows])
+            rows = [r | ({"text": left[r["doc_id"]][1], "n_chars": len(left[r["doc_id"]][1])} if left[r["doc_id"]][0] else {}) for r in rows]
+            rows = [r for r in rows if brute.words(r["text"]) or not left[r["doc_id"]][0]]
+        elif name == "near_dedup":
+            root = brute.near_copies([(r["doc_id"], r["text"]) for r in rows])
+            rows = [r for r in rows if root[r["doc_id"]] == r["doc_id"]]
+        else:
+            copies = brute.poisson_copies([(r["doc_id"], r["source"], r["text"]) for r in rows], mixing.WEIGHTS)
+            rows = [r for i, r in enumerate(rows) for _ in range(copies[i])]
+        docs = stage(spark, docs, SF).cache()
+        assert docs.columns == columns, name
+        assert Counter(map(str, (r.asDict() for r in docs.collect()))) == Counter(map(str, rows)), name
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = Counter(x for r in rows for x in brute.piece_rows(r["doc_id"], [*slow.encode(r["text"] or "", add_special_tokens=False).ids, 0]))
+    for out in (corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect(), corpus_pipeline.run(spark, SF).collect()):
+        assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out) == want
+        in_order = sorted((r.sequence_id, r.offset, r.length) for r in out)
+        for (a, at, n), (b, then, _) in zip([(None, 0, 0), *in_order], in_order):
+            assert then == (at + n if a == b else 0) and then < 2048
+        assert all(at + n <= 2048 for _, at, n in in_order)
+        assert len({x[0] for x in in_order}) <= -(-sum(x[2] for x in in_order) // 2048) + 2
