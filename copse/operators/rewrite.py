@@ -27,22 +27,22 @@ def cut(data: Column, start: Column, end: Column) -> Column:
     return F.substring(data, (start + 1).cast("int"), F.greatest(F.lit(0), end - start).cast("int"))
 
 
-def splice(source: Column, edits: Column) -> Column:
-    """``source`` (binary) with all edits (array of start, end, new) made, from the last to the first. Edits of nested spans
-    are made one after the other at the places they had in the source; others join the bytes between them, once."""
-    ordered = F.array_sort(F.transform(edits, lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["new"].alias("new"))))
-    rest = lambda a, at: F.substring(a, (at + 1).cast("int"), F.octet_length(a))
-    folded = lambda x: F.aggregate(F.reverse(x), source, lambda a, e: F.concat(cut(a, F.lit(0).cast("long"), e["start"]), e["new"], rest(a, e["end"])))
+def in_order(edits: Column) -> Column:
+    return F.array_sort(F.transform(edits, lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["new"].alias("new"))))
 
-    def joined(x: Column) -> Column:
-        """Binary arrays have no join; their digits have."""
-        begin = lambda i: F.when(i > 0, F.get(x, i - 1)["end"]).otherwise(F.lit(0).cast("long"))
-        pieces = F.transform(x, lambda e, i: F.hex(F.concat(cut(source, begin(i), e["start"]), e["new"])))
-        return F.unhex(F.concat(F.array_join(pieces, ""), F.hex(rest(source, F.element_at(x, -1)["end"]))))
 
-    nested = lambda x: F.exists(F.transform(x, lambda e, i: (i > 0) & ((e["start"] < F.get(x, i - 1)["end"]) | (e["start"] == F.get(x, i - 1)["start"]))), lambda y: F.coalesce(y, F.lit(False)))
-    made = lambda x: F.when(F.size(x) == 0, source).when(nested(x), folded(x)).otherwise(joined(x))
-    return F.get(F.transform(F.array(ordered), made), F.lit(0))
+def splice(source: Column, edits: Column) -> Column:
+    """``source`` (binary) with all edits (a column of start, end, new ``in_order``) made. Edits of nested spans are made
+    one after the other, from the last to the first, at the places they had in the source; others join the bytes between
+    them, once."""
+    rest = lambda a, at: F.substring(a, (at + 1).cast("int"), F.octet_length(a))
+    folded = F.aggregate(F.reverse(edits), source, lambda a, e: F.concat(cut(a, F.lit(0).cast("long"), e["start"]), e["new"], rest(a, e["end"])))
+    begin = lambda i: F.when(i > 0, F.get(edits, i - 1)["end"]).otherwise(F.lit(0).cast("long"))
+    pieces = F.transform(edits, lambda e, i: F.hex(F.concat(cut(source, begin(i), e["start"]), e["new"])))  # binary arrays have no join; their digits have
+    joined = F.unhex(F.concat(F.array_join(pieces, ""), F.hex(rest(source, F.get(edits, F.size(edits) - 1)["end"]))))
+    follows = F.transform(edits, lambda e, i: (i > 0) & ((e["start"] < F.get(edits, i - 1)["end"]) | (e["start"] == F.get(edits, i - 1)["start"])))
+    nested = F.exists(follows, lambda y: F.coalesce(y, F.lit(False)))
+    return F.when(F.size(edits) == 0, source).when(nested, folded).otherwise(joined)
 
 
 def transform(forest: Forest, method: str, query: Query, payload: str = "", exported: Column | None = None, invalid: Column | None = None, place=None) -> DataFrame:
@@ -81,14 +81,15 @@ def apply(found: DataFrame, sources: DataFrame, method: str, name: str, payload:
             start, end, new = s["end"], s["end"], F.lit("\n\n" + payload)
         return F.struct(start.alias("start"), end.alias("end"), binary(new).alias("new"))
 
-    made = joined.withColumn("edits", F.transform(used, edit))
+    made = joined.withColumn("edits", in_order(F.transform(used, edit)))
     made = made.withColumn("result", splice(F.col("source"), F.col("edits")))
     if place and method == "append":
         first = F.get("spans", F.lit(0))
         made = made.withColumn("result", F.coalesce(binary(place(F.decode("source", "UTF-8"), first["start"], first["end"])), F.col("result")))
     nested = F.exists(F.transform(F.col("spans"), lambda s, i: (i > 0) & (s["start"] < F.get(F.col("spans"), i - 1)["end"])), lambda x: F.coalesce(x, F.lit(False)))
     n = F.size("spans")
-    c = score.confidence(method, name, n, F.get("spans", F.lit(0))["exported"], F.lit(False) if invalid is None else invalid, F.octet_length("source"), F.octet_length("result"))
+    made = made.withColumn("invalid", F.lit(False) if invalid is None else invalid)
+    c = score.confidence(method, name, n, F.get("spans", F.lit(0))["exported"], F.col("invalid"), F.octet_length("source"), F.octet_length("result"))
     return made.select("doc", F.decode("source", "UTF-8").alias("original"), F.decode("result", "UTF-8").alias("modified"), n.cast("long").alias("match_count"), nested.alias("overlap"), c.alias("confidence"))
 
 

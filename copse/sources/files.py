@@ -27,6 +27,9 @@ end_row int, end_col int, name string, text string, args array<string>, decl_typ
 DOCUMENTS = "doc string, path string, language string, source string, size long, mod_time long, sha256 string"
 
 
+parser = registry.parser
+
+
 class ScopeError(ValueError):
     """A scope that cannot be walked."""
 
@@ -237,7 +240,7 @@ def has_errors(text: Column, language: str) -> Column:
         parse, _ = known
         return pd.Series([any(n.type == "ERROR" for n in numbered(parse(t or ""))) for t in texts], dtype="boolean")
 
-    return check(text)
+    return check.asNondeterministic()(text)  # so that filters on what depends on it do not parse once more
 
 
 def transform(source: DataFrame, method: str, query: Query, payload: str = "", languages: tuple[str, ...] | None = None) -> DataFrame:
