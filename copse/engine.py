@@ -153,7 +153,7 @@ class Engine:
         if (row := safety.validate(sizes, self.limits).head()) and row["code"]:
             raise RequestError(f"limit {row['code']} is exceeded")
         self.safe(made)
-        status = writer.publish(self.spark, f"{self.folder}/transactions", made, bool(request.get("backup")), dry_run=bool(request.get("dry_run")))
+        status = writer.publish(self.spark, f"{self.folder}/transactions", made, request.get("backup") or False, dry_run=bool(request.get("dry_run")))
         one = status.select(F.col("doc").alias("d"), "status")
         out = rewrite.with_diff(made).join(one, F.col("doc") == F.col("d"), "left").drop("d", "original", "modified")
         return out.withColumn("status", F.coalesce("status", F.lit("unchanged"))).orderBy("doc")

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copse.operators import ledger
+from copse.operators import ledger, safety
 
 LOG = "tx string, op string, path string, kind string, before string, after string, backup string, status string, error string"
 STATUSES = ("pending", "committed", "rolled_back", "failed")
@@ -222,24 +222,26 @@ def summary(log: DataFrame) -> DataFrame:
     return log.groupBy("status").agg(F.count("*").alias("n"), F.count_if(F.col("error") != "").alias("n_errors"))
 
 
-def publish(spark: SparkSession, folder: str, details: DataFrame, backup: bool = False, least: float = 0.3, dry_run: bool = False) -> DataFrame:
+def publish(spark: SparkSession, folder: str, details: DataFrame, backup: bool | str = False, least: float = 0.3, dry_run: bool = False) -> DataFrame:
     """Rewritten documents (doc is the path, original, modified, confidence) written in one transaction.
 
     One row for each: doc, digests before and after, status (unchanged, dry_run or committed). If a document's score is below
-    ``least``, nothing is written and an error tells the first one. backup: the old text stays beside the file as .bak.
+    ``least``, nothing is written and an error tells the first one. backup: the old text stays beside the file as .bak, or,
+    if it is "time", as .bak and the second of writing.
     """
     rows = details.select("doc", "original", "modified", F.round("confidence.score", 9).alias("score"))
     report = rows.select("doc", ledger.digest(F.col("original")).alias("before"), ledger.digest(F.col("modified")).alias("after"))
     status = F.when(F.col("before") == F.col("after"), "unchanged")
     if dry_run:
         return report.withColumn("status", status.otherwise("dry_run"))
-    low = rows.filter((F.col("score") < least) & (F.col("original") != F.col("modified"))).orderBy("doc").head()
-    if low:
-        raise TransactionError(f"{low['doc']}: confidence {low['score']:.2f} is below {least:.2f}")
+    changed = rows.filter("original <> modified").select(F.col("doc").alias("path"), "score", F.lit("").alias("error"))
+    if low := safety.first_invalid(changed, least).head():
+        raise TransactionError(f"{low['path']}: confidence {low['score']:.2f} is below {least:.2f}")
     tx = begin(spark, folder)
     changes = rows.select(F.col("doc").alias("path"), "original", "modified").filter("original <> modified")
     if backup:
-        kept = changes.select(F.concat("path", F.lit(".bak")).alias("path"), F.lit(None).cast("string").alias("original"), F.col("original").alias("modified"))
+        suffix = f".bak.{int(time.time())}" if backup == "time" else ".bak"
+        kept = changes.select(F.concat("path", F.lit(suffix)).alias("path"), F.lit(None).cast("string").alias("original"), F.col("original").alias("modified"))
         changes = changes.unionByName(kept)
     stage(tx, changes)
     done = commit(tx).select(F.col("path").alias("doc"), F.col("before"), F.col("after"), F.lit("committed").alias("status"))
