@@ -49,4 +49,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors, gives known sizes."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``written`` wrote, once nothing will read it any more: a long session does not wait for its end."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
