@@ -8,9 +8,9 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copse.sources.shared import shared_dir, shared_path, written
+from copse.sources.shared import discard, shared_dir, shared_path, written
 
-__all__ = ["among", "fresh", "in_batches", "let", "shared_dir", "shared_path", "table", "words", "written"]
+__all__ = ["among", "discard", "fresh", "in_batches", "let", "shared_dir", "shared_path", "table", "words", "written"]
 #: White space that separates words: U+0020 and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
 #: A character of a word.

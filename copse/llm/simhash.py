@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from copse.llm.common import among, fresh, in_batches, table, written
+from copse.llm.common import among, discard, fresh, in_batches, table, written
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -130,7 +130,7 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
 
     Large-star and small-star steps (Kiveris et al., 2014) alternate until every node has one edge, to a node that has
     none itself. Each is a minimum by node, which is combined before the shuffle, and a join to it whose skewed keys Spark
-    can split. Every step is a table in the shared folder.
+    can split. Every step is a table in the shared folder, and goes when the next round is written.
     """
     edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), name)
     k = 0
@@ -143,7 +143,8 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = written(small, f"{name}_{k}_small")
+        before, edges = edges, written(small, f"{name}_{k}_small")
+        discard(before, large)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
