@@ -1,6 +1,6 @@
 """Queries of this subpackage by name, and the DuckDB SQL of those that SQL can express."""
 
-from copse.llm import linededup, mixing, packing, quality, reputation, rules, sharding, simhash, topk, warc
+from copse.llm import linededup, merkle, mixing, packing, pieces, quality, repair, reputation, rules, sharding, simhash, topk, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_rules": rules.op8_rules,
     "op9_pack": packing.op9_pack,
     "op10_topk": topk.op10_topk,
+    "op11_repair": repair.op11_repair,
+    "op12_pieces": pieces.op12_pieces,
+    "op13_merkle": merkle.op13_merkle,
 }
 SQL = {
     "op2_urls": reputation.OP2_SQL,
@@ -21,4 +24,6 @@ SQL = {
     "op7_warc": warc.OP7_SQL,
     "op8_rules": rules.OP8_SQL,
     "op10_topk": topk.OP10_SQL,
+    "op11_repair": repair.OP11_SQL,
+    "op13_merkle": merkle.OP13_SQL,
 }
