@@ -93,16 +93,18 @@ class CharacterMap:
         return to
 
     def _keys(self) -> Iterator[str]:
+        units, labels = np.array(self.units, np.uint32), np.arange(1, 256)
         todo = [(self._down(self.units[0]), b"")] if self.units else []
         while todo:
             node, key = todo.pop()
-            for byte in range(1, 256):
-                to = self._step(node, byte)
-                if to is not None:
-                    unit = self.units[to]
-                    if unit >> 8 & 1:
-                        yield (key + bytes([byte])).decode()
-                    todo.append((to ^ self._down(unit), key + bytes([byte])))
+            to = node ^ labels
+            fits = to < len(units)
+            fits[fits] = units[to[fits]] & 0x800000FF == labels[fits]
+            for byte, place in zip(labels[fits].tolist(), to[fits].tolist()):
+                unit = self.units[place]
+                if unit >> 8 & 1:
+                    yield (key + bytes([byte])).decode()
+                todo.append((place ^ self._down(unit), key + bytes([byte])))
 
     def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
         """Bytes of the longest key that ``data`` goes on with at ``at``, and their replacement."""

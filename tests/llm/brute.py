@@ -141,3 +141,59 @@ def reputation(outcomes, hosts, z=1.645, low=2.0, high=1000.0):
         m = mean[level, name]
         out[h] = m, min(1.0, m + z * math.sqrt(m * (1 - m) * spread))
     return out
+
+
+def repaired(rows):
+    """(blank, duplicate, truncated, illegal, cost, audit, repaired lines) of a conversation's (role, text) in order, by trying all
+    edits at every place."""
+    faults, seen = [], set()
+    for role, text in rows:
+        t = text.strip(SPACE)
+        faults.append("blank" if not t else "duplicate" if (role, text) in seen else "truncated" if t[-1] not in ".!?" else "")
+        seen.add((role, text))
+    after = {"": "su", "s": "u", "u": "a", "a": "u"}  # the initial before, and those that may follow
+    known = {}
+
+    def best(i, last, inserted):
+        """(cost, audit, lines) of the rest; no more than three rows in a row are inserted."""
+        if (i, last, inserted) not in known:
+            ways = [(0, "", ())] if i == len(rows) and last in ("", "a") else []
+
+            def add(letter, cost, line, rest):
+                ways.append((cost + rest[0], letter + rest[1], (*line, *rest[2])))
+
+            if inserted < 3:
+                for role in ("user", "assistant"):
+                    if role[0] in after[last]:
+                        add("I", 2, [f"{role}:"], best(i, role[0], inserted + 1))
+            if i < len(rows):
+                (role, text), fault = rows[i], faults[i]
+                add("D", 3, [], best(i + 1, last, 0))
+                if fault not in ("blank", "duplicate"):
+                    more = fault == "truncated"
+                    if role[:1] and role[:1] in after[last]:
+                        add("K", more, [f"{role}:{text}"], best(i + 1, role[0], 0))
+                    for other in ("user", "assistant"):
+                        if other[0] in after[last]:
+                            add("R", 2 + more, [f"{other}:{text}"], best(i + 1, other[0], 0))
+            known[i, last, inserted] = min(ways) if ways else (1 << 30, "", ())
+        return known[i, last, inserted]
+
+    illegal = sum(a[:1] + b[:1] not in ("su", "ua", "au") for (a, _), (b, _) in zip(rows, rows[1:]))
+    return (*(faults.count(x) for x in ("blank", "duplicate", "truncated")), illegal, *best(0, "", 0))
+
+
+def sha(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def merkle(leaves, fan):
+    """(root, [proof of each leaf]) of digests in order; a proof is [(before, after), ...] from the leaf up."""
+    level, proofs, above = leaves, [[] for _ in leaves], list(range(len(leaves)))
+    while len(level) > 1:
+        for leaf, at in enumerate(above):
+            run = at // fan * fan
+            proofs[leaf].append((level[run:at], level[at + 1 : run + fan]))
+            above[leaf] = at // fan
+        level = [sha(*level[i : i + fan]) for i in range(0, len(level), fan)]
+    return level[0], proofs

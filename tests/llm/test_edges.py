@@ -9,7 +9,8 @@ from copse.llm import catalog
 SF = "/root/testdata/sf0.001"
 TABLES = ("documents", "labels", "pages", "embeddings", "benchmark", "conversations")
 EXTRA = ("score", "predicted", "held_out", "host", "path", "rule", "verdict", "fingerprint", "component_id", "fp", "payload_bytes", "payload_digest", "record_type", "refers_to", "n_words", "kept", "fail_mask",
-         "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "query_id", "rank", "copy", "shard", "n_deleted", "d", "k", "n", "key", "line", "h", "a", "b", "block", "words", "slot", "root")
+         "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "query_id", "rank", "copy", "shard", "n_deleted", "d", "k", "n", "key", "line", "h", "a", "b", "block", "words", "slot", "root",
+         "ids", "starts", "n_tokens", "group_id", "pos", "fault", "audit", "gaps", "cost", "row", "kind", "leaf", "proof", "digest", "tampered", "of", "up")
 
 
 @pytest.fixture(scope="module")
@@ -35,8 +36,8 @@ def test_query(spark, variants, name, variant):
     if variant == "empty":
         assert got.count() == 0
     elif variant == "nulls":
-        # rows without a key draw one number of copies; the rules reject texts that are null
-        want = {"op10_topk": 0, "op6_mix": sum(brute.poisson_copies([(None, None, None)] * 3, {}).values()), "pipeline": 0}.get(name, 3)
+        # rows without a key draw one number of copies and are one conversation; the rules reject texts that are null
+        want = {"op10_topk": 0, "op6_mix": sum(brute.poisson_copies([(None, None, None)] * 3, {}).values()), "pipeline": 0, "op11_repair": 1}.get(name, 3)
         assert got.count() == want
     else:
         # what comes back does not depend on columns that no operator reads; loose columns follow or are left out
