@@ -3,14 +3,12 @@
 A text is normalised here, by the character map that is compiled into the model: at every place the longest prefix of what
 is left that the map has is replaced. With each byte of the result goes the place in the source that it comes from, so
 that every piece has a span of the source's bytes. Merges are the library's, on the normalised text and with a model whose
-own normaliser is taken out. Pieces never join a character to a white space behind it (this is looked up in the
-vocabulary), so that a text falls into words; those of a batch are encoded once, however often they occur.
+own normaliser is taken out.
 """
 
 from __future__ import annotations
 
 import functools
-import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,13 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from copse.llm.common import fresh, in_batches, table
+from copse.llm.common import fresh, table
 
 MODEL = "piece_bpe_32k.model"
 #: White space as it is written in pieces.
 MARK = "▁"
-#: Words that a task remembers; when there are more it starts again with those of a batch.
-WORDS = 1 << 19
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes, bytes]]:
@@ -131,8 +127,6 @@ class Model:
     lean: bool  # white space at the ends goes, runs of it are one
     escape: bool
     lengths: np.ndarray  # bytes of the normalised text that each id stands for
-    eos: int
-    splits: re.Pattern | None  # finds words
 
 
 @functools.cache
@@ -161,11 +155,7 @@ def load(path: str) -> Model:
     plain = _message(1, b"identity") + b"\x18\x00\x20\x00\x28\x00"  # no prefix, no cleaning, nothing escaped
     processor, merges = (sentencepiece.SentencePieceProcessor(model_proto=x) for x in (data, b"".join(rest) + _message(3, plain)))
     lengths = [1 if kind == 6 else 0 if kind in (2, 3) else len(p.encode()) for p, kind in pieces]
-    normal = [p for p, kind in pieces if kind == 1]
-    crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p in normal)
-    line = "" if any("\n" in p for p in normal) else r"\n"
-    words = rf"{line}+|{MARK}*[^{MARK}{line}]+|{MARK}+" if line else f"{MARK}*[^{MARK}]+|{MARK}+"
-    return Model(processor, merges, CharacterMap(rules.get(2, b"")), bool(rules.get(3, 1)), bool(rules.get(4, 1)), bool(rules.get(5, 1)), np.array(lengths, np.int32), processor.eos_id(), None if crossing else re.compile(words))
+    return Model(processor, merges, CharacterMap(rules.get(2, b"")), bool(rules.get(3, 1)), bool(rules.get(4, 1)), bool(rules.get(5, 1)), np.array(lengths, np.int32))
 
 
 def normalised(text: str, model: Model) -> tuple[bytes, np.ndarray]:
@@ -221,44 +211,20 @@ def _lean(out: bytes, origin: np.ndarray) -> tuple[bytes, np.ndarray]:
     return np.frombuffer(out, np.uint8)[where].tobytes(), np.append(origin[where], end)
 
 
-class Encoder:
-    """Encodes whole texts; remembers the words it has met, each as the bytes of its ids."""
-
-    def __init__(self, model: Model):
-        self.model, self.known = model, {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        made = self.model.merges.encode(texts, num_threads=1)
-        flat = np.fromiter(itertools.chain.from_iterable(made), np.int32).tobytes()
-        cuts = list(itertools.accumulate((4 * len(x) for x in made), initial=0))
-        return [flat[i:j] for i, j in zip(cuts, cuts[1:])]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of normalised texts, as bytes of 32-bit integers."""
-        if self.model.splits is None:
-            return self._encode(texts)
-        cut = [self.model.splits.findall(x) for x in texts]
-        words = set(itertools.chain.from_iterable(cut))
-        new = list(words - self.known.keys())
-        if len(self.known) + len(new) > WORDS:
-            self.known, new = {}, list(words)
-        self.known.update(zip(new, self._encode(new)))
-        return [b"".join(map(self.known.__getitem__, x)) for x in cut]
-
-    def encoded(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Of each text its ids, with an end id, and the byte of the text that each piece starts at, and the last ends at."""
-        found, end = [normalised(x, self.model) for x in texts], np.int32(self.model.eos).tobytes()
-        for ids, (_, origin) in zip(self.ids([x.decode() for x, _ in found]), found):
-            ids = np.frombuffer(ids + end, np.int32)
-            places = np.zeros(len(ids) + 1, np.int64)
-            np.cumsum(self.model.lengths[ids], out=places[1:])
-            yield ids, origin[places]
+def encoded(text: str, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a whole text, with an end id, and the byte of the text that each piece starts at, and the last ends at."""
+    whole, origin = normalised(text, model)
+    ids = np.array(model.merges.encode(whole.decode(), add_eos=True), np.int32)
+    places = np.zeros(len(ids) + 1, np.int64)
+    np.cumsum(model.lengths[ids], out=places[1:])
+    return ids, origin[places]
 
 
-@functools.cache
-def encoder(model: str) -> Encoder:
-    """The encoder of a Python worker, with what it remembers from task to task."""
-    return Encoder(load(model))
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
+    """The same rows, so many at a time: what is made of a batch is larger than the batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def encode(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
@@ -275,9 +241,9 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame
     (own,) = fresh(kept, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             texts = batch.column(own).to_pylist()
-            made = list(encoder(model).encoded(texts))
+            made = [encoded(x, load(model)) for x in texts]
             columns = [_lists([x[i] for x in made], types.field(f).type) for i, f in enumerate(("ids", "starts"))]
             n_bytes = pa.array([len(x.encode()) for x in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.drop_columns([own]).columns, *columns, n_bytes], schema=types)
@@ -301,7 +267,7 @@ def decode(encoded: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         processor = load(model).processor
-        for batch in batches:
+        for batch in _few(batches):
             texts = pa.array([processor.decode(x or []) for x in batch.column(own).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.drop_columns([own]).columns, texts], schema=types)
 
@@ -312,6 +278,7 @@ def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded: digests of both, and the bytes of the text that the pieces' spans cover."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = F.col("ids")
-    with in_batches(spark):
-        found = encode(docs).select("doc_id", "ids", F.size(ids).cast("long").alias("n_tokens"), F.sha2(F.array_join(ids.cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), (F.element_at("starts", -1) - F.get("starts", F.lit(0))).alias("covered"))
-        return decode(found).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"), "covered")
+    digest = F.sha2(F.array_join(ids.cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256")
+    covered = (F.element_at("starts", -1) - F.get("starts", F.lit(0))).alias("covered")
+    found = decode(encode(docs).select("doc_id", "ids", F.size(ids).cast("long").alias("n_tokens"), digest, covered))
+    return found.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"), "covered")

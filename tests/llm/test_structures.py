@@ -108,7 +108,8 @@ def test_pieces_equal_the_library(which, nfkc):
     path = nfkc if which == "nfkc" else public_tokenizers.path(pieces.MODEL)
     library, model, rng = sentencepiece.SentencePieceProcessor(model_file=path), pieces.load(path), random.Random(8)
     texts = ["", " ", "   ", "\n", "a", *("".join(rng.choice(ODD) for _ in range(rng.randint(0, 40))) for _ in range(1500))]
-    for text, (ids, starts) in zip(texts, pieces.Encoder(model).encoded(texts)):
+    for text in texts:
+        ids, starts = pieces.encoded(text, model)
         assert ids.tolist() == library.encode(text, add_eos=True)
         assert model.processor.decode(ids.tolist()) == library.decode(ids.tolist())
         assert (np.diff(starts) >= 0).all() and starts[-1] <= len(text.encode())
@@ -129,15 +130,6 @@ def test_longest_prefix(nfkc):
         assert (key + b"\xcc\x81zz")[:size] in keys and size == max(n for n in range(1, len(key) + 5) if (key + b"\xcc\x81zz")[:n] in keys)
 
 
-def test_words_are_forgotten(monkeypatch):
-    monkeypatch.setattr(pieces, "WORDS", 10)
-    model = pieces.load(pieces.MODEL)
-    encoder, rng = pieces.Encoder(model), random.Random(5)
-    for _ in range(20):
-        texts = [" ".join(f"w{rng.randint(0, 50)}" for _ in range(30)) + "\n\n" for _ in range(3)]
-        assert [x.tolist() for x, _ in encoder.encoded(texts)] == model.processor.encode(texts, add_eos=True)
-
-
 def test_encode_and_decode(spark):
     """Nulls, empty and long texts, repeated rows, columns that clash; what decodes is the text."""
     long_ = "hiß wörld\n" * 60_000
