@@ -1,17 +1,18 @@
 """Line dedup by pairwise alignment: overlapping documents are aligned with patience diff, and the later one loses the
-blocks that both have.
-
-What two documents have to share is a run of consecutive lines with at least ``min_words`` words (lines without a word
-do not count as lines). Every line of such a block lies in a shortest run that begins or ends with it and has as many
-words, so the hashes of these shortest runs (of a line alone, if it has the words) stand for the documents: two documents
-overlap if they share one. A run belongs to the earliest document that holds it, its owner, and pairs every later holder
-with that owner only. So the pairs of a run are as many as its documents less one, however many documents hold it, and
-each run of a document is aligned in exactly one pair.
-
-In a pair the shared runs, in the order of their places, are aligned with patience diff. Runs that it leaves, as one
-document has them in another order or more often, are aligned by themselves (blocks that moved). The later document
-loses the lines of all aligned runs: the lines of every block, consecutive in both documents of one pair, that it has in
-common with an earlier document.
+blocks that are aligned.
+
+A block is a run of consecutive lines with at least ``min_words`` words (lines without a word do not count as lines).
+Every line of it lies in a shortest run that begins or ends with it and has as many words (a line alone, if it has them);
+blocks are made of these. Documents meet at rare lines: of lines hashes are counted over all documents, those that one
+document alone has end every run, and of each run that is left the rarest line is where its documents meet. Documents that share
+frequent lines only have a rarest one of these, too, so that no frequency is a limit. Of those that meet at a line and have
+the same run there the earliest is the owner, and every later one pairs with it: pairs of a run are as many as its documents
+less one, and each run of a document is aligned in one pair.
+
+In a pair the shared runs, in the order of their places, are aligned with patience diff. What it leaves on both sides has
+moved: the first of each that is left in one document is aligned with the first in the other. So each run of the owner is
+aligned with one of the later document's, which loses the lines of all that are aligned. What it has more often than the
+owner stays, and which of its repeats that is patience diff decides.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ from copse.llm.common import HAS_WORD, fresh, in_batches, let, table, written
 
 #: Words of a block that is deleted, at least.
 MIN_WORDS = 8
-#: Runs of a record batch that Python hands to Spark.
-RUNS_OF_BATCH = 1 << 14
+#: Lines of a record batch that Python hands to Spark.
+LINES_OF_BATCH = 1 << 14
 
 
 def _longest_increasing(values: list[int]) -> list[int]:
@@ -84,90 +85,124 @@ def _unique(x: list, start: int, end: int) -> dict:
 
 
 def aligned(shared: list[tuple[int, list[int], list[int]]]) -> list[tuple[int, int, int, bool]]:
-    """(place in the later document, place in the owner, size, moved) of every shared run, by the first place. shared: of
-    each run its size in lines, its places in the later document and in the owner."""
+    """(place in the later document, place in the owner, size, moved) of the aligned runs, by the first place. shared: of each
+    run its size in lines, its places in the later document and in the owner."""
     later = sorted((p, k) for k, (_, own, _) in enumerate(shared) for p in own)
     owner = sorted((p, k) for k, (_, _, other) in enumerate(shared) for p in other)
-    in_order = {later[i]: owner[j][0] for i, j in patience([k for _, k in later], [k for _, k in owner])}
-    return [(p, in_order.get((p, k), shared[k][2][0]), shared[k][0], (p, k) not in in_order) for p, k in later]
-
-
-def runs(text: bytes, min_words: int = MIN_WORDS) -> dict[bytes, tuple[int, list[int]]]:
-    """Of a whole text the shortest runs of lines that have ``min_words`` words, from each line on and up to each line:
-    {hash (128 bits): (lines, places)}. Lines are told apart without the white space around them; places count those
-    that have a word."""
-    some = [x for x in map(bytes.strip, text.split(b"\n")) if x]
-    n = len(some)
-    words = [min(min_words, len(x.split(None, min_words))) for x in some]  # no more words are counted than a run needs
-    found = set()
-    end = total = 0
-    for i in range(n):
-        while end < n and total < min_words:
-            total += words[end]
-            end += 1
-        if total < min_words:
-            break
-        found.add((i, end))
-        total -= words[i]
-    start, total = n, 0
-    for j in range(n, 0, -1):
-        while start and total < min_words:
-            start -= 1
-            total += words[start]
-        if total < min_words:
-            break
-        found.add((start, j))
-        total -= words[j - 1]
-    out: dict[bytes, tuple[int, list[int]]] = {}
+    pairs = {i: j for i, j in patience([k for _, k in later], [k for _, k in owner])}
+    out = [(later[i], owner[j][0], False) for i, j in pairs.items()]
+    taken, free = set(pairs.values()), {}
+    for j, (p, k) in enumerate(owner):
+        if j not in taken:
+            free.setdefault(k, []).append(p)
+    for i, (p, k) in enumerate(later):
+        if i not in pairs and free.get(k):
+            out.append(((p, k), free[k].pop(0), True))
+    return sorted((p, q, shared[k][0], moved) for (p, k), q, moved in out)
+
+
+#: Of a line: where it is among those with a word, its hash (128 bits), its words as far as a run needs them.
+LINES = "place int, line binary, words int, first boolean"
+
+
+def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """k (key), t (hash of the text) and the lines of each row that have a word; first: whether it is the text's first such
+    line. Lines are told apart without the white space around them."""
+    schema = T.StructType([T.StructField("k", docs.schema[key].dataType), *T._parse_datatype_string(f"t long, {LINES}").fields])
+    types = to_arrow_schema(schema)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, x in enumerate(batch.column(2)):
+                some = [y for y in map(bytes.strip, x.as_py().split(b"\n")) if y]
+                for at in range(0, len(some), LINES_OF_BATCH):
+                    part = some[at : at + LINES_OF_BATCH]
+                    hashes = [xxhash.xxh3_128_digest(y) for y in part]
+                    if at == 0:
+                        seen: set[bytes] = set()
+                    first = [h not in seen and not seen.add(h) for h in hashes]
+                    which = pa.array([row] * len(part), pa.int64())
+                    columns = [batch.column(0).take(which), batch.column(1).take(which), range(at, at + len(part)), hashes, [min(min_words, len(y.split(None, min_words))) for y in part], first]
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, types)], schema=types)
+
+    whole = F.col(f"`{text}`")
+    return docs.filter(whole.isNotNull()).select(F.col(f"`{key}`").alias("k"), F.xxhash64(whole).alias("t"), F.encode(whole, "UTF-8").alias("x")).mapInArrow(of, schema)
+
+
+def runs(lines: list[tuple[int, bytes, int, int]], min_words: int = MIN_WORDS) -> dict[tuple[bytes, bytes], tuple[int, list[int]]]:
+    """Of a document's shared lines (place, hash, words, documents that have it) the shortest runs of consecutive ones that have
+    ``min_words`` words, from each line on and up to each line: {(rarest line, hash of the run): (lines, places)}."""
+    lines = sorted(lines)
+    n, found, begin = len(lines), set(), 0
+    words = [x[2] for x in lines]
+    for stop in range(1, n + 1):
+        if stop < n and lines[stop][0] == lines[stop - 1][0] + 1:
+            continue
+        end, total = begin, 0
+        for i in range(begin, stop):
+            while end < stop and total < min_words:
+                total += words[end]
+                end += 1
+            if total < min_words:
+                break
+            found.add((i, end))
+            total -= words[i]
+        start, total = stop, 0
+        for j in range(stop, begin, -1):
+            while start > begin and total < min_words:
+                start -= 1
+                total += words[start]
+            if total < min_words:
+                break
+            found.add((start, j))
+            total -= words[j - 1]
+        begin = stop
+    out: dict[tuple[bytes, bytes], tuple[int, list[int]]] = {}
     for i, j in sorted(found):
-        out.setdefault(xxhash.xxh3_128_digest(some[i] if j == i + 1 else b"\n".join(some[i:j])), (j - i, []))[1].append(i)
+        rarest = min(lines[i:j], key=lambda x: (x[3], x[1]))[1]
+        run = rarest if j == i + 1 else xxhash.xxh3_128_digest(b"".join(x[1] for x in lines[i:j]))
+        out.setdefault((rarest, run), (j - i, []))[1].append(lines[i][0])
     return out
 
 
 def run_table(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """k (key), t (hash of the text), run (hash), size (lines) and places of every distinct run of each row."""
-    schema = T.StructType([T.StructField("k", docs.schema[key].dataType), *T._parse_datatype_string("t long, run binary, size int, places array<int>").fields])
+    """k, t, line (the rarest), run (hash), size (lines) and places of every distinct run of shared lines of each document.
+    What one task gathers are a document's own shared lines; counts of lines are combined before they are shuffled."""
+    with in_batches(docs.sparkSession):
+        lines = written(line_table(docs, key, text, min_words), "lines")
+    shared = lines.groupBy("line").agg(F.sum(F.col("first").cast("long")).alias("held")).filter("held > 1")
+    of = lines.join(shared, "line").groupBy("k", "t").agg(F.collect_list(F.struct("place", "line", "words", "held")).alias("lines"))
+    schema = T.StructType([lines.schema["k"], *T._parse_datatype_string("t long, line binary, run binary, size int, places array<int>").fields])
     types = to_arrow_schema(schema)
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[], [], [], []]
-
-            def made() -> pa.RecordBatch:
-                which = pa.array(rows[0], pa.int64())  # noqa: B023
-                columns = [batch.column(0).take(which), batch.column(1).take(which), *rows[1:]]  # noqa: B023
-                return pa.RecordBatch.from_arrays([x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, types)], schema=types)
-
-            for i, x in enumerate(batch.column(2)):
-                for run, (size, places) in runs(x.as_py(), min_words).items():
-                    for to, value in zip(rows, (i, run, size, places)):
-                        to.append(value)
-                if len(rows[0]) >= RUNS_OF_BATCH:
-                    yield made()
-                    rows = [[], [], [], []]
-            if rows[0]:
-                yield made()
+            for row, own in enumerate(batch.column("lines")):
+                values = own.values
+                made = runs(list({*zip(*(values.field(c).to_pylist() for c in ("place", "line", "words", "held")))}), min_words)
+                if made:
+                    which = pa.array([row] * len(made), pa.int64())
+                    columns = [batch.column(0).take(which), batch.column(1).take(which), [x for x, _ in made], [x for _, x in made], [x for x, _ in made.values()], [x for _, x in made.values()]]
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, types)], schema=types)
 
-    whole = F.col(f"`{text}`")
-    return docs.filter(whole.isNotNull()).select(F.col(f"`{key}`").alias("k"), F.xxhash64(whole).alias("t"), F.encode(whole, "UTF-8").alias("x")).mapInArrow(of, schema)
+    with in_batches(docs.sparkSession):
+        return written(of.mapInArrow(found, schema), "runs")
 
 
 def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """k, t and blocks of each document that shares a run with an earlier one: array of (owner, place, owner_place, size,
-    moved), each a run of ``size`` lines that both have. Places count the lines with a word.
+    moved), each a run of ``size`` lines that is aligned with the owner's. Places count the lines with a word.
 
     A document is a key and a text (rows that repeat both are one), and comes before others by key, then by the hash of
     the text. Null keys and texts take no part. What one task gathers is bounded by a document's own lines and their
     places in their owners; owners are minima, combined before the shuffle, and Spark splits the join to them where a run
     is in a third of all rows.
     """
-    spark = docs.sparkSession
-    with in_batches(spark):
-        own = written(run_table(docs.filter(F.col(f"`{key}`").isNotNull()), key, text, min_words), "runs")
-    of = own.groupBy("run").agg(F.min(F.struct("k", "t", "places")).alias("first"), F.max(F.struct("k", "t")).alias("last"))
+    own = run_table(docs.filter(F.col(f"`{key}`").isNotNull()), key, text, min_words)
+    of = own.groupBy("line", "run").agg(F.min(F.struct("k", "t", "places")).alias("first"), F.max(F.struct("k", "t")).alias("last"))
     of = of.filter((F.col("first.k") != F.col("last.k")) | (F.col("first.t") != F.col("last.t")))
-    of = written(of.select("run", F.col("first.k").alias("owner"), F.col("first.t").alias("owner_t"), F.col("first.places").alias("other")), "owners")
-    met = own.join(of, "run").filter((F.col("k") != F.col("owner")) | (F.col("t") != F.col("owner_t")))
+    of = written(of.select("line", "run", F.col("first.k").alias("owner"), F.col("first.t").alias("owner_t"), F.col("first.places").alias("other")), "owners")
+    met = own.join(of, ["line", "run"]).filter((F.col("k") != F.col("owner")) | (F.col("t") != F.col("owner_t")))
     pairs = met.groupBy("k", "t").agg(F.collect_set(F.struct("owner", "owner_t", "size", "places", "other")).alias("shared"))
 
     @F.pandas_udf(f"array<struct<owner:{own.schema['k'].dataType.simpleString()},place:int,owner_place:int,size:int,moved:boolean>>")

@@ -17,22 +17,60 @@ def lower(text):
     return re.sub("[A-Z]", lambda m: chr(ord(m[0]) + 32), text or "")
 
 
+def patience_pairs(a, b):
+    """Equal head and tail, then the longest chain of elements that both have once, then what lies between."""
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [(0, 0)] + [(i + 1, j + 1) for i, j in patience_pairs(a[1:], b[1:])]
+    if a[-1] == b[-1]:
+        return patience_pairs(a[:-1], b[:-1]) + [(len(a) - 1, len(b) - 1)]
+    once = [(i, b.index(x)) for i, x in enumerate(a) if a.count(x) == 1 == b.count(x)]
+    best = []  # the longest chain that ends with each
+    for k, (_, j) in enumerate(once):
+        chain = max((best[m] for m in range(k) if once[m][1] < j), key=len, default=[])
+        best.append([*chain, once[k]])
+    out, i0, j0 = [], 0, 0
+    for i, j in [*max(best, key=len, default=[]), (None, None)]:
+        if i is None and not best:
+            break
+        out += [(x + i0, y + j0) for x, y in patience_pairs(a[i0:i], b[j0:j])]
+        if i is not None:
+            out.append((i, j))
+            i0, j0 = i + 1, j + 1
+    return out
+
+
 def lines_left(docs, min_words=8):
-    """{key: (lines deleted, text)} of (key, text): all runs that a pair has in common, by comparing all pairs of places."""
+    """{key: (lines deleted, text)} of (key, text): each shortest run of a document is aligned with those of the first earlier document
+    that has it."""
     split = {k: [(i, x.strip(SPACE)) for i, x in enumerate((t or "").split("\n")) if x.strip(SPACE)] for k, t in docs}
+    runs = {}
+    for k, lines in split.items():
+        n = [len(words(x)) for _, x in lines]
+        found = set()
+        for i in range(len(lines)):
+            found |= {(i, j) for j in [next((j for j in range(i + 1, len(lines) + 1) if sum(n[i:j]) >= min_words), None)] if j}
+            found |= {(j, i + 1) for j in [next((j for j in range(i, -1, -1) if sum(n[j : i + 1]) >= min_words), None)] if j is not None}
+        runs[k] = [(i, tuple(x for _, x in lines[i:j])) for i, j in sorted(found)]
+    first = {}
+    for k in sorted(runs):
+        for _, run in runs[k]:
+            first.setdefault(run, k)
     out = {}
     for k, t in docs:
         gone = set()
-        for other, _ in docs:
-            if other < k:
-                a, b = split[k], split[other]
-                for i in range(len(a)):
-                    for j in range(len(b)):
-                        n = 0
-                        while i + n < len(a) and j + n < len(b) and a[i + n][1] == b[j + n][1]:
-                            n += 1
-                        if sum(len(words(x)) for _, x in a[i : i + n]) >= min_words:
-                            gone |= {p for p, _ in a[i : i + n]}
+        for owner in {first[run] for _, run in runs[k]} - {k}:
+            own = [(i, run) for i, run in runs[k] if first[run] == owner]
+            other = [run for _, run in runs[owner] if any(run == x for _, x in own)]
+            pairs = dict(patience_pairs([run for _, run in own], other))
+            free = [j for j in range(len(other)) if j not in pairs.values()]
+            for i, (_, run) in enumerate(own):
+                j = next((j for j in free if other[j] == run), None)
+                if i not in pairs and j is not None:
+                    free.remove(j)
+                    pairs[i] = j
+            gone |= {split[k][own[i][0] + m][0] for i in pairs for m in range(len(own[i][1]))}
         out[k] = (len(gone), t if not gone else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone))
     return out
 

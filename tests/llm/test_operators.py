@@ -227,11 +227,32 @@ def test_lines_in_another_order(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r.doc_id: (r.n_deleted, r.text) for r in linededup.deduplicated(df).collect()}
     assert got == brute.lines_left(docs)
-    assert got[1][0] == 0 and got[2] == (3, "") and all(got[10 + i][0] == 1 for i in range(200)) and got[501] == (2, "y1") and got[502] == (3, "z1")
+    assert got[1][0] == 0 and got[2] == (3, "") and all(got[10 + i][0] == 1 for i in range(200)) and got[501] == (2, "y1") and got[502] == (2, f"z1\n{c}")
     moved = {r.k: [b.moved for b in r.blocks] for r in linededup.blocks(df).collect()}
     assert sum(moved[2]) == 1 and sum(moved[501]) == 1
 
 
+def test_patience_decides(spark, monkeypatch):
+    """Of what a document repeats patience diff tells which is the owner's; without it another line would go."""
+    rng = random.Random(6)
+    a, b, c = (prose(rng, 10) for _ in range(3))
+    docs = [(1, f"{a}\n{b}"), (2, f"{b}\n{c}\n{a}\n{b}")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = (2, f"{b}\n{c}")
+    assert brute.lines_left(docs)[2] == want == {r.doc_id: (r.n_deleted, r.text) for r in linededup.deduplicated(df).collect()}[2]
+    shared = [(1, [2], [0]), (1, [0, 3], [1])]
+    assert [p for p, *_ in linededup.aligned(shared)] == [2, 3]
+    monkeypatch.setattr(linededup, "patience", lambda a, b: [])
+    assert [p for p, *_ in linededup.aligned(shared)] == [0, 2]
+
+
+def test_documents_meet_at_rare_lines():
+    """A line that no other document has ends a run; the rarest of a run is where documents meet."""
+    line = lambda place, held, words=4: (place, bytes([held]) * 16, words, held)
+    made = linededup.runs([line(0, 9), line(1, 3), line(2, 7), line(4, 5), line(6, 2, 8), line(7, 8)])
+    assert {(k[0], size, tuple(at)) for (k, _), (size, at) in ((x, y) for x, y in made.items())} == {(3, 2, (0,)), (3, 2, (1,)), (2, 1, (6,)), (2, 2, (6,))}
+
+
 def test_patience():
     assert linededup.patience(list("abcde"), list("abXde")) == [(0, 0), (1, 1), (3, 3), (4, 4)]
     assert linededup.patience(list("xaby"), list("yabx"))[0] in [(1, 1), (0, 3), (3, 0)]
