@@ -26,7 +26,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from copse.llm.common import among, discard, fresh, in_batches, table, written
 
@@ -214,8 +213,8 @@ def tries(n: int, t: Fraction) -> int:
     return head(n, t) - _spare(_overlap(n, t)) + 1
 
 
-#: Sets that try the same hash and are compared by pairs, at most; and sets of a block where there are more, about.
-GROUP, BLOCK = 64, 256
+#: Sets that try the same hash and are compared by pairs, at most; and sets and hashes of a block where there are more, about.
+GROUP, BLOCK, BLOCK_HASHES = 64, 256, 1 << 18
 #: Hashes of a block that are compared at a time.
 COLUMNS = 4096
 
@@ -239,11 +238,11 @@ def in_common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def in_blocks(members: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """Links (a, b) among the sets of each large group (members: h, held, set_id, root; sets: set_id, hashes) that have
-    different roots. A group's sets are dealt to blocks, and each two of its blocks (a block and itself, too) are one row
-    that a task compares; memory is bounded by two blocks."""
+    """Links (a, b) among the sets of each large group (members: h, held, total, set_id, root; sets: set_id, hashes) that
+    have different roots. A group's sets are dealt to blocks, as many as its sets and their hashes (total) ask for, and each
+    two of its blocks (a block and itself, too) are one row that a task compares; memory is bounded by two blocks."""
     up, down = t.numerator, t.denominator
-    dealt = members.withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    dealt = members.withColumn("blocks", F.ceil(F.greatest(F.col("held") / BLOCK, F.col("total") / BLOCK_HASHES)).cast("int")).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     dealt = dealt.join(sets.hint("merge"), "set_id").groupBy("h", "block", "blocks").agg(F.collect_list(F.struct("set_id", "root", "hashes")).alias("sets"))
     dealt = written(dealt, "blocks")
     left = dealt.select("h", F.col("sets").alias("x"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("block"))
@@ -318,7 +317,8 @@ def similar(docs: DataFrame, similarity: float = 0.8, size: int = 5, key: str =
     copies = rows.select("set_id", "row").join(least.select("set_id", F.col("row").alias("first")), "set_id").filter("row <> first").select("row")
     once = among(rows, written(copies, "copies"), "row", "left_anti")
     heads = once.select("set_id", "n", F.element_at("head", -1).alias("last"), F.posexplode("head").alias("place", "h"))
-    held = heads.withColumn("held", F.count("*").over(W.partitionBy("h"))).filter("held > 1")
+    counts = heads.groupBy("h").agg(F.count("*").alias("held")).filter("held > 1")  # combined before the shuffle; Spark splits the join where a passage is in very many texts
+    held = heads.join(counts, "h")
     rare = held.groupBy("set_id", "n", "last").agg(F.sort_array(F.collect_list(F.struct("held", "h", "place"))).alias("hs"))
     own = headed(F.col("n")) - F.size("hs")  # hashes of the head that are in no other head: the rarest, tried in vain
     tried = F.transform(F.slice("hs", F.lit(1), F.greatest(F.lit(0), F.size("hs") - in_vain(F.col("n")))), lambda x: x["h"])
@@ -367,12 +367,12 @@ def similar(docs: DataFrame, similarity: float = 0.8, size: int = 5, key: str =
     near = verified(stars.select(pick("x", "y", "a"), pick("y", "x", "b"), pick("of_x", "of_y", "of_a"), pick("of_y", "of_x", "of_b")), "near")
     roots = components(near).withColumnsRenamed({"node": "set_id"})
     placed = written(probes.join(roots, "set_id", "left").select("h", "set_id", "of", F.coalesce("root", "set_id").alias("root")), "placed")
-    apart = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("held")).filter("low < high")
-    apart = written(apart.select("h", "held"), "apart")
-    few = placed.join(apart.filter(F.col("held") <= GROUP), "h")
+    apart = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("held"), F.sum("of.n").alias("total")).filter("low < high")
+    apart = written(apart.select("h", "held", "total"), "apart")
+    few = placed.join(apart.filter(F.col("held") <= GROUP).drop("total"), "h")
     side = lambda x: few.select("h", F.col("set_id").alias(x), F.col("of").alias(f"of_{x}"), F.col("root").alias(f"root_{x}"))
     far = verified(side("a").join(side("b"), "h").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))), "far")
-    many = written(placed.join(apart.filter(F.col("held") > GROUP), "h").select("h", "held", "set_id", "root"), "large_groups")
+    many = written(placed.join(apart.filter(F.col("held") > GROUP), "h").select("h", "held", "total", "set_id", "root"), "large_groups")
     edges = near.union(far)
     if not many.isEmpty():
         ids = written(many.select("set_id").distinct().join(least, "set_id").select("set_id", "id"), "large_groups_ids")
