@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -214,7 +215,7 @@ def _lean(out: bytes, origin: np.ndarray) -> tuple[bytes, np.ndarray]:
 def encoded(text: str, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """The ids of a whole text, with an end id, and the byte of the text that each piece starts at, and the last ends at."""
     whole, origin = normalised(text, model)
-    ids = np.array(model.merges.encode(whole.decode(), add_eos=True), np.int32)
+    ids = model.merges.encode(whole.decode(), add_eos=True, return_type="numpy")
     places = np.zeros(len(ids) + 1, np.int64)
     np.cumsum(model.lengths[ids], out=places[1:])
     return ids, origin[places]
@@ -245,7 +246,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame
             texts = batch.column(own).to_pylist()
             made = [encoded(x, load(model)) for x in texts]
             columns = [_lists([x[i] for x in made], types.field(f).type) for i, f in enumerate(("ids", "starts"))]
-            n_bytes = pa.array([len(x.encode()) for x in texts], pa.int64())
+            n_bytes = pc.binary_length(batch.column(own)).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.drop_columns([own]).columns, *columns, n_bytes], schema=types)
 
     return docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(own)).mapInArrow(run, schema)
@@ -268,7 +269,7 @@ def decode(encoded: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         processor = load(model).processor
         for batch in _few(batches):
-            texts = pa.array([processor.decode(x or []) for x in batch.column(own).to_pylist()], pa.string())
+            texts = pa.array([processor.decode(x.values.to_numpy()) if x.is_valid else "" for x in batch.column(own)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.drop_columns([own]).columns, texts], schema=types)
 
     return encoded.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{ids}`").alias(own)).mapInArrow(run, schema)
