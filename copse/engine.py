@@ -16,7 +16,8 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copse.operators import ledger, recipe, rewrite, safety, score
+from copse import jobs
+from copse.operators import ledger, recipe, rewrite, safety, score, sessions
 from copse.plans.forest import projected
 from copse.providers import registry
 from copse.selector import Query, choose
@@ -43,13 +44,14 @@ class RequestError(ValueError):
 
 @dataclass(frozen=True)
 class Rules:
-    """Of staging: pending stages and applies of a session, at most (0: no limit), and whether a stage whose score reaches
-    the threshold is applied at once."""
+    """Of staging: pending stages and applies of a session, at most (0: no limit), whether a stage whose score reaches the
+    threshold is applied at once, and whether applying all of a session's stages stops at the first that fails or skips it."""
 
     max_pending: int = 0
     max_applies: int = 0
     auto_apply: bool = False
     threshold: float = score.AUTO_APPLY
+    stop_at_first: bool = False
 
 
 class Engine:
@@ -57,6 +59,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, folder: str, limits: safety.Limits = safety.Limits(), rules: Rules = Rules()) -> None:
         self.spark, self.folder, self.limits, self.rules = spark, os.path.abspath(folder), limits, rules
+        self.works = jobs.Works(spark)
 
     def call(self, operation: str, request: dict) -> DataFrame:
         if operation not in FIELDS:
@@ -255,7 +258,7 @@ class Engine:
         out = ledger.outcomes(chosen, F.lit(now), self.hashes(chosen))
         within = ledger.within_limit(out.filter("outcome = 'ok'"), self.applies_with_sessions(), self.rules.max_applies).select("id", F.lit(True).alias("within"))
         out = out.join(within, "id", "left").withColumn("outcome", F.when((F.col("outcome") == "ok") & F.col("within").isNull(), "limit").otherwise(F.col("outcome"))).drop("within")
-        out = self.kept(out)
+        out = self.kept(ledger.attempted(out, bool(request.get("all")) and self.rules.stop_at_first))
         good = out.filter("outcome = 'ok'")
         if good.head():
             rows = ledger.applies_of(good, F.lit(now), auto, "auto" if auto else "engine")
@@ -266,6 +269,19 @@ class Engine:
             rows.write.mode("append").parquet(f"file://{self.folder}/applies")
         return out.select("id", "outcome")
 
+    def sessions(self) -> DataFrame:
+        """One row for each session: times and counters. They are counted from the stages and applies that there are, and so
+        are right whatever failed in between."""
+        staged = self.table("stages", STAGES).dropDuplicates(["id"]).select("session_id", F.lit("stage").alias("kind"), F.col("created_at").alias("at"))
+        applied = self.applies_with_sessions().select("session_id", F.lit("apply").alias("kind"), F.col("applied_at").alias("at"))
+        return sessions.counted(staged.unionByName(applied).withColumn("client", F.lit(None).cast("string"))).drop("client", "client_at")
+
+    def submit(self, operation: str, request: dict, token: str | None = None, timeout: float | None = None) -> jobs.Work:
+        """``call`` in the background, under a token by which it can be followed and cancelled, for at most ``timeout`` seconds
+        (those of ``jobs.LIMITS`` if not given). Its result is a written table."""
+        limit = jobs.LIMITS.get(operation) if timeout is None else timeout
+        return self.works.submit(lambda: self.kept(self.call(operation, request)), token, limit)
+
     def applies_with_sessions(self) -> DataFrame:
         sessions = self.table("stages", STAGES).select(F.col("id").alias("stage_id"), "session_id")
         return self.applies().join(sessions, "stage_id")

@@ -60,6 +60,42 @@ def outcomes(stages: DataFrame, now: Column, hashes: DataFrame | None = None) ->
     return joined.withColumn("outcome", out.when(changed, "changed").otherwise("ok")).drop("h_id", "hash")
 
 
+def attempted(outcome: DataFrame, stop: bool, key: str = "session_id") -> DataFrame:
+    """What applying all of a session's stages comes to, in the order of their creation (then of id): with ``stop`` those behind
+    the first whose outcome is not ok are not_attempted, otherwise failures are skipped.
+
+    The first failure of a session is a minimum, combined before the shuffle, and met by its stages: nothing is sorted. Rows
+    without a session are one.
+    """
+    if not stop:
+        return outcome
+    place = F.struct("created_at", "id")
+    first = outcome.filter("outcome <> 'ok'").groupBy(F.col(key).alias("of")).agg(F.min(place).alias("first"))
+    out = outcome.join(first, F.col(key).eqNullSafe(F.col("of")), "left")
+    return out.withColumn("outcome", F.when(place > F.col("first"), "not_attempted").otherwise(F.col("outcome"))).drop("of", "first")
+
+
+#: Folders that stages are dealt to by their id.
+BUCKETS = 256
+
+
+def bucket(id_: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(id_), F.lit(buckets)).cast("int")
+
+
+def save(stages: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
+    """Append stages to ``folder``, dealt by a hash of their id: one file of each bucket."""
+    dealt = stages.withColumn("bucket", bucket(F.col("id"), buckets))
+    dealt.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(folder)
+
+
+def lookup(saved: DataFrame, ids: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """Rows of those ``ids`` of what ``save`` wrote (read with its column bucket): only their buckets' folders are read."""
+    session = saved.sparkSession
+    places = [r.b for r in session.createDataFrame([(x,) for x in ids], "id string").select(bucket(F.col("id"), buckets).alias("b")).distinct().collect()] if ids else []
+    return saved.filter(F.col("bucket").isin(places) & F.col("id").isin(list(ids))) if ids else saved.filter("false")
+
+
 def within_limit(stages: DataFrame, applies: DataFrame, max_applies: int) -> DataFrame:
     """Stages whose session has applied less than ``max_applies`` (0: no limit), in order of creation. applies: of all
     sessions, with session_id. Stages without a session have no limit."""

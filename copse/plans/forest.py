@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from copse.functions import patterns
 from copse.selector import Query
+from copse.sources.shared import written
 
 #: Nodes that stand for their children when direct children are asked for.
 CONTAINERS = ("block", "body", "class_body", "declaration_list", "statement_block", "compound_statement")
@@ -26,28 +27,32 @@ CONTAINERS = ("block", "body", "class_body", "declaration_list", "statement_bloc
 IDENTITY = ("doc", "kind", "start_byte", "end_byte", "name")
 
 
-NEAREST = "nearest"
 #: Positions of a document that one task goes through: so many bits of ``pre``.
 SPAN = 20
 
 
-def _with_nearest(out: DataFrame, at: Column, points: DataFrame, agg, later: bool) -> DataFrame:
-    """``out`` with the least (agg min) or greatest (agg max) ``value`` of the document's ``points`` (doc, at, value) whose
-    place is after ``at`` (later) or up to it.
+def _reaching(out: DataFrame, at: Column, bound: Column, points: DataFrame, agg, later: bool, holds) -> DataFrame:
+    """Rows of ``out`` for which ``holds(nearest, bound)`` is true, where nearest is the least (agg min) or greatest (agg max)
+    ``value`` of the document's ``points`` (doc, at, value) whose place is after ``at`` (later) or up to it.
 
-    Rows and points are sorted by place once and passed through with a running aggregate. A document is split into spans of
-    places, so that a large one is many tasks'; what other spans hold is a running aggregate over one row for each span.
+    Only places and bounds are sorted, once, with the points, and passed through with a running aggregate; ``out`` is met
+    by what is left of them. A document is split into spans of places, so that a large one is many tasks'; what other
+    spans hold is a running aggregate over one row for each span. Rows and points are read twice, so points that
+    are more than a filter on elements should be a written table: then exchanges grow by a constant for each level.
     """
-    span = lambda c: F.shiftright(c, SPAN)
-    rows = out.select("doc", span(at).alias("span"), at.alias("at"), F.lit(None).cast("long").alias("value"), F.struct(*out.columns).alias("row"))
-    marks = points.select("doc", span(F.col("at")).alias("span"), "at", F.col("value").cast("long").alias("value"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"))
-    order = (F.desc("at"), F.col("row").isNull()) if later else (F.col("at"), F.col("row").isNotNull())  # a point at the place itself is not later
+    span = F.shiftright("at", SPAN).alias("span")
+    places = out.select("doc", at.cast("long").alias("at"), bound.cast("long").alias("bound"))
+    rows = places.select("doc", span, "at", "bound", F.lit(None).cast("long").alias("value"))
+    marks = points.select("doc", span, "at", F.lit(None).cast("long").alias("bound"), F.col("value").cast("long").alias("value"))
+    order = (F.desc("at"), F.col("bound").isNull()) if later else (F.col("at"), F.col("bound").isNotNull())  # a point at the place itself is not later
     along = lambda *by, to: W.partitionBy(*by).rowsBetween(W.unboundedPreceding, to)
-    passed = rows.unionByName(marks).withColumn("own", agg("value").over(along("doc", "span", to=W.currentRow).orderBy(*order)))
-    spans = passed.groupBy("doc", "span").agg(agg("value").alias("all"))
+    passed = rows.unionByName(marks).withColumn("own", agg("value").over(along("doc", "span", to=W.currentRow).orderBy(*order))).filter("bound is not null")
+    spans = rows.unionByName(marks).groupBy("doc", "span").agg(agg("value").alias("all"))
     spans = spans.select("doc", "span", agg("all").over(along("doc", to=-1).orderBy(F.desc("span") if later else "span")).alias("others"))
     best = F.least if agg is F.min else F.greatest
-    return passed.filter("row is not null").join(spans, ["doc", "span"]).select("row.*", best("own", "others").alias(NEAREST))
+    found = passed.join(spans, ["doc", "span"]).filter(holds(best("own", "others"), F.col("bound")))
+    found = found.select(F.col("doc").alias("of"), F.col("at").alias("of_at"), F.col("bound").alias("of_bound"))
+    return out.join(found, (F.col("doc") == F.col("of")) & (at == F.col("of_at")) & (bound == F.col("of_bound")), "left_semi")
 
 
 @dataclass
@@ -160,8 +165,14 @@ class Forest:
 
         For simple children the candidate decides about being inside the subtree and the bound node about being contained.
         """
-        inner = self.targets(child).select("doc", F.col("cand_pre").alias("at"), F.col("cand_pre").alias("value"))
-        return _with_nearest(out, F.col("node_pre"), inner, F.min, later=True).filter(F.col(NEAREST) <= F.col("last")).drop(NEAREST)
+        inner = self.points(child, "cand_pre", "cand_pre")
+        return _reaching(out, F.col("node_pre"), F.col("last"), inner, F.min, later=True, holds=lambda x, last: x <= last)
+
+    def points(self, q: Query, at: str, value: str) -> DataFrame:
+        """doc, at and value of the targets of ``q``; written once if they are more than filtered elements."""
+        found = self.targets(q).select("doc", F.col(at).cast("long").alias("at"), F.col(value).cast("long").alias("value"))
+        plain = not (q.op or q.contains or {"before", "after"} & set(q.attributes))
+        return found if plain else written(found, "points")
 
     def nodes(self) -> DataFrame:
         """doc, pre, up (the parent) and through (whether it stands for its children) of nodes that have a parent."""
@@ -196,14 +207,12 @@ class Forest:
             q = parse(selector)
         except SelectorError:
             return out.filter("false")
-        t, out = self.targets(q), out.filter("parent is not null")
+        out = out.filter("parent is not null")
         if not before:
-            found = _with_nearest(out, F.col("parent"), t.select("doc", F.col("node_pre").alias("at"), F.col("end_byte").alias("value")), F.min, later=True)
-            return found.filter(F.col(NEAREST) < F.col("start_byte")).drop(NEAREST)
+            return _reaching(out, F.col("parent"), F.col("start_byte"), self.points(q, "node_pre", "end_byte"), F.min, later=True, holds=lambda x, start: x < start)
         parents = self.elements.select(F.col("doc").alias("pd"), F.col("pre").alias("pp"), F.col("last").alias("pl")).distinct()
         placed = out.join(parents, (F.col("doc") == F.col("pd")) & (F.col("parent") == F.col("pp"))).drop("pd", "pp")
-        found = _with_nearest(placed, F.col("pl"), t.select("doc", F.col("node_pre").alias("at"), F.col("start_byte").alias("value")), F.max, later=False)
-        return found.filter(F.col(NEAREST) > F.col("end_byte")).drop(NEAREST, "pl")
+        return _reaching(placed, F.col("pl"), F.col("end_byte"), self.points(q, "node_pre", "start_byte"), F.max, later=False, holds=lambda x, end: x > end).drop("pl")
 
     def errors(self) -> DataFrame:
         """Documents with a node of type ERROR, and where the first begins (1-based)."""

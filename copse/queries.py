@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copse.functions import patterns, scalars
-from copse.operators import ledger, recipe, rewrite, safety, score
+from copse.operators import ledger, recipe, rewrite, safety, score, sessions
 from copse.plans.forest import Forest, projected
 from copse.selector import parse
-from copse.sources import files, tables, writer
+from copse.sources import files, shared, tables, writer
 from copse.sources.tables import read
+from copse.streaming import changes
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -260,6 +261,52 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return ledger.outcomes(ledger.mark_applied(s, a), F.lit(CUTOFF).cast("timestamp_ntz")).select("id", "outcome")
 
 
+def _all_outcomes(spark: SparkSession, d: str, stop: bool) -> DataFrame:
+    """What applying all that is left of each user's stages comes to; errors and those that are over by the cutoff fail."""
+    s = ledger.build(_requests(spark, d))
+    out = ledger.outcomes(s, F.lit(CUTOFF).cast("timestamp_ntz")).withColumn("outcome", F.when(F.col("operation") == "error", "changed").otherwise(F.col("outcome")))
+    return ledger.attempted(out, stop).select("id", "outcome")
+
+
+OUTCOME = f"CASE WHEN event_type = 'error' THEN 'changed' WHEN ts + INTERVAL 15 MINUTE < TIMESTAMP '{CUTOFF}' THEN 'expired' ELSE 'ok' END"
+register("q_apply_all_skip", f"SELECT 'stg_' || event_id AS id, {OUTCOME} AS outcome FROM events")(lambda spark, d: _all_outcomes(spark, d, stop=False))
+register("q_apply_all_stop", f"""WITH o AS (SELECT 'stg_' || event_id AS id, user_id, ts, {OUTCOME} AS outcome FROM events)
+SELECT id, CASE WHEN max(outcome <> 'ok') OVER (PARTITION BY user_id ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 'not_attempted' ELSE outcome END AS outcome FROM o""")(lambda spark, d: _all_outcomes(spark, d, stop=True))
+
+
+@register("q_sessions", """SELECT user_id::VARCHAR AS session_id, floor(epoch(min(ts)))::BIGINT AS started, floor(epoch(max(ts)))::BIGINT AS last, floor(epoch(max(ts) FILTER (event_type = 'error')))::BIGINT AS ended,
+count(*) FILTER (event_type = 'view') AS stages_count, count(*) FILTER (event_type = 'purchase') AS applies_count, max({'ts': ts, 'props': props})['props'] AS client FROM events GROUP BY 1""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Counters of users' sessions from batches that come out of order, some of them twice, and are compacted in between."""
+    e = read(spark, d, "events")
+    kind = F.create_map(*[F.lit(x) for x in ("view", "stage", "purchase", "apply", "error", "end")])[F.col("event_type")]
+    events = e.select("event_id", F.col("user_id").cast("string").alias("session_id"), F.coalesce(kind, F.lit("other")).alias("kind"), F.col("ts").alias("at"), F.col("props").alias("client"))
+    kept = sessions.Sessions(spark, shared.shared_path(spark, "sessions"))
+    for k in (2, 0, 1, 0, None, 2, 3, 1, 3):
+        kept.compact() if k is None else kept.merge(k, events.filter(F.col("event_id") % 4 == k).drop("event_id"))
+    seconds = lambda c: F.unix_timestamp(c).alias(c.removesuffix("_at"))
+    return kept.table().select("session_id", seconds("started_at"), seconds("last_at"), seconds("ended_at"), "stages_count", "applies_count", "client")
+
+
+@register("q_ledger_lookup", "SELECT 'stg_' || event_id AS id, user_id::VARCHAR AS session_id FROM events WHERE event_id IN (1, 42, 777, 100000007)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Stages by id out of a table that is dealt to folders by their hash."""
+    where = shared.shared_path(spark, "stages_by_id")
+    ledger.save(ledger.build(_requests(spark, d)).select("id", "session_id", "status", "created_at"), where, 16)
+    return ledger.lookup(spark.read.parquet(where), [f"stg_{x}" for x in (1, 42, 777, 100000007)], 16).select("id", "session_id")
+
+
+@register("q_changes", """WITH o AS (SELECT doc_id::VARCHAR AS uri, md5(text) AS mark FROM documents WHERE doc_id % 7 <> 3), n AS (SELECT doc_id::VARCHAR AS uri, md5(CASE WHEN lang = 'de' THEN text || '!' ELSE text END) AS mark FROM documents WHERE doc_id % 5 <> 2),
+m AS (SELECT coalesce(o.uri, n.uri) AS uri, o.uri IS NULL OR n.uri IS NULL AS listed, n.uri IS NULL AS gone, o.mark AS a, n.mark AS b FROM o FULL JOIN n ON o.uri = n.uri)
+SELECT uri, CASE WHEN gone THEN 'removed' ELSE 'updated' END AS type FROM m WHERE listed OR a <> b UNION ALL SELECT NULL, 'list_changed' WHERE EXISTS (SELECT 1 FROM m WHERE listed)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Events between two listings of the documents: some are gone, some are new, some have another text."""
+    docs, key = read(spark, d, "documents"), F.col("doc_id").cast("string").alias("uri")
+    old = docs.filter("doc_id % 7 <> 3").select(key, F.md5("text").alias("mark"))
+    new = docs.filter("doc_id % 5 <> 2").select(key, F.md5(F.when(F.col("lang") == "de", F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("mark"))
+    return changes.compared(old, new)
+
+
 # safety, logs, recipes, scalars
 @register("q_safety_validate", """SELECT source, count(*) AS n_files, max(octet_length(encode(text)))::BIGINT AS largest, sum(octet_length(encode(text)))::BIGINT AS total,
 CASE WHEN count(*) > 100 THEN 11002 WHEN max(octet_length(encode(text))) > 15000 THEN 11003 WHEN sum(octet_length(encode(text))) > 110000 THEN 11003 ELSE 0 END AS code FROM documents GROUP BY source""")

@@ -1,13 +1,12 @@
 """Forests over ordinary tables: a hierarchy of keys, conversations, lines of documents, tags of pages.
 
-Labels are made with windows over one document (one region, conversation, page ...) at most. Bytes are positions in the
-order of nodes where a table has no text.
+Labels are made of keys and of running sums within one document's text; nothing is sorted. Bytes are positions in the order
+of nodes where a table has no text.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from copse.plans.forest import Forest
@@ -27,27 +26,33 @@ def _element(doc: Column, node_type: str, name: Column, parent: Column, **more:
 
 
 #: Places of an order, and of a customer.
-STRIDE, WIDTH = 1 << 32, 1 << 62
+STRIDE, WIDTH = 1 << 20, 1 << 62
+
+
+def _below(value: Column, most: int, what: str) -> Column:
+    """``value`` as a long; an error where it is negative or ``most`` or more."""
+    value = value.cast("long")
+    return F.when(value.between(0, most - 1), value).otherwise(F.raise_error(F.concat(F.lit(f"{what} has no place: "), F.coalesce(value.cast("string"), F.lit("null")))))
 
 
 def customers(spark: SparkSession, sf_dir: str, transparent: tuple[str, ...] = ()) -> Forest:
     """customer > order > line, one document for each customer.
 
-    Orders of a customer and lines of an order are numbered by their keys, and intervals are made from those numbers with
-    gaps: a customer is [0, 2^62), its i-th order starts at i * 2^32, with the lines behind it. No node needs the size of
-    another's subtree, so the only windows are over the orders of a customer and the lines of an order. Lines that repeat a
-    number are told apart by what their elements say; those alike in that are alike.
+    Places are made of keys, with gaps: a customer is [0, 2^62), an order starts at its key, plus one, times 2^20, and its lines
+    lie behind it by their numbers. No node needs another one, so that nothing is sorted, whatever a customer or an order
+    has. Keys are taken to be keys; those that have no place (2^42 orders, 2^20 line numbers) are an error.
     """
     c, o, l = (read(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
-    o = o.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority").withColumn("i", F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long"))
-    place = F.col("i") * STRIDE
+    place = (_below(F.col("o_orderkey"), WIDTH // STRIDE - 1, "order") + 1) * STRIDE
+    o = o.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", place.alias("place"))
     l = l.select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
-    l = l.withColumn("j", F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_returnflag", "l_linestatus")).cast("long"))
-    lines = l.select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "j").join(o.select("o_orderkey", "o_custkey", "i"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = l.join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    above = (F.col("l_orderkey").cast("long") + 1) * STRIDE
+    at = above + _below(F.col("l_linenumber"), STRIDE - 1, "line") + 1
     nodes = c.select(*_element(F.col("c_custkey"), "customer", F.col("c_name"), F.lit(None), mktsegment=F.col("c_mktsegment"), pre=F.lit(0).cast("long"), last=F.lit(WIDTH - 1)))
-    nodes = nodes.unionByName(o.select(*_element(F.col("o_custkey"), "order", F.col("o_orderkey"), F.lit(0), orderstatus=F.col("o_orderstatus"), orderpriority=F.col("o_orderpriority"), pre=place, last=place + STRIDE - 1)))
+    nodes = nodes.unionByName(o.select(*_element(F.col("o_custkey"), "order", F.col("o_orderkey"), F.lit(0), orderstatus=F.col("o_orderstatus"), orderpriority=F.col("o_orderpriority"), pre=F.col("place"), last=F.col("place") + STRIDE - 1)))
     name = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
-    nodes = nodes.unionByName(lines.select(*_element(F.col("o_custkey"), "line", name, place, returnflag=F.col("l_returnflag"), linestatus=F.col("l_linestatus"), pre=place + F.col("j"), last=place + F.col("j"))))
+    nodes = nodes.unionByName(lines.select(*_element(F.col("o_custkey"), "line", name, above, returnflag=F.col("l_returnflag"), linestatus=F.col("l_linestatus"), pre=at, last=at)))
     nodes = nodes.withColumn("start_byte", F.col("pre")).withColumn("end_byte", F.col("last") + 1)
     return Forest(nodes, transparent=transparent, columns=("mktsegment", "orderstatus", "orderpriority", "returnflag", "linestatus"))
 

@@ -221,3 +221,30 @@ def test_diff_of_long_texts():
     long = "\n".join(map(str, range(200_000)))
     assert "@@ -100001,7" not in rewrite.unified(long, long.replace("\n100000\n", "\nx\n")).split("\n")[0]
     assert rewrite.unified(long, long.replace("\n100000\n", "\nx\n")).split("\n")[2] == "@@ -99998,7 +99998,7 @@"
+
+
+def test_plans_do_not_grow_with_levels(spark):
+    """Each level of containment reads what is below from a table, so that the last plan is the same for any depth."""
+    import re
+
+    from copse.sources import tables
+
+    def exchanges(selector):
+        plan = tables.customers(spark, "/root/testdata/sf0.001").select(parse(selector))._jdf.queryExecution().executedPlan().toString()
+        return len(re.findall("Exchange", plan)), len(re.findall("FileScan", plan))
+
+    counts = [exchanges("customer:*" + " > order:*" * k + " > line:*") for k in range(4)]
+    assert counts[1] == counts[2] == counts[3] and counts[0][0] <= counts[1][0] + 4 and counts[1][0] <= 8
+
+
+def test_places_that_do_not_fit_are_an_error(spark, tmp_path):
+    from pyspark.errors import PySparkException
+
+    from copse.sources import tables
+
+    for name in ("customer", "orders", "lineitem"):
+        df = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        df = df.withColumn("l_linenumber", F.lit(1 << 20)) if name == "lineitem" else df
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    with pytest.raises(PySparkException, match="no place"):
+        tables.customers(spark, str(tmp_path)).select(parse("line:*")).collect()
