@@ -11,13 +11,17 @@ nothing is collected, and equal sub-selectors of a query are compiled once.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from copse.functions import patterns
+from copse.functions import patterns, places
 from copse.selector import Query
 from copse.sources.shared import written
 
@@ -55,6 +59,31 @@ def _reaching(out: DataFrame, at: Column, bound: Column, points: DataFrame, agg,
     return out.join(found, (F.col("doc") == F.col("of")) & (at == F.col("of_at")) & (bound == F.col("of_bound")), "left_semi")
 
 
+def _stacks(schema: T.StructType):
+    """A function on sorted rows (doc, span, at, last, info) that gives each row without ``last`` the open intervals."""
+    types = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, stack = None, []
+        for batch in batches:
+            which, scopes = [], []
+            columns = [batch.column(c).to_pylist() for c in ("doc", "span", "at", "last", "info")]
+            for i, (doc, span, at, last, info) in enumerate(zip(*columns)):
+                if (doc, span) != where:
+                    where, stack = (doc, span), []
+                while stack and stack[-1][0] < at:
+                    stack.pop()
+                if last is None:
+                    which.append(i)
+                    scopes.append([x for _, x in stack])
+                else:
+                    stack.append((last, info))
+            rows = pa.array(which, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(rows), batch.column("at").take(rows), pa.array(scopes, types.field("scope").type)], schema=types)
+
+    return run
+
+
 @dataclass
 class Forest:
     """elements, and the kinds that select them.
@@ -214,6 +243,37 @@ class Forest:
         placed = out.join(parents, (F.col("doc") == F.col("pd")) & (F.col("parent") == F.col("pp"))).drop("pd", "pp")
         return _reaching(placed, F.col("pl"), F.col("end_byte"), self.points(q, "node_pre", "start_byte"), F.max, later=False, holds=lambda x, end: x > end).drop("pl")
 
+    def enclosing(self, matches: DataFrame, q: Query, carry: tuple[str, ...] = ()) -> DataFrame:
+        """``matches`` with ``scope``: the matches of ``q`` that enclose each, from the outermost to the nearest, as structs
+        of kind, name, pre and the columns ``carry`` of the elements.
+
+        Places are sorted once and passed through with a stack of the intervals that are open; nothing but places, names and
+        what is carried takes part. Documents are split into spans as for containment, each of which starts with the
+        intervals that reach into it.
+        """
+        span = lambda c: F.shiftright(F.col(c), SPAN)
+        info = F.struct("kind", "name", F.col("node_pre").alias("pre"), *carry)
+        holders = self.targets(self.canonical_query(q)).select("doc", F.col("node_pre").cast("long").alias("at"), F.col("last").cast("long").alias("last"), info.alias("info")).dropDuplicates(["doc", "at", "last"])
+        rows = matches.select("doc", F.col("node_pre").cast("long").alias("at")).distinct()
+        rows = rows.select("doc", span("at").alias("span"), "at", F.lit(None).cast("long").alias("last"), F.lit(None).cast(holders.schema["info"].dataType).alias("info"))
+        wide = holders.filter(span("at") < span("last")).select(F.col("doc").alias("d"), "at", "last", "info")
+        into = rows.select("doc", "span").distinct().join(wide, F.col("doc") == F.col("d")).filter((F.col("span") > span("at")) & (F.col("span") <= span("last")))
+        own = holders.select("doc", span("at").alias("span"), "at", "last", "info")
+        passed = rows.unionByName(own).unionByName(into.select("doc", "span", "at", "last", "info"))
+        # at one place what is asked for comes before what opens there, and the longer interval before the shorter
+        sorted_ = passed.repartition("doc", "span").sortWithinPartitions("doc", "span", "at", F.col("last").isNotNull(), F.desc("last"))
+        schema = T.StructType([matches.schema["doc"], T.StructField("at", T.LongType()), T.StructField("scope", T.ArrayType(holders.schema["info"].dataType))])
+        found = sorted_.mapInArrow(_stacks(schema), schema).select(F.col("doc").alias("of"), "at", "scope")
+        return matches.join(found, (F.col("doc") == F.col("of")) & (F.col("node_pre") == F.col("at")), "left").drop("of", "at")
+
+    def inherited(self, matches: DataFrame, column: str, q: Query) -> DataFrame:
+        """``matches`` with ``inherited``: their own ``column`` or, where it is null, that of the nearest enclosing match of ``q``
+        that has one."""
+        found = self.enclosing(matches, q, (column,))
+        given = F.element_at(F.filter("scope", lambda x: x[column].isNotNull()), -1)
+        nearest = F.when(F.exists("scope", lambda x: x[column].isNotNull()), given[column])
+        return found.withColumn("inherited", F.coalesce(column, nearest)).drop("scope")
+
     def errors(self) -> DataFrame:
         """Documents with a node of type ERROR, and where the first begins (1-based)."""
         bad = self.elements.filter("node_type = 'ERROR'")
@@ -228,6 +288,18 @@ class Forest:
         return replace(self, elements=self.elements.join(bad, "doc", "left_anti"), _seen={})
 
 
+def placed(matches: DataFrame, texts: DataFrame) -> DataFrame:
+    """``matches`` with start_row, start_col, end_row and end_col (from 0; columns in bytes) of their bytes in ``texts`` (doc,
+    text; one row for each document). A document's matches meet its index of line starts once, whatever their number."""
+    made = ("start_row", "start_col", "end_row", "end_col")
+    kept = [c for c in matches.columns if c not in made]
+    of = matches.groupBy("doc").agg(F.collect_list(F.struct(*kept)).alias("found"))
+    starts = texts.join(of.select("doc"), "doc", "left_semi").select("doc", places.line_starts(F.col("text")).alias("starts"))
+    at = lambda x: F.struct(*[x[c].alias(c) for c in kept], places.place(F.col("starts"), x["start_byte"]).alias("from"), places.place(F.col("starts"), x["end_byte"]).alias("to"))
+    out = of.join(starts, "doc").select(F.explode(F.transform("found", at)).alias("m"))
+    return out.select(*[F.col(f"m.{c}").alias(c) for c in kept], F.col("m.from.row").alias("start_row"), F.col("m.from.col").alias("start_col"), F.col("m.to.row").alias("end_row"), F.col("m.to.col").alias("end_col"))
+
+
 def projected(matches: DataFrame) -> DataFrame:
     """Matches as they are reported: 1-based rows and columns, content, captures."""
     return matches.select(

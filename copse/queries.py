@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from copse.functions import patterns, scalars
 from copse.operators import ledger, recipe, rewrite, safety, score, sessions
-from copse.plans.forest import Forest, projected
+from copse.plans.forest import Forest, placed, projected
 from copse.selector import parse
 from copse.sources import files, shared, tables, writer
 from copse.sources.tables import read
@@ -100,14 +100,56 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc", "name", F.col("start_byte").cast("long"), (F.col("end_byte") - F.col("start_byte")).alias("n_bytes"))
 
 
-@register("q_project", "SELECT c_custkey AS doc, c_name AS name, 'customer' AS type, 1 AS start FROM customer WHERE c_mktsegment = 'BUILDING'")
+TAGS = r"""tok AS (SELECT page_id AS doc, unnest(x) AS token, generate_subscripts(x, 1) - 1 AS k FROM (SELECT page_id, regexp_extract_all(html, '(?s)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<[^<>]*>|[^<]+|<') AS x FROM pages)),
+spot AS (SELECT *, sum(strlen(token)) OVER w - strlen(token) AS s, sum(len(token) - len(replace(token, chr(10), ''))) OVER w - (len(token) - len(replace(token, chr(10), ''))) AS row,
+coalesce(max(CASE WHEN contains(token, chr(10)) THEN e + strlen(token) - strlen(regexp_extract(token, '[^\n]*$')) END) OVER (PARTITION BY doc ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line
+FROM (SELECT *, sum(strlen(token)) OVER (PARTITION BY doc ORDER BY k) - strlen(token) AS e FROM tok) WINDOW w AS (PARTITION BY doc ORDER BY k)),
+tag AS (SELECT * REPLACE (row_number() OVER (PARTITION BY doc ORDER BY k) - 1 AS k), s - line AS col, lower(regexp_extract(token, '^</?([A-Za-z][A-Za-z0-9:-]*)', 1)) AS name FROM spot WHERE regexp_matches(token, '^</?[A-Za-z]')),
+formed AS (SELECT *, CASE WHEN starts_with(token, '</') THEN 'close' WHEN name IN ('area', 'base', 'br', 'col', 'embed', 'hr', 'img', 'input', 'link', 'meta', 'source', 'track', 'wbr') OR ends_with(token, '/>') THEN 'void' WHEN name IN ('script', 'style') THEN 'whole' ELSE 'open' END AS form FROM tag),
+deep AS (SELECT *, sum(CASE form WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END) OVER (PARTITION BY doc, name ORDER BY k) AS d FROM formed),
+low AS (SELECT *, least(0, min(d) OVER (PARTITION BY doc, name ORDER BY k)) AS m FROM deep), lagged AS (SELECT *, coalesce(lag(m) OVER (PARTITION BY doc, name ORDER BY k), 0) AS b FROM low),
+levels AS (SELECT *, CASE WHEN form = 'open' THEN d - m WHEN form = 'close' AND m = b THEN d - m + 1 END AS level FROM lagged),
+pairs AS (SELECT *, CASE WHEN level IS NULL THEN NULL WHEN form = 'open' THEN lead(k) OVER w ELSE lag(k) OVER w END AS partner FROM levels WINDOW w AS (PARTITION BY doc, name, level ORDER BY k))"""
+
+
+@register("q_project", f"WITH {LINES}, o AS (SELECT *, sum(octet_length(encode(line)) + 1) OVER (PARTITION BY doc ORDER BY k)::BIGINT AS e FROM l) SELECT doc, 'line' AS type, line AS name, k::INT AS line, 1 AS column, k::INT AS end_line, (octet_length(encode(line)) + 1)::INT AS end_column, e - octet_length(encode(line)) - 1 AS start_byte, e - 1 AS end_byte FROM o WHERE contains(line, 'License')")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that name a license, with their places found in the whole texts."""
+    texts = read(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return projected(placed(tables.lines(spark, d).select(parse("line:* text=License")), texts)).drop("content", "captures")
+
+
+@register("q_project_tags", f"WITH {TAGS} SELECT doc, 'tag' AS type, name, (row + 1)::INT AS line, (col + 1)::INT AS column, s::BIGINT AS start_byte FROM pairs WHERE form <> 'close' AND NOT (form = 'open' AND partner IS NULL)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    zero = F.lit(0)
-    f = tables.customers(spark, d)
-    places = {c: zero for c in ("start_row", "start_col", "end_row", "end_col")}
-    f.elements = f.elements.withColumns(places)
-    out = projected(f.select(parse("customer:* mktsegment=BUILDING")))
-    return out.select("doc", "name", "type", F.col("line").alias("start"))
+    return projected(tables.tags(spark, d).select(parse("tag:*"))).select("doc", "type", "name", "line", "column", "start_byte")
+
+
+@register("q_tags_within", f"WITH {TAGS} SELECT a.doc, a.name, a.s::BIGINT AS start_byte FROM pairs a WHERE a.form = 'open' AND a.partner IS NOT NULL AND a.name = 'ul' AND EXISTS (SELECT 1 FROM pairs b WHERE b.doc = a.doc AND b.name = 'a' AND b.form = 'open' AND b.partner IS NOT NULL AND b.k > a.k AND b.k <= a.partner)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return tables.tags(spark, d).select(parse("tag:ul > tag:a")).select("doc", "name", "start_byte")
+
+
+@register("q_scope", "SELECT o_custkey AS doc, l_orderkey || '-' || l_linenumber AS name, 'customer:' || c_name || '/order:' || o_orderkey AS scope, o_orderkey::VARCHAR AS nearest FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_returnflag = 'R' AND l_linestatus = 'F'")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Returned lines with all that encloses them, and the nearest of it."""
+    forest = tables.customers(spark, d)
+    found = forest.enclosing(forest.select(parse("line:* returnflag=R linestatus=F")), parse("customer:* | order:*"))
+    path = F.array_join(F.transform("scope", lambda x: F.concat_ws(":", x["kind"], x["name"])), "/")
+    return found.select("doc", "name", path.alias("scope"), F.element_at("scope", -1)["name"].alias("nearest"))
+
+
+@register("q_scope_regions", "SELECT n_nationkey::BIGINT AS doc, c_name AS name, r_name AS region, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_mktsegment = 'BUILDING'")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    forest = tables.regions(spark, d)
+    found = forest.enclosing(forest.select(parse("customer:* mktsegment=BUILDING")), parse("region:* | nation:*"))
+    return found.select("doc", "name", F.get("scope", F.lit(0))["name"].alias("region"), F.get("scope", F.lit(1))["name"].alias("nation"))
+
+
+@register("q_inherited", "SELECT o_custkey AS doc, l_orderkey || '-' || l_linenumber AS name, c_mktsegment AS inherited FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_returnflag = 'A'")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with the segment that they have from what encloses them: orders have none, so it is the customer's."""
+    forest = tables.customers(spark, d)
+    return forest.inherited(forest.select(parse("line:* returnflag=A")), "mktsegment", parse("customer:* | order:*")).select("doc", "name", "inherited")
 
 
 @register("q_match_counts_by_doc", "SELECT c_custkey AS doc, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus = 'F' GROUP BY 1")
@@ -154,16 +196,13 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return paths(spark, d).select(scalars.language(F.col("path")).alias("language")).groupBy("language").agg(F.count("*").alias("n"))
 
 
-UNCLOSED = "contains(html, '<b>') AND len(string_split(html, '<b>')) <> len(string_split(html, '</b>'))"
-
-
-@register("q_validate", f"SELECT page_id AS doc, 1 AS n, 'Syntax error at line 1, column ' || strpos(html, '<b>') AS first FROM pages WHERE {UNCLOSED}")
+@register("q_validate", f"""WITH {TAGS}, w AS (SELECT doc, k, name, 'Syntax error at line ' || (row + 1)::BIGINT || ', column ' || (col + 1)::BIGINT AS message FROM pairs WHERE form IN ('open', 'close') AND partner IS NULL)
+SELECT doc, count(*)::INT AS n, string_agg(message, '; ' ORDER BY k) AS messages, string_agg(name, ' ' ORDER BY k) AS names FROM w GROUP BY doc""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """Pages whose bold tags are not all closed, as documents with an ERROR node at the first of them."""
-    p = read(spark, d, "pages").filter(F.col("html").contains("<b>") & (F.size(F.split("html", "<b>")) != F.size(F.split("html", "</b>"))))
-    at = (F.instr("html", "<b>") - 1).alias("start_col")
-    e = p.select(F.col("page_id").alias("doc"), F.lit("ERROR").alias("node_type"), at.alias("start_byte"), F.lit(0).alias("start_row"), at)
-    return Forest(e).errors().select("doc", F.size("errors").alias("n"), F.get("errors", F.lit(0)).alias("first"))
+    """Pages with tags that are not closed, or close nothing: where each is, and its name."""
+    forest = tables.tags(spark, d)
+    bad = forest.elements.filter("node_type = 'ERROR'").groupBy("doc").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start_byte", "name"))), lambda x: x["name"]), " ").alias("names"))
+    return forest.errors().join(bad, "doc").select("doc", F.size("errors").alias("n"), F.array_join("errors", "; ").alias("messages"), "names")
 
 
 # rewriting: lines of documents that name a license

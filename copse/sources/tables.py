@@ -1,14 +1,17 @@
 """Forests over ordinary tables: a hierarchy of keys, conversations, lines of documents, tags of pages.
 
-Labels are made of keys and of running sums within one document's text; nothing is sorted. Bytes are positions in the order
-of nodes where a table has no text.
+Labels are made of keys and of running sums within one document's text; at most one order's lines are sorted.
+Bytes are positions in the order of nodes where a table has no text.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from copse.functions.places import running
+from copse.plans import markup
 from copse.plans.forest import Forest
 
 
@@ -39,16 +42,18 @@ def customers(spark: SparkSession, sf_dir: str, transparent: tuple[str, ...] = (
     """customer > order > line, one document for each customer.
 
     Places are made of keys, with gaps: a customer is [0, 2^62), an order starts at its key, plus one, times 2^20, and its lines
-    lie behind it by their numbers. No node needs another one, so that nothing is sorted, whatever a customer or an order
-    has. Keys are taken to be keys; those that have no place (2^42 orders, 2^20 line numbers) are an error.
+    lie behind it in the order of their numbers. No customer is sorted, whatever it has; the only window is over the lines
+    of one order, as some repeat a number. Those with equal numbers are told apart by what their elements say; those alike
+    in that are alike. Keys and lines that have no place (2^42 orders, 2^20 lines of one) are an error.
     """
     c, o, l = (read(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
     place = (_below(F.col("o_orderkey"), WIDTH // STRIDE - 1, "order") + 1) * STRIDE
     o = o.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", place.alias("place"))
     l = l.select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    l = l.withColumn("j", F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_returnflag", "l_linestatus")))
     lines = l.join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     above = (F.col("l_orderkey").cast("long") + 1) * STRIDE
-    at = above + _below(F.col("l_linenumber"), STRIDE - 1, "line") + 1
+    at = above + _below(F.col("j"), STRIDE, "line")
     nodes = c.select(*_element(F.col("c_custkey"), "customer", F.col("c_name"), F.lit(None), mktsegment=F.col("c_mktsegment"), pre=F.lit(0).cast("long"), last=F.lit(WIDTH - 1)))
     nodes = nodes.unionByName(o.select(*_element(F.col("o_custkey"), "order", F.col("o_orderkey"), F.lit(0), orderstatus=F.col("o_orderstatus"), orderpriority=F.col("o_orderpriority"), pre=F.col("place"), last=F.col("place") + STRIDE - 1)))
     name = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
@@ -97,17 +102,6 @@ def conversations(spark: SparkSession, sf_dir: str) -> Forest:
     return Forest(roots.unionByName(turns).withColumn("args", F.array().cast("array<string>")))
 
 
-def running(sizes: Column, block: int = 256) -> Column:
-    """The running sums of an array of longs. An array grows by copying, so sums are made within blocks and over them."""
-    zero = F.lit(0).cast("long")
-    sums = lambda x: F.slice(F.aggregate(x, F.array(zero), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n))), F.lit(2), F.greatest(F.lit(1), F.size(x)))
-    starts = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / block).cast("int")), lambda k: k * block + 1)
-    parts = F.transform(starts, lambda at: sums(F.slice(sizes, at, F.lit(block))))
-    before = lambda p: F.concat(F.array(zero), sums(F.transform(p, lambda x: F.coalesce(F.try_element_at(x, F.lit(-1)), zero))))
-    shifted = lambda p: F.get(F.transform(F.array(before(p)), lambda b: F.flatten(F.transform(p, lambda x, k: F.transform(x, lambda n: n + F.get(b, k))))), F.lit(0))
-    return F.get(F.transform(F.array(parts), shifted), F.lit(0))
-
-
 def lines(spark: SparkSession, sf_dir: str) -> Forest:
     """document > lines, with byte spans; a line's name is its text. Spans are running sums over the array of one document's
     lines, so no shuffle is needed."""
@@ -129,3 +123,8 @@ def pages(spark: SparkSession, sf_dir: str) -> Forest:
         F.col("page_id").alias("doc"), F.lit("page").alias("node_type"), F.coalesce("url", F.lit("")).alias("name"), F.lit(None).cast("long").alias("parent"), zero.alias("pre"), zero.alias("last"),
         zero.alias("start_byte"), F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("end_byte"), F.coalesce("html", F.lit("")).alias("text"), F.array().cast("array<string>").alias("args"))
     return Forest(nodes)
+
+
+def tags(spark: SparkSession, sf_dir: str) -> Forest:
+    """Tags of pages, with their places in the text; those that open or close nothing are ERROR."""
+    return markup.forest(read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc"), F.col("html").alias("text")))
