@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copse import jobs
+from copse.functions import scalars
 from copse.operators import ledger, recipe, rewrite, safety, score, sessions
 from copse.plans.forest import projected
 from copse.providers import registry
@@ -85,7 +86,7 @@ class Engine:
         if not os.path.isfile(path):
             raise RequestError(f"{path} is no file")
         found = self.spark.read.format("binaryFile").load(f"file://{os.path.abspath(path)}")
-        return found.select(F.lit(os.path.abspath(path)).alias("doc"), F.lit(language).alias("language"), F.decode("content", "UTF-8").alias("source"))
+        return found.select(F.lit(os.path.abspath(path)).alias("doc"), F.lit(language).alias("language"), scalars.utf8(F.col("content")).alias("source"))
 
     @staticmethod
     def scope(request: dict) -> files.Scope:

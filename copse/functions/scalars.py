@@ -43,3 +43,8 @@ def at_least(level: Column, least: str) -> Column:
     """Whether a log level is ``least`` or above; unknown ones count as info."""
     rank = F.create_map(*[x for i, name in enumerate(LEVELS) for x in (F.lit(name), F.lit(i))])
     return F.coalesce(rank[F.lower(level)], F.lit(LEVELS.index("info"))) >= (LEVELS.index(least) if least in LEVELS else LEVELS.index("info"))
+
+
+def utf8(content: Column) -> Column:
+    """Bytes as text; those that are no UTF-8 are replaced (``decode`` would fail the query)."""
+    return F.make_valid_utf8(content.cast("string"))

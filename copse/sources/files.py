@@ -1,6 +1,7 @@
 """Source files as documents: folders walked by Spark's reader, languages, parsed elements, selections over all languages.
 
-Documents: doc (the path), path (relative to the scope), language, source, size, mod_time (Unix seconds), sha256.
+Documents: doc (the path), path (relative to the scope), language, source, size, mod_time (Unix seconds), sha256, and error
+where they come from files.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from copse.functions import patterns, scalars
 from copse.plans.forest import Forest
 from copse.providers import catalog, registry
 from copse.selector import Query
-from copse.sources import shared
+from copse.sources import shared, walking
 
 #: Rows of elements that are handed to Spark at once.
 CHUNK = 20_000
@@ -62,54 +63,29 @@ class Scope:
         return self
 
 
-def _links(root: str) -> list[str]:
-    """Symbolic links below a local folder, relative to it."""
-    out = []
-    for folder, folders, names in os.walk(root):
-        out += [os.path.relpath(p, root) for p in (os.path.join(folder, n) for n in folders + names) if os.path.islink(p)]
-    return out
-
-
-def _followed(root: str) -> list[str]:
-    """The folder and all below it through links, each real folder once."""
-    seen, out, stack = set(), [], [root]
-    while stack:
-        folder = stack.pop()
-        real = os.path.realpath(folder)
-        if real in seen:
-            continue
-        seen.add(real)
-        out.append(folder)
-        with os.scandir(folder) as entries:
-            stack += [e.path for e in entries if e.is_dir()]
-    return out
-
-
 def listing(spark: SparkSession, scope: Scope) -> DataFrame:
-    """doc, path, language, size, mod_time and content of a scope's files; a query that leaves content out reads no file.
+    """doc, path, language, size, mod_time and stamp (of the last change, as fine as it is known) of a scope's files; none is
+    read. With ``max_files`` the first files in the order of folders' sorted entries stay.
 
-    With ``max_files`` the first files in the order of folders' sorted entries stay. Folders of a local scope are listed on
-    the driver where links matter; all else is listed by the reader.
+    Folders of a local scope, which executors have to share, are listed by tasks, and those that are excluded or too deep are
+    not opened (``walking``). A store's are listed by Spark's reader.
     """
     scope = scope.checked()
     here = scope.local()
-    reader = spark.read.format("binaryFile")
-    if here is not None and scope.follow_symlinks:
-        files = reader.load([f"file://{x}" for x in _followed(here)])
+    if here is not None:
+        found = walking.entries(spark, here, scope.exclude, scope.max_depth, scope.follow_symlinks).filter("kind = 'file'")
+        found = found.select(F.concat(F.lit(here.rstrip("/") + "/"), "path").alias("doc"), "path", "size", "mod_time", "stamp")
     else:
-        files = reader.option("recursiveFileLookup", "true").load(f"file://{here}" if here is not None else scope.path)
-    root = here if here is not None else scope.path.rstrip("/")
-    bare = F.regexp_replace("path", "^file:(//)?(?=/)", "") if here is not None else F.col("path")
-    out = files.select(bare.alias("doc"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mod_time"), "content")
-    out = out.withColumn("path", F.col("doc").substr(F.lit(len(root.rstrip("/")) + 2), F.length("doc")))
-    out = out.filter(patterns.in_scope(F.col("path"), scope.include, scope.exclude))
-    links = [] if here is None or scope.follow_symlinks else _links(here)
-    for link in links:
-        out = out.filter((F.col("path") != link) & ~F.col("path").startswith(link + "/"))
+        root = scope.path.rstrip("/")
+        found = _store(spark, scope).select(F.col("path").alias("doc"), F.col("path").substr(F.lit(len(root) + 2), F.length("path")).alias("path"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mod_time"), F.unix_micros("modificationTime").alias("stamp"))
+    found = found.filter(patterns.in_scope(F.col("path"), scope.include, scope.exclude))
     if scope.max_depth:
-        out = out.filter(scalars.depth(F.col("path")) <= scope.max_depth)
-    out = out.withColumn("language", scalars.language(F.col("path"), scope.language))
-    return first_files(out, scope.max_files)
+        found = found.filter(scalars.depth(F.col("path")) <= scope.max_depth)
+    return first_files(found.withColumn("language", scalars.language(F.col("path"), scope.language)), scope.max_files)
+
+
+def _store(spark: SparkSession, scope: Scope) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(scope.path)
 
 
 def first_files(found: DataFrame, n: int, *ties: str) -> DataFrame:
@@ -118,9 +94,15 @@ def first_files(found: DataFrame, n: int, *ties: str) -> DataFrame:
 
 
 def walk(spark: SparkSession, scope: Scope) -> DataFrame:
-    """Documents of a scope. Bytes that are no UTF-8 are replaced."""
-    text = F.decode("content", "UTF-8")
-    return listing(spark, scope).select("doc", "path", "language", text.alias("source"), "size", "mod_time", F.sha2("content", 256).alias("sha256"))
+    """Documents of a scope, with ``error``. Bytes that are no UTF-8 are replaced; a file that cannot be read has a null source
+    and says why, and no other file is the worse for it (a store's reader fails instead)."""
+    found, here = listing(spark, scope), scope.local()
+    if here is not None:
+        read = walking.read(found, here, ["doc", "path", "language", "size", "mod_time"])
+    else:
+        contents = _store(spark, scope).select(F.col("path").alias("doc"), "content")
+        read = found.join(contents, "doc").withColumn("error", F.lit(None).cast("string"))
+    return read.select("doc", "path", "language", scalars.utf8(F.col("content")).alias("source"), "size", "mod_time", F.sha2("content", 256).alias("sha256"), "error")
 
 
 def paths(spark: SparkSession, scope: Scope) -> DataFrame:
@@ -167,6 +149,7 @@ def parsed(docs: DataFrame) -> DataFrame:
         if held:
             yield frame(held)
 
+    docs = docs.filter("error is null") if "error" in docs.columns else docs
     known = docs.filter(F.col("language").isin(*parsers)).select(F.col("doc").cast("string"), "language", "source")
     return known.mapInPandas(batches, ELEMENTS)
 

@@ -51,7 +51,7 @@ class Feed:
         return max((int(x.removeprefix("poll-")) for x in names if x.startswith("poll-")), default=0)
 
     def snapshot(self) -> DataFrame:
-        found = files.walk(self.spark, self.scope).select("doc", F.col("sha256").alias("mark")) if self.by_content else files.listing(self.spark, self.scope).select("doc", F.concat_ws(":", "size", "mod_time").alias("mark"))
+        found = files.walk(self.spark, self.scope).select("doc", F.col("sha256").alias("mark")) if self.by_content else files.listing(self.spark, self.scope).select("doc", F.concat_ws(":", "size", "stamp").alias("mark"))
         return found.withColumnRenamed("doc", "uri")
 
     def events(self, poll: int) -> DataFrame:

@@ -25,7 +25,7 @@ def incoming(spark: SparkSession, scope: files.Scope, per_trigger: int = 1000) -
     root = (here if here is not None else scope.path).rstrip("/")
     found = spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_trigger).load(f"file://{root}" if here is not None else root)
     bare = F.regexp_replace("path", "^file:(//)?(?=/)", "") if here is not None else F.col("path")
-    out = found.select(bare.alias("doc"), F.decode("content", "UTF-8").alias("source"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mod_time"), F.sha2("content", 256).alias("sha256"))
+    out = found.select(bare.alias("doc"), scalars.utf8(F.col("content")).alias("source"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mod_time"), F.sha2("content", 256).alias("sha256"))
     out = out.withColumn("path", F.col("doc").substr(F.lit(len(root) + 2), F.length("doc")))
     out = out.filter(patterns.in_scope(F.col("path"), scope.include, scope.exclude))
     if scope.max_depth:
