@@ -147,11 +147,11 @@ class Engine:
         return self.spark.read.schema(df.schema).parquet(f"file://{path}")
 
     def file_changed(self, method: str, request: dict) -> DataFrame:
-        """One row for each file with a match: doc, match_count, confidence, diff and status. Limits are checked before
-        anything is written, first for the batch and then for each file with its own size and score; all files are written
-        or none."""
+        """One row for each file with a match: doc, match_count, confidence, diff and status, and one for each that cannot be
+        read, whose status is failed, with its error. Limits are checked before anything is written, first for the batch and
+        then for each file with its own size and score; all files that were read are written or none."""
         scope = self.scope(request)
-        docs = files.walk(self.spark, scope)
+        docs = self.kept(files.walk(self.spark, scope))
         made = self.kept(files.transform(docs, method, self.target(request), request.get("replacement") or "", self.languages(scope)))
         sizes = files.listing(self.spark, scope).select(F.lit("all").alias("batch"), "size", F.lit(1.0).alias("confidence"))
         if (row := safety.validate(sizes, self.limits).head()) and row["code"]:
@@ -160,7 +160,9 @@ class Engine:
         status = writer.publish(self.spark, f"{self.folder}/transactions", made, request.get("backup") or False, dry_run=bool(request.get("dry_run")))
         one = status.select(F.col("doc").alias("d"), "status")
         out = rewrite.with_diff(made).join(one, F.col("doc") == F.col("d"), "left").drop("d", "original", "modified")
-        return out.withColumn("status", F.coalesce("status", F.lit("unchanged"))).orderBy("doc")
+        out = out.withColumn("status", F.coalesce("status", F.lit("unchanged"))).withColumn("error", F.lit(None).cast("string"))
+        failed = docs.filter("error is not null").select("doc", F.lit(0).cast("long").alias("match_count"), F.lit("failed").alias("status"), "error")
+        return out.unionByName(failed, allowMissingColumns=True).orderBy("doc")
 
     def recipe(self, request: dict) -> DataFrame:
         """A row for each step that was run: totals and score. Steps are dry, unless ``dry_run`` is false; an error names the
@@ -170,8 +172,10 @@ class Engine:
         rows, apply = [], request.get("dry_run") is False
         for k, (step, given) in enumerate(zip(steps, request["steps"]), 1):
             scope = self.scope(given)
-            made = self.kept(files.transform(files.walk(self.spark, scope), step.method, step.target, step.payload, self.languages(scope)))
+            docs = self.kept(files.walk(self.spark, scope))
+            made = self.kept(files.transform(docs, step.method, step.target, step.payload, self.languages(scope)))
             scored = made.select((F.col("modified") != F.col("original")).alias("modified"), F.col("confidence.score").alias("score"), F.lit("").alias("error"), "match_count")
+            scored = scored.unionByName(docs.filter("error is not null").select(F.lit(False).alias("modified"), F.lit(None).cast("double").alias("score"), "error", F.lit(0).cast("long").alias("match_count")))
             rolled = recipe.score.rollup(scored).head()
             matches = scored.agg(F.coalesce(F.sum("match_count"), F.lit(0))).head()[0]
             least = threshold if step.min_confidence is None else step.min_confidence
@@ -179,7 +183,7 @@ class Engine:
                 raise recipe.RecipeError(f"step {step.name!r}: confidence {rolled['score']:.2f} is below {least:.2f}")
             if apply:
                 writer.publish(self.spark, f"{self.folder}/transactions", made)
-            rows.append((step.name, k, files.listing(self.spark, scope).count(), rolled["files_modified"], matches, rolled["score"], rolled["level"], apply))
+            rows.append((step.name, k, docs.count(), rolled["files_modified"], matches, rolled["score"], rolled["level"], apply))
         return self.spark.createDataFrame(rows, "step string, k int, scanned long, modified long, matches long, score double, level string, applied boolean")
 
     # the ledger

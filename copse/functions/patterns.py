@@ -125,6 +125,12 @@ def text_matches(text: Column, pattern: str) -> Column:
     return trimmed(text).contains(want)
 
 
+def literal_prefix(pattern: str) -> str:
+    """What every name that a pattern matches begins with; '' where that is not plain to see."""
+    found = re.match(r"[A-Za-z0-9_ .:-]*", pattern)[0]
+    return found if "|" not in pattern else ""
+
+
 def path_regex(glob: str) -> str | None:
     """Path globs: ``**`` crosses ``/``, ``**/`` matches no directory too, ``{a,b}`` are alternatives; else as names."""
     if depth := re.search(r"\{([^{}]*)\}", glob):

@@ -49,20 +49,37 @@ def details(forest: Forest, step: Step) -> DataFrame:
     return rewrite.append_to_root(forest, step.payload) if step.method == "append" and not step.target.kind else rewrite.transform(forest, step.method, step.target, step.payload)
 
 
-def totals(forest: Forest, step: Step, k: int) -> DataFrame:
-    """One row: what the step scans, modifies and matches, and the score of it all."""
-    found = details(forest, step)
-    rolled = score.rollup(found.select((F.col("modified") != F.col("original")).alias("modified"), F.col("confidence.score").alias("score"), F.lit("").alias("error")))
-    scanned = forest.elements.filter("parent is null").agg(F.count("*").alias("scanned"))
-    matches = found.agg(F.count_if(F.col("modified") != F.col("original")).alias("modified"), F.coalesce(F.sum("match_count"), F.lit(0)).alias("matches"))
-    one = F.lit(1).alias("one")  # three frames of one row each
-    out = scanned.select("*", one).join(matches.select("*", one), "one").join(rolled.select("score", "level", one), "one").drop("one")
-    return out.select(F.lit(step.name).alias("step"), F.lit(k).alias("k"), "scanned", "modified", "matches", "score", "level")
-
-
-def preview(forest: Forest, steps: list[Step]) -> DataFrame:
-    """A dry run: every step against the documents as they are."""
-    return reduce(DataFrame.unionByName, [totals(forest, s, k) for k, s in enumerate(steps, 1)])
+def totals(forest: Forest, step: Step, k: int, failed: DataFrame | None = None) -> DataFrame:
+    """One row: what the step scans, modifies and matches, and the score of it all. failed: documents (doc, error) that could
+    not be read; they count as scanned, and against the score."""
+    return preview(forest, [step], failed, k)
+
+
+def preview(forest: Forest, steps: list[Step], failed: DataFrame | None = None, first: int = 1) -> DataFrame:
+    """A dry run: every step against the documents as they are, a row for each (numbered from ``first``). The matches of all steps
+    are found in one pass over the elements and meet their documents once."""
+    whole = [k for k, s in enumerate(steps) if s.method == "append" and not s.target.kind]
+    some = [k for k in range(len(steps)) if k not in whole]
+    sources = forest.elements.filter("parent is null").select(F.col("doc").alias("d"), rewrite.binary(F.col("text")).alias("source"))
+    parts = [rewrite.append_to_root(forest, steps[k].payload).withColumn("step", F.lit(k)) for k in whole]
+    if some:
+        found = forest.select_all([steps[k].target for k in some])
+        number = F.get(F.array(*map(F.lit, some)), F.col("step"))
+        parts.append(rewrite.apply_all(found, sources, [(steps[k].method, steps[k].target.name, steps[k].payload) for k in some], "step").withColumn("step", number))
+    each = [p.select("step", (F.col("modified") != F.col("original")).alias("modified"), F.col("confidence.score").alias("score"), F.lit("").alias("error"), "match_count") for p in parts]
+    every = F.explode(F.array(*[F.lit(k) for k in range(len(steps))])).alias("step")
+    if failed is not None:
+        each.append(failed.select(every, F.lit(False).alias("modified"), F.lit(None).cast("double").alias("score"), "error", F.lit(0).cast("long").alias("match_count")))
+    details_ = reduce(DataFrame.unionByName, each)
+    # a row of nothing for each step, so that those without a match have one, too
+    scanned = forest.elements.filter("parent is null").select(F.col("doc").cast("string"))
+    scanned = (scanned if failed is None else scanned.union(failed.select(F.col("doc").cast("string")))).agg(F.count("*").alias("scanned"))
+    none = scanned.select(every, F.lit(False).alias("modified"), F.lit(None).cast("double").alias("score"), F.lit("").alias("error"), F.lit(0).cast("long").alias("match_count"), "scanned")
+    details_ = details_.withColumn("scanned", F.lit(None).cast("long")).unionByName(none)
+    sums = (F.max("scanned").alias("scanned"), F.count_if("modified").alias("modified"), F.sum("match_count").alias("matches"))
+    out = score.rollup(details_, ("step",), sums)
+    names = F.array(*[F.lit(s.name) for s in steps])
+    return out.select(F.get(names, F.col("step")).alias("step"), (F.col("step") + first).alias("k"), "scanned", "modified", "matches", "score", "level")
 
 
 def execute(forest: Forest, steps: list[Step], publish: Callable[[DataFrame, Step], Forest] | None = None, threshold: float = DEFAULT) -> list[dict]:

@@ -61,14 +61,33 @@ def transform(forest: Forest, method: str, query: Query, payload: str = "", expo
 
 def apply(found: DataFrame, sources: DataFrame, method: str, name: str, payload: str, exported: Column | None = None, invalid: Column | None = None, place=None) -> DataFrame:
     """``transform`` from matches (doc, start_byte, end_byte, name) and sources (d, source binary)."""
+    return apply_all(found, sources, [(method, name, payload)], None, exported, invalid, place)
+
+
+def apply_all(found: DataFrame, sources: DataFrame, changes: list[tuple[str, str, str]], step: str | None, exported: Column | None = None, invalid: Column | None = None, place=None) -> DataFrame:
+    """``apply`` of many changes (method, name, payload) in one plan: ``step`` is the column of ``found`` with the number of
+    each match's change, and of the result. Every change is made to the sources as they are."""
     exported = F.lit(False) if exported is None else exported
     spans = F.struct(F.col("start_byte").cast("long").alias("start"), F.col("end_byte").cast("long").alias("end"), exported.alias("exported"), "node_pre")
-    by_doc = found.groupBy("doc").agg(F.array_sort(F.collect_list(spans)).alias("spans"))
+    by_doc = found.groupBy("doc", *([step] if step else [])).agg(F.array_sort(F.collect_list(spans)).alias("spans"))
     joined = by_doc.join(sources, F.col("doc") == F.col("d")).drop("d")
-    used = F.slice("spans", 1, 1) if method == "append" else F.col("spans")
     source = F.col("source")
 
+    def of_step(value) -> Column:
+        """``value`` of the row's change."""
+        if len(changes) == 1:
+            return value(0)
+        out = F.when(F.col(step) == 0, value(0))
+        for k in range(1, len(changes)):
+            out = out.when(F.col(step) == k, value(k))
+        return out
+
+    used = of_step(lambda k: F.slice("spans", 1, 1) if changes[k][0] == "append" else F.col("spans"))
+
     def edit(s: Column) -> Column:
+        return of_step(lambda k: changed(s, *changes[k]))
+
+    def changed(s: Column, method: str, _: str, payload: str) -> Column:
         if method == "replace":
             start, end, new = s["start"], s["end"], F.lit(payload)
         elif method == "delete":
@@ -83,14 +102,14 @@ def apply(found: DataFrame, sources: DataFrame, method: str, name: str, payload:
 
     made = joined.withColumn("edits", in_order(F.transform(used, edit)))
     made = made.withColumn("result", splice(F.col("source"), F.col("edits")))
-    if place and method == "append":
+    if place and changes[0][0] == "append":
         first = F.get("spans", F.lit(0))
         made = made.withColumn("result", F.coalesce(binary(place(F.decode("source", "UTF-8"), first["start"], first["end"])), F.col("result")))
     nested = F.exists(F.transform(F.col("spans"), lambda s, i: (i > 0) & (s["start"] < F.get(F.col("spans"), i - 1)["end"])), lambda x: F.coalesce(x, F.lit(False)))
     n = F.size("spans")
     made = made.withColumn("invalid", F.lit(False) if invalid is None else invalid)
-    c = score.confidence(method, name, n, F.get("spans", F.lit(0))["exported"], F.col("invalid"), F.octet_length("source"), F.octet_length("result"))
-    return made.select("doc", F.decode("source", "UTF-8").alias("original"), F.decode("result", "UTF-8").alias("modified"), n.cast("long").alias("match_count"), nested.alias("overlap"), c.alias("confidence"))
+    c = of_step(lambda k: score.confidence(*changes[k][:2], n, F.get("spans", F.lit(0))["exported"], F.col("invalid"), F.octet_length("source"), F.octet_length("result")))
+    return made.select("doc", *([step] if step else []), F.decode("source", "UTF-8").alias("original"), F.decode("result", "UTF-8").alias("modified"), n.cast("long").alias("match_count"), nested.alias("overlap"), c.alias("confidence"))
 
 
 def _indent(source: Column, start: Column) -> Column:

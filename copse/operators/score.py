@@ -44,16 +44,17 @@ def confidence(method: str, name: str, targets: Column, exported: Column, invali
     return F.struct(score.alias("score"), level(score).alias("level"), F.filter(all_, lambda f: f.isNotNull()).alias("factors"))
 
 
-def rollup(details: DataFrame) -> DataFrame:
-    """One row for a batch, from modified, score and error ('' if none) of its files: score, level, files_modified.
+def rollup(details: DataFrame, by: tuple[str, ...] = (), more: tuple[Column, ...] = ()) -> DataFrame:
+    """One row for a batch (for each value of ``by``, with the aggregates ``more``), from modified, score and error ('' if none) of its files: score, level, files_modified.
 
     The mean of modified files without errors, less 0.2 if a file has an error, 0.1 if one of them is below 0.7 and 0.1 if
     over ten are modified; 0 if none is.
     """
     good = F.col("modified") & (F.coalesce("error", F.lit("")) == "")
     score = F.when(good, F.col("score"))
-    a = details.agg(F.avg(score).alias("mean"), F.count(score).alias("n"), F.coalesce(F.min(score), F.lit(1.0)).alias("least"), F.coalesce(F.max((F.coalesce("error", F.lit("")) != "").cast("int")), F.lit(0)).alias("errors"))
+    a = details.groupBy(*by).agg(F.avg(score).alias("mean"), F.count(score).alias("n"), F.coalesce(F.min(score), F.lit(1.0)).alias("least"), F.coalesce(F.max((F.coalesce("error", F.lit("")) != "").cast("int")), F.lit(0)).alias("errors"), *more)
+    others = [c for c in a.columns if c not in (*by, "mean", "n", "least", "errors")]
     minus = lambda when, x: F.when(when, x).otherwise(0.0)
     total = clamp(F.col("mean") - minus(F.col("errors") > 0, 0.2) - minus(F.col("least") < 0.7, 0.1) - minus(F.col("n") > 10, 0.1))
-    out = a.select(F.coalesce(F.when(F.col("n") > 0, total), F.lit(0.0)).alias("score"), F.col("n").alias("files_modified"))
+    out = a.select(*by, F.coalesce(F.when(F.col("n") > 0, total), F.lit(0.0)).alias("score"), F.col("n").alias("files_modified"), *others)
     return out.withColumn("level", level(F.col("score")))

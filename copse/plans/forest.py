@@ -150,34 +150,79 @@ class Forest:
         return out
 
     def of_kind(self, kind: str, name: str) -> DataFrame:
-        types = self.kinds.get(kind, (kind,))
         e = self.elements
         if "cand_pre" not in e.columns:
             e = e.withColumn("cand_pre", F.col("pre"))
-        hit = F.col("node_type").isin(*types) & F.col("is_target") if "is_target" in e.columns else F.col("node_type").isin(*types)
-        if "only" in e.columns:
-            hit = hit & (F.col("only").isNull() | F.array_contains("only", kind))
-        if kind in self.checks:
-            hit = hit & self.checks[kind]
-        out = e.filter(hit & patterns.matches(F.col("name"), name)).withColumn("kind", F.lit(kind)).withColumnRenamed("pre", "node_pre")
+        out = e.filter(self.is_kind(kind) & patterns.matches(F.col("name"), name)).withColumn("kind", F.lit(kind)).withColumnRenamed("pre", "node_pre")
         found = patterns.captures(F.col("name"), name) if "$" in name else {}
         pairs = [x for k, v in found.items() for x in (F.lit(k), v)]
         return out.withColumn("captures", F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>"))
 
+    def is_kind(self, kind: str) -> Column:
+        """A condition on elements."""
+        hit = F.col("node_type").isin(*self.kinds.get(kind, (kind,)))
+        if "is_target" in self.elements.columns:
+            hit = hit & F.col("is_target")
+        if "only" in self.elements.columns:
+            hit = hit & (F.col("only").isNull() | F.array_contains("only", kind))
+        return hit & self.checks[kind] if kind in self.checks else hit
+
+    def select_all(self, queries: list[Query]) -> DataFrame:
+        """``select`` of many selectors in one pass over the elements: matches with ``step``, the number of their selector, without
+        captures. Rows of equal identity and step give the first in document order.
+
+        Selectors are indexed by the node types of their kind, and a name is tried by the literal that a pattern begins
+        with before the pattern is. Those with containment, siblings or operators are planned by themselves.
+        """
+        queries = [self.canonical_query(q) for q in queries]
+        plain = [k for k, q in enumerate(queries) if q.kind and not (q.op or q.contains or {"before", "after"} & set(q.attributes))]
+        e = self.elements if "cand_pre" in self.elements.columns else self.elements.withColumn("cand_pre", F.col("pre"))
+        by_type: dict[str, list[int]] = {}
+        for k in plain:
+            for t in self.kinds.get(queries[k].kind, (queries[k].kind,)):
+                by_type.setdefault(t, []).append(k)
+
+        def tried(k: int) -> Column:
+            q = queries[k]
+            prefix = patterns.literal_prefix(q.name)
+            hit = self.is_kind(q.kind)
+            for c in [F.col("name").startswith(prefix)] * bool(prefix) + [patterns.matches(F.col("name"), q.name)] + [self.attribute(n, v) for n, v in q.attributes.items()]:
+                hit = hit & c
+            return F.when(hit, F.lit(k))
+
+        steps = F.array().cast("array<int>")
+        if by_type:
+            first, *more = by_type.items()
+            matched = lambda ks: F.filter(F.array(*map(tried, ks)), lambda x: x.isNotNull())
+            steps = F.when(F.col("node_type") == first[0], matched(first[1]))
+            for t, ks in more:
+                steps = steps.when(F.col("node_type") == t, matched(ks))
+        kinds = F.array(*[F.lit(q.kind) for q in queries])
+        found = e.withColumn("step", F.explode(steps)).withColumn("kind", F.get(kinds, F.col("step"))).withColumnRenamed("pre", "node_pre")
+        for k in sorted({*range(len(queries))} - {*plain}):
+            found = found.unionByName(self.targets(queries[k]).drop("captures").withColumn("step", F.lit(k)), allowMissingColumns=True)
+        keys = [*IDENTITY, "step"]
+        rest = [c for c in found.columns if c not in keys]
+        return found.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("cand_pre", "node_pre")).alias("r")).select(*keys, "r.*")
+
     def with_attribute(self, out: DataFrame, name: str, value: str) -> DataFrame:
-        if name == "text":
-            return out.filter(patterns.text_matches(F.col("text"), value))
-        if name == "source":
-            return out.filter(patterns.text_matches(F.col("text"), value) | patterns.text_matches(F.col("name"), value))
         if name in ("before", "after"):
             return self.beside(out, value, name == "before")
+        return out.filter(self.attribute(name, value))
+
+    def attribute(self, name: str, value: str) -> Column:
+        """A condition on elements; attributes that are not known hold."""
+        if name == "text":
+            return patterns.text_matches(F.col("text"), value)
+        if name == "source":
+            return patterns.text_matches(F.col("text"), value) | patterns.text_matches(F.col("name"), value)
         if name.startswith("arg"):
-            return out.filter(self.argument(name[3:], value))
+            return self.argument(name[3:], value)
         if name == "type" and self.typed:
-            return out.filter((F.col("decl_type") != "") & patterns.matches(F.col("decl_type"), value) if value != "*" else F.col("decl_type") != "")
+            return (F.col("decl_type") != "") & patterns.matches(F.col("decl_type"), value) if value != "*" else F.col("decl_type") != ""
         if name in self.columns:
-            return out.filter(patterns.matches(F.col(name).cast("string"), value))
-        return out
+            return patterns.matches(F.col(name).cast("string"), value)
+        return F.lit(True)
 
     @staticmethod
     def argument(number: str, value: str) -> Column:

@@ -376,6 +376,21 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return recipe.preview(tables.lines(spark, d), steps).select("step", "k", "scanned", "modified", "matches")
 
 
+#: Selectors of a recipe with many steps, and what each is in SQL.
+MANY = [("line:* text=License", HIT), ("line:The*", "regexp_full_match(line, 'The[^/]*')"), ("line:*.", r"regexp_full_match(line, '[^/]*\.')"), ("line:A*", "regexp_full_match(line, 'A[^/]*')"), ("line:In*", "regexp_full_match(line, 'In[^/]*')"),
+        ("line:Th* text=and", r"regexp_full_match(line, 'Th[^/]*') AND contains(regexp_replace(line, '^[\"''`\s]+|[\"''`\s]+$', '', 'g'), 'and')"), ("line:none at all", "line = 'none at all'"), ("line:La*", "regexp_full_match(line, 'La[^/]*')"),
+        ("document:1*", None), ("line:De* | line:Un*", "regexp_full_match(line, '(De|Un)[^/]*')")]
+_STEPS = " UNION ALL ".join(f"SELECT 's{k}' AS step, {k} AS k, doc, count(*) AS n FROM l WHERE {x} GROUP BY doc" if x else f"SELECT 's{k}', {k}, doc_id, 1 FROM documents WHERE doc_id::VARCHAR LIKE '1%'" for k, (_, x) in enumerate(MANY, 1))
+
+
+@register("q_recipe_many", f"""WITH {LINES}, m AS ({_STEPS}), s AS (SELECT unnest(range(1, {len(MANY) + 1})) AS k)
+SELECT 's' || s.k AS step, s.k::INT AS k, (SELECT count(*) FROM documents) AS scanned, count(m.doc) AS modified, coalesce(sum(m.n), 0)::BIGINT AS matches FROM s LEFT JOIN m ON m.k = s.k GROUP BY s.k""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """A dry run of ten steps: all selectors are tried in one pass over the lines."""
+    steps = [recipe.Step(f"s{k}", "insert_after", parse(x), "// x", min_confidence=0.0) for k, (x, _) in enumerate(MANY, 1)]
+    return recipe.preview(tables.lines(spark, d), steps).select("step", "k", "scanned", "modified", "matches")
+
+
 @register("q_pagination", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return scalars.page(read(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], "100")[0]

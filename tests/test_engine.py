@@ -135,3 +135,26 @@ def test_apply_after_a_crash(engine, spark, monkeypatch):
     with pytest.raises(KeyboardInterrupt):
         engine.call("apply", {"id": row["id"]})
     assert "NewB" in (engine.src / "b.go").read_text() and [r["status"] for r in engine.stages().collect()] == ["applied"]
+
+
+def test_a_file_that_cannot_be_read(engine, monkeypatch):
+    """It is reported and costs 0.2 of a recipe's score; the others are changed."""
+    from pyspark.sql import functions as F
+
+    from copse.sources import files
+
+    walk = files.walk
+
+    def broken(spark, scope):
+        lost = F.col("path") == "b.go"
+        return walk(spark, scope).withColumn("error", F.when(lost, "lost")).withColumn("source", F.when(~lost, F.col("source")))
+
+    request = {"scope": {"path": str(engine.src), "include": ["**/*.go"]}, "target_dsl": "func:Legacy*", "replacement": "func Fresh() {}"}
+    step = {"name": "s", "method": "replace", **request}
+    before = engine.call("recipe", {"name": "r", "steps": [step], "min_confidence": 0.1}).first()
+    monkeypatch.setattr(files, "walk", broken)
+    after = engine.call("recipe", {"name": "r", "steps": [step], "min_confidence": 0.1}).first()
+    assert (before["modified"], after["modified"], after["scanned"]) == (2, 1, 3) and before["score"] - after["score"] > 0.15
+    rows = {r["doc"].rsplit("/", 1)[1]: r for r in engine.call("file_replace", request).collect()}
+    assert (rows["b.go"]["status"], rows["b.go"]["error"]) == ("failed", "lost") and rows["a.go"]["status"] == "committed" and rows["a.go"]["error"] is None
+    assert "Fresh" in (engine.src / "a.go").read_text() and "LegacyB" in (engine.src / "b.go").read_text()

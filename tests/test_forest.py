@@ -248,3 +248,29 @@ def test_places_that_do_not_fit_are_an_error(spark, tmp_path):
         df.write.parquet(f"{tmp_path}/{name}.parquet")
     with pytest.raises(PySparkException, match="no place"):
         tables.customers(spark, str(tmp_path)).select(parse("order:*")).collect()
+
+
+def test_all_selectors_in_one_pass(spark):
+    """The same matches as one by one, whatever the selectors; one pass over the elements for those without containment."""
+    rng = random.Random(21)
+    rows = [n for doc in range(12) for n in grow(rng, doc)]
+    f = Forest(spark.createDataFrame(rows, SCHEMA), kinds={"any": ("a", "b")}, canonical={"x": "a"})
+    selectors = ["a:*", "b:n*", "x:*", "any:*", "a:[m-n]*", "c:none", "a:* > b:*", "a:* | b:*", "!a:n*", "a:* before=b:*", "b:* text=t", "a:* color=none"]
+    queries = [parse(x) for x in selectors]
+    cells = lambda df: sorted(str(tuple(r)) for r in df.select("doc", "kind", "start_byte", "end_byte", "name", "node_pre").collect())
+    found = f.select_all(queries).cache()
+    for k, q in enumerate(queries):
+        assert cells(found.filter(F.col("step") == k)) == cells(f.select(q)), selectors[k]
+    plan = f.select_all([parse(f"a:n{i}*") for i in range(10)])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1
+
+
+def test_documents_that_fail(spark):
+    """One that cannot be read costs 0.2, counts as scanned, and fails nothing."""
+    steps = [recipe.Step("one", "replace", parse("line:a"), "b"), recipe.Step("none", "delete", parse("line:zzz"))]
+    forest = docs(spark, "a\nc")
+    failed = spark.createDataFrame([("gone.go", "No such file")], "doc string, error string")
+    good = {r.step: r for r in recipe.preview(forest, steps).collect()}
+    bad = {r.step: r for r in recipe.preview(forest, steps, failed).collect()}
+    assert abs(good["one"].score - bad["one"].score - 0.2) < 1e-9 and (bad["one"].modified, bad["one"].matches) == (1, 1)
+    assert (good["one"].scanned, bad["one"].scanned, bad["none"].scanned) == (1, 2, 2) and bad["none"].modified == bad["none"].matches == 0
