@@ -7,6 +7,7 @@ where they come from files.
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -14,6 +15,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from copse.functions import patterns, scalars
 from copse.plans.forest import Forest
@@ -159,21 +161,68 @@ def parsed_once(docs: DataFrame) -> DataFrame:
     return shared.written(parsed(docs), "elements")
 
 
-def stored(docs: DataFrame, table: str) -> DataFrame:
+#: What a call of ``stored`` finds: documents, and texts (one for each language and digest) that it has and that it parses.
+USE = "at long, documents long, hits long, misses long"
+
+
+def _folder(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def stored(docs: DataFrame, table: str, seconds: int = 0, now: int | None = None) -> DataFrame:
     """Elements by way of a table that keeps them by (language, sha256): texts that it has are not parsed again, equal
-    texts are parsed once. ``table`` is a folder of Parquet files."""
-    spark = docs.sparkSession
+    texts are parsed once. ``table`` is a folder that executors share.
+
+    Elements are written to a folder of the second they are written at. With ``seconds`` they are too old after that time:
+    their folders are not read any more, and their texts parsed anew. ``now``: seconds, the clock if not given. What each
+    call finds is counted in ``use``.
+    """
+    spark, now = docs.sparkSession, int(time.time()) if now is None else now
     key = F.concat_ws(":", "language", "sha256")
     keyed = docs.filter(F.col("language").isin(*registry.languages())).withColumn("key", key)
-    new = keyed.select(F.col("key").alias("doc"), "language", "source").dropDuplicates(["doc"])
-    path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        new = new.join(spark.read.schema(ELEMENTS).parquet(table).select("doc").filter("pre = 0").distinct(), "doc", "left_anti")
-    parsed(new).write.mode("append").parquet(table)
-    kept = spark.read.schema(ELEMENTS).parquet(table).withColumnRenamed("doc", "key").drop("language")
+    keyed = keyed.filter("error is null") if "error" in docs.columns else keyed
+    wanted = keyed.groupBy(F.col("key").alias("doc")).agg(F.min(F.struct("language", "source")).alias("t"), F.count("*").alias("n")).select("doc", "t.*", "n")
+    have = _fresh(spark, table, seconds, now)
+    found = wanted.join(have.filter("pre = 0").select(F.col("doc").alias("has")).distinct(), F.col("doc") == F.col("has"), "left")
+    found = shared.written(found.select("doc", "language", F.when(F.col("has").isNull(), F.col("source")).alias("source"), "n", F.col("has").isNotNull().alias("hit")), "wanted_texts")
+    parsed(found.filter("not hit")).write.mode("append").parquet(f"{table}/elements/written={now}")
+    counts = found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("documents"), F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+    counts.select(F.lit(now).cast("long").alias("at"), "documents", "hits", "misses").write.mode("append").parquet(f"{table}/use")
+    # a text that was parsed twice, as it was too old in between, has the rows of the last time
+    latest = _fresh(spark, table, seconds, now).filter("pre = 0").groupBy(F.col("doc").alias("of")).agg(F.max("written").alias("newest"))
+    kept = _fresh(spark, table, seconds, now).join(latest, (F.col("doc") == F.col("of")) & (F.col("written") == F.col("newest"))).withColumnRenamed("doc", "key").drop("language", "written", "of", "newest")
     return keyed.select("key", "doc", "language").join(kept, "key").drop("key")
 
 
+def _fresh(spark: SparkSession, table: str, seconds: int, now: int) -> DataFrame:
+    """Elements that are not too old, with ``written``; only their folders are read."""
+    schema = T._parse_datatype_string(ELEMENTS).add("written", T.LongType())
+    where, fs = _folder(spark, f"{table}/elements")
+    if not fs.exists(where):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).parquet(f"{table}/elements")
+    return rows.filter(F.col("written") > now - seconds) if seconds else rows
+
+
+def use(spark: SparkSession, table: str) -> DataFrame:
+    """What each call of ``stored`` has found (``USE``), with the share of texts that were there."""
+    where, fs = _folder(spark, f"{table}/use")
+    rows = spark.read.schema(USE).parquet(f"{table}/use") if fs.exists(where) else spark.createDataFrame([], USE)
+    texts = F.col("hits") + F.col("misses")
+    return rows.withColumn("hit_rate", F.when(texts > 0, F.col("hits") / texts))
+
+
+def expire(spark: SparkSession, table: str, seconds: int, now: int | None = None) -> int:
+    """Delete folders of elements that are too old; returns how many. Nothing is rewritten."""
+    now = int(time.time()) if now is None else now
+    where, fs = _folder(spark, f"{table}/elements")
+    old = [x.getPath() for x in fs.listStatus(where) if x.getPath().getName().startswith("written=") and int(x.getPath().getName()[8:]) <= now - seconds] if fs.exists(where) else []
+    for path in old:
+        fs.delete(path, True)
+    return len(old)
+
+
 def forest(elements: DataFrame, language: str, broken: bool = False) -> Forest:
     """The forest of one language. Documents with syntax errors are left out unless ``broken``."""
     is_ = lambda what: F.col("member") == what

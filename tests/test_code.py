@@ -187,10 +187,26 @@ def test_stored(spark, tmp_path):
     first = files.stored(docs.filter("doc != 'c'"), table)
     assert {r["doc"] for r in files.select(first, parse("var:x"), ("python",)).collect()} == {"a", "b"}
     files.stored(docs, table)
-    kept = spark.read.parquet(table)
+    kept = spark.read.parquet(f"{table}/elements")
     assert kept.filter("pre = 0").count() == 2 and kept.filter(F.col("name") == "y").count() > 0
 
 
+def test_stored_elements_expire(spark, tmp_path):
+    """Those that are too old are parsed anew and deleted on demand; hits and misses are counted by texts."""
+    docs = files.inline(spark, "python", a="x = 1\n", b="x = 1\n", c="y = 2\n", d="z = 3\n")
+    table = f"file://{tmp_path}/store"
+    count = lambda some, now: sorted(r["doc"] for r in files.stored(docs.filter(some), table, 60, now).filter("pre = 0").collect())
+    assert count("doc in ('a', 'b')", 1000) == ["a", "b"]
+    assert count("doc <> 'd'", 1030) == ["a", "b", "c"]
+    assert count("true", 1060) == ["a", "b", "c", "d"]  # a and b are too old, c is not
+    assert count("false", 1061) == []
+    rows = [(r["at"], r["documents"], r["hits"], r["misses"]) for r in files.use(spark, table).orderBy("at").collect()]
+    assert rows == [(1000, 2, 0, 1), (1030, 3, 1, 1), (1060, 4, 1, 2), (1061, 0, 0, 0)]
+    assert {r["at"]: r["hit_rate"] for r in files.use(spark, table).collect()}[1030] == 0.5
+    assert files.expire(spark, table, 60, 1060) == 1 and files.expire(spark, table, 60, 1060) == 0
+    assert count("true", 1061) == ["a", "b", "c", "d"] and files.expire(spark, table, 60, 5000) > 0 and count("doc = 'c'", 5000) == ["c"]
+
+
 def test_registry(spark):
     """A language that is added while the program runs is detected, parsed, selected and rewritten."""
     from copse.functions import scalars
