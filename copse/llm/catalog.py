@@ -8,6 +8,7 @@ QUERIES = {
     "op3_simhash": simhash.op3_simhash,
     "op4_lines": linededup.op4_lines,
     "op5_shards": sharding.op5_shards,
+    "shards_split": sharding.shards_split,
     "op6_mix": mixing.op6_mix,
     "op7_warc": warc.op7_warc,
     "op8_rules": rules.op8_rules,
@@ -20,6 +21,7 @@ QUERIES = {
 SQL = {
     "op2_urls": reputation.OP2_SQL,
     "op5_shards": sharding.OP5_SQL,
+    "shards_split": sharding.SPLIT_SQL,
     "op6_mix": mixing.OP6_SQL,
     "op7_warc": warc.OP7_SQL,
     "op8_rules": rules.OP8_SQL,

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -30,7 +31,7 @@ from copse.llm.common import fresh, in_batches, table, written
 
 LENGTH = 2048
 END = 0  # the id after each document
-#: Pieces of one length that one task numbers, about.
+#: Pieces of one length that one task numbers, about; the root of their number if that is more, so that runs stay as few.
 RUN = 1024
 
 
@@ -230,8 +231,9 @@ def packed(pieces_: DataFrame, length: int = LENGTH, key: str = "doc_id") -> Dat
     (salt, number, ahead) = fresh(pieces_.columns, "run", "number", "ahead")
     counts = {r["length"]: r["n"] for r in pieces_.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `length` rows
     table_ = slots(plan(counts, length))
-    runs = [-(-counts.get(n, 0) // RUN) or 1 for n in range(length + 1)]
-    spread = F.pmod(F.xxhash64(key, "piece", "ids_crc32", "start"), F.get(F.array(*map(F.lit, runs)), F.col("length").cast("int")).cast("long"))
+    runs = [-(-counts.get(n, 0) // max(RUN, math.isqrt(counts.get(n, 0)))) or 1 for n in range(length + 1)]
+    # rows may repeat: their places as they are read tell them apart
+    spread = F.pmod(F.xxhash64(key, "piece", "ids_crc32", "start", F.monotonically_increasing_id()), F.get(F.array(*map(F.lit, runs)), F.col("length").cast("int")).cast("long"))
     # without a hot length a run is a length: then rows are dealt by length and a finer hash all the same
     rows = written(pieces_.withColumn(salt, spread), "pieces_by_run")
     by_run = rows.groupBy("length", salt).agg(F.count("*").alias("n"))

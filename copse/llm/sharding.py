@@ -125,6 +125,16 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(docs, carry=["doc_id", "n_bytes"])
 
 
+#: A limit that splits small tables, too.
+SMALL = 1 << 18
+
+
+def shards_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with shards of at most 256 KiB, so that buckets split at every size of the table."""
+    docs = table(spark, sf_dir, "documents").withColumn("n_bytes", F.octet_length("text").cast("long"))
+    return sharded(docs, SMALL, carry=["doc_id", "n_bytes"])
+
+
 def op5_sql(limit: int = LIMIT) -> str:
     return f"""
 WITH d AS (SELECT doc_id, octet_length(encode(text))::BIGINT AS n_bytes, md5(coalesce(doc_id::VARCHAR, 'null')) || md5(coalesce(text, '')) AS h FROM documents),
@@ -137,3 +147,4 @@ SELECT doc_id, n_bytes, shard, depth, false AS overflow FROM f
 
 
 OP5_SQL = op5_sql()
+SPLIT_SQL = op5_sql(SMALL)

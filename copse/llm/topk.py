@@ -202,7 +202,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
                 yield pd.DataFrame({"query": number[found[:, 0]], "query_id": qids[found[:, 0]], "vec_id": found[:, 1], "score": found[:, 2]})
 
     def ask(with_floor: DataFrame, some: Column) -> DataFrame:
-        met = blocks.filter(some).join(_gathered(with_floor, ("n", "part"), ("query", "id", "floor")), "n").drop("block", "part")
+        # the pairs that meet are rows of their own, so that one length is as many keys as it has pairs
+        numbers = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+        meet = lengths.filter("blocks > 0").select("n", "parts", numbers("blocks").alias("block")).filter(some).select("n", "block", numbers("parts").alias("part"))
+        met = meet.join(_gathered(with_floor, ("n", "part"), ("query", "id", "floor")), ["n", "part"]).join(blocks.filter(some), ["n", "block"]).drop("block", "part")
         return met.repartition(max(16, pairs // 4)).mapInPandas(run, FOUND)
 
     pairs = lengths.agg(F.coalesce(F.sum(F.col("blocks") * F.col("parts")), F.lit(0))).first()[0]
