@@ -235,6 +235,19 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
+def _gradient(xs: np.ndarray, doc: np.ndarray, n: np.ndarray, w: np.ndarray, t: np.ndarray, positive: np.ndarray, ridge: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the mean log-likelihood of the documents' labels less a ridge, with respect to weights and transitions."""
+    e = xs @ w
+    good, z, moves = chain(e, n, t)
+    lp = _all_good(e, n, t, z)
+    moves_all = np.zeros((len(n), 2, 2))
+    moves_all[:, 1, 1] = n - 1
+    # of log p for good documents, of log(1 - p) for bad ones
+    factor = np.where(positive, 1.0, -np.exp(lp) / -np.expm1(lp))
+    factor = np.clip(factor, -50, 50) / len(n)
+    return xs.T @ ((1 - good) * factor[doc]) - ridge * w, ((moves_all - moves) * factor[:, None, None]).sum(0) - ridge * t
+
+
 def fit(texts: list[bytes], labels: np.ndarray, ridge: float = 1e-3, steps: int = 100) -> Field:
     """Maximum likelihood by gradient steps (Adam) on documents' labels; then a logistic map to quality. Without labelled
     texts all weights are 0: every score is 0.5."""
@@ -250,17 +263,8 @@ def fit(texts: list[bytes], labels: np.ndarray, ridge: float = 1e-3, steps: int
     m = [np.zeros(len(w)), np.zeros((2, 2))]
     v = [np.zeros(len(w)), np.zeros((2, 2))]
     positive = labels == 1
-    moves_all = np.zeros((len(n), 2, 2))
-    moves_all[:, 1, 1] = n - 1
     for k in range(1, steps + 1):
-        e = xs @ w
-        good, z, moves = chain(e, n, t)
-        lp = _all_good(e, n, t, z)
-        # gradient of log p for good documents, of log(1 - p) for bad ones
-        factor = np.where(positive, 1.0, -np.exp(lp) / -np.expm1(lp))
-        factor = np.clip(factor, -50, 50) / len(n)
-        gw = xs.T @ ((1 - good) * factor[doc]) - ridge * w
-        gt = ((moves_all - moves) * factor[:, None, None]).sum(0) - ridge * t
+        gw, gt = _gradient(xs, doc, n, w, t, positive, ridge)
         for i, (p, g) in enumerate(((w, gw), (t, gt))):
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.99 * v[i] + 0.01 * g * g
@@ -324,8 +328,9 @@ def score(field: Field, texts: list[bytes], batch: int = PART) -> np.ndarray:
 
 def sample(docs: DataFrame, labels: DataFrame, use: Column, size: int = SAMPLE, size_bytes: int = SAMPLE_BYTES, key: str = "doc_id", text: str = "text") -> tuple[list[bytes], np.ndarray]:
     """The whole texts and labels the classifier is fitted on: of the ``size`` labelled rows with the smallest hash of key
-    among those that ``use`` picks and that have a text which is used, the first by hash that have ``size_bytes`` together. Texts of over an eighth of that, and
-    rows with a null key, text or label, or another label than 0 and 1, are not used. Of rows with equal keys the smallest text is.
+    among those that ``use`` picks and that have a text which is used, the first by hash that have ``size_bytes`` together.
+    Texts of over an eighth of that, and rows with a null key, text or label, or another label than 0 and 1, are not used.
+    Of rows with equal keys the smallest text is.
     """
     known = labels.filter(use & F.col("quality").isin(0, 1)).groupBy(key).agg(F.min("quality").alias("quality"))
     usable = docs.select(key, F.octet_length(F.encode(text, "UTF-8")).alias("n")).filter(F.col("n") <= size_bytes // 8).select(key).distinct()
