@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from copse.functions import places
 from copse.operators import score
 from copse.plans.forest import Forest
 from copse.selector import Query
@@ -84,23 +85,22 @@ def apply_all(found: DataFrame, sources: DataFrame, changes: list[tuple[str, str
 
     used = of_step(lambda k: F.slice("spans", 1, 1) if changes[k][0] == "append" else F.col("spans"))
 
-    def edit(s: Column) -> Column:
-        return of_step(lambda k: changed(s, *changes[k]))
-
-    def changed(s: Column, method: str, _: str, payload: str) -> Column:
+    def changed(s: Column, starts: Column, method: str, _: str, payload: str) -> Column:
         if method == "replace":
             start, end, new = s["start"], s["end"], F.lit(payload)
         elif method == "delete":
             start, end, new = s["start"], s["end"], F.lit("")
         elif method == "insert_before":
-            start, end, new = s["start"], s["start"], F.concat(_indent(source, s["start"]), F.lit(payload + "\n"))
+            start, end, new = s["start"], s["start"], F.concat(_indent(source, starts, s["start"]), F.lit(payload + "\n"))
         elif method == "insert_after":
-            start, end, new = s["end"], s["end"], F.concat(F.lit("\n"), _indent(source, s["start"]), F.lit(payload))
+            start, end, new = s["end"], s["end"], F.concat(F.lit("\n"), _indent(source, starts, s["start"]), F.lit(payload))
         else:
             start, end, new = s["end"], s["end"], F.lit("\n\n" + payload)
         return F.struct(start.alias("start"), end.alias("end"), binary(new).alias("new"))
 
-    made = joined.withColumn("edits", in_order(F.transform(used, edit)))
+    indented = any(m in ("insert_before", "insert_after") for m, *_ in changes)
+    starts = places.line_starts(F.decode("source", "UTF-8")) if indented else F.array().cast("array<long>")
+    made = joined.withColumn("edits", in_order(places.let(starts, lambda x: F.transform(used, lambda s: of_step(lambda k: changed(s, x, *changes[k]))))))
     made = made.withColumn("result", splice(F.col("source"), F.col("edits")))
     if place and changes[0][0] == "append":
         first = F.get("spans", F.lit(0))
@@ -112,11 +112,10 @@ def apply_all(found: DataFrame, sources: DataFrame, changes: list[tuple[str, str
     return made.select("doc", *([step] if step else []), F.decode("source", "UTF-8").alias("original"), F.decode("result", "UTF-8").alias("modified"), n.cast("long").alias("match_count"), nested.alias("overlap"), c.alias("confidence"))
 
 
-def _indent(source: Column, start: Column) -> Column:
-    """Of the whole line that holds ``start``."""
-    before = F.substring_index(F.decode(cut(source, F.lit(0).cast("long"), start), "UTF-8"), "\n", -1)
-    behind = F.substring_index(F.decode(F.substring(source, (start + 1).cast("int"), F.octet_length(source)), "UTF-8"), "\n", 1)
-    return F.regexp_extract(F.concat(before, behind), r"^[ \t]*", 0)
+def _indent(source: Column, starts: Column, start: Column) -> Column:
+    """Of the whole line that holds ``start``; starts: where lines start. No more than the line is decoded."""
+    line = lambda row: cut(source, F.get(starts, row), F.coalesce(F.get(starts, row + 1) - 1, F.octet_length(source).cast("long")))
+    return places.let(places.row_of(starts, start), lambda row: F.regexp_extract(F.decode(line(row), "UTF-8"), r"^[ \t]*", 0))
 
 
 def append_to_root(forest: Forest, payload: str, place=None) -> DataFrame:
