@@ -264,7 +264,9 @@ def in_blocks(members: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     with in_batches(members.sparkSession, 2):
-        return written(pairs.mapInArrow(run, "a long, b long").distinct(), "links_in_blocks")
+        out = written(pairs.mapInArrow(run, "a long, b long").distinct(), "links_in_blocks")
+    discard(dealt)
+    return out
 
 
 def similar(docs: DataFrame, similarity: float = 0.8, size: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -342,7 +344,7 @@ def similar(docs: DataFrame, similarity: float = 0.8, size: int = 5, key: str =
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """Of ``pairs`` (a, b, of_a, of_b) those that are similar."""
-        pairs = written(pairs.filter(possible(F.col("of_a"), F.col("of_b"))).select("a", "b", F.col("of_a.n").alias("n_a"), F.col("of_b.n").alias("n_b")).distinct(), f"{name}_candidates")
+        pairs = candidates = written(pairs.filter(possible(F.col("of_a"), F.col("of_b"))).select("a", "b", F.col("of_a.n").alias("n_a"), F.col("of_b.n").alias("n_b")).distinct(), f"{name}_candidates")
         for x in ("a", "b"):
             pairs = pairs.join(rare.select(F.col("set_id").alias(x), F.col("shared").alias(f"in_{x}")).hint("merge"), x)
         # up to the largest hash that both have, the places in both heads tell how many hashes only one of them has
@@ -350,13 +352,16 @@ def similar(docs: DataFrame, similarity: float = 0.8, size: int = 5, key: str =
         at = lambda x, h: F.element_at(F.col(f"in_{x}.place"), F.array_position(F.col(f"in_{x}.h"), h).cast("int")) + 1
         found = pairs.withColumn("both", both).filter("size(both) > 0").withColumn("top", F.element_at("both", -1))
         spared = lambda x: at(x, F.col("top")) - F.size("both") <= F.col(f"n_{x}") - joint(F.col("n_a"), F.col("n_b"))
-        pairs = written(found.filter(spared("a") & spared("b")).select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n")), f"{name}_likely")
+        pairs = likely = written(found.filter(spared("a") & spared("b")).select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n")), f"{name}_likely")
+        discard(candidates)
         ids = written(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct().join(least, "set_id").select("set_id", "id"), f"{name}_ids")
         sets = sets_of(ids, f"{name}_sets")
         with in_batches(spark):
             for x in ("a", "b"):
                 pairs = pairs.join(sets.select(F.col("set_id").alias(x), F.col("hashes").alias(f"of_{x}")).hint("merge"), x)
-            return written(pairs.filter((up + down) * common("of_a", "of_b") >= up * F.col("n")).select("a", "b"), name)
+            out = written(pairs.filter((up + down) * common("of_a", "of_b") >= up * F.col("n")).select("a", "b"), name)
+        discard(likely, ids, sets)
+        return out
 
     # a text that others are copies of has nothing of its own: it comes first, but for every other hash
     alone = F.when(F.pmod("h", F.lit(2)) == 0, F.col("of.own") / headed(F.col("of.n"))).otherwise(0.0)
@@ -374,9 +379,13 @@ def similar(docs: DataFrame, similarity: float = 0.8, size: int = 5, key: str =
     far = verified(side("a").join(side("b"), "h").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))), "far")
     many = written(placed.join(apart.filter(F.col("held") > GROUP), "h").select("h", "held", "total", "set_id", "root"), "large_groups")
     edges = near.union(far)
+    discard(rare, placed, apart)
     if not many.isEmpty():
         ids = written(many.select("set_id").distinct().join(least, "set_id").select("set_id", "id"), "large_groups_ids")
-        edges = edges.union(in_blocks(many, sets_of(ids, "large_groups_sets"), t))
+        sets = sets_of(ids, "large_groups_sets")
+        edges = edges.union(in_blocks(many, sets, t))
+        discard(ids, sets)
+    discard(many)
     roots = components(edges).withColumnsRenamed({"node": "set_id"})
     of = written(least.join(roots, "set_id", "left").select("set_id", F.col("id").alias("first"), F.coalesce("root", "set_id").alias("root")), "roots")
     ids_of = of.groupBy("root").agg(F.min("first").alias("component_id"))
