@@ -48,3 +48,17 @@ def at_least(level: Column, least: str) -> Column:
 def utf8(content: Column) -> Column:
     """Bytes as text; those that are no UTF-8 are replaced (``decode`` would fail the query)."""
     return F.make_valid_utf8(content.cast("string"))
+
+
+def with_defaults(text: Column, defaults: dict[str, object]) -> Column:
+    """A JSON object as text, with those of ``defaults`` that it lacks, keys in order. A key whose value is null has it; null,
+    malformed and other values than objects give the defaults alone."""
+    import json
+
+    raw = F.map_from_arrays(F.array(*map(F.lit, defaults)).cast("array<string>"), F.array(*[F.lit(json.dumps(v)) for v in defaults.values()]).cast("array<string>"))
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    own = F.coalesce(F.transform_values(F.from_json(text, "map<string,variant>"), lambda _, v: F.coalesce(F.to_json(v), F.lit("null"))), empty)
+    merged = F.map_concat(F.map_filter(raw, lambda k, _: ~F.map_contains_key(own, k)), own)
+    pairs = F.array_sort(F.map_entries(merged))
+    quoted = lambda k: F.to_json(F.struct(k.alias("k"))).substr(F.lit(6), F.length(F.to_json(F.struct(k.alias("k")))) - 6)
+    return F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda p: F.concat(quoted(p["key"]), F.lit(":"), p["value"])), ","), F.lit("}"))

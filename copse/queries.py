@@ -396,6 +396,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return scalars.page(read(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], "100")[0]
 
 
+@register("q_json_defaults", """SELECT event_id, '{"k":' || (props->>'k') || ',"mode":"dry"}' AS props FROM events""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "events").select("event_id", scalars.with_defaults(F.col("props"), {"mode": "dry", "k": 0}).alias("props"))
+
+
 @register("q_log_filter", "SELECT event_id, event_type FROM events WHERE event_type IN ('error', 'purchase')")
 def _(spark: SparkSession, d: str) -> DataFrame:
     level = F.create_map(*[F.lit(x) for x in ("view", "debug", "click", "info", "signup", "notice", "purchase", "warning", "error", "error")])[F.col("event_type")]

@@ -274,3 +274,12 @@ def test_documents_that_fail(spark):
     bad = {r.step: r for r in recipe.preview(forest, steps, failed).collect()}
     assert abs(good["one"].score - bad["one"].score - 0.2) < 1e-9 and (bad["one"].modified, bad["one"].matches) == (1, 1)
     assert (good["one"].scanned, bad["one"].scanned, bad["none"].scanned) == (1, 2, 2) and bad["none"].modified == bad["none"].matches == 0
+
+
+def test_json_with_defaults(spark):
+    """Keys that are given win, nulls too; what is no object counts as none; values are kept as they are."""
+    rows = ['{"k": 9}', '{"a": {"b":[1,2]}, "z": null, "k":"x"}', None, "", "[1]", "{bad", "7", '{"it\'s \\"": 1.5}']
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, t string")
+    got = {r.i: r.o for r in df.select("i", scalars.with_defaults(F.col("t"), {"k": 1, "mode": "dry"}).alias("o")).collect()}
+    none = '{"k":1,"mode":"dry"}'
+    assert got == {0: '{"k":9,"mode":"dry"}', 1: '{"a":{"b":[1,2]},"k":"x","mode":"dry","z":null}', 2: none, 3: none, 4: none, 5: none, 6: none, 7: '{"it\'s \\"":1.5,"k":1,"mode":"dry"}'}
