@@ -19,7 +19,8 @@ UPDATE = "uri string, type string, size long, mod_time long"
 
 def incoming(spark: SparkSession, scope: files.Scope, per_trigger: int = 1000) -> DataFrame:
     """Documents of new files as a stream, at most ``per_trigger`` files a batch. Depths, globs and languages are those of
-    the scope; a stream has no first files, so ``max_files`` is not read."""
+    the scope; a stream has no first files, so ``max_files`` is not read. Names that begin with a dot or an underscore are
+    passed over by the reader of streams, other than by ``files.listing``."""
     scope = scope.checked()
     here = scope.local()
     root = (here if here is not None else scope.path).rstrip("/")
