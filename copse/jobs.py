@@ -20,6 +20,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 PROGRESS = "token string, state string, seconds double, jobs int, stages int, tasks int, completed int, failed int, active int"
 #: Seconds that the operations of the engine may take.
 LIMITS = {"file_query": 30.0, "file_replace": 60.0, "file_delete": 60.0, "recipe": 120.0}
+#: Seconds that work which is ended may take to notice.
+GRACE = 30.0
 
 
 def _local(spark: SparkSession, rows: list[tuple]) -> DataFrame:
@@ -66,7 +68,7 @@ class Work:
         with self._lock:
             if self.state == "running":
                 self.state = state
-            self.ended = time.monotonic()
+            self.ended = self.ended or time.monotonic()
         if self._timer:
             self._timer.cancel()
         self._over.set()
@@ -76,8 +78,12 @@ class Work:
             if self.state != "running":
                 return False
             self.state = state
+        until = time.monotonic() + GRACE
         while not self._over.wait(0.1):  # jobs that start between two others are cancelled as well
             self._context.cancelJobsWithTag(self.token)
+            if time.monotonic() > until:  # what is not Spark's cannot be ended; nobody waits for it
+                self.ended = time.monotonic()
+                self._over.set()
         return True
 
     def cancel(self) -> bool:

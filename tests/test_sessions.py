@@ -176,6 +176,14 @@ def test_work_is_cancelled_and_others_go_on(spark):
     assert works.submit(lambda: 7, token="long").result(60) == 7
 
 
+def test_work_that_spark_cannot_end(spark, monkeypatch):
+    monkeypatch.setattr(jobs, "GRACE", 0.5)
+    work = jobs.Work(spark, threading.Event().wait, timeout=0.2).start()
+    with pytest.raises(jobs.TimedOut):
+        work.result(30)
+    assert work.progress().first().state == "timed_out"
+
+
 def test_work_has_limits(spark):
     work = jobs.Work(spark, sleeping(spark), timeout=1.0).start()
     with pytest.raises(jobs.TimedOut):
