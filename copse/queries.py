@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copse.functions import patterns, scalars
-from copse.operators import ledger, recipe, rewrite, safety, score, sessions
+from copse.operators import capabilities, ledger, recipe, rewrite, safety, score, sessions
 from copse.plans.forest import Forest, placed, projected
 from copse.selector import parse
 from copse.sources import files, shared, tables, writer
@@ -407,11 +407,13 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").filter(scalars.at_least(level, "warning")).select("event_id", "event_type")
 
 
-@register("q_capabilities")
+@register("q_capabilities", """WITH m(event_type, name) AS (VALUES ('view', 'replace'), ('click', 'delete'), ('signup', 'insert_before'), ('purchase', 'append')),
+c(category, name) AS (SELECT 'operator', unnest(['>>', '>', '&', '|', '!', '(', ')']) UNION ALL SELECT 'method', unnest(['replace', 'delete', 'insert_before', 'insert_after', 'append']) UNION ALL SELECT 'attribute', unnest(['text', 'source', 'arg', 'argN', 'before', 'after', 'type'])),
+n AS (SELECT name, count(*) AS n FROM events JOIN m USING (event_type) GROUP BY 1) SELECT category, c.name, CASE WHEN category = 'method' THEN coalesce(n, 0) ELSE 0 END AS n FROM c LEFT JOIN n ON c.name = n.name""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    from copse.operators.capabilities import capabilities
-
-    return capabilities(spark)
+    """What selectors and requests may hold, and how often the stages of the events' users did which."""
+    method = F.create_map(*[F.lit(x) for x in ("view", "replace", "click", "delete", "signup", "insert_before", "purchase", "append")])[F.col("event_type")]
+    return capabilities.used(read(spark, d, "events").select(method.alias("operation")).filter("operation is not null"))
 
 
 # source code: texts made of the tables' rows, parsed by the five parsers
