@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from copse.llm.common import HAS_WORD, fresh, in_batches, let, table, written
+from copse.llm.common import HAS_WORD, discard, fresh, in_batches, let, table, written
 
 #: Words of a block that is deleted, at least.
 MIN_WORDS = 8
@@ -170,8 +170,9 @@ def run_table(docs: DataFrame, key: str = "doc_id", text: str = "text", min_word
     What one task gathers are a document's own shared lines; counts of lines are combined before they are shuffled."""
     with in_batches(docs.sparkSession):
         lines = written(line_table(docs, key, text, min_words), "lines")
-    shared = lines.groupBy("line").agg(F.sum(F.col("first").cast("long")).alias("held")).filter("held > 1")
-    of = lines.join(shared, "line").groupBy("k", "t").agg(F.collect_list(F.struct("place", "line", "words", "held")).alias("lines"))
+    # a table of its own, so that Spark can split the join where a line is in very many documents
+    shared = written(lines.groupBy("line").agg(F.sum(F.col("first").cast("long")).alias("held")).filter("held > 1"), "shared_lines")
+    of = lines.join(shared.hint("merge"), "line").groupBy("k", "t").agg(F.collect_list(F.struct("place", "line", "words", "held")).alias("lines"))
     schema = T.StructType([lines.schema["k"], *T._parse_datatype_string("t long, line binary, run binary, size int, places array<int>").fields])
     types = to_arrow_schema(schema)
 
@@ -186,7 +187,9 @@ def run_table(docs: DataFrame, key: str = "doc_id", text: str = "text", min_word
                     yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, types)], schema=types)
 
     with in_batches(docs.sparkSession):
-        return written(of.mapInArrow(found, schema), "runs")
+        made = written(of.mapInArrow(found, schema), "runs")
+    discard(lines, shared)
+    return made
 
 
 def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

@@ -319,13 +319,15 @@ def similar(docs: DataFrame, similarity: float = 0.8, size: int = 5, key: str =
     copies = rows.select("set_id", "row").join(least.select("set_id", F.col("row").alias("first")), "set_id").filter("row <> first").select("row")
     once = among(rows, written(copies, "copies"), "row", "left_anti")
     heads = once.select("set_id", "n", F.element_at("head", -1).alias("last"), F.posexplode("head").alias("place", "h"))
-    counts = heads.groupBy("h").agg(F.count("*").alias("held")).filter("held > 1")  # combined before the shuffle; Spark splits the join where a passage is in very many texts
-    held = heads.join(counts, "h")
+    # counts are combined before the shuffle; as a table of their own, so that Spark can split the join where a passage is in very many texts
+    counts = written(heads.groupBy("h").agg(F.count("*").alias("held")).filter("held > 1"), "held_hashes")
+    held = heads.join(counts.hint("merge"), "h")
     rare = held.groupBy("set_id", "n", "last").agg(F.sort_array(F.collect_list(F.struct("held", "h", "place"))).alias("hs"))
     own = headed(F.col("n")) - F.size("hs")  # hashes of the head that are in no other head: the rarest, tried in vain
     tried = F.transform(F.slice("hs", F.lit(1), F.greatest(F.lit(0), F.size("hs") - in_vain(F.col("n")))), lambda x: x["h"])
     shared = F.sort_array(F.transform("hs", lambda x: F.struct(x["h"].alias("h"), x["place"].alias("place"))))
     rare = written(rare.select("set_id", "n", "last", own.alias("own"), tried.alias("tried"), shared.alias("shared")), "shared_heads")
+    discard(counts)
     probes = rare.select("set_id", F.struct("n", "last", "own").alias("of"), F.explode("tried").alias("h"))
 
     def possible(a: Column, b: Column) -> Column:
