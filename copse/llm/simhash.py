@@ -319,7 +319,7 @@ def similar(docs: DataFrame, similarity: float = 0.8, size: int = 5, key: str =
     copies = rows.select("set_id", "row").join(least.select("set_id", F.col("row").alias("first")), "set_id").filter("row <> first").select("row")
     once = among(rows, written(copies, "copies"), "row", "left_anti")
     heads = once.select("set_id", "n", F.element_at("head", -1).alias("last"), F.posexplode("head").alias("place", "h"))
-    counts = heads.groupBy("h").agg(F.count("*").alias("held")).filter("held > 1")  # combined before the shuffle; Spark splits the join where a passage is in very many texts
+    counts = heads.groupBy("h").agg(F.count("*").alias("held")).filter("held > 1")  # combined before the shuffle
     held = heads.join(counts, "h")
     rare = held.groupBy("set_id", "n", "last").agg(F.sort_array(F.collect_list(F.struct("held", "h", "place"))).alias("hs"))
     own = headed(F.col("n")) - F.size("hs")  # hashes of the head that are in no other head: the rarest, tried in vain
