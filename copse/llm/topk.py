@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from copse.llm.common import table, written
+from copse.llm.common import in_batches, table, written
 
 #: Vectors of a block, and queries of a part, at most; fewer of long vectors, so that either has so many components, about.
 BLOCK = QUERIES = 4096
@@ -32,6 +32,8 @@ COMPONENTS = 1 << 18
 #: postings reaches (equal impacts are never parted).
 BITS = 14
 SEGMENTS = (0.2, 0.35, 0.45, 0.55, 0.65, 0.75, 0.85, 0.93, 1.0)
+#: Tasks that meeting parts and blocks are dealt to, at most, and pairs of them that go to Python at a time.
+TASKS, MET = 1024, 2
 #: Queries whose scores of a block are held at a time.
 ASKED = 128
 #: Of a vector's length, so large a share may be lost to rounding by an operation on floats.
@@ -163,6 +165,19 @@ def index(rows: DataFrame) -> DataFrame:
     return _gathered(rows, ("n", "block"), ("id",)).mapInPandas(run, INDEX)
 
 
+def meeting(lengths: DataFrame, queries: DataFrame, blocks: DataFrame, some: Column) -> DataFrame:
+    """A row for each part of the queries (query, id, floor, v) and each block of their length that ``some`` picks.
+
+    Both joins are merges. Parts and blocks are few rows of megabytes in small files, and the pairs come from a small table:
+    by the sizes that Spark sees it would send any of them through the driver to all executors.
+    """
+    # the pairs that meet are rows of their own, so that one length is as many keys as it has pairs
+    numbers = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    meet = lengths.filter("blocks > 0").select("n", "parts", numbers("blocks").alias("block")).filter(some).select("n", "block", numbers("parts").alias("part"))
+    met = meet.join(_gathered(queries, ("n", "part"), ("query", "id", "floor")).hint("merge"), ["n", "part"])
+    return met.join(blocks.filter(some).hint("merge"), ["n", "block"]).drop("block", "part")
+
+
 def _gathered(rows: DataFrame, by: tuple[str, ...], each: tuple[str, ...]) -> DataFrame:
     """Arrays of ``each`` and v (one vector after the other) of the rows of each block."""
     found = rows.groupBy(*by).agg(F.collect_list(F.struct(*each, "v")).alias("rows"))
@@ -188,7 +203,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
     lengths = rows.groupBy("n").agg(F.count("*").alias("c"), F.count_if("q").alias("asked")).filter("asked > 0")
     lengths = written(lengths.select("n", share("c", BLOCK).alias("blocks"), share("asked", QUERIES).alias("parts")), "lengths")
     blocked = rows.join(lengths, "n").select("id", "v", "n", F.pmod(F.xxhash64("id", "row"), F.col("blocks")).alias("block"))
-    blocks = written(index(blocked), "index")
+    with in_batches(vectors.sparkSession, MET):
+        blocks = written(index(blocked), "index")
     asked = rows.filter("q").groupBy("id", "v", "n").agg(F.min("row").alias("query")).join(lengths, "n")
     asked = written(asked.select("query", "id", "v", "n", F.pmod(F.xxhash64("query"), F.col("parts")).alias("part")), "queries")
 
@@ -201,18 +217,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
                 found = np.array(list(top_of_block(qids, of(r.v, qids), ids, of(r.vectors, ids), k, np.asarray(r.floor, np.float64), postings)), np.int64).reshape(-1, 3)
                 yield pd.DataFrame({"query": number[found[:, 0]], "query_id": qids[found[:, 0]], "vec_id": found[:, 1], "score": found[:, 2]})
 
-    def ask(with_floor: DataFrame, some: Column) -> DataFrame:
-        # the pairs that meet are rows of their own, so that one length is as many keys as it has pairs
-        numbers = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-        meet = lengths.filter("blocks > 0").select("n", "parts", numbers("blocks").alias("block")).filter(some).select("n", "block", numbers("parts").alias("part"))
-        met = meet.join(_gathered(with_floor, ("n", "part"), ("query", "id", "floor")), ["n", "part"]).join(blocks.filter(some), ["n", "block"]).drop("block", "part")
-        return met.repartition(max(16, pairs // 4)).mapInPandas(run, FOUND)
+    def ask(with_floor: DataFrame, some: Column, name: str) -> DataFrame:
+        met = meeting(lengths, with_floor, blocks, some).repartition(min(TASKS, max(16, pairs // 4)))
+        with in_batches(vectors.sparkSession, MET):
+            return written(met.mapInPandas(run, FOUND), name)
 
     pairs = lengths.agg(F.coalesce(F.sum(F.col("blocks") * F.col("parts")), F.lit(0))).first()[0]
-    first = written(ask(asked.withColumn("floor", F.lit(float("-inf"))), F.col("block") == 0), "first_block")
+    first = ask(asked.withColumn("floor", F.lit(float("-inf"))), F.col("block") == 0, "first_block")
     floors = first.groupBy("query").agg(F.count("*").alias("found"), (F.min("score").cast("double") * (1 - F.signum(F.min("score").cast("double")) * ROUNDING)).alias("floor")).filter(F.col("found") >= k)
-    sure = asked.join(floors.select("query", "floor"), "query", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    found = first.unionByName(ask(sure, F.col("block") > 0))
+    sure = asked.join(floors.select("query", "floor").hint("merge"), "query", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    found = first.unionByName(ask(sure, F.col("block") > 0, "other_blocks"))
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

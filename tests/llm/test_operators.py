@@ -449,6 +449,23 @@ def test_topk_of_many_lengths_and_blocks(spark, monkeypatch):
     assert got == sorted(brute.best([(i, [math.floor(64 * x) for x in v]) for i, v in rows], 5))
 
 
+def test_topk_broadcasts_neither_queries_nor_index(spark, monkeypatch):
+    """Parts of queries and blocks of the index meet by merges: none of them passes the driver, however small its files."""
+    plans, write = {}, topk.written
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(topk, "written", noted)
+    monkeypatch.setattr(topk, "BLOCK", 100)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(0, 1, 8).tolist()) for i in range(600)]
+    assert topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).count() == 600
+    assert "MapInPandas" in plans["first_block"] and "Broadcast" not in plans["first_block"]
+    assert "MapInPandas" in plans["other_blocks"] and "Broadcast" not in plans["other_blocks"]
+
+
 @pytest.mark.parametrize("scale", [1, 40, 3000, 10**6, 10**17])
 def test_topk_stops_on_proof_only(scale):
     """Members hold the best k with all ties, whatever the quantum, and processing stops before all postings are read."""
