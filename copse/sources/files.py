@@ -13,13 +13,16 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from copse.functions import patterns, scalars
-from copse.plans.forest import Forest
+from copse.plans.forest import CONTAINERS, Forest
 from copse.providers import catalog, registry
+from copse.providers.tree import ROOT
 from copse.selector import Query
 from copse.sources import shared, walking
 
@@ -123,28 +126,35 @@ def inline(spark: SparkSession, language: str, **sources: str) -> DataFrame:
     return spark.createDataFrame(rows, DOCUMENTS)
 
 
-def parsed(docs: DataFrame) -> DataFrame:
+#: Types of nodes by language that have rows (``ROOT``: the root, of whatever type); a language that is not there has rows of all.
+Types = dict[str, frozenset[str]]
+
+
+def parsed(docs: DataFrame, types: Types | None = None) -> DataFrame:
     """Elements of all documents whose language has a parser. A narrow step: each document is parsed where it is, and its
-    rows leave in chunks. Null sources are empty."""
+    rows leave in chunks. Null sources are empty. ``types``: nodes that have rows (``read_types``); whether there is an error
+    is told of the whole document all the same."""
     parsers = {x: registry.parser(x) for x in registry.languages()}  # those of this moment go to the executors
+    types = types or {}
+    schema = to_arrow_schema(T._parse_datatype_string(ELEMENTS))
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from copse.providers.tree import COLUMNS, rows
-
-        names = ["doc", "language", "has_error", *COLUMNS]
+    def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from copse.providers.tree import numbered, rows
 
-        def frame(found: list[tuple]) -> pd.DataFrame:
-            out = pd.DataFrame(found, columns=names)
-            return out.astype({"parent": "Int64"})
+        def frame(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found), schema)], schema=schema)
 
         held: list[tuple] = []
         for f in frames:
-            for doc, language, source in zip(f["doc"], f["language"], f["source"]):
+            for doc, language, source in zip(*(f.column(x).to_pylist() for x in ("doc", "language", "source"))):
                 parse, module = parsers[language]
                 text = source or ""
-                made = rows(parse(text), text, module)
-                bad = any(r[5] == "ERROR" for r in made)
-                held += [(doc, language, bad, *r) for r in made]
+                root = parse(text)
+                nodes = numbered(root)
+                bad = any(n.type == "ERROR" for n in nodes)
+                held += [(doc, language, bad, *r) for r in rows(root, text, module, types.get(language), nodes)]
+                for n in nodes:
+                    n.up = None  # without circles a tree goes at once
                 while len(held) >= CHUNK:
                     yield frame(held[:CHUNK])
                     held = held[CHUNK:]
@@ -153,12 +163,34 @@ def parsed(docs: DataFrame) -> DataFrame:
 
     docs = docs.filter("error is null") if "error" in docs.columns else docs
     known = docs.filter(F.col("language").isin(*parsers)).select(F.col("doc").cast("string"), "language", "source")
-    return known.mapInPandas(batches, ELEMENTS)
+    return known.mapInArrow(batches, ELEMENTS)
 
 
-def parsed_once(docs: DataFrame) -> DataFrame:
+def parsed_once(docs: DataFrame, types: Types | None = None) -> DataFrame:
     """``parsed``, written to the folder that all executors share: for selectors that read the elements more than once."""
-    return shared.written(parsed(docs), "elements")
+    return shared.written(parsed(docs, types), "elements")
+
+
+def _kinds(language: str) -> tuple[dict[str, tuple[str, ...]], dict[str, str]]:
+    """Kinds and canonical spellings of a language."""
+    added = registry.added(language)
+    return (dict(added.kinds), dict(added.canonical)) if added else (catalog.kinds(language), catalog.CANONICAL[language])
+
+
+def read_types(query: Query, languages: tuple[str, ...], *more: str) -> Types:
+    """The types of nodes that a selection reads, by language, and ``more``: those of its kinds and, where it asks for direct
+    children, the containers that these may lie in. A selector with siblings reads the parents of its matches, whatever
+    they are, and so all."""
+
+    def of(q: Query, kinds: dict, canonical: dict) -> frozenset[str] | None:
+        if {"before", "after"} & set(q.attributes):
+            return None
+        kind = canonical.get(q.kind, q.kind)
+        parts = [of(x, kinds, canonical) for x in (*q.operands, *([q.contains] if q.contains else []))]
+        return None if None in parts else frozenset(kinds.get(kind, (kind,)) if kind else ()).union(*parts, CONTAINERS if q.direct else ())
+
+    found = {x: of(query, *_kinds(x)) for x in languages}
+    return {x: types.union(more) for x, types in found.items() if types is not None}
 
 
 #: What a call of ``stored`` finds: documents, and texts (one for each language and digest) that it has and that it parses.
@@ -229,7 +261,7 @@ def forest(elements: DataFrame, language: str, broken: bool = False) -> Forest:
     of = elements.filter(F.col("language") == language)
     of = of if broken else of.filter("not has_error")
     if added := registry.added(language):
-        return Forest(of, dict(added.kinds), dict(added.canonical), checks={k: v() for k, v in added.checks.items()}, typed=added.declared_type is not registry._nothing)
+        return Forest(of, *_kinds(language), checks={k: v() for k, v in added.checks.items()}, typed=added.declared_type is not registry._nothing)
     checks: dict[str, Column] = {
         "go": {"struct": is_("struct"), "interface": is_("interface"), "iface": is_("interface")},
         "python": {},
@@ -237,7 +269,7 @@ def forest(elements: DataFrame, language: str, broken: bool = False) -> Forest:
         "typescript": {"constructor": is_("constructor"), "ctor": is_("constructor"), "getter": is_("getter"), "setter": is_("setter"), "accessor": is_("accessor")},
         "php": {"constructor": is_("constructor"), "ctor": is_("constructor")},
     }[language]
-    return Forest(of, catalog.kinds(language), catalog.CANONICAL[language], checks=checks, typed=language == "go")
+    return Forest(of, *_kinds(language), checks=checks, typed=language == "go")
 
 
 def reads(query: Query) -> int:
@@ -251,8 +283,8 @@ def select(source: DataFrame, query: Query, languages: tuple[str, ...] | None =
     elements are written where several languages, or several parts of the selector, read them."""
     languages = registry.languages() if languages is None else languages
     if "node_type" not in source.columns:
-        source = source.filter(F.col("language").isin(*languages))
-        source = parsed_once(source) if len(languages) * reads(query) > 1 else parsed(source)
+        source, types = source.filter(F.col("language").isin(*languages)), read_types(query, languages)
+        source = parsed_once(source, types) if len(languages) * reads(query) > 1 else parsed(source, types)
     return reduce(DataFrame.unionByName, [forest(source, x).select(query) for x in languages])
 
 
@@ -282,7 +314,7 @@ def transform(source: DataFrame, method: str, query: Query, payload: str = "", l
 
     languages, parts = registry.languages() if languages is None else languages, []
     if "node_type" not in source.columns:
-        source = parsed_once(source.filter(F.col("language").isin(*languages)))
+        source = parsed_once(source.filter(F.col("language").isin(*languages)), read_types(query, languages, ROOT))
     for language in languages:
         f = forest(source, language, broken=True)
         place = append.placing(language, payload) if language in append.SMART else None

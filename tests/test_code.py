@@ -237,3 +237,21 @@ def test_registry(spark):
     finally:
         registry.unregister("items")
     assert files.select(docs, parse("entry:t*")).count() == 0
+
+
+def test_selections_parse_to_the_rows_they_read(spark, monkeypatch):
+    """Nodes of types that a selector does not ask for have no rows; what it matches is what it matches among all rows."""
+    docs = files.inline(spark, "python", a="def f():\n    return load('F')  # é\n\na, b = g(1), 2\n", b="class C:\n    def m(self):\n        if x:\n            load('F')\n", c="def f(:\n")
+    whole, seen, write = files.parsed(docs).cache(), [], files.shared.written
+    monkeypatch.setattr(files.shared, "written", lambda df, name: (seen.append((name, df)), write(df, name))[1])
+    for selector in ("def:* > call:load arg0='F'", "var:b", "class:* >> def:m", "!call:g", "def:* | var:*", "call:* before=var:*", "module:*", "ERROR:*"):
+        q = parse(selector)
+        got = files.select(docs, q, ("python",)).select("doc", "kind", "name", "start_byte", "text", "depth", "ord").collect()
+        assert sorted(got) == sorted(files.forest(whole, "python").select(q).select("doc", "kind", "name", "start_byte", "text", "depth", "ord").collect()), selector
+        types = files.read_types(q, ("python",)).get("python")
+        assert (types is None) == ("before" in selector)
+        if types:
+            some = files.parsed(docs, {"python": types})
+            assert some.exceptAll(whole).isEmpty() and some.count() == whole.filter(F.col("node_type").isin(*types)).count() < whole.count()
+    elements = next(df for name, df in seen if name == "elements")
+    assert {r[0] for r in elements.select("node_type").distinct().collect()} == {"function_definition", "call"}
