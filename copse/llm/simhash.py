@@ -8,8 +8,8 @@ matches fetched from the tables, and verified by their complete distance. A slot
 Equal fingerprints are one row from the start, and components are found by alternating large-star and small-star steps
 over tables in the shared folder; nothing but a count reaches the driver.
 
-``similar`` links texts by the Jaccard similarity of their shingles instead, for stages that remove near-duplicates: what
-two bits link is practically exact copies only.
+``similar`` verifies what two bits link by the Jaccard similarity of the texts' shingles and adds the links that two bits
+miss, for stages that remove near-duplicates: what two bits link is practically exact copies only.
 """
 
 from __future__ import annotations
@@ -274,7 +274,9 @@ def similar(docs: DataFrame, similarity: float = 0.8, size: int = 5, key: str =
     linked if the Jaccard similarity of their sets of ``size``-word shingles is ``similarity`` (0.5 to 1) or more, and
     component_id is the smallest key reachable. Texts without words are equal.
 
-    Prefix filtering, which loses no pair: each set's smallest hashes (``head``) are counted over all sets, those that are
+    Texts whose SimHashes of these shingles are within two bits are found first, by multi-index hashing (``links``), and
+    verified by their sets. What is similar beyond two bits, as most pairs near 0.8 are, comes from prefix filtering:
+    it loses no pair, so that both together give exactly the links of that similarity. Each set's smallest hashes (``head``) are counted over all sets, those that are
     in no other head are left, and of the others each set tries its rarest (``tries``), so that a passage that many texts
     share does not bring them together unless they have little else. Sets that try the same hash are candidates: each with
     one set in the middle first (four different ones over all hashes), then all that are in different components by then.
@@ -290,10 +292,10 @@ def similar(docs: DataFrame, similarity: float = 0.8, size: int = 5, key: str =
     spark = docs.sparkSession
     digests = lambda sets: np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
 
-    @F.pandas_udf("set_id long, n int, head array<long>")
+    @F.pandas_udf("set_id long, n int, head array<long>, fp long")
     def sketch(texts: pd.Series) -> pd.DataFrame:
         sets = [shingles(x, size) for x in texts]
-        return pd.DataFrame({"set_id": digests(sets), "n": [len(s) for s in sets], "head": [s[: head(len(s), t)] for s in sets]})
+        return pd.DataFrame({"set_id": digests(sets), "n": [len(s) for s in sets], "head": [s[: head(len(s), t)] for s in sets], "fp": [fingerprint(x, size) for x in texts]})
 
     def complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # opaque to the planner, which would run a function over all texts to test its result for nulls
         for batch in batches:
@@ -315,7 +317,7 @@ def similar(docs: DataFrame, similarity: float = 0.8, size: int = 5, key: str =
     keyed = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).filter("id is not null")
     with in_batches(spark):
         rows = written(keyed.select("id", sketch("text").alias("s")).select(F.monotonically_increasing_id().alias("row"), "id", "s.*"), "sets")
-    least = written(rows.groupBy("set_id").agg(F.min(F.struct("id", "row")).alias("first")).select("set_id", "first.*"), "least")  # one row for each distinct set
+    least = written(rows.groupBy("set_id").agg(F.min(F.struct("id", "row", "fp")).alias("first")).select("set_id", "first.*"), "least")  # one row for each distinct set
     copies = rows.select("set_id", "row").join(least.select("set_id", F.col("row").alias("first")), "set_id").filter("row <> first").select("row")
     once = among(rows, written(copies, "copies"), "row", "left_anti")
     heads = once.select("set_id", "n", F.element_at("head", -1).alias("last"), F.posexplode("head").alias("place", "h"))
@@ -369,6 +371,14 @@ def similar(docs: DataFrame, similarity: float = 0.8, size: int = 5, key: str =
     stars = probes.join(middle, "h").filter("m.set_id <> set_id").select(F.col("set_id").alias("x"), F.col("m.set_id").alias("y"), F.col("of").alias("of_x"), F.col("m.of").alias("of_y"))
     first = F.col("x") < F.col("y")
     pick = lambda x, y, name: F.when(first, F.col(x)).otherwise(F.col(y)).alias(name)
+    # sets whose SimHashes are within two bits: with equal ones each and the first, with others the first of both
+    prints = written(least.groupBy("fp").agg(F.min("set_id").alias("of_print")), "prints")
+    equal = least.join(prints, "fp").filter("set_id <> of_print").select(F.col("set_id").alias("x"), F.col("of_print").alias("y"))
+    first_of = lambda c, x: prints.select(F.col("fp").alias(c), F.col("of_print").alias(x))
+    hashed = equal.union(links(prints.select("fp")).join(first_of("a", "x"), "a").join(first_of("b", "y"), "b").select("x", "y"))
+    for x in ("x", "y"):
+        hashed = hashed.join(rare.select(F.col("set_id").alias(x), F.struct("n", "last", "own").alias(f"of_{x}")), x)
+    stars = stars.unionByName(hashed.select("x", "y", "of_x", "of_y"))
     near = verified(stars.select(pick("x", "y", "a"), pick("y", "x", "b"), pick("of_x", "of_y", "of_a"), pick("of_y", "of_x", "of_b")), "near")
     roots = components(near).withColumnsRenamed({"node": "set_id"})
     placed = written(probes.join(roots, "set_id", "left").select("h", "set_id", "of", F.coalesce("root", "set_id").alias("root")), "placed")

@@ -49,7 +49,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 or more of their 5-word shingles, that with the smallest doc_id
-    stays. Texts without words (null ones too) are equal. Rows that repeat doc_id and text are one; with different texts
+    stays; links of SimHashes are verified first, and those that they miss are added. Texts without words (null ones too) are equal. Rows that repeat doc_id and text are one; with different texts
     all that are in the smallest doc_id's group stay. Rows with a null doc_id stay."""
     return _aside(docs, lambda d: simhash.deduplicated(d, size=5, similarity=0.8))
 

@@ -167,6 +167,21 @@ def test_simhash_of_one_large_group(spark):
     assert {r.root for r in simhash.components(chain).collect()} == {0}
 
 
+def test_near_dedup_takes_fingerprints(spark, monkeypatch):
+    """The stage looks up SimHashes by multi-index hashing; what they link is verified, what they miss is found besides."""
+    import corpus_pipeline
+
+    found, by_index = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda prints, *a: (found.append(prints.count()), by_index(prints, *a))[1])
+    words = [f"w{i * 7919 % 1000}" for i in range(400)]
+    texts = [" ".join(words), " ".join([*words, "end"]), " ".join(f"v{w}" for w in words), " ".join([*words[:200], *(f"u{w}" for w in words[200:212]), *words[212:]])]
+    docs = spark.createDataFrame([(i, x, "s", len(x)) for i, x in enumerate([*texts, texts[0]])], "doc_id long, text string, source string, n_chars int")
+    bits = [simhash.fingerprint(x, 5) for x in texts]
+    assert bin((bits[0] ^ bits[1]) % 2**64).count("1") <= 2 < bin((bits[0] ^ bits[3]) % 2**64).count("1")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == [0, 2]
+    assert found == [len(set(bits))]
+
+
 def test_similar_against_brute_force(spark):
     """All pairs of similarity 0.8 or more are linked, chains too; texts with a common passage and little else are not."""
     rng = random.Random(8)
